@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import line_dedup, mixing, quality_rules
+from lodestar.llm import line_dedup, mixing, packing, quality_rules, warc
 from lodestar.llm.common import table
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archives, reads them back in ranges, and takes sizes and digests from the payloads read."""
+    records = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")), split_bytes=4 << 20)
+    whole = F.col("payload").isNotNull()
+    return records.select(
+        "page_id",
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(whole, warc.sha1_base32(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -81,13 +98,29 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 FROM figs
 """
 
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages),
+d AS (SELECT *, sha1(html) AS hex FROM p),
+e AS (SELECT page_id, html, keeper, string_agg(lpad(to_base(('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT, 32), 4, '0'), '' ORDER BY i) AS b
+      FROM d, (SELECT unnest(range(8)) AS i) GROUP BY page_id, html, keeper)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       translate(b, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM e
+"""
+
 QUERIES = {
+    "op5_packing": op5_packing,
+    "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
+    "op6_warc": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }
