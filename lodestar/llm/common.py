@@ -52,6 +52,43 @@ def bucket_of(col: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
 
 
+def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """fn(frame) -> frame for the rows of each key, like applyInPandas, but many small groups share an
+    Arrow batch; a task holds one batch and one group at a time."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        held = []
+
+        def results(frame):
+            codes = [frame[k].to_numpy() for k in keys]
+            new = np.zeros(len(frame), bool)
+            for c in codes:
+                new[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), len(frame)]
+            return [frame.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+        for frame in batches:
+            if not len(frame):
+                continue
+            first, last = frame.iloc[0], held and held[-1].iloc[-1]
+            if held and any(first[k] != last[k] for k in keys):
+                yield fn(pd.concat(held, ignore_index=True))
+                held = []
+            groups = results(frame)
+            held.append(groups[0])
+            if len(groups) > 1:
+                out = [fn(pd.concat(held, ignore_index=True)), *map(fn, groups[1:-1])]
+                held = [groups[-1]]
+                yield pd.concat(out, ignore_index=True)
+        if held:
+            yield fn(pd.concat(held, ignore_index=True))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else.
 

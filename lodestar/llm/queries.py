@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import line_dedup, mixing, packing, quality_rules, warc
+from lodestar.llm import line_dedup, mixing, ngram_join, packing, quality_rules, warc
 from lodestar.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("row.doc_id", "row.source", F.col("row.chars").cast("long").alias("chars"), "source_block", "slot", "place")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -116,6 +120,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
 }
 
