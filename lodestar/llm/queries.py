@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import line_dedup, mixing, ngram_join, packing, quality_rules, warc
+from lodestar.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, warc
 from lodestar.llm.common import table
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -116,6 +120,7 @@ FROM e
 """
 
 QUERIES = {
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
