@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, warc
+from lodestar.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, quality_model, quality_rules, toxicity, warc
 from lodestar.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -120,6 +128,8 @@ FROM e
 """
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_quality_model": op3_quality_model,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
