@@ -234,7 +234,7 @@ def without_toxic(df: DataFrame, labels: DataFrame, text_col: str = "text", thre
     return df.where(toxicity_scorer(df, labels, text_col=text_col, **options)(F.col(f"`{text_col}`")) < threshold)
 
 
-def fit(rows: list[list[int]], toxic: np.ndarray, total: np.ndarray, n: int, l2: float = 1.0, rounds: int = 400) -> tuple[float, np.ndarray]:
+def fit(rows: list[list[int]], toxic: np.ndarray, total: np.ndarray, n: int, l2: float = 0.05, rounds: int = 600) -> tuple[float, np.ndarray]:
     """Logistic regression on sets of features, `total` texts with each set of which `toxic` are labelled 1."""
     bias, w = 0.0, np.zeros(n)
     if not total.sum():
