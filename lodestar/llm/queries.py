@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, quality_model, quality_rules, toxicity, warc
+from lodestar.llm import embedding_dedup, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_model, quality_rules, toxicity, warc
 from lodestar.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -128,6 +132,7 @@ FROM e
 """
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
     "op3_quality_model": op3_quality_model,
     "op4_embedding_dedup": op4_embedding_dedup,
