@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestar.llm import embedding_dedup, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_model, quality_rules, toxicity, warc
 from lodestar.llm.common import table
 
@@ -132,6 +133,7 @@ FROM e
 """
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
     "op3_quality_model": op3_quality_model,
