@@ -37,7 +37,7 @@ def word_hashes(words: list[str], most: int = 400_000) -> np.ndarray:
     try:
         return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        for w in set(words) - cache.keys():
+        for w in [w for w in set(words) if w not in cache]:
             cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
         return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
