@@ -41,23 +41,21 @@ def pair_exclusive_split(
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
         import hashlib
 
-        layers = sorted(frame[layer].astype(str).unique())
-        whole = frame.groupby(frame[layer].astype(str))["n"].sum().reindex(layers, fill_value=0).to_numpy(float)
-        held = {s: whole * 0 for s in names}
-        out = []
-        groups = sorted(frame.groupby(pair), key=lambda g: hashlib.md5(f"{g[0]}|{seed}".encode()).hexdigest())
-        for key, rows in groups:
-            add = rows.groupby(rows[layer].astype(str))["n"].sum().reindex(layers, fill_value=0).to_numpy(float)
-            gap = {s: 1 - held[s].sum() / max(targets[s] * whole.sum(), 1e-9) for s in names}
-            most = max(gap.values())
-
-            def drift(s, add=add):
-                after = held[s] + add
-                return abs(after / after.sum() - whole / whole.sum()).sum() / 2
-
-            best = min((s for s in names if gap[s] >= most - 0.05), key=drift)
-            held[best] = held[best] + add
-            out.append((key, best))
+        import numpy as np
+
+        table = frame.pivot_table(index=pair, columns=layer, values="n", aggfunc="sum", fill_value=0)
+        counts, keys = table.to_numpy(float), table.index.tolist()
+        whole = counts.sum(axis=0)
+        share, goal = whole / whole.sum(), np.array([targets[s] for s in names]) * whole.sum()
+        held, out = np.zeros((len(names), len(whole))), []
+        for i in sorted(range(len(keys)), key=lambda i: hashlib.md5(f"{keys[i]}|{seed}".encode()).hexdigest()):
+            gap = 1 - held.sum(axis=1) / goal
+            near = np.flatnonzero(gap >= gap.max() - 0.05)
+            after = held[near] + counts[i]
+            drift = np.abs(after / after.sum(axis=1, keepdims=True) - share).sum(axis=1)
+            best = near[int(drift.argmin())]
+            held[best] += counts[i]
+            out.append((keys[i], names[best]))
         return pd.DataFrame(out, columns=[pair, "split"])
 
     kind = df.schema[pair].dataType.simpleString()

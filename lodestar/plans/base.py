@@ -52,7 +52,7 @@ DERIVED = {
             "relation": pick("l_linenumber", ["geo.contains", "geo.touches", "geo.metric", "geo.direction", "geo.direction_distance", "geo.intersects", "geo.disjoint"]),
             "a": "l_partkey % 300", "b": "l_suppkey * 7 % 300", "negative": "l_orderkey % 9 = 0",
             "a_type": pick("l_partkey", ["city", "province", "river", "lake"]), "b_type": pick("l_suppkey", ["city", "airport", "lake"]),
-            "km": "CAST(l_extendedprice * 0.05 AS BIGINT)", "azimuth": "CAST(l_partkey * 7 + l_orderkey * 13 + l_linenumber * 31 AS BIGINT) % 360",
+            "km": "CAST(floor(l_extendedprice * 0.05) AS BIGINT)", "azimuth": "CAST(l_partkey * 7 + l_orderkey * 13 + l_linenumber * 31 AS BIGINT) % 360",
             "a_lon": "73 + CAST((l_partkey % 300) * 37 % 620 AS DOUBLE) / 10", "a_lat": "18 + CAST((l_partkey % 300) * 53 % 360 AS DOUBLE) / 10",
             "b_lon": "73 + CAST((l_suppkey * 7 % 300) * 37 % 620 AS DOUBLE) / 10", "b_lat": "18 + CAST((l_suppkey * 7 % 300) * 53 % 360 AS DOUBLE) / 10",
         },

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import scoring
+from lodestar.plans import audits, derivations, relational, samples, scoring
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scoring.QUERIES}
-ORACLES: dict[str, str] = {**scoring.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scoring.QUERIES, **derivations.QUERIES, **relational.QUERIES, **audits.QUERIES, **samples.QUERIES}
+ORACLES: dict[str, str] = {**scoring.ORACLES, **derivations.ORACLES, **relational.ORACLES, **audits.ORACLES, **samples.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
