@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
 
 def _lcs(a: str, b: str) -> int:
@@ -23,12 +24,12 @@ def _lcs(a: str, b: str) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(D.IntegerType())
 def lcs_length(one: pd.Series, two: pd.Series) -> pd.Series:
     return pd.Series([_lcs(a or "", b or "") for a, b in zip(one, two, strict=True)], dtype="int32")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(D.DoubleType())
 def rouge_l(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence on characters; 0 if either text is empty."""
     out = []
@@ -38,7 +39,7 @@ def rouge_l(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("struct<char_start: int, char_end: int, similarity: double>")
+@F.pandas_udf(D.StructType().add("char_start", D.IntegerType()).add("char_end", D.IntegerType()).add("similarity", D.DoubleType()))
 def fuzzy_span(name: pd.Series, text: pd.Series) -> pd.DataFrame:
     """The window of the name's length that is most like it by matching blocks, if the ratio is over 0.85."""
     out = []
@@ -55,7 +56,7 @@ def fuzzy_span(name: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["char_start", "char_end", "similarity"]).astype({"char_start": "Int32", "char_end": "Int32"})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(D.StringType())
 def repaired_json(text: pd.Series) -> pd.Series:
     """The JSON value in a model's reply as canonical JSON: fenced or bare, with trailing commas and open brackets mended."""
 

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
-from lodestar.functions.geo import canonical_direction
 
-_DIRECTIONS = T.longest_first(V.DIRECTIONS_20)
+#: Direction words, longest first, with the main direction of each.
+_MAIN = {w: k for w in T.longest_first(V.DIRECTIONS_20) for k, group in V.DIRECTION_GROUPS.items() if w in group}
+
+
+def main_direction(col: Column) -> Column:
+    """The main direction that the first direction word in a text, longest words first, stands for."""
+    return F.coalesce(*[F.when(col.contains(w), F.lit(k)) for w, k in _MAIN.items()])
 
 
 def plain(col: Column) -> Column:
@@ -21,8 +26,7 @@ def plain(col: Column) -> Column:
 
 def direction_correct(prediction: Column, reference: Column) -> Column:
     """Both name a direction (longest word first) and the words mean the same."""
-    p, r = (canonical_direction(T.first_word(c, _DIRECTIONS)) for c in (prediction, reference))
-    return F.coalesce(p == r, F.lit(False))
+    return F.coalesce(main_direction(prediction) == main_direction(reference), F.lit(False))
 
 
 def topology_correct(prediction: Column, reference: Column, table: dict[str, list[str]] = V.TOPOLOGY_WORDS, shared: list[str] | None = None) -> Column:
@@ -124,9 +128,8 @@ def keyword_f1_macro(prediction: Column, reference: Column, words: list[str]) ->
 
 def error_parts(prediction: Column, reference: Column) -> dict[str, Column]:
     """What error_cause looks at, to be computed once as columns."""
-    p, r = (T.first_word(c, _DIRECTIONS) for c in (prediction, reference))
     return {
-        "p_direction": canonical_direction(p), "r_direction": canonical_direction(r), "p_number": T.first_number(prediction), "r_number": T.first_number(reference),
+        "p_direction": main_direction(prediction), "r_direction": main_direction(reference), "p_number": T.first_number(prediction), "r_number": T.first_number(reference),
         "p_topology": T.first_match(prediction, V.TOPOLOGY_WORDS),
     }
 

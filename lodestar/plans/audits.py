@@ -12,19 +12,17 @@ from lodestar.operators.quality import Rule
 from lodestar.plans.base import frame, sql
 from lodestar.plans.scoring import _any
 
-_SUBTYPE = F.lower(F.trim("subtype"))
-
 
 def record_rules() -> list[Rule]:
     """Presence, types of values, consistency and wording of a record."""
     c = F.col
-    topological = c("relation") == "topological"
+    topological, label = c("relation") == "topological", F.lower(F.trim("subtype"))
     lo, hi = (F.coalesce(*[F.when(c("difficulty") == k, F.lit(v[i])) for k, v in V.LEVEL_RANGES.items()]) for i in (0, 1))
     return [
         Rule("relation_present", c("relation").isNotNull(), level=1, least_rate=0.99),
         Rule("relation_known", c("relation").isin(V.RELATIONS), level=1, applies=c("relation").isNotNull()),
         Rule("subtype_present", c("subtype").isNotNull(), level=1, applies=topological, least_rate=0.99),
-        Rule("subtype_known", _SUBTYPE.isin(V.TOPOLOGY), "warning", 1, applies=topological & c("subtype").isNotNull(), detail=_SUBTYPE),
+        Rule("subtype_known", label.isin(V.TOPOLOGY), "warning", 1, applies=topological & c("subtype").isNotNull(), detail=label),
         Rule("two_entities", c("name2").isNotNull(), level=2, least_rate=0.9),
         Rule("first_in_box", geo.in_box(c("lon1"), c("lat1")), level=2, least_rate=0.98),
         Rule("score_in_range", c("score").between(lo, hi), "warning", 2, detail=c("difficulty")),

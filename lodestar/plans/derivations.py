@@ -12,13 +12,16 @@ from lodestar.operators.joins import points_in_polygons
 from lodestar.plans.base import frame, sql
 from lodestar.plans.scoring import _any, _first, _number, _word
 
-_PTS = [F.col(c) for c in ("a_lon", "a_lat", "b_lon", "b_lat")]
+
+
+def _points():
+    return [F.col(c) for c in ("a_lon", "a_lat", "b_lon", "b_lat")]
 
 
 def geo_distance_bearing(spark, sf_dir):
     """Both distance forms, bearings, compass words, box test and grade, per pair, reduced to one row per word."""
-    d, b = geo.haversine_km(*_PTS), geo.bearing(*_PTS)
-    rows = frame(spark, sf_dir, "pairs").where("a <> b").select(d.alias("d"), geo.haversine_km(*_PTS, form="asin").alias("d2"), geo.haversine_km(*_PTS, radius=geo.SPHERE_KM).alias("d3"), b.alias("b"), geo.planar_bearing(*_PTS).alias("pb"), geo.in_box(F.col("a_lon"), F.col("a_lat"), (73.0, 120.0, 18.0, 50.0)).alias("inside"))
+    d, b = geo.haversine_km(*_points()), geo.bearing(*_points())
+    rows = frame(spark, sf_dir, "pairs").where("a <> b").select(d.alias("d"), geo.haversine_km(*_points(), form="asin").alias("d2"), geo.haversine_km(*_points(), radius=geo.SPHERE_KM).alias("d3"), b.alias("b"), geo.planar_bearing(*_points()).alias("pb"), geo.in_box(F.col("a_lon"), F.col("a_lat"), (73.0, 120.0, 18.0, 50.0)).alias("inside"))
     rows = rows.withColumns({"word": geo.compass8(F.round("b", 6)), "grade": geo.deviation_grade(F.floor(F.col("d") / 10))})
     return rows.groupBy("word", "grade").agg(F.count("*").alias("n"), F.round(F.sum("d"), 3).alias("km"), F.round(F.sum("d2"), 3).alias("km_asin"), F.round(F.sum("d3"), 3).alias("km_sphere"), F.round(F.sum("pb"), 3).alias("planar"), F.count_if("inside").alias("inside"))
 
@@ -40,7 +43,7 @@ def geo_compass(spark, sf_dir):
 
 
 def geo_sign_direction(spark, sf_dir):
-    one = geo.sign_direction(*_PTS)
+    one = geo.sign_direction(*_points())
     return frame(spark, sf_dir, "pairs").groupBy(one.alias("word")).agg(F.count("*").alias("n"))
 
 

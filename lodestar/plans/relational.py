@@ -9,7 +9,10 @@ from lodestar.operators.quality import direction_free_key
 from lodestar.plans.base import frame, sql
 
 _UNORDERED = ["geo.intersects", "geo.touches", "geo.direction"]
-_DIRECTION = F.pmod(F.floor((F.col("azimuth") + 22.5) / 45), F.lit(8)).cast("int")
+
+
+def _direction():
+    return F.pmod(F.floor((F.col("azimuth") + 22.5) / 45), F.lit(8)).cast("int")
 
 
 def _r(df, *cols):
@@ -79,14 +82,14 @@ def prof_angles(spark, sf_dir):
 
 def prof_distances(spark, sf_dir):
     """Moments of the distance by direction."""
-    p = frame(spark, sf_dir, "pairs").groupBy(_DIRECTION.alias("direction")).agg(*profile.moments(F.col("km").cast("double")))
+    p = frame(spark, sf_dir, "pairs").groupBy(_direction().alias("direction")).agg(*profile.moments(F.col("km").cast("double")))
     return p.select("direction", "n", "least", "most", F.round("mean", 4).alias("mean"), "median", F.round("std", 4).alias("std"), F.round("skew", 4).alias("skew"), F.round("kurt", 4).alias("kurt"))
 
 
 def prof_bands(spark, sf_dir):
     """Distance bands with their share against uniform, and the correlation of direction and distance."""
     edges = [0.0, 100.0, 500.0, 1000.0, 2000.0]
-    p = frame(spark, sf_dir, "pairs").select(profile.band(F.col("km").cast("double"), edges).alias("band"), _DIRECTION.alias("d"), "km")
+    p = frame(spark, sf_dir, "pairs").select(profile.band(F.col("km").cast("double"), edges).alias("band"), _direction().alias("d"), "km")
     r = p.agg(F.round(F.corr(F.col("d").cast("double"), F.col("km").cast("double")), 6).alias("r"))
     s = profile.shares(p, "band")
     return s.crossJoin(r).select("band", "n", F.round("share", 6).alias("share"), F.round(F.abs(F.col("share") - 0.2), 6).alias("deviation"), "r")
@@ -95,7 +98,7 @@ def prof_bands(spark, sf_dir):
 def prof_directions(spark, sf_dir):
     """Shares of all eight directions, zero-filled, of long pairs."""
     d = spark.range(8).select(F.col("id").cast("int").alias("direction"))
-    c = frame(spark, sf_dir, "pairs").where("km > 5000").groupBy(_DIRECTION.alias("direction")).agg(F.count("*").alias("n"))
+    c = frame(spark, sf_dir, "pairs").where("km > 5000").groupBy(_direction().alias("direction")).agg(F.count("*").alias("n"))
     return F.broadcast(d).join(c, "direction", "left").na.fill(0, ["n"]).select("direction", "n")
 
 

@@ -217,7 +217,7 @@ def ev_default_answers(spark, sf_dir):
 
 def ev_direction_breakdown(spark, sf_dir):
     a = _answers(spark, sf_dir).where("spatial_type = 'directional'")
-    r, p = (score.canonical_direction(T.first_word(F.col(c), T.longest_first(V.DIRECTIONS_20))) for c in ("reference", "prediction"))
+    r, p = (score.main_direction(F.col(c)) for c in ("reference", "prediction"))
     return a.groupBy(r.alias("direction")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(p == r, F.lit(False))).alias("right"), F.count_if(p != r).alias("wrong"), F.count_if(p.isNull()).alias("none"))
 
 
