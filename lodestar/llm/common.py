@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space, as the contents of a regular-expression class and as plain characters.
 WS_CLASS = r"\x20\x09-\x0D"
@@ -52,6 +53,27 @@ def bucket_of(col: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
 
 
+def slices(batches, rows: int = 512):
+    """pandas frames of a few rows at a time from Arrow batches, so that long texts are not held twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows).to_pandas()
+
+
+def map_slices(df: DataFrame, fn, schema: str) -> DataFrame:
+    """mapInPandas over small frames (see slices); fn takes and gives an iterator of frames."""
+
+    kind = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for frame in fn(slices(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema=kind, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     """fn(frame) -> frame for the rows of each key, like applyInPandas, but many small groups share an
     Arrow batch; a task holds one batch and one group at a time."""

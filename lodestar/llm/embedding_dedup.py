@@ -116,7 +116,7 @@ def _forest(edges: np.ndarray, n: int) -> np.ndarray:
 
 def embedding_dedup(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, sample: int = 20_000,
-    list_size: int = 256, most_lists: int = 4096, probes: int = 16, subspaces: int = 16, codes: int = 64, slack: float = 0.35, block: int = 2048,
+    list_size: int = 256, most_lists: int = 4096, probes: int = 4, subspaces: int = 16, codes: int = 64, slack: float = 0.35, block: int = 2048,
 ) -> DataFrame:
     """Links vectors of equal label whose cosine reaches the threshold.
 

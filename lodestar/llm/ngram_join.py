@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_groups, written
+from lodestar.llm.common import map_groups, map_slices, written
 from lodestar.llm.components import components
 from lodestar.llm.tokens import process_cache
 
@@ -27,7 +27,7 @@ def choose_bands(threshold: float, recall: float, most_hashes: int = 128, most_c
     raise ValueError("no banding reaches the recall within so many hashes")
 
 
-def word_hashes(words: list[str], most: int = 400_000) -> np.ndarray:
+def word_hashes(words: list[str], most: int = 100_000) -> np.ndarray:
     """A 64-bit hash for each word, kept for the process."""
     import xxhash
 
@@ -207,7 +207,7 @@ def ngram_join(
     """
     bands, rows = choose_bands(threshold, recall, most_hashes)
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where("id IS NOT NULL")
-    signed = written(texts.mapInPandas(lambda b: sign(b, width, bands, rows), "id long, digest binary, n int, sig binary, bands array<long>"), "signed")
+    signed = written(map_slices(texts, lambda b: sign(b, width, bands, rows), "id long, digest binary, n int, sig binary, bands array<long>"), "signed")
     # ids that repeat keep one row, so that each document counts once
     ids = written(texts.select("id").join(signed.groupBy("id").agg(F.max("digest").alias("digest")), "id", "left").distinct(), "ids")
     classes = written(ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
