@@ -39,8 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
-    return packing.pack(docs)
+    """Sequences of at most 2048 tokens, each of documents that are near each other in the mixed order; ids follow that order."""
+    return packing.pack(docs, ordered=True)
 
 
 STAGES = [

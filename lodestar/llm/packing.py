@@ -6,17 +6,19 @@ import random
 import zlib
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lodestar.llm.common import written
 from lodestar.llm.tokens import WordTokenizer, default_path, groups_of
 
-PIECE = "piece int, start long, length long, ids_crc32 long, uid long"
+PIECE = "piece int, start long, length long, ids_crc32 long, uid long, file string, row long"
 
 
 def cut(batches, path: str, capacity: int, end_id: int):
-    """Pieces of at most `capacity` ids of each document; (id, text) frames in, piece frames out."""
+    """Pieces of at most `capacity` ids of each document; (id, text, file, row) frames in, piece frames out."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
@@ -27,13 +29,27 @@ def cut(batches, path: str, capacity: int, end_id: int):
         texts = frame["text"].tolist()
         for a, b in groups_of(texts):
             out = []
-            for doc, ids in zip(frame["id"].iloc[a:b].tolist(), tokenizer.encode_texts(texts[a:b]), strict=True):
+            docs, files, rows = (frame[c].iloc[a:b].tolist() for c in ("id", "file", "row"))
+            for doc, file, row, ids in zip(docs, files, rows, tokenizer.encode_texts(texts[a:b]), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
-                    out.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), number))
+                    out.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), number, file, row))
                     number += 1
-            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "uid"]).astype({"id": frame["id"].dtype, "piece": "int32"})
+            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "uid", "file", "row"]).astype({"id": frame["id"].dtype, "piece": "int32"})
+
+
+def numbered(pieces: DataFrame, block: int = 1024) -> DataFrame:
+    """Pieces with their place in the order of (file, row, piece), from 0 without gaps, as uid.
+
+    Windows run over the pieces of `block` rows of a file, over a file's blocks and over the files.
+    """
+    pieces = pieces.withColumn("block", F.floor(F.col("row") / block))
+    blocks = pieces.groupBy("file", "block").agg(F.count("*").alias("n"))
+    files = blocks.groupBy("file").agg(F.sum("n").alias("n")).select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("earlier"))
+    before = blocks.withColumn("before", F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")).join(files, "file")
+    own = F.row_number().over(W.partitionBy("file", "block").orderBy("row", "piece", "uid"))
+    return pieces.withColumn("own", own).join(before, ["file", "block"]).withColumn("uid", F.col("earlier") + F.col("before") + F.col("own") - 1)
 
 
 class Packing:
@@ -140,9 +156,21 @@ def evolve_rows(batches, capacity: int, epoch: int, population: int, generations
         yield pd.DataFrame(out, columns=["cell", "island", "bins", "n_bins", "cost"])
 
 
+def in_file_order(df: DataFrame) -> tuple[DataFrame, list]:
+    """df, read from files, and each row's file (as text that sorts like the files' numbers) and place in it."""
+    name = F.col("_metadata.file_name")
+    file = F.concat(F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 12, "0"), name).alias("file")
+    place = [file, F.col("_metadata.row_index").alias("row")]
+    try:
+        df.select(*place)
+    except AnalysisException:
+        df = written(df, "ordered")
+    return df, place
+
+
 def pack(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer_path: str | None = None, end_id: int = 0,
-    cell_items: int = 4096, islands: int = 2, epochs: int = 2, population: int = 6, generations: int = 6,
+    cell_items: int = 4096, islands: int = 2, epochs: int = 2, population: int = 6, generations: int = 6, ordered: bool = False,
 ) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` tokens, as few as it can.
 
@@ -156,19 +184,26 @@ def pack(
     epoch every island hands its best packing to the next, and the best of all islands is placed.
     A cell can lose at most the room of one sequence against packing all cells together.
 
+    ``ordered``: the rows of df stand in an order, that of its files and of the rows in them (Spark numbers the files of
+    a sorted DataFrame in its order; a df that is not read from files is written first). A cell is then a run of
+    ``cell_items`` consecutive pieces, a sequence's pieces stand in order, and its id is the place of the first, so ids ascend with the cells.
+
     Cases: null text is an empty document (one end id); null ids and repeated rows are documents of their own;
     an empty table gives an empty result; other columns are ignored.
     """
     path = tokenizer_path or default_path()
     id_type = df.schema[id_col].dataType.simpleString()
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    df, place = in_file_order(df) if ordered else (df, [F.lit(None).cast("string").alias("file"), F.lit(0).cast("long").alias("row")])
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *place)
     pieces = written(texts.mapInPandas(lambda b: cut(b, path, capacity, end_id), f"id {id_type}, {PIECE}"), "pieces")
 
-    n_cells = max(1, -(-pieces.count() // cell_items))
+    if ordered:
+        dealt = numbered(pieces).withColumn("cell", F.floor(F.col("uid") / cell_items))
+    else:
+        n_cells = max(1, -(-pieces.count() // cell_items))
+        dealt = pieces.withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(n_cells)))
     item = F.struct((-F.col("length")).alias("order"), "id", "piece", "start", "length", "ids_crc32", "uid")
-    cells = written(
-        pieces.withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(n_cells))).groupBy("cell").agg(F.array_sort(F.collect_list(item)).alias("items")), "cells"
-    )
+    cells = written(dealt.groupBy("cell").agg(F.array_sort(F.collect_list(item)).alias("items")), "cells")
     lengths = F.transform("items", lambda x: x["length"].cast("int"))
     base = cells.select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), lengths.alias("lengths"))
     state, elites = base.withColumn("migrants", F.array().cast("array<array<int>>")), None
@@ -181,6 +216,8 @@ def pack(
     best = elites.groupBy("cell").agg(F.min_by("bins", F.struct("n_bins", "cost", "island")).alias("bins"))
 
     spread = cells.join(best, "cell").select("cell", F.explode(F.arrays_zip("items", "bins")).alias("z")).select("cell", "z.items.*", F.col("z.bins").alias("bin"))
-    sequence = (F.col("cell") * (1 << 20) + F.col("bin")).alias("sequence_id")
-    seat = F.expr("sum(length) over (partition by cell, bin order by order, uid rows unbounded preceding) - length").alias("offset")
-    return spread.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", sequence, seat)
+    bins = W.partitionBy("cell", "bin")
+    sequence = F.min("uid").over(bins) if ordered else F.col("cell") * (1 << 20) + F.col("bin")
+    seats = bins.orderBy("uid") if ordered else bins.orderBy("order", "uid")
+    seat = F.sum("length").over(seats.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("length")
+    return spread.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), seat.alias("offset"))

@@ -117,6 +117,36 @@ def test_packing_round_trip(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_mixing_decides_the_sequences(spark):
+    import corpus_pipeline
+    from lodestar.llm.common import written
+
+    docs = spark.range(700).select(
+        F.col("id").alias("doc_id"), F.expr("repeat('river city ', cast(1 + id * 7 % 23 as int))").alias("text"), F.lit("en").alias("lang"),
+        F.when(F.col("id") % 5 == 0, "x").otherwise("y").alias("source"), F.lit(0).cast("long").alias("n_chars"),
+    )
+    size = F.char_length("text")
+    slots = mixing.mix_sources(docs, size=size, block=200).orderBy("slot", "place").select("row.doc_id").collect()
+    place = {r.doc_id: i for i, r in enumerate(slots)}
+    plain = written(docs, "docs")
+    mixed = written(mixing.mixed(plain, size=size, block=200).repartitionByRange(4, F.udf(place.__getitem__, "int")("doc_id")).sortWithinPartitions(F.udf(place.__getitem__, "int")("doc_id")), "mixed")
+    assert len(mixed.inputFiles()) > 1
+    rows = packing.pack(mixed, capacity=64, cell_items=100, ordered=True).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r)
+    assert sorted(r.doc_id for r in rows) == list(range(700)) and len(by) < 700
+    for k, group in by.items():
+        places = [place[r.doc_id] for r in sorted(group, key=lambda r: r.offset)]
+        assert places == sorted(places) and places[0] == k and len({p // 100 for p in places}) == 1
+    sets = lambda rows: {frozenset(r.doc_id for r in g) for _, g in itertools.groupby(sorted(rows, key=lambda r: r.sequence_id), key=lambda r: r.sequence_id)}
+    stage = dict(corpus_pipeline.STAGES)["packing"]
+    piped = stage(spark, mixed, "").collect()
+    assert [r.sequence_id for r in sorted(piped, key=lambda r: place[r.doc_id])][0] == 0
+    assert sets(packing.pack(plain, capacity=64, cell_items=100, ordered=True).collect()) != sets(rows)
+    assert packing.pack(docs, capacity=64, cell_items=100, ordered=True).count() == 700  # not read from files
+
+
 def test_genetic_packing_improves_on_best_fit():
     import random
 
