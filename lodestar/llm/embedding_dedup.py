@@ -36,6 +36,10 @@ class Index:
         parts = rest.reshape(len(rest), self.subspaces, -1)
         self.books = [kmeans(np.ascontiguousarray(parts[:, m]), codes, 8, 2 + m) for m in range(self.subspaces)]
 
+    def ranks(self, x: np.ndarray) -> np.ndarray:
+        """The place of every list among those nearest to each query, from 0."""
+        return self.nearest(x, len(self.centres)).argsort(axis=1)
+
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         far = (self.centres**2).sum(axis=1) - 2 * x @ self.centres.T
         n = min(n, len(self.centres))
@@ -52,6 +56,26 @@ class Index:
         return np.stack([((parts[:, m, None] - b[None]) ** 2).sum(axis=2) for m, b in enumerate(self.books)], axis=1)
 
 
+def probes_needed(batches, index: Index, asked: pd.DataFrame, cosine: float, rows: int = 512):
+    """How many links between the batches and the asked vectors, by exact comparison with all, need so many probes: that
+    of the two which meets the other sooner counts, since either visit finds the link."""
+    own = np.stack(asked["vector"].to_numpy())
+    own_ranks, own_label, own_id = index.ranks(own), asked["label"].to_numpy(), asked["id"].to_numpy()
+    own_home, found = own_ranks.argmin(axis=1), np.zeros(len(index.centres), np.int64)
+    for frame in batches:
+        for at in range(0, len(frame), rows):
+            part = frame.iloc[at : at + rows]
+            x = np.stack(part["vector"].to_numpy())
+            i, j = np.nonzero(x @ own.T >= cosine)
+            new = (part["label"].to_numpy()[i] == own_label[j]) & (part["id"].to_numpy()[i] != own_id[j])
+            i, j = i[new], j[new]
+            if len(i):
+                ranks = index.ranks(x)
+                found += np.bincount(np.minimum(ranks[i, own_home[j]], own_ranks[j, ranks.argmin(axis=1)[i]]), minlength=len(found))
+    some = np.flatnonzero(found)
+    yield pd.DataFrame({"probes": (some + 1).astype(np.int32), "links": found[some]})
+
+
 def assign(batches, index: Index, probes: int):
     """Home list, residual code and probed lists of each unit vector."""
     for frame in batches:
@@ -116,7 +140,7 @@ def _forest(edges: np.ndarray, n: int) -> np.ndarray:
 
 def embedding_dedup(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, sample: int = 20_000,
-    list_size: int = 256, most_lists: int = 4096, probes: int = 4, subspaces: int = 16, codes: int = 64, slack: float = 0.35, block: int = 2048,
+    list_size: int = 256, most_lists: int = 4096, probes: int = 16, subspaces: int = 16, codes: int = 64, slack: float = 0.35, block: int = 2048, asked: int = 1024,
 ) -> DataFrame:
     """Links vectors of equal label whose cosine reaches the threshold.
 
@@ -125,7 +149,8 @@ def embedding_dedup(
 
     Plan: equal vectors of a label become one class by partial aggregation. Centres and codebooks are fitted on
     `sample` unit vectors at most (the hash order decides which) and shipped with the tasks; every vector is indexed. Each class sends its
-    vector to the `probes` nearest lists of its label; a list's rows meet in cells of `block` members at most per
+    vector to its nearest lists of its label: `probes` of them, or more if any link of `asked` vectors, found by exact
+    comparison with all others in one pass, needs more; a list's rows meet in cells of `block` members at most per
     part (`blocked`), where table lookups choose candidates and exact cosines decide. Only counts and
     least partners leave a cell.
 
@@ -151,7 +176,11 @@ def embedding_dedup(
 
     chosen = classes.orderBy(F.xxhash64("key"), "rep").limit(sample).select("vector").toPandas()
     index = Index(np.stack(chosen["vector"].to_numpy()), int(np.clip(n / n_labels / list_size, 1, most_lists)), subspaces, codes)
-    coded = classes.select(F.col("rep").alias("id"), "label", "copies", "vector").mapInPandas(
+    named = classes.select(F.col("rep").alias("id"), "label", "copies", "vector")
+    trial = named.orderBy(F.xxhash64("id", F.lit("asked")), "id").limit(asked).select("id", "label", "vector").toPandas()
+    needed = named.select("id", "label", "vector").mapInPandas(lambda b: probes_needed(b, index, trial, cosine), "probes int, links long")
+    probes = max(probes, needed.agg(F.max("probes")).first()[0] or 0)
+    coded = named.mapInPandas(
         lambda b: assign(b, index, probes), "id long, label string, copies long, vector array<double>, home int, code binary, lists array<int>"
     )
     visits = written(coded, "coded").withColumn("list", F.explode("lists"))

@@ -105,6 +105,19 @@ def test_embeddings_against_brute_force(spark, block):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_find_links_across_hundreds_of_lists(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((30, 16))
+    x = base[np.arange(600) % 30] + 0.22 * rng.standard_normal((600, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    link = x @ x.T >= 0.93
+    np.fill_diagonal(link, False)
+    for options in ({"probes": 1}, {}):
+        got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_dedup(df, list_size=2, **options).collect()}
+        assert link.sum() > 1000 and got == dict(enumerate(link.sum(axis=1).tolist()))
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a", "x" * 50), (2, "http://b\r\nX-Page-Id: 9", "x" * 50), (3, None, "é\r\n\r\n漢字 \x1f"), (4, "u", None), (5, "v", ""), (None, "w", "z"), (None, "w", "x" * 50), (6, "q", "".join(chr(32 + (i * i) % 90) for i in range(200_000)))]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", __import__("pyspark").sql.functions.lit(1)).repartition(3)
