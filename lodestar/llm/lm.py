@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Positions that a window scores, and context positions before them.
-SCORED, CONTEXT = 32, 16
+#: Positions that a scoring window scores, and context positions before them; a training window has both as targets.
+SCORED, CONTEXT = 32, 32
 LENGTH = SCORED + CONTEXT
-_NAMES = ("embed", "query", "key", "value", "own", "bias", "near")
+#: Windows per batch: so few that a batch's arrays stay in a core's cache.
+BATCH = 64
+_NAMES = ("embed", "project", "bias", "near")
 
 
 class AttentionModel:
@@ -17,14 +19,14 @@ class AttentionModel:
     before it in its window; the attended values and its own embedding give the gate's logits. The
     P_k are proper distributions over the vocabulary, so the probabilities of all continuations sum to one.
     Gate and embeddings are trained by gradient (Adam), the P_k by expectation-maximisation.
+    ``project`` maps an embedding to its query, key, value and own logits, side by side.
     """
 
-    def __init__(self, vocabulary: int, parts: int = 32, width: int = 24, heads: int = 16, seed: int = 5):
+    def __init__(self, vocabulary: int, parts: int = 64, width: int = 24, heads: int = 8, seed: int = 5):
         rng = np.random.default_rng(seed)
-        draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.vocabulary, self.parts = vocabulary, parts
+        self.vocabulary, self.parts, self.heads = vocabulary, parts, heads
         self.embed = rng.standard_normal((vocabulary, width)).astype(np.float32) * np.float32(0.5)
-        self.query, self.key, self.value, self.own = draw(width, heads), draw(width, heads), draw(width, parts), draw(width, parts)
+        self.project = (rng.standard_normal((width, 2 * heads + 2 * parts)) / np.sqrt(width)).astype(np.float32)
         self.bias, self.near = np.zeros(parts, np.float32), np.zeros(LENGTH, np.float32)
         noise = rng.random((vocabulary, parts)) + 0.5
         self.tables = (noise / noise.sum(axis=0)).astype(np.float32)
@@ -32,56 +34,78 @@ class AttentionModel:
     def parameters(self) -> dict[str, np.ndarray]:
         return {n: getattr(self, n) for n in _NAMES}
 
+    def copy(self) -> AttentionModel:
+        new = AttentionModel.__new__(AttentionModel)
+        new.__dict__ = {k: v.copy() if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+        return new
+
     def set_tables(self, counts: np.ndarray, unigram: np.ndarray, prior: float = 50.0) -> None:
         """P_k from expected counts, smoothed towards the unigram distribution."""
         smooth = counts + prior * unigram[:, None]
         self.tables = (smooth / smooth.sum(axis=0)).astype(np.float32)
 
-    def _distance(self, queries: int, keys: int, shift: int) -> np.ndarray:
+    def split(self, projected: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Query, key, value and own parts of projections."""
+        h, p = self.heads, self.parts
+        return tuple(projected[..., a:b] for a, b in ((0, h), (h, 2 * h), (2 * h, 2 * h + p), (2 * h + p, 2 * h + 2 * p)))
+
+    def distances(self, queries: int, keys: int, shift: int) -> np.ndarray:
         """The additive mask: the distance term where key position <= query position, else minus infinity."""
         gap = np.arange(queries)[:, None] + shift - np.arange(keys)[None, :]
         return np.where(gap >= 0, self.near[np.clip(gap, 0, LENGTH - 1)], np.float32(-1e9)).astype(np.float32)
 
-    def step(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Gradients, expected table counts and the summed log-likelihood of windows [n, T + 1] with so many targets each."""
+    def step(self, windows: np.ndarray, lengths: np.ndarray, learn: bool = True) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
+        """Of windows [n, T + 1] with so many targets each: gradients, the targets (flat), their posterior parts, and the
+        summed log-likelihood."""
         x, y = windows[:, :-1], windows[:, 1:]
         n, t = x.shape
         weight = (np.arange(t)[None, :] < lengths[:, None]).astype(np.float32)
-        scale = np.float32(1 / np.sqrt(self.query.shape[1]))
-        e = self.embed[x]
-        q, k, v = e @ self.query, e @ self.key, e @ self.value
-        s = q @ k.transpose(0, 2, 1) * scale + self._distance(t, t, 0)
-        a = np.exp(s - s.max(axis=2, keepdims=True))
+        scale = np.float32(1 / np.sqrt(self.heads))
+        e = self.embed[x.ravel()]
+        q, k, v, own = self.split((e @ self.project).reshape(n, t, -1))
+        s = q @ k.transpose(0, 2, 1)
+        s *= scale
+        s += self.distances(t, t, 0)
+        s -= s.max(axis=2, keepdims=True)
+        a = np.exp(s, out=s)
         a /= a.sum(axis=2, keepdims=True)
-        z = a @ v + e @ self.own + self.bias
-        g = np.exp(z - z.max(axis=2, keepdims=True))
+        z = a @ v
+        z += own
+        z += self.bias
+        z -= z.max(axis=2, keepdims=True)
+        g = np.exp(z, out=z)
         g /= g.sum(axis=2, keepdims=True)
-        joint = g * self.tables[y]
-        total = joint.sum(axis=2)
-        post = joint / total[:, :, None]
-        dz = (g - post) * weight[:, :, None]
+        post = g * self.tables[y.ravel()].reshape(g.shape)
+        total = post.sum(axis=2)
+        post /= total[:, :, None]
+        post *= weight[:, :, None]
+        likelihood = float((np.log(total) * weight).sum())
+        seen = y.ravel(), post.reshape(n * t, -1)
+        if not learn:
+            return {}, *seen, likelihood
+        g *= weight[:, :, None]
+        dz = np.subtract(g, post, out=g)
         da = dz @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
         dv = a.transpose(0, 2, 1) @ dz
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-        flat = lambda m: m.reshape(n * t, -1)
-        de = dz @ self.own.T + dq @ self.query.T + dk @ self.key.T + dv @ self.value.T
+        da -= np.einsum("ijk,ijk->ij", da, a)[:, :, None]
+        ds = np.multiply(da, a, out=da)
+        by_gap = np.tril(ds.sum(axis=0))
+        ds *= scale
+        down = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv, dz], axis=2).reshape(n * t, -1)
         gap = np.clip(np.arange(t)[:, None] - np.arange(t)[None, :], 0, LENGTH - 1)
         grads = {
-            "embed": scatter(flat(x)[:, 0], flat(de), self.vocabulary), "query": flat(e).T @ flat(dq), "key": flat(e).T @ flat(dk), "value": flat(e).T @ flat(dv),
-            "own": flat(e).T @ flat(dz), "bias": flat(dz).sum(axis=0), "near": np.bincount(gap.ravel(), np.tril(ds.sum(axis=0)).ravel(), LENGTH),
+            "embed": scatter(x.ravel(), down @ self.project.T, self.vocabulary), "project": e.T @ down,
+            "bias": dz.reshape(n * t, -1).sum(axis=0), "near": np.bincount(gap.ravel(), by_gap.ravel(), LENGTH),
         }
-        return grads, scatter(flat(y)[:, 0], flat(post * weight[:, :, None]), self.vocabulary), float((np.log(total) * weight).sum())
+        return grads, *seen, likelihood
 
-    def tables_of(self) -> dict[str, np.ndarray]:
+    def lookup(self) -> dict[str, np.ndarray]:
         """Per-id rows of all projections, so that scoring looks up instead of multiplying."""
-        scale = np.float32(1 / np.sqrt(self.query.shape[1]))
-        return {
-            "query": self.embed @ self.query * scale, "key": self.embed @ self.key, "value": self.embed @ self.value,
-            "own": self.embed @ self.own + self.bias, "next": self.tables,
-        }
+        q, k, v, own = self.split(self.embed @ self.project)
+        rows = {"query": q / np.float32(np.sqrt(self.heads)), "key": k, "value": v, "own": own + self.bias, "next": self.tables}
+        return {n: np.ascontiguousarray(r) for n, r in rows.items()}
 
-    def log10_probabilities(self, ids: np.ndarray, sizes: np.ndarray, lookup: dict[str, np.ndarray], start: int, most: int = 1024) -> np.ndarray:
+    def log10_probabilities(self, ids: np.ndarray, sizes: np.ndarray, lookup: dict[str, np.ndarray], start: int, most: int = BATCH) -> np.ndarray:
         """log10 P of every id, for documents of `sizes` ids laid end to end in `ids`.
 
         A document is cut into windows that score SCORED ids each and see CONTEXT earlier positions besides,
@@ -94,11 +118,10 @@ class AttentionModel:
         first = np.arange(len(doc)) - np.repeat(per.cumsum() - per, per)
         at = begins[doc] + first * SCORED
         before = np.concatenate([[start], ids[:-1]]) if len(ids) else ids
-        before = before.copy()
         before[begins[sizes > 0]] = start
         out = np.empty(len(ids), np.float64)
-        mask = self._distance(SCORED, LENGTH, CONTEXT)
-        ones = np.ones(LENGTH, np.float32)
+        mask = self.distances(SCORED, LENGTH, CONTEXT)
+        ones, all_parts = np.ones(LENGTH, np.float32), np.ones(self.parts, np.float32)
         norm = lambda t: float(np.sqrt((t * t).sum(axis=1).max()))
         most_score = norm(lookup["query"]) * norm(lookup["key"]) + float(np.abs(self.near).max())
         most_logit = float(np.abs(lookup["value"]).max() + np.abs(lookup["own"]).max())
@@ -117,28 +140,34 @@ class AttentionModel:
             if not small:
                 s -= s.max(axis=2, keepdims=True)
             np.exp(s, out=s)
-            value = lookup["value"][x]
-            z = np.matmul(s, value)
+            z = np.matmul(s, lookup["value"][x])
             z /= (s @ ones)[:, :, None]
             z += lookup["own"][own]
             if not small:
                 z -= z.max(axis=2, keepdims=True)
             np.exp(z, out=z)
             place = seen[:, CONTEXT:]
-            whole = z.reshape(-1, z.shape[2]) @ np.ones(z.shape[2], np.float32)
+            whole = z.reshape(-1, z.shape[2]) @ all_parts
             z *= lookup["next"][ids[np.minimum(place, len(ids) - 1)]]
-            got = z.reshape(-1, z.shape[2]) @ np.ones(z.shape[2], np.float32) / whole
+            got = z.reshape(-1, z.shape[2]) @ all_parts / whole
             score = inside[:, CONTEXT:]
             out[place[score]] = got.reshape(score.shape)[score]
         return np.log10(out)
 
 
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct row numbers and the sums of their value rows."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[cuts], np.add.reduceat(values[order], cuts, axis=0)
+
+
 def scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the value rows by row number."""
-    order = np.argsort(rows, kind="stable")
-    found, cuts = np.unique(rows[order], return_index=True)
     out = np.zeros((n, values.shape[1]), np.float32)
-    out[found] = np.add.reduceat(values[order], cuts, axis=0)
+    found, sums = summed(rows, values)
+    out[found] = sums
     return out
 
 
@@ -157,7 +186,7 @@ class Adam:
             p -= np.float32(self.rate / (1 - 0.9**self.k)) * self.m[n] / (np.sqrt(self.v[n] / np.float32(1 - 0.99**self.k)) + np.float32(1e-8))
 
 
-def warm_up(model: AttentionModel, windows: np.ndarray, lengths: np.ndarray, unigram: np.ndarray, steps: int, batch: int = 128, rate: float = 0.02) -> None:
+def warm_up(model: AttentionModel, windows: np.ndarray, lengths: np.ndarray, unigram: np.ndarray, steps: int, rate: float = 0.02) -> None:
     """First training on a bounded set of windows, with stepwise expectation-maximisation of the tables."""
     if not len(windows):
         model.set_tables(np.zeros_like(model.tables), unigram)
@@ -165,19 +194,19 @@ def warm_up(model: AttentionModel, windows: np.ndarray, lengths: np.ndarray, uni
     rng, adam, counts = np.random.default_rng(9), Adam(model, rate), None
     model.set_tables(model.tables * unigram[:, None] * rng.uniform(0.2, 1.8, model.tables.shape) * 1000 * len(unigram), unigram)
     for k in range(steps):
-        adam.rate = rate * (1 - 0.9 * k / steps)
-        pick = rng.integers(0, len(windows), batch)
-        grads, got, _ = model.step(windows[pick], lengths[pick])
+        adam.rate = rate * (1 - 0.7 * k / steps)
+        pick = rng.integers(0, len(windows), BATCH)
+        grads, target, post, _ = model.step(windows[pick], lengths[pick])
         adam.update(grads, float(lengths[pick].sum()))
+        got = scatter(target, post, model.vocabulary)
         counts = got if counts is None else counts * np.float32(0.97) + got
         model.set_tables(counts, unigram)
 
 
-def train_part(model: AttentionModel, windows: np.ndarray, lengths: np.ndarray, batch: int = 128, rate: float = 0.003) -> np.ndarray:
-    """One local pass over a part of the windows; returns the expected table counts of the pass."""
-    adam, counts = Adam(model, rate), np.zeros_like(model.tables)
-    for a in range(0, len(windows), batch):
-        grads, got, _ = model.step(windows[a : a + batch], lengths[a : a + batch])
-        adam.update(grads, float(lengths[a : a + batch].sum()))
-        counts += got
-    return counts
+def train_part(model: AttentionModel, windows: np.ndarray, lengths: np.ndarray, adam: Adam, counts: np.ndarray) -> None:
+    """Trains the gate on the windows, one step a batch, and adds their expected table counts to `counts`."""
+    for a in range(0, len(windows), BATCH):
+        grads, target, post, _ = model.step(windows[a : a + BATCH], lengths[a : a + BATCH])
+        adam.update(grads, float(lengths[a : a + BATCH].sum()))
+        found, sums = summed(target, post)
+        counts[found] += sums

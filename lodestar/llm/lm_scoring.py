@@ -13,16 +13,10 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import lm
 from lodestar.llm.common import bucket_of, written
-from lodestar.llm.tokens import WordTokenizer, default_path, groups_of, process_cache
+from lodestar.llm.tokens import ByteWords, default_path, groups_of, words_of
 
-#: The id of the end of a text, and of a word that the tokenizer turns into nothing.
-END_ID, NOTHING_ID = 49407, 49406
-_LN10 = math.log(10)
-
-
-def words_of(text: str) -> list[bytes]:
-    """The words of a text: runs without ASCII white space, A-Z in lower case, as UTF-8."""
-    return text.encode("utf-8", "replace").lower().split()
+#: The id of the end of a text.
+END_ID = 49407
 
 
 def count_words(batches, most: int = 300_000):
@@ -39,101 +33,111 @@ def count_words(batches, most: int = 300_000):
         yield pd.DataFrame({"word": list(total), "n": list(total.values())})
 
 
-class ByteWords:
-    """Subword ids by UTF-8 word, cached for the process."""
-
-    def __init__(self, path: str, most: int = 400_000):
-        self.tokenizer, self.known, self.most = WordTokenizer(path, 100_000), process_cache(f"byte words {path}"), most
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        known = self.known
-        try:
-            return list(map(known.__getitem__, words))
-        except KeyError:
-            missing = [w for w in set(words) if w not in known]
-        if len(known) + len(missing) > self.most:
-            known.clear()
-            missing = list(set(words))
-        texts = [w.decode("utf-8", "replace") for w in missing]
-        table, nothing = self.tokenizer.lookup(set(texts)), NOTHING_ID.to_bytes(4, "little")
-        for w, t in zip(missing, texts, strict=True):
-            known[w] = table[t] or nothing
-        return list(map(known.__getitem__, words))
-
-
-def window_ids(batches, path: str, every: int):
-    """Training windows: of each `every` words of a text the first ones, as ids; the first window of a text starts
-    with the end id, and a window that reaches the end of its text closes with it."""
-    tokens, end = ByteWords(path), np.array([END_ID], "<u4")
+def text_ids(texts: list[str], tokens: ByteWords) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words of each text, ids of all texts end to end (each closed by the end id), and ids per text."""
+    words = [words_of(t) for t in texts]
+    end = np.array([END_ID], "<u4").tobytes()
+    joined = [b"".join(tokens.ids(w)) + end for w in words]
+    return words, np.frombuffer(b"".join(joined), "<u4"), np.fromiter(map(len, joined), np.int64, len(joined)) // 4
+
+
+def window_ids(batches, path: str):
+    """Training windows: a text's ids, between two end ids, cut so that every id but the first is a target once."""
+    tokens, end = ByteWords(path), np.array([END_ID], "<u2")
     for frame in batches:
-        out = []
-        for text in frame["text"]:
-            words = words_of(text)
-            for at in range(0, len(words) or 1, every):
-                part = words[max(0, at - 1) : at + lm.SCORED]
-                ids = np.frombuffer(b"".join(tokens.ids(part)), "<u4")
-                ids = np.concatenate([end if at == 0 else ids[:0], ids, end if at + lm.SCORED >= len(words) else ids[:0]])
-                out.append(ids[: lm.SCORED + 1].astype(np.int32))
-        yield pd.DataFrame({"ids": [x for x in out if len(x) > 1]})
+        texts = frame["text"].tolist()
+        for a, b in groups_of(texts):
+            _, flat, sizes = text_ids(texts[a:b], tokens)
+            flat, out, ends = flat.astype("<u2"), [], sizes.cumsum()
+            for low, high in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                row = np.concatenate([end, flat[low:high]]).tobytes()
+                out += [row[2 * at : 2 * (at + lm.LENGTH + 1)] for at in range(0, high - low, lm.LENGTH)]
+            yield pd.DataFrame({"ids": out})
+
+
+def as_windows(rows: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as a matrix of model indices, and the number of targets of each."""
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 2 - 1
+    width = 2 * (lm.LENGTH + 1)
+    flat = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), "<u2")
+    return table[flat.reshape(len(rows), -1)], lengths
+
+
+def target_counts(batches):
+    """How often each id is a target in the task's windows."""
+    total = np.zeros(1 << 16, np.int64)
+    for frame in batches:
+        total += np.bincount(np.frombuffer(b"".join(r[2:] for r in frame["ids"]), "<u2"), minlength=1 << 16)
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"id": at, "n": total[at]})
 
 
 def compact(ids: np.ndarray) -> np.ndarray:
     """Model index by tokenizer id: the given ids in order, then one index that stands for all others."""
-    table = np.full(max(END_ID, int(ids.max(initial=0))) + 1, len(ids), np.int32)
+    table = np.full(1 << 16, len(ids), np.int32)
     table[ids] = np.arange(len(ids))
     return table
 
 
-def as_windows(rows: list[np.ndarray], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(r) - 1 for r in rows], np.int64)
-    out = np.zeros((len(rows), lm.SCORED + 1), np.int32)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = table[np.asarray(r)]
-    return out, lengths
+def train_rows(batches, model: lm.AttentionModel, table: np.ndarray, rate: float, piece: int = 1 << 13):
+    """A task's pass over its windows, a batch at a time: its number, and in pieces its table counts and its
+    parameters times its targets, which can be summed over the tasks."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    model = model.copy()
+    adam, counts, weight, rng = lm.Adam(model, rate), np.zeros_like(model.tables), 0.0, np.random.default_rng(11)
+    for frame in batches:
+        if len(frame):
+            windows, lengths = as_windows(frame["ids"].tolist(), table)
+            order = rng.permutation(len(windows))
+            lm.train_part(model, windows[order], lengths[order], adam, counts)
+            weight += float(lengths.sum())
+    if weight:
+        flat = np.concatenate([p.ravel() * np.float64(weight) for p in model.parameters().values()] + [counts.ravel(), [weight]])
+        for k, a in enumerate(range(0, len(flat), piece)):
+            yield pd.DataFrame({"task": [context.partitionId() if context else 0], "piece": [k], "x": [flat[a : a + piece]]})
 
 
-def train_rows(batches, model: lm.AttentionModel, table: np.ndarray, piece: int = 1 << 15):
-    """A task's pass over its windows: weighted parameters and table counts, cut into pieces that can be summed."""
-    rows = [r for frame in batches for r in frame["ids"]]
-    if not rows:
-        return
-    windows, lengths = as_windows(rows, table)
-    model = clone(model)
-    counts = lm.train_part(model, windows, lengths)
-    weight = float(lengths.sum())
-    flat = np.concatenate([p.ravel() * weight for p in model.parameters().values()] + [counts.ravel(), [weight]])
-    for k, a in enumerate(range(0, len(flat), piece)):
-        yield pd.DataFrame({"piece": [k], "x": [flat[a : a + piece].astype(np.float64)]})
+def added(parts: DataFrame, tasks: int, fan_in: int = 32) -> np.ndarray:
+    """The sum of the tasks' vectors: groups of `fan_in` tasks are added, then groups of groups, so that a group holds
+    no more rows however many tasks there are."""
 
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"task": frame["task"].iloc[:1], "piece": frame["piece"].iloc[:1], "x": [np.sum(np.stack(frame["x"].to_numpy()), axis=0)]})
 
-def clone(model: lm.AttentionModel) -> lm.AttentionModel:
-    new = lm.AttentionModel.__new__(lm.AttentionModel)
-    new.__dict__ = {k: v.copy() if isinstance(v, np.ndarray) else v for k, v in model.__dict__.items()}
-    return new
+    while tasks > 1:
+        tasks = -(-tasks // fan_in)
+        parts = parts.withColumn("task", F.floor(F.col("task") / fan_in).cast("int")).groupBy("task", "piece").applyInPandas(add, "task int, piece int, x array<double>")
+    return np.concatenate(list(parts.orderBy("piece").toPandas()["x"]))
 
 
-def train(windows: DataFrame, path: str, parts: int, width: int, steps: int, first: int, rounds: int) -> tuple[lm.AttentionModel, np.ndarray]:
+def train(windows: DataFrame, parts: int, steps: int, first: int, rounds: int, rate: float) -> tuple[lm.AttentionModel, np.ndarray]:
     """The model and its id table, from written windows.
 
-    At most `first` windows, in hash order, start the model on the driver; then every round all windows train
-    it in all tasks and the tasks' results are averaged by Spark, weighted by tokens. The vocabulary (no more than
-    the tokenizer's ids) and the parameters have a fixed bound.
+    At most `first` windows, in hash order, start the model on the driver, so that the tasks improve one and the same
+    solution. Then the windows, dealt to `rounds` rounds by hash, train it: every window is learnt from once, in the
+    task that reads it, and at the end of a round the tasks' parameters are averaged by Spark, weighted by targets. The
+    vocabulary (no more than the tokenizer's ids) and the parameters have a fixed bound.
     """
-    tally = windows.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).orderBy("id").toPandas()
+    tally = windows.mapInPandas(target_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     ids = np.union1d(tally["id"].to_numpy(np.int64), [END_ID])
     table, size = compact(ids), len(ids) + 1
     unigram = np.full(size, 0.5)
     unigram[table[tally["id"].to_numpy(np.int64)]] += tally["n"].to_numpy(float)
     unigram /= unigram.sum()
     # the last index shares its probability among all ids that it stands for
-    model = lm.AttentionModel(size, parts, width)
+    model = lm.AttentionModel(size, parts)
     start = windows.orderBy(F.xxhash64("ids"), "ids").limit(first).toPandas()
-    lm.warm_up(model, *as_windows(list(start["ids"]), table), unigram, steps)
-    for _ in range(rounds if len(start) else 0):
-        now = clone(model)
-        sums = windows.mapInPandas(lambda b, m=now: train_rows(b, m, table), "piece int, x array<double>")
-        added = sums.groupBy("piece").applyInPandas(lambda f: pd.DataFrame({"piece": [int(f["piece"].iloc[0])], "x": [np.sum(np.stack(f["x"].to_numpy()), axis=0)]}), "piece int, x array<double>")
-        flat = np.concatenate(list(added.orderBy("piece").toPandas()["x"]))
+    lm.warm_up(model, *as_windows(start["ids"].tolist(), table), unigram, steps)
+    for k in range(rounds if len(start) else 0):
+        now = model.copy()
+        own = windows.where(F.pmod(F.xxhash64("ids", F.lit("round")), F.lit(rounds)) == k)
+        results = written(own.mapInPandas(lambda b, m=now: train_rows(b, m, table, rate), "task int, piece int, x array<double>"), "lm-round")
+        tasks = results.agg(F.max("task")).first()[0]
+        if tasks is None:
+            continue
+        flat = added(results, tasks + 1)
         weight, at = flat[-1], 0
         for name, p in model.parameters().items():
             setattr(model, name, (flat[at : at + p.size] / weight).reshape(p.shape).astype(np.float32))
@@ -142,61 +146,45 @@ def train(windows: DataFrame, path: str, parts: int, width: int, steps: int, fir
     return model, table
 
 
-def blend(subword: np.ndarray, count: np.ndarray, whole: float, share: float) -> np.ndarray:
-    """log10 of the mixture of a word's probability by its subwords (log10) and by its count, over log10 `whole` in all.
-    As in the base score, an unseen word counts as the unseen class of the count model."""
-    return np.logaddexp(subword * _LN10 + math.log(share), (np.log10(count + 0.1) - whole) * _LN10 + math.log(1 - share)) / _LN10
-
-
-def score_rows(batches, path: str, model: lm.AttentionModel, table: np.ndarray, hot: dict[bytes, int], whole: float, share: float):
-    """Per text: tokens, number and scores of frequent words, and its other words with their subword scores."""
+def score_rows(batches, path: str, model: lm.AttentionModel, table: np.ndarray, hot: dict[bytes, int]):
+    """Per text: tokens, number and log counts of frequent words, its score, and its other words."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
     number = (context.partitionId() if context else 0) << 40
-    tokens, lookup = ByteWords(path), model.tables_of()
-    start, unknown = int(table[END_ID]), len(table) - int((table < model.vocabulary - 1).sum())
+    tokens, lookup = ByteWords(path), model.lookup()
+    start, unknown = int(table[END_ID]), int((table == model.vocabulary - 1).sum())
     lookup["next"] = lookup["next"].copy()
     lookup["next"][-1] /= max(1, unknown)
-    end = np.array([END_ID], "<u4").tobytes()
     for frame in batches:
         texts, docs = frame["text"].tolist(), frame["id"].tolist()
         for a, b in groups_of(texts):
-            out, words, ids = [], [], []
-            for text in texts[a:b]:
-                own = words_of(text)
-                ids += [*tokens.ids(own), end]
-                words.append([*own, b""])
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            spans = np.fromiter(map(len, ids), np.int64, len(ids)) // 4  # ids per word
-            counts = np.array([len(w) for w in words])
-            word_ends = counts.cumsum()
-            doc_ids = np.add.reduceat(spans, word_ends - counts)
-            got = model.log10_probabilities(table[flat], doc_ids, lookup, start)
-            by_word = np.add.reduceat(got, spans.cumsum() - spans)
-            for doc, own, z, n in zip(docs[a:b], words, word_ends.tolist(), counts.tolist(), strict=True):
-                subword = by_word[z - n : z]
-                count = np.fromiter(map(hot.get, own, repeat(0)), np.int64, n)
+            words, flat, sizes = text_ids(texts[a:b], tokens)
+            got = model.log10_probabilities(table[flat], sizes, lookup, start)
+            scores = np.add.reduceat(got, sizes.cumsum() - sizes).tolist()
+            out = []
+            for doc, own, score in zip(docs[a:b], words, scores, strict=True):
+                own.append(b"")
+                count = np.fromiter(map(hot.get, own, repeat(0)), np.int64, len(own))
                 known = count > 0
-                rare = [{"word": own[i], "subword": subword[i]} for i in np.flatnonzero(~known).tolist()]
-                out.append((doc, number, n, int(known.sum()), float(np.log10(count[known] + 0.1).sum()), float(blend(subword[known], count[known], whole, share).sum()), float(subword.sum()), rare))
+                rare = [own[i] for i in np.flatnonzero(~known).tolist()]
+                out.append((doc, number, len(own), int(known.sum()), float(np.log10(count[known] + 0.1).sum()), score, rare))
                 number += 1
-            yield pd.DataFrame(out, columns=["id", "uid", "n_tokens", "n_hot", "hot_base", "hot_score", "subword_score", "rare"]).astype({"id": frame["id"].dtype})
+            yield pd.DataFrame(out, columns=["id", "uid", "n_tokens", "n_hot", "hot_base", "score", "rare"]).astype({"id": frame["id"].dtype})
 
 
 def lm_scores(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_out: int = 0, tokenizer_path: str | None = None,
-    parts: int = 128, width: int = 32, steps: int = 800, first: int = 20_000, rounds: int = 2, every: int = 256, hot_words: int = 1 << 17, share: float = 0.5,
+    parts: int = 64, steps: int = 800, first: int = 8192, rounds: int = 2, rate: float = 0.01, hot_words: int = 1 << 16,
 ) -> DataFrame:
     """Scores every text under a self-attention model and under corpus word counts.
 
     One row per input row: the id, held_out, n_tokens (words and one end), n_known (those seen in training),
-    train_tokens, base_score (unigram, add 0.1), score (the model's log10 probability of all words and the end),
-    subword_score (that of the attention model alone). The model gives a word the mixture, with weight `share`, of the product of
-    its subwords' probabilities under self-attention and of its add-0.1 share of the corpus counts (``blend``).
+    train_tokens, base_score (unigram, add 0.1), score (the attention model's log10 probability of all subword ids
+    of the text and its end).
 
-    Plan: (1) word counts of all training texts, pre-counted in the tasks, then one shuffle by word; (2) a window of each
-    `every` words of every training text trains the model in all tasks (see ``train``); (3) one pass scores all
+    Plan: (1) word counts of all training texts, pre-counted in the tasks, then one shuffle by word; (2) all ids of
+    all training texts, in windows, train the model in all tasks (see ``train``); (3) one pass scores all
     texts. The most frequent words, at most `hot_words` of them by a cut-off from a histogram of counts, are looked up in that
     pass; the others meet their counts in a join on the word, whose keys are rare by construction.
 
@@ -223,24 +211,19 @@ def lm_scores(
     frequent = counts.where(bin_of >= cut).collect() if cut is not None else []
     hot = spark.sparkContext.broadcast({bytes(r.word): r.n for r in frequent})
 
-    windows = written(training.mapInPandas(lambda b: window_ids(b, path, every), "ids array<int>"), "windows")
-    model, table = train(windows, path, parts, width, steps, first, rounds)
+    windows = written(training.mapInPandas(lambda b: window_ids(b, path), "ids binary"), "windows")
+    model, table = train(windows, parts, steps, first, rounds, rate)
     held = spark.sparkContext.broadcast(model)
-    whole = math.log10(total + 0.1 * (distinct + 1))
     found = texts.mapInPandas(
-        lambda b: score_rows(b, path, held.value, table, hot.value, whole, share),
-        f"id {kind}, uid long, n_tokens long, n_hot long, hot_base double, hot_score double, subword_score double, rare array<struct<word: binary, subword: double>>",
+        lambda b: score_rows(b, path, held.value, table, hot.value), f"id {kind}, uid long, n_tokens long, n_hot long, hot_base double, score double, rare array<binary>"
     )
     found = written(found, "lm-scores")
-    subword, base = F.col("subword"), F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.1)
-    most, least = F.greatest(subword + math.log10(share), base - whole + math.log10(1 - share)), F.least(subword + math.log10(share), base - whole + math.log10(1 - share))
-    mixed = most + F.log10(1 + F.pow(F.lit(10.0), least - most))
-    rare = found.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.subword")
-    looked = rare.join(counts, "word", "left").groupBy("uid").agg(F.count("n").alias("n_rare"), F.sum(base).alias("rare_base"), F.sum(mixed).alias("rare_score"))
-    zero = F.lit(0.0)
+    rest = counts if cut is None else counts.where(bin_of < cut)
+    rare = found.select("uid", F.explode("rare").alias("word"))
+    looked = rare.join(rest, "word", "left").groupBy("uid").agg(F.count("n").alias("n_rare"), F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.1)).alias("rare_base"))
+    whole = math.log10(total + 0.1 * (distinct + 1))
     return found.join(looked, "uid", "left").select(
         F.col("id").alias(id_col), (bucket_of("id", folds) == held_out).alias("held_out"), "n_tokens",
         (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + F.coalesce("rare_base", zero) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-        (F.col("hot_score") + F.coalesce("rare_score", zero)).alias("score"), "subword_score",
+        (F.col("hot_base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)).alias("base_score"), "score",
     )

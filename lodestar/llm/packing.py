@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestar.llm.common import written
-from lodestar.llm.tokens import WordTokenizer, default_path, groups_of
+from lodestar.llm.tokens import ByteWords, default_path, groups_of
 
 PIECE = "piece int, start long, length long, ids_crc32 long, uid long, file string, row long"
 
@@ -23,7 +23,7 @@ def cut(batches, path: str, capacity: int, end_id: int):
 
     context = TaskContext.get()
     number = (context.partitionId() if context else 0) << 40
-    tokenizer = WordTokenizer(path)
+    tokenizer = ByteWords(path)
     end = end_id.to_bytes(4, "little")
     for frame in batches:
         texts = frame["text"].tolist()

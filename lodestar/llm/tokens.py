@@ -19,60 +19,66 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokenizer:
-    """Ids of texts for a tokenizer whose pieces never cross white space (the word BPE).
+def words_of(text: str) -> list[bytes]:
+    """The words of a text: runs without ASCII white space, A-Z in lower case, as UTF-8."""
+    return text.encode("utf-8", "replace").lower().split()
 
-    A text's ids are the ids of its white-space-separated words in order, so each word is encoded once
-    per process and then looked up. The cache stops growing at max_words; words beyond that are encoded
-    once per call. encode_words and encode_texts equal the tokenizer's own encoding of the whole text.
+
+class ByteWords:
+    """Ids by UTF-8 word for a tokenizer whose pieces never cross white space and that ignores ASCII case (the word BPE).
+
+    A text's ids are those of its words (``words_of``) in order, so a word is encoded once and then looked up in a cache
+    that the process keeps. New words are encoded together, as one text in which a mark stands between every two. The cache
+    is emptied when it would grow beyond `most` words.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    #: One piece of one id, wherever it stands between spaces; words that hold it are encoded singly.
+    MARK = "\x01"
+
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         cache = process_cache(f"tokenizer {path}")
         if "tokenizer" not in cache:
-            cache["tokenizer"], cache["words"] = Tokenizer.from_file(path), {"": b""}
-        self.tokenizer, self.words, self.max_words = cache["tokenizer"], cache["words"], max_words
+            cache["tokenizer"], cache["words"] = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.most = cache["tokenizer"], cache["words"], most
+        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
 
-    def lookup(self, words: set[str]) -> dict[str, bytes]:
-        """Little-endian 32-bit ids by word, for words that hold no space, tab or newline."""
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
         import numpy as np
 
-        known, extra = self.words, {}
-        missing = [w for w in words if w not in known]
-        if not missing:
-            return known
-        # ASCII case does not matter to this tokenizer, and a letter run and a final "." or "," are separate pieces
-        parts = {}
-        for w in missing:
-            core, end = (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, "")
-            parts[w] = (core.lower() if core.isascii() else core, end)
-        need = list({p for core_end in parts.values() for p in core_end if p and p not in known})
-        ids = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(need, self.tokenizer.encode_batch_fast(need, add_special_tokens=False), strict=True)}
-        for w, (core, end) in parts.items():
-            extra[w] = (known[core] if core in known else ids[core]) + (known[end] if end in known else ids[end])
-        room = self.max_words - len(known)
-        if room >= len(extra):
-            known.update(extra)
-            return known
-        known.update(list(extra.items())[: max(0, room)])
-        return _Layered(extra, known)
+        texts = [w.decode("utf-8", "replace") for w in words]
+        (whole,) = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(texts)], add_special_tokens=False)
+        ids = np.array(whole.ids, "<u4")
+        ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+        if len(ends) != len(texts):  # some word holds the mark
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        try:
+            return list(map(self.known.__getitem__, words))
+        except KeyError:
+            self.learn(words)
+            return list(map(self.known.__getitem__, words))
+
+    def learn(self, words: list[bytes]) -> None:
+        """Makes sure that the cache has all the words."""
+        missing = [w for w in set(words) if w not in self.known]
+        if len(self.known) + len(missing) > self.most:
+            self.known.clear()
+            missing = list(set(words))
+        if missing:
+            self.known.update(zip(missing, self.encode(missing), strict=True))
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        table = self.lookup(set().union(*split))
-        return [b"".join(map(table.__getitem__, words)) for words in split]
-
-
-class _Layered(dict):
-    def __init__(self, top: dict, below: dict):
-        super().__init__(top)
-        self.below = below
-
-    def __missing__(self, key):
-        return self.below[key]
+        """The ids of whole texts, as the tokenizer itself gives them."""
+        split = [words_of(t) for t in texts]
+        self.learn([w for words in split for w in words])
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 def groups_of(texts: list[str], most_chars: int = 2_000_000):

@@ -201,8 +201,9 @@ def test_word_tokenizer_equals_the_tokenizer():
 
     texts = ["Hello, World. don't 's-x y z\n\n", "É café ΣΑΣ <|endoftext|>x a.b,c,. 12,3. ..", "", " \t\r\n", "x" * 5000]
     plain = Tokenizer.from_file(tokens.default_path())
+    texts += ["a\x01b \x01 c", "WE'LL It's"]
     for most in (400_000, 1):
-        tok = tokens.WordTokenizer(tokens.default_path(), most)
+        tok = tokens.ByteWords(tokens.default_path(), most)
         assert [np.frombuffer(b, "<u4").tolist() for b in tok.encode_texts(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -210,16 +211,32 @@ def test_attention_windows_score_each_id_once_and_sum_to_one():
     model, rng = lm.AttentionModel(11, parts=4, width=6, heads=4), np.random.default_rng(0)
     sizes = np.array([1, 70, 33, 5])
     ids = rng.integers(0, 11, sizes.sum()).astype(np.int32)
-    got = model.log10_probabilities(ids, sizes, model.tables_of(), 3, most=2)
+    got = model.log10_probabilities(ids, sizes, model.lookup(), 3, most=2)
     assert len(got) == len(ids) and (got < 0).all()
-    total = sum(10.0 ** model.log10_probabilities(np.array([1, 2, k], np.int32), np.array([3]), model.tables_of(), 3)[2] for k in range(11))
+    total = sum(10.0 ** model.log10_probabilities(np.array([1, 2, k], np.int32), np.array([3]), model.lookup(), 3)[2] for k in range(11))
     assert total == pytest.approx(1, abs=1e-5)
     later = ids.copy()
     later[60] = (later[60] + 1) % 11
-    changed = model.log10_probabilities(later, sizes, model.tables_of(), 3)
+    changed = model.log10_probabilities(later, sizes, model.lookup(), 3)
     assert np.allclose(changed[:60], got[:60])
 
 
+def test_attention_windows_against_a_plain_pass():
+    model, rng = lm.AttentionModel(9, parts=3, width=5, heads=4), np.random.default_rng(4)
+    ids = rng.integers(0, 9, 150)
+    got, seq = model.log10_probabilities(ids, np.array([len(ids)]), model.lookup(), 2), [2, *ids.tolist()]
+    for i in range(len(ids)):
+        first = max(0, i // lm.SCORED * lm.SCORED - lm.CONTEXT)
+        q, _, _, own = model.split(model.embed[seq[i]] @ model.project)
+        score, value = [], []
+        for j in range(first, i + 1):
+            _, k, v, _ = model.split(model.embed[seq[j]] @ model.project)
+            score.append(math.exp(float(q @ k) / math.sqrt(model.heads) + float(model.near[i - j])))
+            value.append(v)
+        gate = np.exp(sum(w * v for w, v in zip(score, value, strict=True)) / sum(score) + own + model.bias)
+        assert got[i] == pytest.approx(math.log10(float(gate @ model.tables[ids[i]] / gate.sum())), abs=1e-4)
+
+
 def test_attention_gradients():
     model = lm.AttentionModel(7, parts=3, width=4, heads=3)
     for n, p in model.parameters().items():
@@ -227,21 +244,53 @@ def test_attention_gradients():
     model.tables = model.tables.astype(np.float64)
     rng = np.random.default_rng(1)
     x, lengths = rng.integers(0, 7, (3, 7)), np.array([6, 4, 2])
-    grads, _, _ = model.step(x, lengths)
-    for n in ("query", "value", "near", "embed"):
-        p = getattr(model, n)
-        at = tuple(0 for _ in p.shape) if n != "embed" else (int(x[0, 0]), 1)
-        old, eps = p[at], 1e-4
-        p[at] = old + eps
-        up = model.step(x, lengths)[2]
-        p[at] = old - eps
-        down = model.step(x, lengths)[2]
-        p[at] = old
-        assert grads[n][at] == pytest.approx(-(up - down) / (2 * eps), rel=1e-2, abs=1e-4)
+    grads = model.step(x, lengths)[0]
+    for n, places in {"project": [(0, 0), (1, 4), (2, 7), (0, 11)], "near": [(0,), (2,)], "bias": [(1,)], "embed": [(int(x[0, 0]), 1)]}.items():
+        for at in places:
+            p = getattr(model, n)
+            old, eps = p[at], 1e-4
+            p[at] = old + eps
+            up = model.step(x, lengths)[3]
+            p[at] = old - eps
+            down = model.step(x, lengths)[3]
+            p[at] = old
+            assert grads[n][at] == pytest.approx(-(up - down) / (2 * eps), rel=1e-2, abs=1e-4)
+
+
+def test_training_windows_hold_every_id_once():
+    import pandas as pd
+
+    texts = ["one two three " * 100, "", "short text"]
+    rows = [r for f in lm_scoring.window_ids([pd.DataFrame({"text": texts})], tokens.default_path()) for r in f["ids"]]
+    targets = [i for r in rows for i in np.frombuffer(r, "<u2")[1:].tolist()]
+    plain = tokens.ByteWords(tokens.default_path())
+    assert targets == [i for t in texts for i in [*np.frombuffer(plain.encode_texts([t])[0], "<u4").tolist(), lm_scoring.END_ID]]
+    windows, lengths = lm_scoring.as_windows(rows, np.arange(1 << 16))
+    assert windows.shape == (len(rows), lm.LENGTH + 1) and lengths.sum() == len(targets)
+
+
+def test_training_on_all_windows_beats_training_on_a_sixth(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    stems = [["bal", "cor", "dim", "fen"], ["gul", "hax", "jor", "kib"]]
+    texts = [" ".join("".join(rng.choice(stems[d % 2], 3)) for _ in range(200)) for d in range(300)]
+    df = spark.createDataFrame([(d, t) for d, t in enumerate(texts)], "doc_id int, text string")
+    held = [F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0]
+    few = df.where(held[0] | (F.col("doc_id") % 6 == 0))
+    options = {"steps": 3, "parts": 8, "first": 16, "rate": 0.02}
+    total = lambda frame: lm_scoring.lm_scores(frame, **options).where("held_out").agg(F.sum("score")).first()[0]
+    assert total(df) > total(few)
+
+
+def test_sums_of_task_vectors(spark):
+    rows = [(t, k, [float(t), float(k)]) for t in range(70) for k in range(3)]
+    got = lm_scoring.added(spark.createDataFrame(rows, "task int, piece int, x array<double>"), 70, fan_in=4)
+    assert got.tolist() == [v for k in range(3) for v in (sum(range(70)), 70.0 * k)]
 
 
 def test_lm_scores_counts(odd, none):
-    rows = lm_scoring.lm_scores(odd, steps=5, parts=8, width=8, hot_words=4).collect()
+    rows = lm_scoring.lm_scores(odd, steps=5, parts=8, hot_words=4).collect()
     train, texts = Counter(), defaultdict(list)
     for r in odd.collect():
         words = [*(r.text or "").encode().lower().split(), b""]
@@ -252,6 +301,6 @@ def test_lm_scores_counts(odd, none):
     want = Counter((d, len(w), sum(train[x] > 0 for x in w), round(sum(math.log10(train[x] + 0.1) - whole for x in w), 4)) for d, ws in texts.items() for w in ws)
     assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in rows) == want
     assert all(r.train_tokens == sum(train.values()) and r.score < 0 for r in rows)
-    assert lm_scoring.lm_scores(none, steps=2, parts=4, width=4).count() == 0
+    assert lm_scoring.lm_scores(none, steps=2, parts=4).count() == 0
 
 
