@@ -60,7 +60,7 @@ def as_windows(rows: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.nda
     lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 2 - 1
     width = 2 * (lm.LENGTH + 1)
     flat = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), "<u2")
-    return table[flat.reshape(len(rows), -1)], lengths
+    return table[flat.reshape(len(rows), lm.LENGTH + 1)], lengths
 
 
 def target_counts(batches):
