@@ -7,26 +7,30 @@ import numpy as np
 #: Positions that a scoring window scores, and context positions before them; a training window has both as targets.
 SCORED, CONTEXT = 32, 32
 LENGTH = SCORED + CONTEXT
-#: Windows per batch: so few that a batch's arrays stay in a core's cache.
-BATCH = 64
-_NAMES = ("embed", "project", "bias", "near")
+#: Windows per batch in scoring and in training: so few that most of a batch's arrays stay in a core's cache.
+BATCH, STEP = 64, 128
+_NAMES = ("embed", "project", "lift", "bias", "near")
+#: No exponential of so large a number overflows, nor does its inverse vanish.
+SAFE = np.float32(40)
 
 
 class AttentionModel:
     """P(next id | ids so far) = sum over k of g_k * P_k(next), where the gate g is computed by causal self-attention.
 
     Each position attends, by query-key products and a learnt distance term, to itself and the positions
-    before it in its window; the attended values and its own embedding give the gate's logits. The
+    before it in its window; the attended values, lifted to the parts, and its own embedding give the gate's logits. The
     P_k are proper distributions over the vocabulary, so the probabilities of all continuations sum to one.
     Gate and embeddings are trained by gradient (Adam), the P_k by expectation-maximisation.
-    ``project`` maps an embedding to its query, key, value and own logits, side by side.
+    ``project`` maps an embedding to its (scaled) query, key, value and own logits, side by side.
     """
 
-    def __init__(self, vocabulary: int, parts: int = 64, width: int = 24, heads: int = 8, seed: int = 5):
+    def __init__(self, vocabulary: int, parts: int = 64, width: int = 16, heads: int = 8, values: int = 8, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.vocabulary, self.parts, self.heads = vocabulary, parts, heads
+        draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
+        self.vocabulary, self.parts, self.heads, self.values = vocabulary, parts, heads, values
         self.embed = rng.standard_normal((vocabulary, width)).astype(np.float32) * np.float32(0.5)
-        self.project = (rng.standard_normal((width, 2 * heads + 2 * parts)) / np.sqrt(width)).astype(np.float32)
+        self.project, self.lift = draw(width, 2 * heads + values + parts), draw(values, parts)
+        self.project[:, :heads] /= np.float32(np.sqrt(heads))
         self.bias, self.near = np.zeros(parts, np.float32), np.zeros(LENGTH, np.float32)
         noise = rng.random((vocabulary, parts)) + 0.5
         self.tables = (noise / noise.sum(axis=0)).astype(np.float32)
@@ -46,63 +50,60 @@ class AttentionModel:
 
     def split(self, projected: np.ndarray) -> tuple[np.ndarray, ...]:
         """Query, key, value and own parts of projections."""
-        h, p = self.heads, self.parts
-        return tuple(projected[..., a:b] for a, b in ((0, h), (h, 2 * h), (2 * h, 2 * h + p), (2 * h + p, 2 * h + 2 * p)))
+        return tuple(np.split(projected, np.cumsum([self.heads, self.heads, self.values]), axis=-1))
 
     def distances(self, queries: int, keys: int, shift: int) -> np.ndarray:
         """The additive mask: the distance term where key position <= query position, else minus infinity."""
         gap = np.arange(queries)[:, None] + shift - np.arange(keys)[None, :]
         return np.where(gap >= 0, self.near[np.clip(gap, 0, LENGTH - 1)], np.float32(-1e9)).astype(np.float32)
 
-    def step(self, windows: np.ndarray, lengths: np.ndarray, learn: bool = True) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
+    def step(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
         """Of windows [n, T + 1] with so many targets each: gradients, the targets (flat), their posterior parts, and the
         summed log-likelihood."""
         x, y = windows[:, :-1], windows[:, 1:]
         n, t = x.shape
         weight = (np.arange(t)[None, :] < lengths[:, None]).astype(np.float32)
-        scale = np.float32(1 / np.sqrt(self.heads))
         e = self.embed[x.ravel()]
         q, k, v, own = self.split((e @ self.project).reshape(n, t, -1))
         s = q @ k.transpose(0, 2, 1)
-        s *= scale
         s += self.distances(t, t, 0)
-        s -= s.max(axis=2, keepdims=True)
+        if float(np.abs(q).max() * np.abs(k).max()) * self.heads + float(np.abs(self.near).max()) > SAFE:
+            s -= s.max(axis=2, keepdims=True)
         a = np.exp(s, out=s)
         a /= a.sum(axis=2, keepdims=True)
-        z = a @ v
+        u = a @ v
+        z = (u.reshape(n * t, -1) @ self.lift).reshape(n, t, -1)
         z += own
         z += self.bias
-        z -= z.max(axis=2, keepdims=True)
+        if float(np.abs(z).max()) > SAFE:
+            z -= z.max(axis=2, keepdims=True)
         g = np.exp(z, out=z)
-        g /= g.sum(axis=2, keepdims=True)
-        post = g * self.tables[y.ravel()].reshape(g.shape)
+        whole = g.sum(axis=2)
+        post = self.tables[y.ravel()].reshape(g.shape)
+        post *= g
         total = post.sum(axis=2)
-        post /= total[:, :, None]
-        post *= weight[:, :, None]
-        likelihood = float((np.log(total) * weight).sum())
-        seen = y.ravel(), post.reshape(n * t, -1)
-        if not learn:
-            return {}, *seen, likelihood
-        g *= weight[:, :, None]
+        likelihood = float((np.log(total / whole) * weight).sum())
+        post *= (weight / total)[:, :, None]
+        g *= (weight / whole)[:, :, None]
         dz = np.subtract(g, post, out=g)
-        da = dz @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dz
-        da -= np.einsum("ijk,ijk->ij", da, a)[:, :, None]
+        flat = dz.reshape(n * t, -1)
+        du = (flat @ self.lift.T).reshape(n, t, -1)
+        da = du @ v.transpose(0, 2, 1)
+        da -= np.einsum("ijk,ijk->ij", du, u)[:, :, None]  # the mean of da under a
         ds = np.multiply(da, a, out=da)
-        by_gap = np.tril(ds.sum(axis=0))
-        ds *= scale
-        down = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv, dz], axis=2).reshape(n * t, -1)
+        down = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ du, dz], axis=2).reshape(n * t, -1)
         gap = np.clip(np.arange(t)[:, None] - np.arange(t)[None, :], 0, LENGTH - 1)
         grads = {
-            "embed": scatter(x.ravel(), down @ self.project.T, self.vocabulary), "project": e.T @ down,
-            "bias": dz.reshape(n * t, -1).sum(axis=0), "near": np.bincount(gap.ravel(), by_gap.ravel(), LENGTH),
+            "embed": scatter(x.ravel(), down @ self.project.T, self.vocabulary), "project": e.T @ down, "lift": u.reshape(n * t, -1).T @ flat,
+            "bias": flat.sum(axis=0), "near": np.bincount(gap.ravel(), np.tril(ds.sum(axis=0)).ravel(), LENGTH),
         }
+        seen = y.ravel(), post.reshape(n * t, -1)
         return grads, *seen, likelihood
 
     def lookup(self) -> dict[str, np.ndarray]:
         """Per-id rows of all projections, so that scoring looks up instead of multiplying."""
         q, k, v, own = self.split(self.embed @ self.project)
-        rows = {"query": q / np.float32(np.sqrt(self.heads)), "key": k, "value": v, "own": own + self.bias, "next": self.tables}
+        rows = {"query": q, "key": k, "value": v, "own": own + self.bias, "next": self.tables}
         return {n: np.ascontiguousarray(r) for n, r in rows.items()}
 
     def log10_probabilities(self, ids: np.ndarray, sizes: np.ndarray, lookup: dict[str, np.ndarray], start: int, most: int = BATCH) -> np.ndarray:
@@ -124,8 +125,8 @@ class AttentionModel:
         ones, all_parts = np.ones(LENGTH, np.float32), np.ones(self.parts, np.float32)
         norm = lambda t: float(np.sqrt((t * t).sum(axis=1).max()))
         most_score = norm(lookup["query"]) * norm(lookup["key"]) + float(np.abs(self.near).max())
-        most_logit = float(np.abs(lookup["value"]).max() + np.abs(lookup["own"]).max())
-        small = max(most_score, most_logit) < 40  # no exponential can overflow or vanish, so no maximum is taken off
+        most_logit = float((np.abs(lookup["value"]).max(axis=0) @ np.abs(self.lift)).max() + np.abs(lookup["own"]).max())
+        small = max(most_score, most_logit) < SAFE  # then no maximum need be taken off
         for a in range(0, len(at), most):
             here, low, high = at[a : a + most, None], begins[doc[a : a + most], None], ends[doc[a : a + most], None]
             seen = here - CONTEXT + np.arange(LENGTH)
@@ -140,8 +141,9 @@ class AttentionModel:
             if not small:
                 s -= s.max(axis=2, keepdims=True)
             np.exp(s, out=s)
-            z = np.matmul(s, lookup["value"][x])
-            z /= (s @ ones)[:, :, None]
+            u = np.matmul(s, lookup["value"][x])
+            u /= (s @ ones)[:, :, None]
+            z = (u.reshape(-1, self.values) @ self.lift).reshape(*own.shape, -1)
             z += lookup["own"][own]
             if not small:
                 z -= z.max(axis=2, keepdims=True)
@@ -186,7 +188,7 @@ class Adam:
             p -= np.float32(self.rate / (1 - 0.9**self.k)) * self.m[n] / (np.sqrt(self.v[n] / np.float32(1 - 0.99**self.k)) + np.float32(1e-8))
 
 
-def warm_up(model: AttentionModel, windows: np.ndarray, lengths: np.ndarray, unigram: np.ndarray, steps: int, rate: float = 0.02) -> None:
+def warm_up(model: AttentionModel, windows: np.ndarray, lengths: np.ndarray, unigram: np.ndarray, steps: int, rate: float = 0.03) -> None:
     """First training on a bounded set of windows, with stepwise expectation-maximisation of the tables."""
     if not len(windows):
         model.set_tables(np.zeros_like(model.tables), unigram)
@@ -205,8 +207,8 @@ def warm_up(model: AttentionModel, windows: np.ndarray, lengths: np.ndarray, uni
 
 def train_part(model: AttentionModel, windows: np.ndarray, lengths: np.ndarray, adam: Adam, counts: np.ndarray) -> None:
     """Trains the gate on the windows, one step a batch, and adds their expected table counts to `counts`."""
-    for a in range(0, len(windows), BATCH):
-        grads, target, post, _ = model.step(windows[a : a + BATCH], lengths[a : a + BATCH])
-        adam.update(grads, float(lengths[a : a + BATCH].sum()))
+    for a in range(0, len(windows), STEP):
+        grads, target, post, _ = model.step(windows[a : a + STEP], lengths[a : a + STEP])
+        adam.update(grads, float(lengths[a : a + STEP].sum()))
         found, sums = summed(target, post)
         counts[found] += sums

@@ -231,9 +231,9 @@ def test_attention_windows_against_a_plain_pass():
         score, value = [], []
         for j in range(first, i + 1):
             _, k, v, _ = model.split(model.embed[seq[j]] @ model.project)
-            score.append(math.exp(float(q @ k) / math.sqrt(model.heads) + float(model.near[i - j])))
+            score.append(math.exp(float(q @ k) + float(model.near[i - j])))
             value.append(v)
-        gate = np.exp(sum(w * v for w, v in zip(score, value, strict=True)) / sum(score) + own + model.bias)
+        gate = np.exp(sum(w * v for w, v in zip(score, value, strict=True)) / sum(score) @ model.lift + own + model.bias)
         assert got[i] == pytest.approx(math.log10(float(gate @ model.tables[ids[i]] / gate.sum())), abs=1e-4)
 
 
@@ -245,7 +245,7 @@ def test_attention_gradients():
     rng = np.random.default_rng(1)
     x, lengths = rng.integers(0, 7, (3, 7)), np.array([6, 4, 2])
     grads = model.step(x, lengths)[0]
-    for n, places in {"project": [(0, 0), (1, 4), (2, 7), (0, 11)], "near": [(0,), (2,)], "bias": [(1,)], "embed": [(int(x[0, 0]), 1)]}.items():
+    for n, places in {"project": [(0, 0), (1, 4), (2, 7), (0, 15)], "lift": [(1, 2)], "near": [(0,), (2,)], "bias": [(1,)], "embed": [(int(x[0, 0]), 1)]}.items():
         for at in places:
             p = getattr(model, n)
             old, eps = p[at], 1e-4
@@ -261,10 +261,14 @@ def test_training_windows_hold_every_id_once():
     import pandas as pd
 
     texts = ["one two three " * 100, "", "short text"]
-    rows = [r for f in lm_scoring.window_ids([pd.DataFrame({"text": texts})], tokens.default_path()) for r in f["ids"]]
+    frame = pd.DataFrame({"id": range(3), "held_out": False, "text": texts})
+    ids = [i for f in lm_scoring.tokenised([frame], tokens.default_path(), {}) for i in f["ids"]]
+    rows = [w for i in ids for w in lm_scoring.windows_of(i)]
     targets = [i for r in rows for i in np.frombuffer(r, "<u2")[1:].tolist()]
     plain = tokens.ByteWords(tokens.default_path())
     assert targets == [i for t in texts for i in [*np.frombuffer(plain.encode_texts([t])[0], "<u4").tolist(), lm_scoring.END_ID]]
+    (counts,) = lm_scoring.target_counts([pd.DataFrame({"ids": ids})])
+    assert dict(zip(counts["id"], counts["n"], strict=True)) == Counter(targets)
     windows, lengths = lm_scoring.as_windows(rows, np.arange(1 << 16))
     assert windows.shape == (len(rows), lm.LENGTH + 1) and lengths.sum() == len(targets)
 
