@@ -4,6 +4,7 @@ import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -67,30 +68,67 @@ def test_quality_rules_reject_depleted_documents(spark):
     assert all(r.kept for r in quality_rules.quality_rules(documents(spark, copies)).collect())
 
 
-def test_mixing_deviates_by_less_than_a_block():
-    shares = mixing.quanta([5, 3, 1, 0.5, 20], 64)
-    table = mixing.slot_table(shares)
-    assert sum(shares) == 64 and sorted(s for _, _, s in table) == list(range(64))
-    had = Counter()
-    for source, _, slot in sorted(table, key=lambda x: x[2]):
-        had[source] += 1
-        assert all(abs(had[i] - (slot + 1) * m / 64) < 1 for i, m in enumerate(shares))
+def ideal(weights, blocks, slots):
+    """How many blocks each source has had in the ideal division after each number of slots, in exact fractions."""
+    had, out = [Fraction(0)] * len(blocks), [[Fraction(0)] * len(blocks)]
+    for _ in range(slots):
+        left = Fraction(1)
+        while left and any(h < n for h, n in zip(had, blocks, strict=True)):
+            alive = [i for i in range(len(blocks)) if had[i] < blocks[i]]
+            speed = {i: Fraction(weights[i], sum(weights[k] for k in alive)) for i in alive}
+            step = min([left, *((blocks[i] - had[i]) / speed[i] for i in alive)])
+            for i in alive:
+                had[i] += step * speed[i]
+            left -= step
+        out.append(list(had))
+    return out
+
+
+@pytest.mark.parametrize(
+    ("weights", "blocks"),
+    [
+        ([5, 3, 1, 0.5, 20], [3000, 1800, 600, 300, 12000]),
+        ([5, 3, 1, 0.5, 20], [40, 7, 90, 300, 2]),
+        ([math.sqrt(x) for x in range(1, 60)], [7 * x % 50 for x in range(1, 60)]),
+        ([1_000_000, 1], [3000, 2]),
+        ([1] * 3000 + [50_000], [1] * 3000 + [2000]),
+        ([2.5], [4]),
+        ([], []),
+    ],
+)
+def test_mixing_deviates_by_less_than_a_block_from_the_weights(weights, blocks):
+    whole = mixing.whole_weights(weights)
+    assert all(Fraction(w) * whole[0] == Fraction(weights[0]) * n for w, n in zip(weights, whole, strict=True))
+    order = mixing.slot_table(whole, blocks)
+    assert sorted(order) == [(i, j) for i, n in enumerate(blocks) for j in range(n)]
+    had, checked = [0] * len(blocks), min(len(order), 400 if len(blocks) < 100 else 12)
+    for slot, (want, (i, j)) in enumerate(zip(ideal(whole, blocks, checked)[1:], order, strict=False)):
+        assert had[i] == j
+        had[i] += 1
+        assert all(abs(h - w) < 1 for h, w in zip(had, want, strict=True)), slot
+    if blocks == [3000, 1800, 600, 300, 12000]:  # 5,900 turns with nobody run out: exact shares throughout
+        had = [0] * 5
+        for slot, (i, _) in enumerate(order[:17_000], 1):
+            had[i] += 1
+            assert all(abs(h * sum(whole) - slot * w) < sum(whole) for h, w in zip(had, whole, strict=True))
 
 
 def test_mixing_keeps_every_row(spark, odd, none):
-    out = mixing.mix_sources(odd, weights={"a": 3, "b": 1}, block=2, period=16, chunk_rows=2)
+    out = mixing.mix_sources(odd, weights={"a": 3, "b": 1}, block=2, chunk_rows=2)
     assert Counter((r.row.doc_id, r.row.text) for r in out.collect()) == Counter((r.doc_id, r.text) for r in odd.collect())
     assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(odd).count() == odd.count()
     assert mixing.mix_sources(none).count() == 0
     many = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "x").when(F.col("id") % 3 == 1, "y").alias("source"))
-    rows = mixing.mix_sources(many, weights={"x": 2, "y": 1, None: 1}, block=10, period=64, chunk_rows=300).orderBy("slot", "place").collect()
-    shares = dict(zip(["x", "y", None], (mixing.quanta([2, 1, 1], 64)), strict=True))
-    had = Counter()
-    for r in rows:
-        if max(had.values(), default=0) >= 1900:
-            break
+    rows = mixing.mix_sources(many, weights={"x": 2, "y": 1, None: 1}, block=10, chunk_rows=300).orderBy("slot", "place").collect()
+    shares, had = {"x": 0.5, "y": 0.25, None: 0.25}, Counter()
+    assert [r.slot for r in rows] == [i // 10 for i in range(6000)]
+    for r in rows[:3900]:
         had[r.row.source] += 1
-        assert all(abs(had[s] - (r.slot + 1) * 10 * m / 64) < 20 for s, m in shares.items())
+        assert all(abs(had[s] - sum(had.values()) * m) < 20 for s, m in shares.items())
+    sources = spark.range(5000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"))
+    assert sorted(r.slot for r in mixing.mix_sources(sources).collect()) == list(range(5000))
+    coarse = mixing.mix_sources(many, block=1, most_blocks=16).collect()
+    assert len(coarse) == 6000 and len({r.slot for r in coarse}) <= 16 + 3
 
 
 def test_packing_round_trip(odd, none):
