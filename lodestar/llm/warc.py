@@ -53,8 +53,8 @@ def record_bytes(row, date: str) -> bytes:
 
 
 def write_part(batches, folder: str, date: str, roll_bytes: int):
-    """Writes a task's records to files named by its partition; a file appears under its name only when whole,
-    and an attempt that is repeated replaces it by the same records."""
+    """Writes a task's records to files named by its partition and attempt; a file appears under its name only when
+    whole. Attempts that are repeated never touch each other's files, and the manifest names those of the attempt that Spark committed."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
@@ -64,7 +64,7 @@ def write_part(batches, folder: str, date: str, roll_bytes: int):
     def close():
         nonlocal stream
         stream.close()
-        name = f"part-{context.partitionId():06d}-{len(out):04d}.warc.gz"
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId():08d}-{len(out):04d}.warc.gz"
         system.move(hidden, f"{root}/{name}")
         out.append((f"{folder}/{name}", size, records))
         stream = None
@@ -89,7 +89,8 @@ def write_warc(
     pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 0,
     date: str = "1970-01-01T00:00:00Z", roll_bytes: int = 1 << 30,
 ) -> DataFrame:
-    """Writes one record per page and returns the manifest: path, bytes, records of each file.
+    """Writes one record per page and returns the manifest: path, bytes, records of each file. Readers take the files from
+    the manifest, since an attempt that failed or came second may have left others in the folder.
 
     Of the pages whose payloads are equal and have at least ``revisit_bytes`` bytes, that with the
     largest id is a response and the others are revisits of it; all other pages are responses.
@@ -190,7 +191,7 @@ def _records(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-def read_warc(files: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
+def read_warc(files: DataFrame, split_bytes: int = 64 << 20, most_tasks: int = 100_000) -> DataFrame:
     """The records of gzip-per-record WARC files, given as (path, bytes) rows.
 
     Files are cut into ranges of ``split_bytes``; a task looks for gzip magic from the start of its
@@ -198,8 +199,10 @@ def read_warc(files: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
     begins before the range ends. So each record has exactly one owner, wherever the cuts fall.
 
     Payloads are null for revisits, whose payload_bytes and payload_digest are those recorded with them.
-    Damaged members are skipped. No files, no rows.
+    Damaged members are skipped. No files, no rows. Ranges are dealt to as many tasks as there are ranges, ``most_tasks`` at most.
     """
     starts = F.when(F.col("bytes") > 0, F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     ranges = files.select("path", "bytes", F.explode(starts).alias("start")).withColumn("end", F.least(F.col("start") + split_bytes, "bytes"))
-    return ranges.repartition("path", "start").mapInPandas(read_ranges, RECORD)
+    # a number given here is kept by adaptive execution, which would merge such small rows into one task
+    tasks = files.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split_bytes)), F.lit(0)).cast("long")).first()[0]
+    return ranges.repartition(max(1, min(tasks, most_tasks)), "path", "start").mapInPandas(read_ranges, RECORD)

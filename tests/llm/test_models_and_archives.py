@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import embedding_dedup, quality_model, toxicity, warc
 from lodestar.llm.common import written
@@ -140,6 +141,41 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(warc.write_warc(df.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_warc_ranges_are_read_by_many_tasks(spark, tmp_path):
+    df = spark.range(2000).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "concat('page ', sha2(cast(id AS string), 512)) AS html").repartition(10)
+    manifest = warc.write_warc(df, f"file://{tmp_path}/w")
+    records = warc.read_warc(manifest, 5000).select("page_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.page_id for r in records) == list(range(2000)) and len({r.task for r in records}) >= 20
+
+
+def test_warc_attempts_do_not_touch_each_other(spark, tmp_path):
+    from pyspark.sql import Row
+
+    class Context:
+        def __init__(self, attempt):
+            self.attempt = attempt
+
+        def partitionId(self):  # noqa: N802
+            return 0
+
+        def taskAttemptId(self):  # noqa: N802
+            return self.attempt
+
+    import pandas as pd
+    from pyspark import TaskContext
+
+    paths, before = [], TaskContext.get
+    try:
+        for attempt, payload in ((1, b"abc"), (2, b"other payload")):
+            TaskContext.get = lambda a=attempt: Context(a)
+            row = {"page_id": 1, "url": "u", "payload": payload, "payload_digest": "X", "refers_to": None}
+            paths += [m for f in warc.write_part([pd.DataFrame([row])], f"file://{tmp_path}", "d", 1 << 20) for m in f.itertuples(index=False)]
+    finally:
+        TaskContext.get = before
+    for m in paths:
+        assert warc.read_warc(spark.createDataFrame([Row(path=m.path, bytes=m.bytes)])).count() == 1
+
+
 def test_warc_reader_skips_false_magic_and_damage(spark, tmp_path):
     class Row:
         page_id, url, payload, payload_digest, refers_to = 1, "u", b"abc", "D", None
