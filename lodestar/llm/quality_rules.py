@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestar.llm.common import WS_CHARS, WS_CLASS, hash128
+from lodestar.llm.common import WS_CHARS, WS_CLASS, hash128, written
 from lodestar.llm.line_dedup import line_key, split_lines
 
 
@@ -50,21 +50,22 @@ def quality_rules(
     """Per-document rules, then removal of lines that recur across the documents of a host.
 
     A line (trimmed, A-Z lowered, holding a word) is boilerplate of its host if more than
-    ``max_docs_per_host`` different documents of the host hold it; exact copies of one text are
-    one document here. A document of which under ``min_left_percent`` percent of the words remain
+    ``max_docs_per_host`` different documents of the host hold it; copies of a page count one each,
+    rows that share an id count as one. A document of which under ``min_left_percent`` percent of the words remain
     is depleted. ``kept`` is false for documents that fail a base rule and for depleted ones.
 
     Returns one row per input row: the id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_boilerplate_words (long), base_failed, kept.
 
     Plan: one projection reads the texts and computes every per-document figure, with the window
-    test inside the row; texts are never shuffled. Lines travel as 128-bit hashes, distinct per
-    host, hash and text before they are counted, so one frequent line is pre-aggregated by every
-    task. Joins are plain equi-joins that adaptive execution can split.
-
-    Cases: null text has no words and fails the base rules; a null host is a host of its own; null
-    ids and repeated rows are judged like any other row, each with the verdict of its text; an
-    empty table gives an empty result; further columns are ignored.
+    test inside the row; texts are never shuffled. Lines travel as 128-bit hashes, with the words of a text's like lines
+    summed before the shuffle. Documents are counted in two steps, so one frequent line is pre-aggregated by every
+    task. The frequent lines, at most a part in ``max_docs_per_host`` of all, are written; the lines meet them in an
+    equi-join that adaptive execution splits or broadcasts by size.
+
+    Cases: null text has no words and fails the base rules; a null host is a host of its own; a row with a null
+    id is the same document as others without id and of equal text; repeated rows are judged like any other row, each with
+    the verdict of its text; an empty table gives an empty result; further columns are ignored.
     """
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.col(f"`{host_col}`").cast("string").alias("host"))
     docs = docs.select("id", F.struct(F.col("host").isNull().alias("x"), F.coalesce("host", F.lit("")).alias("y")).alias("host"), "text", hash128(F.col("text")).alias("key"))
@@ -85,13 +86,14 @@ def quality_rules(
     )
 
     lines = (
-        docs.select("host", "key", F.explode(split_lines(F.col("text"))).alias("line"))
+        docs.select("host", "key", F.struct("id", F.when(F.col("id").isNull(), F.col("key")).alias("key")).alias("doc"), F.explode(split_lines(F.col("text"))).alias("line"))
         .where(F.btrim("line", F.lit(WS_CHARS)) != "")
-        .select("host", "key", hash128(line_key(F.col("line"))).alias("h"), F.size(F.split(F.btrim("line", F.lit(WS_CHARS)), f"[{WS_CLASS}]+")).alias("n"))
+        .select("host", "key", "doc", hash128(line_key(F.col("line"))).alias("h"), F.size(F.split(F.btrim("line", F.lit(WS_CHARS)), f"[{WS_CLASS}]+")).alias("n"))
     )
     # the words of each line of each text, times the number of rows that hold the text
-    held = lines.groupBy("host", "h", "key").agg(F.sum("n").alias("n"))
-    frequent = held.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs_per_host).select("host", "h")
+    held = lines.groupBy("host", "h", "key", "doc").agg(F.sum("n").alias("n"))
+    counted = held.groupBy("host", "h").agg(F.count_distinct("doc").alias("docs"))
+    frequent = written(counted.where(F.col("docs") > max_docs_per_host).select("host", "h"), "frequent-lines")
     removed = held.join(frequent, ["host", "h"]).groupBy("host", "key").agg(F.sum("n").alias("removed"))
 
     copies = figures.groupBy("host", "key").agg(F.count("*").alias("copies"))

@@ -106,7 +106,9 @@ full_lines AS (
   SELECT *, {_ASCII_LOWER.format(f"trim(line, {_WS})")} AS key,
          len(string_split_regex(trim(line, {_WS}), '[ \\t\\n\\x0B\\f\\r]+')) AS n FROM lines WHERE trim(line, {_WS}) <> ''),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_lines GROUP BY rid),
-freq AS (SELECT no_host, host, key FROM full_lines GROUP BY ALL HAVING count(DISTINCT text) > 10),
+freq AS (
+  SELECT no_host, host, key FROM full_lines GROUP BY ALL
+  HAVING count(DISTINCT CASE WHEN doc_id IS NULL THEN 't' || text ELSE 'd' || doc_id END) > 10),
 gone AS (
   SELECT f.rid, sum(f.n) AS n FROM full_lines f JOIN freq USING (no_host, host, key) GROUP BY f.rid),
 figs AS (

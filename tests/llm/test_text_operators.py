@@ -64,8 +64,12 @@ def test_quality_rules_reject_depleted_documents(spark):
     rows = [(i, common + f"\nown {i}", "h") for i in range(12)] + [(100 + i, common + f"\nown {i}", f"g{i}") for i in range(12)]
     got = {r.doc_id: (r.n_boilerplate_words, r.kept) for r in quality_rules.quality_rules(documents(spark, rows)).collect()}
     assert all(got[i] == (25, False) for i in range(12)) and all(got[100 + i] == (0, True) for i in range(12))
-    copies = [(i, common, "h") for i in range(12)]
-    assert all(r.kept for r in quality_rules.quality_rules(documents(spark, copies)).collect())
+    copies = [(i, common, "h") for i in range(12)]  # documents are counted, not texts
+    assert not any(r.kept for r in quality_rules.quality_rules(documents(spark, copies)).collect())
+    again = [(1, common, "h")] * 12 + [(2, common, "h")]
+    assert all(r.kept for r in quality_rules.quality_rules(documents(spark, again)).collect())
+    unnamed = [(None, common + f"\nown {i % 11}", "h") for i in range(22)]
+    assert not any(r.kept for r in quality_rules.quality_rules(documents(spark, unnamed)).collect())
 
 
 def ideal(weights, blocks, slots):
