@@ -57,7 +57,7 @@ def slices(batches, rows: int = 512):
     """pandas frames of a few rows at a time from Arrow batches, so that long texts are not held twice."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows).to_pandas()
+            yield batch.slice(at, rows).to_pandas(integer_object_nulls=True)
 
 
 def map_slices(df: DataFrame, fn, schema: str) -> DataFrame:

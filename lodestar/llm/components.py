@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _largest_first(edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v), the component being its smallest node.
 
     Alternating large-star and small-star: both keep the components and end, after about log^2 of the size
@@ -34,10 +34,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     and joined back by equi-joins that can be split, so a node with very many neighbours is no single task.
     """
     now, mark = written(_largest_first(edges.select("u", "v")), "edges"), None
-    for _ in range(rounds):
+    while True:
         now = written(_small_star(_large_star(now)), "edges")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = seen
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -74,20 +75,22 @@ def signature(grams: np.ndarray, mul: np.ndarray, add: np.ndarray, block: int =
 
 
 def sign(batches, width: int, bands: int, rows: int):
-    """(id, set digest, number of shingles, 16-bit signature, band hashes) of each text with a word."""
+    """(id, one, two, set digest, 16-bit signature, band hashes) of each text; the last three are null if it has no word."""
     mul, add = coefficients(bands * rows)
     for frame in batches:
         out = []
-        for doc, text in zip(frame["id"].tolist(), frame["text"].tolist(), strict=True):
+        for doc, one, two, text in frame[["id", "one", "two", "text"]].itertuples(index=False):
             grams = shingles(text, width)
-            if len(grams):
-                least = signature(grams, mul, add)
-                folded = (least.reshape(bands, rows).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7)
-                band = np.zeros(bands, np.uint64)
-                for r in range(rows):
-                    band = (band ^ folded[:, r]) * np.uint64(0xD6E8FEB86659FD93)
-                out.append((doc, hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), len(grams), (least & 0xFFFF).astype(np.uint16).tobytes(), band.astype(np.int64)))
-        yield pd.DataFrame(out, columns=["id", "digest", "n", "sig", "bands"])
+            if not len(grams):
+                out.append((doc, one, two, None, None, None))
+                continue
+            least = signature(grams, mul, add)
+            folded = (least.reshape(bands, rows).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7)
+            band = np.zeros(bands, np.uint64)
+            for r in range(rows):
+                band = (band ^ folded[:, r]) * np.uint64(0xD6E8FEB86659FD93)
+            out.append((doc, one, two, hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), (least & 0xFFFF).astype(np.uint16).tobytes(), band.astype(np.int64)))
+        yield pd.DataFrame(out, columns=["id", "one", "two", "digest", "sig", "bands"]).astype({"id": frame["id"].dtype})
 
 
 def blocked(df: DataFrame, key: list[str], size: str, by: Column, block: int) -> DataFrame:
@@ -136,29 +139,37 @@ def joined_sets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def intersections(sets: list[np.ndarray], left: int, columns: int = 4096) -> np.ndarray:
     """|A & B| for each of the first `left` sets against all, as products of 0/1 matrices."""
     row, col = joined_sets(sets)
-    out = np.zeros((left, len(sets)), np.float32)
+    out = np.zeros((left, len(sets)), np.int64)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     for at in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
         a, b = np.searchsorted(col, [at, at + columns])
         held = np.zeros((len(sets), min(columns, int(col[-1]) + 1 - at)), np.float32)
         held[row[a:b], col[a:b] - at] = 1
-        out += held[:left] @ held.T
+        out += (held[:left] @ held.T).astype(np.int64)
     return out
 
 
-def verify(frame: pd.DataFrame, width: int, threshold: float) -> pd.DataFrame:
-    """Links of one cell of a candidate component: for each member how many texts, and how many documents, reach the
-    threshold by exact Jaccard over the full shingle sets, with a spanning forest of them."""
+def verify(frame: pd.DataFrame, width: int, threshold: Fraction) -> pd.DataFrame:
+    """Links of one cell: for each member how many texts, and how many documents, reach the threshold by exact Jaccard
+    over the full shingle sets, with a spanning forest of them.
+
+    If the frame has the members' band hashes, the cell belongs to a bucket of the band ``band``; a pair that shares
+    a bucket of an earlier band is left to that.
+    """
     frame = frame.sort_values(["part", "id"])
     ids, part, copies = frame["id"].to_numpy(), frame["part"].to_numpy(), frame["copies"].to_numpy()
     one, two = int(frame["one"].iloc[0]), int(frame["two"].iloc[0])
     sets = [shingles(t, width) for t in frame["text"]]
-    size = np.array([len(s) for s in sets], np.float32)
+    size = np.array([len(s) for s in sets], np.int64)
     left = int((part == one).sum())
     both = intersections(sets, left)
-    # in whole numbers: both / (|A| + |B| - both) >= threshold
-    linked = both * (1 + threshold) >= threshold * (size[:left, None] + size[None, :]) - 1e-3
+    # both / (|A| + |B| - both) >= threshold, in whole numbers
+    linked = both * (threshold.numerator + threshold.denominator) >= threshold.numerator * (size[:left, None] + size[None, :])
+    if "bands" in frame:
+        bands = np.stack(frame["bands"].to_numpy())
+        for earlier in range(int(frame["band"].iloc[0])):
+            linked &= bands[:left, earlier, None] != bands[None, :, earlier]
     if one == two:
         np.fill_diagonal(linked, False)
         texts, docs = linked.sum(axis=1), linked @ copies
@@ -181,65 +192,83 @@ def verify(frame: pd.DataFrame, width: int, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "texts": texts.astype(np.int64), "docs": np.asarray(docs).astype(np.int64), "first": ids[label]})
 
 
+def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, one, two): the last two are hashes of a row's id and text, and of its text, which together name it."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("one"), F.xxhash64(text).alias("two"))
+
+
 def ngram_join(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.999,
     most_hashes: int = 128, block: int = 1024, margin: float = 0.15,
 ) -> DataFrame:
     """Which documents have a near-duplicate by Jaccard similarity of their sets of `width`-word shingles.
 
-    One row per document: the id; ``class_id``, the smallest id with the same shingle set; ``n_links``, the other
-    documents with similarity >= threshold (copies included); ``n_linked_texts``, the different
-    shingle sets among them; ``component_id``, the smallest id reachable over links; ``kept``
-    (id = component_id).
+    One row per input row: the id; ``class_id``, the smallest id with the same shingle set; ``n_links``, the other
+    rows with similarity >= threshold (copies included); ``n_linked_texts``, the different
+    shingle sets among them; ``component_id``, the smallest id reachable over links; ``kept``: whether the row is the
+    first of its component by id, then by its hashes ``one`` and ``two`` (see ``marked``), which are returned too.
 
     Plan: (1) one pass signs each text; (2) documents with equal sets become one class, by partial aggregation, so
     thousands of copies are one row from there on; (3) classes meet on band hashes, and buckets with one member
     leave; (4) in a bucket, members whose signatures agree within `margin` of the threshold are
-    tied by a spanning forest, never by all pairs; (5) candidate components; (6) within a component every
-    two members are compared on their full shingle sets, which are computed where needed and meet as
-    blocks of `block` members; only counts and least members leave a block, never pairs.
-    Large buckets and components are dealt to blocks over many tasks (``blocked``).
+    tied by a spanning forest, never by all pairs; (5) candidate components; (6) in a component of up to `block`
+    members every two are compared on their full shingle sets, in one cell; in a larger one the members of each bucket are,
+    each pair in the first bucket that it shares. Large buckets are dealt to cells of `block` members a part (``blocked``). The
+    sets are computed where needed; only counts and least members leave a cell, never pairs.
 
     Cases: null, empty and blank texts link with nothing and are classes of their own; texts shorter than `width`
-    words are one shingle; rows that repeat an id are one document, whose text is the largest of them; rows with a null id
-    are left out, since links need a name; an empty table gives an empty result; other columns are
-    ignored.
+    words are one shingle; rows that repeat an id are documents of their own, of equal or different texts; a row without
+    id links like others, and its component is named by null if no member has an id; an empty table gives an empty result;
+    other columns are ignored. Ids may be of any type that can be ordered.
     """
     bands, rows = choose_bands(threshold, recall, most_hashes)
-    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where("id IS NOT NULL")
-    signed = written(map_slices(texts, lambda b: sign(b, width, bands, rows), "id long, digest binary, n int, sig binary, bands array<long>"), "signed")
-    # ids that repeat keep one row, so that each document counts once
-    ids = written(texts.select("id").join(signed.groupBy("id").agg(F.max("digest").alias("digest")), "id", "left").distinct(), "ids")
-    classes = written(ids.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-
-    reps = signed.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"]).select("id", "sig", "bands").dropDuplicates(["id"])
-    reps = written(reps, "reps")
-    banded = reps.select("id", F.posexplode("bands").alias("band", "h"))
+    exact = Fraction(str(threshold))
+    kind = df.schema[id_col].dataType.simpleString()
+    texts = marked(df, id_col, text_col)
+    signed = written(map_slices(texts, lambda b: sign(b, width, bands, rows), f"id {kind}, one long, two long, digest binary, sig binary, bands array<long>"), "signed")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "one", "two")).alias("first")
+    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(first, F.count("*").alias("copies"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
+    classes = written(classes.withColumnRenamed("digest", "id"), "classes")
+
+    banded = classes.select("id", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1")
-    members = banded.join(buckets, ["band", "h"]).join(reps.select("id", "sig"), "id")
+    members = banded.join(buckets, ["band", "h"]).join(classes.select("id", "sig"), "id")
     cells = blocked(members, ["band", "h"], "size", F.xxhash64("id"), block)
-    ties = map_groups(cells, ["band", "h", "one", "two"], lambda f: alike(f, threshold - margin), "u long, v long").distinct()
+    ties = map_groups(cells, ["band", "h", "one", "two"], lambda f: alike(f, threshold - margin), "u binary, v binary").distinct()
     candidates = written(components(ties), "candidates")
 
     sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
-    chosen = candidates.join(sizes, "component").withColumnRenamed("node", "id").join(classes.select(F.col("rep").alias("id"), "copies"), "id")
-    held = texts.join(chosen, "id").groupBy("id", "component", "size", "copies").agg(F.max("text").alias("text"))
-    meet = blocked(held, ["component"], "size", F.xxhash64("id"), block)
-    links = written(map_groups(meet, ["component", "one", "two"], lambda f: verify(f, width, threshold), "id long, texts long, docs long, first long"), "links")
+    chosen = candidates.join(sizes, "component").withColumnRenamed("node", "class").join(classes.select(F.col("id").alias("class"), "first", "copies", "bands"), "class")
+    named = chosen.select("class", "component", "size", "copies", F.when(F.col("size") > block, F.col("bands")).alias("bands"), "first.one", "first.two")
+    held = texts.join(named, ["one", "two"]).groupBy("class", "component", "size", "copies", "bands").agg(F.any_value("text").alias("text"))
+    held = written(held.withColumnRenamed("class", "id"), "candidate-texts")
+    compared = "id binary, texts long, docs long, first binary"
+    small = blocked(held.where(F.col("size") <= block).drop("bands"), ["component"], "size", F.xxhash64("id"), block)
+    found = map_groups(small, ["component", "one", "two"], lambda f: verify(f, width, exact), compared)
+    large = held.where(F.col("size") > block).drop("size").select("*", F.posexplode("bands").alias("band", "h"))
+    shared = large.groupBy("component", "band", "h").agg(F.count("*").alias("size")).where("size > 1")
+    meet = blocked(large.join(shared, ["component", "band", "h"]), ["component", "band", "h"], "size", F.xxhash64("id"), block)
+    links = written(found.union(map_groups(meet, ["component", "band", "h", "one", "two"], lambda f: verify(f, width, exact), compared)), "links")
     joint = components(links.select(F.col("id").alias("u"), F.col("first").alias("v")))
+
     counts = links.groupBy("id").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    found = counts.join(joint.withColumnRenamed("node", "id"), "id", "left")
-    per_class = classes.join(found, classes.rep == found.id, "left").select(
-        "digest", "rep", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("component", "rep").alias("component")
-    )
-    long = lambda c: c.cast("long")
-    return (
-        ids.join(per_class, "digest", "left")
-        .select(
-            F.col("id").alias(id_col), F.coalesce("rep", "id").alias("class_id"),
-            long(F.coalesce(F.col("docs") + F.col("copies") - 1, F.lit(0))).alias("n_links"),
-            long(F.coalesce("texts", F.lit(0))).alias("n_linked_texts"),
-            F.coalesce("component", "id").alias("component_id"),
-        )
-        .withColumn("kept", F.col(id_col) == F.col("component_id"))
+    grouped = classes.select("id", "first", "copies").join(counts, "id", "left").join(joint.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    leads = grouped.groupBy("component").agg(F.min("first").alias("lead"))
+    per_class = written(grouped.join(leads, "component").select(F.col("id").alias("digest"), "first", "lead", "copies", "texts", "docs"), "per-class")
+    lead = F.col("lead")
+    return signed.select("id", "one", "two", "digest").join(per_class, "digest", "left").select(
+        F.col("id").alias(id_col), F.when(lead.isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
+        F.coalesce(F.coalesce("docs", F.lit(0)) + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
+        F.when(lead.isNull(), F.col("id")).otherwise(lead["id"]).alias("component_id"),
+        (lead.isNull() | ((F.col("one") == lead["one"]) & (F.col("two") == lead["two"]))).alias("kept"), "one", "two",
     )
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component of ``ngram_join``, with all columns of df; of rows equal in id and text one."""
+    kept = ngram_join(df, id_col, text_col, **options).where("kept").select("one", "two")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("one"), F.xxhash64(text).alias("two"))
+    return rows.join(kept, ["one", "two"], "left_semi").dropDuplicates(["one", "two"]).select("row.*")

@@ -55,7 +55,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).drop("one", "two")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,21 +202,32 @@ def test_genetic_packing_improves_on_best_fit():
     assert sorted(i for b in child.bins for i in b) == list(range(len(lengths)))
 
 
-def plain_join(docs, threshold=0.8):
-    sets = {}
-    for d, t in docs:
+def plain_join(docs):
+    """(id, links, component id) of each (id, text) row, by exact Jaccard of at least 4/5."""
+    sets, ids = [], [d for d, _ in docs]
+    for _, t in docs:
         w = (t or "").lower().split()
-        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-    links = {d: {e for e in sets if e != d and sets[d] and sets[e] and len(sets[d] & sets[e]) >= threshold * len(sets[d] | sets[e])} for d in sets}
-    comp = {}
-    for d in sorted(sets):
-        todo = [d]
-        while todo:
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    holders = defaultdict(set)
+    for i, s in enumerate(sets):
+        for g in s:
+            holders[g].add(i)
+    links = []
+    for i, s in enumerate(sets):
+        both = Counter(j for g in s for j in holders[g])
+        links.append({j for j, n in both.items() if j != i and 5 * n >= 4 * (len(s) + len(sets[j]) - n)})
+    out, seen = [None] * len(docs), set()
+    for i in range(len(docs)):
+        todo, group = [i], set()
+        while todo and i not in seen:
             x = todo.pop()
-            if x not in comp:
-                comp[x] = d
+            if x not in group:
+                group.add(x)
                 todo += links[x]
-    return links, comp
+        seen |= group
+        for x in group:
+            out[x] = (ids[x], len(links[x]), min((ids[y] for y in group if ids[y] is not None), default=None))
+    return out
 
 
 @pytest.mark.parametrize("block", [1024, 2])
@@ -225,11 +236,57 @@ def test_ngram_join_against_plain_python(spark, odd, none, block):
 
     words = BODY.split()
     more = [(100 + i, " ".join(w if j != 5 * i else f"new{i}" for j, w in enumerate(words)), "z") for i in range(9)]
+    a, b = "alpha " * 3 + "beta gamma delta", "one other text of seven words here"
+    more += [(200, a, "z"), (200, b, "z"), (201, a, "z"), (202, b, "z"), (None, a, "z"), (None, "without id " * 9, "z"), (203, b.upper(), "z")]
     df = odd.unionByName(documents(spark, more))
-    got = {r.doc_id: r for r in ngram_join.ngram_join(df, block=block).collect()}
-    links, comp = plain_join([(r.doc_id, r.text) for r in df.where("doc_id is not null").collect()])
-    assert {d: (r.n_links, r.component_id, r.kept) for d, r in got.items()} == {d: (len(links[d]), comp[d], comp[d] == d) for d in links}
-    assert ngram_join.ngram_join(none).count() == 0
+    rows = ngram_join.ngram_join(df, block=block).collect()
+    want = plain_join([(r.doc_id, r.text) for r in df.collect()])
+    assert Counter((r.doc_id, r.n_links, r.component_id) for r in rows) == Counter(want)
+    assert all((r.doc_id == r.component_id) for r in rows if r.kept)
+    kept = ngram_join.without_near_duplicates(df, block=block)
+    assert kept.columns == df.columns
+    stay = Counter(r.doc_id for r in kept.collect())
+    assert stay[200] == 2 and not (stay[201] or stay[202] or stay[203]) and stay[None] == 2 and stay[7] == 1
+    assert ngram_join.ngram_join(none).count() == 0 and ngram_join.without_near_duplicates(none).count() == 0
+
+
+def test_ngram_join_by_text_ids(spark):
+    rows = [("b", "the same five words here and more"), ("a", "The same five words here and more"), ("c", "nothing like it at all, really not")]
+    got = {r.key: (r.n_links, r.component_id, r.kept) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "key string, body string"), "key", "body").collect()}
+    assert got == {"a": (1, "a", True), "b": (1, "a", False), "c": (0, "c", True)}
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_ngram_join_loses_no_link(spark, block):
+    """Families whose members differ by a few words, so that similarities lie on both sides of the threshold, chains among them."""
+    rng, rows = np.random.default_rng(8), []
+    for family in range(60):
+        base = [f"f{family}w{rng.integers(400)}" for _ in range(int(rng.integers(60, 200)))]
+        for _ in range(int(rng.integers(2, 40))):
+            text = list(base)
+            for at in rng.integers(0, len(base), int(rng.integers(0, 1 + len(base) // 30))):
+                text[at] = f"x{rng.integers(10**6)}"
+            if rng.random() < 0.1:
+                base = text
+            rows.append((len(rows), " ".join(text)))
+    got = {r.doc_id: (r.n_links, r.component_id) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    want = {d: (n, c) for d, n, c in plain_join(rows)}
+    links, found = sum(n for n, _ in want.values()), sum(n for n, _ in got.values())
+    assert all(got[d][0] <= want[d][0] for d in want) and links > 5000
+    # each pair at the threshold is met with probability 0.999
+    assert found >= 0.999 * links and sum(got[d][1] == want[d][1] for d in want) >= 0.99 * len(want)
+
+
+def test_ngram_join_decides_ties_in_whole_numbers():
+    import pandas as pd
+
+    shared = [f"s{i}" for i in range(20_000)]
+    texts = [" ".join(shared + [f"{k}{i}" for i in range(n)]) for k, n in (("a", 2500), ("b", 2496), ("c", 2505))]
+    frame = pd.DataFrame({"id": [b"a", b"b", b"c"], "part": 0, "one": 0, "two": 0, "copies": 1, "text": texts})
+    got = ngram_join.verify(frame, 5, Fraction(4, 5)).set_index("id")["texts"].to_dict()
+    sets = [set(ngram_join.shingles(t, 5).tolist()) for t in texts]
+    want = {k: sum(5 * len(x & y) >= 4 * len(x | y) for y in sets if y is not x) for k, x in zip([b"a", b"b", b"c"], sets, strict=True)}
+    assert got == want and set(want.values()) != {0}
 
 
 def test_bands_reach_the_recall():
