@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -126,23 +127,25 @@ def crossover(one: Packing, two: Packing, rng: random.Random) -> Packing:
     return child.insert(displaced)
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, migrants: list[list[int]], population: int, generations: int) -> Packing:
-    """One epoch of one island; stops early once the lower bound on the number of bins is reached."""
+def evolve(
+    lengths: list[int], capacity: int, seed: int, migrants: list[list[int]], population: int, generations: int, least_generations: int = 2
+) -> tuple[Packing, int]:
+    """One epoch of one island, from the migrants or from best fit of all items in several orders: the best packing and
+    the number of crossovers. Once the lower bound on the number of bins is reached, only `least_generations` are run, which still
+    gather the free room in few bins."""
     rng, least = random.Random(seed), -(-sum(lengths) // capacity)
-    items = list(range(len(lengths)))
+    items, crossovers = list(range(len(lengths))), 0
     people = [Packing.of(lengths, capacity, m) for m in migrants] or [Packing(lengths, capacity).insert(items)]
-    best = min(people, key=Packing.fitness)
-    if len(best.bins) <= least:
-        return best
     while len(people) < population:
         people.append(Packing(lengths, capacity).insert(items, [n * rng.uniform(0.8, 1.25) for n in lengths]))
-    for _ in range(generations):
+    for k in range(generations if len(items) > 1 else 0):
         people.sort(key=Packing.fitness)
-        if len(people[0].bins) <= least:
+        if len(people[0].bins) <= least and k >= least_generations:
             break
         half = people[: max(2, population // 2)]
         people = people[: population - len(half)] + [crossover(*rng.sample(half, 2), rng) for _ in half]
-    return min(people, key=Packing.fitness)
+        crossovers += len(half)
+    return min(people, key=Packing.fitness), crossovers
 
 
 def evolve_rows(batches, capacity: int, epoch: int, population: int, generations: int):
@@ -151,9 +154,29 @@ def evolve_rows(batches, capacity: int, epoch: int, population: int, generations
         for row in frame.itertuples():
             lengths = [int(n) for n in row.lengths]
             migrants = [[int(b) for b in m] for m in row.migrants]
-            found = evolve(lengths, capacity, hash((int(row.cell), int(row.island), epoch)), migrants, population, generations)
-            out.append((row.cell, row.island, found.assigned(), *found.fitness()))
-        yield pd.DataFrame(out, columns=["cell", "island", "bins", "n_bins", "cost"])
+            found, crossovers = evolve(lengths, capacity, hash((int(row.cell), int(row.island), epoch)), migrants, population, generations)
+            out.append((row.cell, row.island, found.assigned(), *found.fitness(), crossovers))
+        yield pd.DataFrame(out, columns=["cell", "island", "bins", "n_bins", "cost", "crossovers"])
+
+
+def elites_of(cells: DataFrame, n_cells: int, capacity: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
+    """The best packing of each island of each cell after all epochs: (cell, island, bins, n_bins, cost, crossovers).
+
+    Every island of every cell is one row and a task's unit of work; after an epoch it goes on with its own best
+    packing and that of the island before it.
+    """
+    lengths = F.transform("items", lambda x: x["length"].cast("int"))
+    base = cells.select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), lengths.alias("lengths"))
+    state, elites = base.withColumn("migrants", F.array().cast("array<array<int>>")), None
+    for epoch in range(epochs):
+        run = lambda b, e=epoch: evolve_rows(b, capacity, e, population, generations)
+        # a number given here is kept by adaptive execution, which would merge such small rows into one task
+        dealt = state.repartition(max(1, min(n_cells * islands, 20_000)), "cell", "island")
+        elites = written(dealt.mapInPandas(run, "cell long, island int, bins array<int>, n_bins int, cost double, crossovers int"), "elites")
+        own = elites.select("cell", "island", "bins")
+        come = elites.select("cell", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("bins").alias("guest"))
+        state = base.join(own, ["cell", "island"]).join(come, ["cell", "island"]).select("cell", "island", "lengths", F.array("bins", "guest").alias("migrants"))
+    return elites
 
 
 def in_file_order(df: DataFrame) -> tuple[DataFrame, list]:
@@ -170,7 +193,7 @@ def in_file_order(df: DataFrame) -> tuple[DataFrame, list]:
 
 def pack(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer_path: str | None = None, end_id: int = 0,
-    cell_items: int = 4096, islands: int = 2, epochs: int = 2, population: int = 6, generations: int = 6, ordered: bool = False,
+    cell_items: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 6, ordered: bool = False, open_below: float = 0.9,
 ) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` tokens, as few as it can.
 
@@ -181,8 +204,9 @@ def pack(
     Plan: one pass tokenises the texts and writes the small piece table; texts are not shuffled. Pieces are
     dealt by hash to cells of about ``cell_items``, so that no cell depends on a source or key and every cell
     is one bounded row. Each cell evolves on ``islands`` islands, one row and task unit each; after an
-    epoch every island hands its best packing to the next, and the best of all islands is placed.
-    A cell can lose at most the room of one sequence against packing all cells together.
+    epoch every island hands its best packing to the next, and the best of all islands is placed. Sequences filled to less
+    than ``open_below`` are opened again: their pieces, a small part, are dealt to new cells and evolve together, until one cell
+    holds what is left. So the room that cells lose is lost once, not in every cell.
 
     ``ordered``: the rows of df stand in an order, that of its files and of the rows in them (Spark numbers the files of
     a sorted DataFrame in its order; a df that is not read from files is written first). A cell is then a run of
@@ -198,26 +222,36 @@ def pack(
     pieces = written(texts.mapInPandas(lambda b: cut(b, path, capacity, end_id), f"id {id_type}, {PIECE}"), "pieces")
 
     if ordered:
-        dealt = numbered(pieces).withColumn("cell", F.floor(F.col("uid") / cell_items))
+        dealt, n_cells = numbered(pieces).withColumn("cell", F.floor(F.col("uid") / cell_items)), max(1, -(-pieces.count() // cell_items))
     else:
-        n_cells = max(1, -(-pieces.count() // cell_items))
-        dealt = pieces.withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(n_cells)))
+        dealt, n_cells = _dealt(pieces, cell_items)
     item = F.struct((-F.col("length")).alias("order"), "id", "piece", "start", "length", "ids_crc32", "uid")
-    cells = written(dealt.groupBy("cell").agg(F.array_sort(F.collect_list(item)).alias("items")), "cells")
-    lengths = F.transform("items", lambda x: x["length"].cast("int"))
-    base = cells.select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), lengths.alias("lengths"))
-    state, elites = base.withColumn("migrants", F.array().cast("array<array<int>>")), None
-    for epoch in range(epochs):
-        run = lambda b, e=epoch: evolve_rows(b, capacity, e, population, generations)
-        elites = written(state.repartition("cell", "island").mapInPandas(run, "cell long, island int, bins array<int>, n_bins int, cost double"), "elites")
-        own = elites.select("cell", "island", "bins")
-        come = elites.select("cell", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("bins").alias("guest"))
-        state = base.join(own, ["cell", "island"]).join(come, ["cell", "island"]).select("cell", "island", "lengths", F.array("bins", "guest").alias("migrants"))
-    best = elites.groupBy("cell").agg(F.min_by("bins", F.struct("n_bins", "cost", "island")).alias("bins"))
-
-    spread = cells.join(best, "cell").select("cell", F.explode(F.arrays_zip("items", "bins")).alias("z")).select("cell", "z.items.*", F.col("z.bins").alias("bin"))
-    bins = W.partitionBy("cell", "bin")
-    sequence = F.min("uid").over(bins) if ordered else F.col("cell") * (1 << 20) + F.col("bin")
-    seats = bins.orderBy("uid") if ordered else bins.orderBy("order", "uid")
-    seat = F.sum("length").over(seats.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("length")
-    return spread.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), seat.alias("offset"))
+    bins, done, level = W.partitionBy("cell", "bin"), [], 0
+    while True:
+        cells = written(dealt.groupBy("cell").agg(F.array_sort(F.collect_list(item)).alias("items")), "cells")
+        elites = elites_of(cells, n_cells, capacity, islands, epochs, population, generations)
+        best = elites.groupBy("cell").agg(F.min_by("bins", F.struct("n_bins", "cost", "island")).alias("bins"))
+        spread = cells.join(best, "cell").select("cell", F.explode(F.arrays_zip("items", "bins")).alias("z")).select("cell", "z.items.*", F.col("z.bins").alias("bin"))
+        sequence = F.min("uid").over(bins) if ordered else F.lit(level << 56) + F.col("cell") * (1 << 20) + F.col("bin")
+        seats = bins.orderBy("uid") if ordered else bins.orderBy("order", "uid")
+        seat = F.sum("length").over(seats.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("length")
+        placed = spread.select("*", sequence.alias("sequence_id"), seat.alias("offset"))
+        if ordered or n_cells == 1:
+            done.append(placed)
+            break
+        placed = written(placed.withColumn("fill", F.sum("length").over(bins)), "placed")
+        done.append(placed.where(F.col("fill") >= open_below * capacity))
+        dealt, left = _dealt(placed.where(F.col("fill") < open_below * capacity).select("id", "piece", "start", "length", "ids_crc32", "uid"), cell_items)
+        # where hardly anything fits together the cells stay as they are
+        if left >= n_cells:
+            done[-1] = placed
+            break
+        n_cells, level = left, level + 1
+    out = [d.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset") for d in done]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _dealt(pieces: DataFrame, cell_items: int) -> tuple[DataFrame, int]:
+    """Pieces with a cell by hash, and the number of cells."""
+    n_cells = max(1, -(-pieces.count() // cell_items))
+    return pieces.withColumn("cell", F.pmod(F.xxhash64("uid", F.lit(n_cells)), F.lit(n_cells))), n_cells

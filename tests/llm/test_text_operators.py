@@ -159,6 +159,42 @@ def test_packing_round_trip(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_genetic_search_beats_best_fit():
+    """Items cut from full bins, which best fit does not put together again."""
+    better = 0
+    for seed in range(6):
+        rng, lengths = np.random.default_rng(seed), []
+        for _ in range(40):
+            cuts = np.sort(rng.choice(np.arange(10, 91), 2, replace=False))
+            lengths += [int(x) for x in np.diff([0, *cuts, 100])]
+        plain = packing.Packing(lengths, 100).insert(list(range(len(lengths))))
+        found, crossovers = packing.evolve(lengths, 100, seed, [], 8, 60)
+        assert crossovers and sorted(i for b in found.bins for i in b) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in b) == f <= 100 for b, f in zip(found.bins, found.fills, strict=True))
+        assert found.fitness() <= plain.fitness()
+        better += found.fitness() < plain.fitness()
+    assert better >= 4
+
+
+def test_islands_run_in_many_tasks(spark):
+    item = "struct<order: long, id: long, piece: int, start: long, length: long, ids_crc32: long, uid: long>"
+    rng = np.random.default_rng(2)
+    rows = [(c, [(0, 0, 0, 0, int(n), 0, 0) for n in rng.integers(1, 64, 50)]) for c in range(24)]
+    elites = packing.elites_of(spark.createDataFrame(rows, f"cell long, items array<{item}>"), 24, 64, 2, 2, 4, 4)
+    assert elites.count() == 48 and elites.where("crossovers > 0").count() == 48
+    assert elites.select(F.input_file_name().alias("file")).distinct().count() >= 20
+
+
+def test_open_sequences_of_cells_are_packed_together(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "repeat('river ', cast(1 + id * 13 % 37 as int)) AS text")
+    rows = packing.pack(df, capacity=64, cell_items=100).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(3000))
+    fills = Counter()
+    for r in rows:
+        fills[r.sequence_id] += r.length
+    assert max(fills.values()) <= 64 and len(fills) <= math.ceil(sum(fills.values()) / 64) + 2
+
+
 def test_mixing_decides_the_sequences(spark):
     import corpus_pipeline
     from lodestar.llm.common import written
@@ -195,7 +231,7 @@ def test_genetic_packing_improves_on_best_fit():
     rng = random.Random(4)
     lengths = sorted((x for _ in range(40) for x in (lambda a, b: (a, b, 100 - a - b))(rng.randint(20, 45), rng.randint(20, 45))), reverse=True)
     plain = packing.Packing(lengths, 100).insert(list(range(len(lengths))))
-    found = packing.evolve(lengths, 100, 1, [], 8, 30)
+    found, _ = packing.evolve(lengths, 100, 1, [], 8, 30)
     assert sorted(i for b in found.bins for i in b) == list(range(len(lengths))) and max(found.fills) <= 100
     assert len(found.bins) <= len(plain.bins)
     child = packing.crossover(plain, packing.Packing(lengths, 100).insert(list(range(len(lengths))), [rng.random() for _ in lengths]), rng)
