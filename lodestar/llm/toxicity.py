@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import bucket_of, written
@@ -26,7 +26,8 @@ SEPARATORS = " .-_*'~,/\\+|"
 EDGE, OTHER, SIZE = 0, 27, 28
 #: Channel costs in nats: a look-alike, a separator inside a word, a word end there, a repeated letter dropped, a symbol dropped.
 LOOK, INSIDE, BREAK, REPEAT, DROP = 0.5, 0.3, 2.0, 0.2, 3.0
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s{1,4}\S){2,}(?!\S)")
+_DOUBLE, _TRIPLE = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1\1")
 _ODD = re.compile(r"(.)\1\1|[^\W\d_][^\w\s]+[^\W\d_]|[^\W_][0-9@$!|+(€£¡]+[^\W_]|[0-9@$!|+(€£¡][^\W\d_]|[^\W\d_][0-9@$|€£]|_")
 _ENDS = ".,;:!?\"'()[]{}<>#%&*|~^-_=/\\…«»“”‘’"
 
@@ -123,12 +124,17 @@ def decode(token: str, costs: list) -> list[str]:
 
 
 def restored(token: str, costs: list) -> list[str]:
-    """The words that a lower-cased token stands for; only odd tokens are decoded."""
+    """The words that a lower-cased token stands for; only odd tokens are decoded.
+
+    A word with one doubled letter stands for itself and for the word without the doubling, since either is common;
+    with more doublings, or a letter three times, it is odd.
+    """
     core = token.strip(_ENDS)
-    if core.isalpha() and not re.search(r"(.)\1\1", core):
+    if core.isalpha() and not _TRIPLE.search(core):
         lead = token[: token.find(core)]
         if not lead or lead[-1] not in LOOKS or len(set(lead)) < len(lead):
-            return [core]
+            doubles = len(_DOUBLE.findall(core))
+            return [core] if not doubles else [core, _DOUBLE.sub(r"\1", core)] if doubles == 1 else [core, *decode(core, costs)]
     whole = token.rstrip(_ENDS).lstrip("".join(c for c in _ENDS if c not in LOOKS))
     if any(c.isalpha() for c in whole) and _ODD.search(whole):
         return decode(whole, costs)
@@ -157,18 +163,18 @@ def text_words(text: str, costs: list, cache: dict, most: int = 300_000) -> set[
 
 def toxicity_scorer(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0,
-    sample: int = 20_000, most_features: int = 2048, least_texts: int = 3,
+    sample: int = 20_000, least_texts: int = 3, least_odds: float = 0.7,
 ) -> Callable[[Column], Column]:
     """Learns from the texts and labels; returns the function from a text column to its score column (0 to 1).
 
     The character model counts the letter trigrams of all texts (a table of fixed size). The linear model is fitted on at
-    most `sample` labelled rows outside the held-out fold; of their features the `most_features` most telling ones are
-    kept, so what the driver gathers and the tasks receive is bounded. Scoring reads each text once and shuffles nothing.
+    most `sample` labelled rows outside the held-out fold, on all their features that at least `least_texts` toxic ones
+    have and whose log odds for toxic texts exceed `least_odds`; the bound on the rows bounds what the driver gathers and the
+    tasks receive. Scoring reads each text once and shuffles nothing.
 
     Cases: null text is empty, and an empty text scores the base rate; null ids and labels other than 0 and 1 are
     not learnt from; without labels every score is 0.
     """
-    kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     grams = texts.select("text").mapInPandas(trigram_frames, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SIZE**3)
@@ -180,18 +186,21 @@ def toxicity_scorer(
         costs, cache = table.tolist(), process_cache(stamp)
         for frame in batches:
             found = [sorted({m for w in text_words(t, costs, cache) for m in marks(w)}) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "features": found})
+            yield pd.DataFrame({"y": frame["y"], "features": found})
 
     chosen = training_labels(labels, id_col, label_col, folds, held_out, sample)
-    known = written(texts.join(F.broadcast(chosen), "id").mapInPandas(learn, f"id {kind}, y int, features array<string>"), "toxic-features")
+    known = written(texts.join(F.broadcast(chosen), "id").mapInPandas(learn, "y int, features array<string>").withColumn("uid", F.monotonically_increasing_id()), "toxic-features")
     totals = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     n1, n0 = totals.t, totals.n - totals.t
-    held = known.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
+    spread = known.select("uid", "y", F.explode("features").alias("f"))
+    held = spread.groupBy("f").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (n0 + 1.0))
-    top = held.where((F.col("t") >= least_texts) & (odds > 0.7)).select("f", (odds * F.sqrt("t")).alias("w")).orderBy(F.desc("w"), "f").limit(most_features).collect()
-    index = {r.f: i for i, r in enumerate(top)}
-    hits = known.select("y", F.array_intersect("features", F.array(*map(F.lit, index)).cast("array<string>")).alias("f"))
-    grouped = hits.groupBy("f").agg(F.sum("y").alias("t"), F.count("*").alias("n")).limit(sample).collect()
+    telling = written(held.where((F.col("t") >= least_texts) & (odds > least_odds)).select("f"), "toxic-telling")
+    index = {r.f: i for i, r in enumerate(telling.orderBy("f").collect())}
+    sets = spread.join(telling, "f").groupBy("uid").agg(F.max("y").alias("y"), F.sort_array(F.collect_list("f")).alias("f"))
+    grouped = sets.groupBy("f").agg(F.sum("y").alias("t"), F.count("*").alias("n")).collect()
+    rest = totals.n - sum(r.n for r in grouped), totals.t - sum(r.t for r in grouped)
+    grouped += [Row(f=[], t=rest[1], n=rest[0])] if rest[0] else []
     bias, weights = fit([[index[f] for f in r.f] for r in grouped], np.array([r.t for r in grouped], float), np.array([r.n for r in grouped], float), len(index))
     scale = dict(zip(index, weights.tolist(), strict=True))
 

@@ -53,6 +53,40 @@ def labelled(spark, n=400):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_doubled_and_spaced_letters(costs):
+    for token in ("iddiioott", "idiiot", "iidiot", "idiott", "id1ioot"):
+        assert "idiot" in toxicity.restored(token, costs), token
+    for text in ("an i  d  i o   t indeed", "an\ni\nd\ni\no\nt\nindeed", "i d\ti o t"):
+        assert "idiot" in toxicity.text_words(text, costs, {}), text
+    assert toxicity.restored("letter", costs)[0] == "letter"
+
+
+def test_decode_equals_an_exhaustive_search(costs):
+    """The cheapest of all readings of the lattice, each costed from scratch."""
+    import itertools
+
+    def cost(ways):
+        total, a, b = 0.0, toxicity.EDGE, toxicity.EDGE
+        for read, extra in ways:
+            total += extra
+            if read == " ":
+                if b != toxicity.EDGE:
+                    total, a, b = total + costs[a][b][toxicity.EDGE], toxicity.EDGE, toxicity.EDGE
+            elif read:
+                s = toxicity.symbol(read)
+                total, a, b = total + costs[a][b][s], b, s
+        return total + (costs[a][b][toxicity.EDGE] if b != toxicity.EDGE else 0.0)
+
+    for token in ("1d10t", "s-t-u-p", "m0r0n!", "aa.bb", "!d!o+", "l@@mp"):
+        best = min(cost(ways) for ways in itertools.product(*toxicity.lattice(token)))
+        readings = {"".join(r for r, _ in ways).split().__str__() for ways in itertools.product(*toxicity.lattice(token)) if cost(ways) <= best + 1e-9}
+        assert str(toxicity.decode(token, costs)) in readings
+
+
+def test_toxicity_takes_a_very_long_odd_token(costs):
+    assert toxicity.restored("1d" * 5000, costs)
+
+
 def test_toxicity_held_out(spark, odd, none):
     docs, labels = labelled(spark)
     truth = {r.doc_id: r.toxic for r in labels.collect()}
