@@ -28,35 +28,58 @@ class ByteWords:
     """Ids by UTF-8 word for a tokenizer whose pieces never cross white space and that ignores ASCII case (the word BPE).
 
     A text's ids are those of its words (``words_of``) in order, so a word is encoded once and then looked up in a cache
-    that the process keeps. New words are encoded together, as one text in which a mark stands between every two. The cache
-    is emptied when it would grow beyond `most` words.
+    that the process keeps. New words are encoded together, as one text in which a mark stands between every two. Runs of
+    ASCII letters, with a full stop or comma behind them or not, skip the tokenizer's normalisation, which leaves them as
+    they are. The cache is emptied when it would grow beyond `most` words.
     """
 
     #: One piece of one id, wherever it stands between spaces; words that hold it are encoded singly.
-    MARK = "\x01"
+    MARK, PLAIN_MARK = "\x01", "!"
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         cache = process_cache(f"tokenizer {path}")
         if "tokenizer" not in cache:
             cache["tokenizer"], cache["words"] = Tokenizer.from_file(path), {}
-        self.tokenizer, self.known, self.most = cache["tokenizer"], cache["words"], most
-        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word."""
+            cache["plain"] = Tokenizer(cache["tokenizer"].model)
+            cache["plain"].pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.tokenizer, self.plain, self.known, self.most = cache["tokenizer"], cache["plain"], cache["words"], most
+        self.ends = {c: self.one(self.tokenizer, [c.decode()], self.MARK)[0] for c in (b".", b",")} | {b"": b""}
+
+    @staticmethod
+    def one(tokenizer, words: list[str], mark: str) -> list[bytes]:
+        """Little-endian 32-bit ids of each word, from one call."""
         import numpy as np
 
-        texts = [w.decode("utf-8", "replace") for w in words]
-        (whole,) = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(texts)], add_special_tokens=False)
+        whole = tokenizer.encode_batch_fast([f" {mark} ".join(["", *words])], add_special_tokens=False)[0]
         ids = np.array(whole.ids, "<u4")
-        ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-        if len(ends) != len(texts):  # some word holds the mark
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        starts = np.flatnonzero(ids == ids[0]) + 1
+        if len(starts) != len(words):  # some word holds the mark
+            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+        return [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), [*(starts[1:] - 1).tolist(), len(ids)], strict=True)]
+
+    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word."""
+        cores, others = {}, []
+        for w in words:
+            end = w[-1:]
+            core, end = (w[:-1], end) if end in (b".", b",") else (w, b"")
+            if core.isalpha():  # of bytes: ASCII letters alone
+                cores[w] = core, end
+            else:
+                others.append(w)
+        out = dict(zip(others, self.one(self.tokenizer, [w.decode("utf-8", "replace") for w in others], self.MARK), strict=True)) if others else {}
+        if cores:
+            known, need = self.known, list({c for c, _ in cores.values()})
+            need = [c for c in need if c not in known]
+            new = dict(zip(need, self.one(self.plain, [c.decode() for c in need], self.PLAIN_MARK), strict=True)) if need else {}
+            ends = self.ends
+            for w, (core, end) in cores.items():
+                out[w] = (new[core] if core in new else known[core]) + ends[end]
+        return out
 
     def ids(self, words: list[bytes]) -> list[bytes]:
         try:
@@ -72,7 +95,7 @@ class ByteWords:
             self.known.clear()
             missing = list(set(words))
         if missing:
-            self.known.update(zip(missing, self.encode(missing), strict=True))
+            self.known.update(self.encode(missing))
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as the tokenizer itself gives them."""
