@@ -77,15 +77,22 @@ def probes_needed(batches, index: Index, asked: pd.DataFrame, cosine: float, row
 
 
 def assign(batches, index: Index, probes: int):
-    """Home list, residual code and probed lists of each unit vector."""
+    """Home list, residual code and probed lists of each unit vector; one of another length than the index's is in the
+    list of all vectors of its length, which has a negative number and is searched without codes."""
     for frame in batches:
-        if len(frame):
-            x = np.stack(frame["vector"].to_numpy())
-            near = index.nearest(x, probes)
-            frame["home"] = near[:, 0].astype(np.int32)
-            frame["code"] = [c.tobytes() for c in index.encode(x, near[:, 0])]
-            frame["lists"] = list(near.astype(np.int32))
-            yield frame
+        size = np.fromiter(map(len, frame["vector"]), np.int64, len(frame))
+        for part in (frame[size == index.dim].copy(), frame[size != index.dim].copy()):
+            if not len(part):
+                continue
+            if len(part["vector"].iloc[0]) == index.dim:
+                x = np.stack(part["vector"].to_numpy())
+                near = index.nearest(x, probes).astype(np.int32)
+                part["code"] = [c.tobytes() for c in index.encode(x, near[:, 0])]
+            else:
+                near = -np.fromiter(map(len, part["vector"]), np.int32, len(part))[:, None]
+                part["code"] = b""
+            part["home"], part["lists"] = near[:, 0], list(near)
+            yield part[["id", "label", "copies", "vector", "home", "code", "lists"]]
 
 
 def search(frame: pd.DataFrame, index: Index, cosine: float, slack: float) -> pd.DataFrame:
@@ -99,7 +106,7 @@ def search(frame: pd.DataFrame, index: Index, cosine: float, slack: float) -> pd
     ids, home, part, copies = (frame[c].to_numpy() for c in ("id", "home", "part", "copies"))
     listed, one, two = int(frame["list"].iloc[0]), int(frame["one"].iloc[0]), int(frame["two"].iloc[0])
     x = np.stack(frame["vector"].to_numpy())
-    codes = np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(ids), -1)
+    codes = np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(ids), index.subspaces if listed >= 0 else 0)
     member = home == listed
     limit = (2 - 2 * cosine) * (1 + slack) + slack
     visits = [set(v) for v in frame["lists"]]
@@ -107,10 +114,11 @@ def search(frame: pd.DataFrame, index: Index, cosine: float, slack: float) -> pd
     base = np.flatnonzero(member)
     for at in range(0, len(ids), 256):
         asks = np.arange(at, min(at + 256, len(ids)))
-        table = index.tables(x[asks], listed)
         far = np.zeros((len(asks), len(base)))
-        for m in range(index.subspaces):
-            far += table[:, m, :][:, codes[base, m]]
+        if listed >= 0:
+            table = index.tables(x[asks], listed)
+            for m in range(index.subspaces):
+                far += table[:, m, :][:, codes[base, m]]
         q, c = np.nonzero(far <= limit)
         q, c = asks[q], base[c]
         new = (q != c) if one == two else part[q] != part[c]
@@ -154,11 +162,14 @@ def embedding_dedup(
     part (`blocked`), where table lookups choose candidates and exact cosines decide. Only counts and
     least partners leave a cell.
 
-    Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components, and rows with a
-    null label, link with nothing; rows that repeat an id are vectors of their own and link like others;
-    null ids are left out of links; an empty table gives an empty result; other columns are ignored.
+    Cases: vectors that are null, zero, or hold null or non-finite components, and rows with a
+    null label, link with nothing; vectors of another length than most link with those of their label and length, all of which
+    are compared; rows that repeat an id are vectors of their own and link like others;
+    null ids are left out of links; an empty table gives an empty result; other columns are ignored. Ids may be of any type
+    that can be ordered.
     """
-    cols = [F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(F.col(f"`{vector_col}`"), lambda v: v.cast("double")).alias("raw"), F.col(f"`{label_col}`").cast("string").alias("label")]
+    kind = df.schema[id_col].dataType.simpleString()
+    cols = [F.col(f"`{id_col}`").alias("id"), F.transform(F.col(f"`{vector_col}`"), lambda v: v.cast("double")).alias("raw"), F.col(f"`{label_col}`").cast("string").alias("label")]
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, v: a + v * v))
     fine = F.forall("raw", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = df.select(*cols).withColumn("norm", F.when(fine, norm))
@@ -168,25 +179,27 @@ def embedding_dedup(
     valid = rows.where("vector IS NOT NULL")
     dims = valid.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     key = F.struct(F.xxhash64("label", "vector").alias("a"), F.xxhash64(F.lit(7), "label", "vector").alias("b"))
-    classes = written(valid.where(F.size("vector") == (dims[0].dim if dims else 0)).groupBy("label", key.alias("key")).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("vector").alias("vector")), "vector-classes")
+    classes = written(valid.groupBy("label", key.alias("key")).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("vector").alias("vector")), "vector-classes")
     n, n_labels = classes.agg(F.count("*"), F.count_distinct("label")).first()
     if not n:
         none = F.lit(0).cast("long").alias("n_links")
         return rows.select(F.col("id").alias(id_col), none, F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"), F.col("id").alias("class_id"))
 
-    chosen = classes.orderBy(F.xxhash64("key"), "rep").limit(sample).select("vector").toPandas()
+    most = classes.where(F.size("vector") == dims[0].dim)
+    chosen = most.orderBy(F.xxhash64("key"), "rep").limit(sample).select("vector").toPandas()
     index = Index(np.stack(chosen["vector"].to_numpy()), int(np.clip(n / n_labels / list_size, 1, most_lists)), subspaces, codes)
     named = classes.select(F.col("rep").alias("id"), "label", "copies", "vector")
-    trial = named.orderBy(F.xxhash64("id", F.lit("asked")), "id").limit(asked).select("id", "label", "vector").toPandas()
-    needed = named.select("id", "label", "vector").mapInPandas(lambda b: probes_needed(b, index, trial, cosine), "probes int, links long")
+    alike = named.where(F.size("vector") == dims[0].dim)
+    trial = alike.orderBy(F.xxhash64("id", F.lit("asked")), "id").limit(asked).select("id", "label", "vector").toPandas()
+    needed = alike.select("id", "label", "vector").mapInPandas(lambda b: probes_needed(b, index, trial, cosine), "probes int, links long")
     probes = max(probes, needed.agg(F.max("probes")).first()[0] or 0)
     coded = named.mapInPandas(
-        lambda b: assign(b, index, probes), "id long, label string, copies long, vector array<double>, home int, code binary, lists array<int>"
+        lambda b: assign(b, index, probes), f"id {kind}, label string, copies long, vector array<double>, home int, code binary, lists array<int>"
     )
     visits = written(coded, "coded").withColumn("list", F.explode("lists"))
     sizes = visits.groupBy("label", "list").agg(F.count("*").alias("size"))
     cells = blocked(visits.join(sizes, ["label", "list"]), ["label", "list"], "size", F.xxhash64("id"), block)
-    links = written(map_groups(cells, ["label", "list", "one", "two"], lambda f: search(f, index, cosine, slack), "id long, docs long, first long"), "links")
+    links = written(map_groups(cells, ["label", "list", "one", "two"], lambda f: search(f, index, cosine, slack), f"id {kind}, docs long, first {kind}"), "links")
     joint = components(links.select(F.col("id").alias("u"), F.col("first").alias("v")))
     counts = links.groupBy("id").agg(F.sum("docs").alias("docs"))
     found = counts.join(joint.withColumnRenamed("node", "id"), "id", "left")
