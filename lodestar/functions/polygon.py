@@ -67,8 +67,42 @@ def touches(one: Column, two: Column) -> Column:
 
 
 def contains(one: Column, two: Column) -> Column:
-    """Every corner of two is in or on one, and no edges cross."""
-    return ~rings_cross(one, two) & F.forall(two, lambda p: in_ring(p["x"], p["y"], one) | on_boundary(p, one))
+    """Every part of the boundary of two is in or on one, which may be concave.
+
+    Where no edges cross properly, an edge of two can leave one only at a corner of one that lies on it; the edge is cut
+    there, and the middle of every piece is tested.
+    """
+    inside = lambda p: in_ring(p["x"], p["y"], one) | on_boundary(p, one)
+
+    def whole(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        long = F.abs(b["x"] - a["x"]) >= F.abs(b["y"] - a["y"])
+        on = F.filter(one, lambda v: on_boundary(v, F.array(a, b)))
+        share = F.transform(on, lambda v: F.when(long, (v["x"] - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))).otherwise((v["y"] - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))))
+        cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.array_compact(share))))
+        middles = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: (F.get(cuts, i - 1) + F.get(cuts, i)) / 2)
+        return F.forall(middles, lambda t: inside(F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"))))
+
+    return ~rings_cross(one, two) & F.forall(two, inside) & F.forall(_edges(two), whole)
+
+
+def centroid(ring: Column) -> Column:
+    """The centre of the area of a closed ring, struct<x, y>; null if it has no area."""
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def step(s: Column, e: Column) -> Column:
+        p, q = e["a"], e["b"]
+        cross = p["x"] * q["y"] - q["x"] * p["y"]
+        return F.struct((s["a"] + cross).alias("a"), (s["x"] + (p["x"] + q["x"]) * cross).alias("x"), (s["y"] + (p["y"] + q["y"]) * cross).alias("y"))
+
+    total = F.aggregate(_edges(ring), zero, step)
+    area = F.nullif(3 * total["a"], F.lit(0.0))
+    return F.when(area.isNotNull(), F.struct((total["x"] / area).alias("x"), (total["y"] / area).alias("y")))
+
+
+def contains_centroid(one: Column, two: Column) -> Column:
+    """The looser containment of the data: the centroid of two lies inside one."""
+    return F.coalesce(strictly_in(centroid(two), one), F.lit(False))
 
 
 def line_crosses(line: Column, ring: Column) -> Column:

@@ -15,10 +15,11 @@ def infer_relation(question: Column, answer: Column) -> Column:
     return F.coalesce(T.first_match(both, {"metric": V.INFER_METRIC, "topological": V.INFER_TOPOLOGY, "directional": V.INFER_DIRECTION}), F.lit("composite"))
 
 
-def relation_or_inferred(given: Column, label: Column, question: Column) -> Column:
-    """A given type; else composite by words of combination; else the type that a relation label names; else composite."""
-    named = T.first_match(F.lower(label), {"directional": ["direction", "azimuth"], "topological": ["topolog", "contain", "within", "adjacent", "disjoint", "overlap"], "metric": ["metric", "distance"]})
-    return F.coalesce(F.when(given.isin(V.RELATIONS), given), F.when(T.contains_any(question, ["并且", "同时", "以及"]), F.lit("composite")), named, F.lit("composite"))
+def relation_or_inferred(given: Column, label: Column, *texts: Column) -> Column:
+    """A given type, whatever it is; else composite if a word of combination occurs in question, answer or reasoning; else
+    the type that a relation label names; else composite."""
+    both = F.lower(F.concat_ws(" ", *[F.coalesce(t, F.lit("")) for t in texts]))
+    return F.coalesce(given, F.when(T.contains_any(both, V.COMBINING), F.lit("composite")), T.first_match(F.lower(F.coalesce(label, F.lit(""))), V.LABEL_TYPES), F.lit("composite"))
 
 
 def infer_difficulty(n_entities: Column, length: Column) -> Column:
@@ -102,8 +103,14 @@ def coordinates_of(coords: Column, coordinates: Column, point: Column) -> Column
 
 
 def region_of(lon: Column, lat: Column) -> Column:
-    """A coarse region name by longitude and latitude."""
-    return F.when(lat >= 42, F.when(lon >= 118, "东北").otherwise("西北")).when(lon < 97, "西部").when(lat >= 34, "华北").when(lat >= 27, F.when(lon >= 114, "华东").otherwise("华中")).otherwise("华南")
+    """A region name by longitude, then latitude."""
+    name = None
+    for bound, ladder, lowest in reversed(V.REGIONS):
+        here = F.lit(lowest)
+        for at, own, label in reversed(ladder):
+            here = F.when((lat >= at) if own else (lat > at), F.lit(label)).otherwise(here)
+        name = here if bound is None else F.when(lon < bound, here).otherwise(name)
+    return name
 
 
 def short_relation(relation: Column, negative: Column) -> Column:
@@ -113,7 +120,11 @@ def short_relation(relation: Column, negative: Column) -> Column:
 
 
 def relation_category(relation: Column) -> Column:
-    return F.coalesce(T.first_match(relation, {"composite": ["composite", "_"], "directional": ["direction"], "topological": ["contains", "within", "touches", "crosses", "disjoint", "overlap", "adjacent"], "metric": ["metric", "distance"]}), F.lit("unknown"))
+    """The category of a pair's target relation."""
+    return (
+        F.when(relation.contains("directional"), "directional").when(relation.isin(V.FIRST_CATEGORY), "C1").when(relation.contains("adjacent"), "C2")
+        .when(relation.contains("metric"), "metric").when(relation.contains("sameside"), "C4").otherwise("unknown")
+    )
 
 
 def id_prefix(pair_id: Column) -> Column:

@@ -5,6 +5,8 @@ Three generations of the scorer exist and differ; version="v2" is the default of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,6 +88,29 @@ def format_valid(prediction: Column) -> Column:
     return (F.char_length(p) >= 2) & ~p.startswith("ERROR:") & p.rlike("[\\u4e00-\\u9fff0-9]")
 
 
+def _precision(prediction: Column, reference: Column, n: int) -> Column:
+    """Clipped precision of the character n-grams.
+
+    Both texts' n-grams are sorted together, marked by side; a run of equal ones gives the lesser of its two counts. So a
+    row costs n log n in its length.
+    """
+    side = lambda c, k: F.transform(T.char_ngrams(c, n), lambda g: F.struct(g.alias("g"), F.lit(k).alias("k")))
+    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("hits"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = a["g"].eqNullSafe(x["g"])
+        one = F.when(same, a["one"]).otherwise(0) + F.when(x["k"] == 1, 1).otherwise(0)
+        two = F.when(same, a["two"]).otherwise(0) + F.when(x["k"] == 2, 1).otherwise(0)
+        # the prediction's n-grams come first in a run, so each of the reference's that finds one left is a hit
+        hit = F.when((x["k"] == 2) & (two <= one), 1).otherwise(0)
+        return F.struct(x["g"].alias("g"), one.alias("one"), two.alias("two"), (a["hits"] + hit).alias("hits"))
+
+    both = F.array_sort(F.concat(side(prediction, 1), side(reference, 2)))
+    hits = F.aggregate(both, start, step)["hits"]
+    total = F.char_length(prediction) - (n - 1)
+    return F.when(total > 0, hits / total).otherwise(F.lit(0.0))
+
+
 def bleu(prediction: Column, reference: Column, order: int = 4, smoothing: float = 0.0, strict_penalty: bool = False) -> Column:
     """Character BLEU with clipped counts: the geometric mean of the precisions times the brevity penalty.
 
@@ -93,13 +118,7 @@ def bleu(prediction: Column, reference: Column, order: int = 4, smoothing: float
     """
     c, r = F.char_length(prediction).cast("double"), F.char_length(reference).cast("double")
 
-    def precision(n: int) -> Column:
-        one, two = T.char_ngrams(prediction, n), T.char_ngrams(reference, n)
-        times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-        hits = F.aggregate(F.array_distinct(one), F.lit(0), lambda a, g: a + F.least(times(one, g), times(two, g)))
-        return F.when(F.size(one) > 0, hits / F.size(one)).otherwise(F.lit(0.0))
-
-    parts = [precision(n) for n in range(1, order + 1)]
+    parts = [_precision(prediction, reference, n) for n in range(1, order + 1)]
     if smoothing:
         parts = [F.greatest(p, F.lit(smoothing)) for p in parts]
     logs = sum((F.ln(F.nullif(p, F.lit(0.0))) for p in parts[1:]), F.ln(F.nullif(parts[0], F.lit(0.0))))
@@ -108,6 +127,13 @@ def bleu(prediction: Column, reference: Column, order: int = 4, smoothing: float
     return F.coalesce(F.exp(logs / order) * penalty, F.lit(0.0))
 
 
+def bleu_plain(prediction: Column, reference: Column, order: int = 4) -> Column:
+    """The earliest BLEU: the geometric mean of the character precisions, or their plain mean if one is 0; no penalty."""
+    parts = F.array(*[_precision(prediction, reference, n) for n in range(1, order + 1)])
+    geometric = F.exp(F.aggregate(parts, F.lit(0.0), lambda a, x: a + F.ln(x)) / order)
+    return F.when(F.forall(parts, lambda x: x > 0), geometric).otherwise(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / order)
+
+
 def keyword_counts(prediction: Column, reference: Column, words: list[str]) -> tuple[Column, Column, Column]:
     """(true positives, false positives, false negatives) over the words that occur in the two texts."""
     p, r = T.words_in(prediction, words), T.words_in(reference, words)
@@ -146,8 +172,73 @@ def error_cause(kind: Column, part: dict[str, Column]) -> Column:
 
 
 def loosely_correct(kind: Column, prediction: Column, reference: Column) -> Column:
-    """Shared main direction character; distance within 10 %, or 15 % in composites; same yes/no word; else containment."""
-    shared = F.exists(T.words_in(reference, ["东", "西", "南", "北"]), lambda w: F.contains(prediction, w))
-    near = lambda share: F.coalesce(F.abs(T.first_number(prediction) - T.first_number(reference)) <= T.first_number(reference) * share, F.lit(False))
-    negative = lambda c: T.contains_any(c, ["不", "否", "没有"])
-    return F.when(kind == "directional", shared).when(kind == "metric", near(0.10)).when(kind == "composite", shared & near(0.15)).when(kind == "topological", negative(prediction) == negative(reference)).otherwise(F.contains(prediction, reference))
+    """A shared direction character; first numbers within 10 %, or 15 % in composites; both texts of one word group
+    (affirming, denying, adjoining); other kinds are wrong."""
+    p, r = F.lower(F.trim(prediction)), F.lower(F.trim(reference))
+    shared = F.exists(T.words_in(r, ["东", "西", "南", "北"]), lambda w: F.contains(p, w))
+    one, two = T.first_number(p), T.first_number(r)
+    near = lambda share: F.coalesce(F.abs(one - two) / F.nullif(two, F.lit(0.0)) <= share, F.lit(False))
+    group = reduce(lambda a, b: a | b, [T.contains_any(p, g) & T.contains_any(r, g) for g in V.LOOSE_TOPOLOGY])
+    return F.when(kind == "directional", shared).when(kind == "metric", near(0.10)).when(kind == "composite", shared & near(0.15)).when(kind == "topological", group).otherwise(F.lit(False))
+
+
+def study_correct(kind: Column, prediction: Column, reference: Column) -> Column:
+    """Equal; or a shared direction character; or any two whole numbers less than 50 apart; or a shared topological word.
+    Composites must be equal."""
+    equal = F.lower(F.trim(prediction)) == F.lower(F.trim(reference))
+    shared = lambda words: F.exists(T.words_in(reference, words), lambda w: F.contains(prediction, w))
+    whole = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("decimal(38,0)"))
+    near = F.exists(whole(reference), lambda a: F.exists(whole(prediction), lambda b: F.abs(a - b) < 50))
+    own = F.when(kind == "directional", shared(["东", "西", "南", "北"])).when(kind == "metric", near).when(kind == "topological", shared(V.STUDY_TOPOLOGY)).otherwise(F.lit(False))
+    return equal | own
+
+
+def spatial_f1(prediction: Column, reference: Column) -> Column:
+    """F1 of the spatial words of two texts; 1 if neither has any."""
+    tp, fp, fn = keyword_counts(prediction, reference, V.SPATIAL_WORDS)
+    return F.when(tp + fp + fn == 0, F.lit(1.0)).otherwise(f1(tp, fp, fn))
+
+
+def direction_flexible(prediction: Column, reference: Column) -> Column:
+    """Equal, or contained, or the reference's direction occurs in the prediction; a single character only where no longer
+    direction with it does."""
+    p, r = T.strip_stop(F.trim(prediction)), T.strip_stop(F.trim(reference))
+    word = T.first_word(F.replace(r, F.lit("方向"), F.lit("")), V.FLEXIBLE_DIRECTIONS)
+    longer = F.exists(F.array(*map(F.lit, V.FLEXIBLE_DIRECTIONS)), lambda d: (F.char_length(d) > F.char_length(word)) & F.contains(d, word) & F.contains(p, d))
+    found = F.contains(p, word) & ((F.char_length(word) >= 2) | ~longer)
+    return F.contains(p, r) | F.coalesce(found, F.lit(False))
+
+
+def parsed_direction(text: Column) -> Column:
+    """The first parser's direction: two-character ones before single ones."""
+    return T.first_match(F.lower(F.trim(text)), V.PARSER_DIRECTIONS)
+
+
+def parsed_topology(text: Column) -> Column:
+    return T.first_match(F.lower(F.trim(text)), V.PARSER_TOPOLOGY)
+
+
+def parsed_km(text: Column) -> Column:
+    """The first parser's distance in kilometres, by the first unit in order that follows a number."""
+    number = lambda unit: F.nullif(F.regexp_extract(F.lower(text), rf"(\d+(?:\.\d+)?)\s*{unit}", 1), F.lit("")).cast("double")
+    return F.coalesce(*[number(unit) * k for unit, k in V.PARSER_UNITS])
+
+
+def parsed_match(kind: Column, prediction: Column, reference: Column) -> Column:
+    """The first parser's comparison by kind: direction, topology, distance (5 %, 1 km at least), else equal texts; of the kind
+    auto, the first that the reference has."""
+    direction, topology, km = parsed_direction(reference), parsed_topology(reference), parsed_km(reference)
+    auto = F.when(direction.isNotNull(), "direction").when(topology.isNotNull(), "topology").when(km > 0, "distance").otherwise("text")
+    kind = F.when(kind == "auto", auto).otherwise(kind)
+    near = (km > 0) & (parsed_km(prediction) > 0) & (F.abs(parsed_km(prediction) - km) <= F.greatest(km * 0.05, F.lit(1.0)))
+    same = F.lower(F.trim(prediction)) == F.lower(F.trim(reference))
+    match = F.when(kind == "direction", parsed_direction(prediction) == direction).when(kind == "topology", parsed_topology(prediction) == topology).when(kind == "distance", near).otherwise(same)
+    return F.coalesce(match, F.lit(False)) & (F.char_length(prediction) > 0) & (F.char_length(reference) > 0)
+
+
+def answer_shown(text: Column) -> Column:
+    """Whether a reply holds an object that parses as JSON, or a word of an answer."""
+    fenced = F.regexp_extract(text, r"```json\s*([\s\S]*?)\s*```", 1)
+    loose = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
+    parses = lambda c: F.try_parse_json(F.nullif(c, F.lit(""))).isNotNull()
+    return parses(fenced) | parses(loose) | T.contains_any(text, V.ANSWER_WORDS)

@@ -140,10 +140,12 @@ def dq_prompt_share(spark, sf_dir):
 
 
 def dq_question_types(spark, sf_dir):
-    """Question types by ordered patterns, with length anomalies."""
-    q = F.col("question")
-    kind = F.when(q.rlike("多少|距离"), "metric").when(q.rlike("什么方向|方位"), "direction").when(q.rlike("是否"), "yes_no").otherwise("open")
-    return frame(spark, sf_dir, "records").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if((F.char_length(q) < 14) | (F.char_length(q) > 30)).alias("odd_length"))
+    """Kinds of question by ordered patterns and relation, with questions under 10 or over 150 characters."""
+    q, kind = F.col("question"), F.lit("其他")
+    for name, patterns in reversed(V.QUESTION_KINDS.items()):
+        kind = F.when(q.rlike("|".join(patterns)), name).otherwise(kind)
+    rows = frame(spark, sf_dir, "records").select(kind.alias("kind"), F.coalesce("relation", F.lit("unknown")).alias("relation"), F.char_length(q).alias("n"))
+    return rows.groupBy("kind", "relation").agg(F.count("*").alias("n"), F.count_if(F.col("n") < 10).alias("short"), F.count_if(F.col("n") > 150).alias("long"))
 
 
 def dq_field_sets(spark, sf_dir):
@@ -170,6 +172,7 @@ ORACLES = {
     "dq_id_gaps": "WITH d AS (SELECT DISTINCT o_orderpriority AS prefix, o_custkey % 2000 AS number FROM orders WHERE o_custkey % 3 > 0), l AS (SELECT *, lead(number) OVER (PARTITION BY prefix ORDER BY number) AS before FROM d) SELECT prefix, number AS after, before, before - number - 1 AS missing FROM l WHERE before - number > 1",
     "dq_turn_gaps": "SELECT conv_id, count(*) AS n, count(DISTINCT role) AS roles, max(turn) - min(turn) + 1 <> count(*) AS gap FROM conversations GROUP BY 1",
     "dq_prompt_share": sql(" UNION ALL ".join(f"SELECT '{w}' AS what, round(max(n) / sum(n), 6) AS largest, count(*) AS kinds FROM (SELECT count(*) AS n FROM (SELECT *, regexp_replace(question, '\\d+(\\.\\d+)?', '#', 'g') AS template FROM records) WHERE {w} IS NOT NULL GROUP BY {w})" for w in ("prompt_id", "template", "subtype")), "records"),
-    "dq_question_types": sql("SELECT CASE WHEN regexp_matches(question, '多少|距离') THEN 'metric' WHEN regexp_matches(question, '什么方向|方位') THEN 'direction' WHEN contains(question, '是否') THEN 'yes_no' ELSE 'open' END AS kind, count(*) AS n, count(*) FILTER (WHERE length(question) < 14 OR length(question) > 30) AS odd_length FROM records GROUP BY 1", "records"),
+    "dq_question_types": sql("""SELECT CASE WHEN regexp_matches(question, '是否|是不是|有没有|吗[？?]$') THEN '是非问句' WHEN regexp_matches(question, '什么|哪里|哪个|多少|多远|如何') THEN '特指问句' WHEN regexp_matches(question, '还是|或者') THEN '选择问句'
+        WHEN regexp_matches(question, '描述|说明|解释|分析') THEN '描述问句' ELSE '其他' END AS kind, coalesce(relation, 'unknown') AS relation, count(*) AS n, count(*) FILTER (WHERE length(question) < 10) AS short, count(*) FILTER (WHERE length(question) > 150) AS long FROM records GROUP BY ALL""", "records"),
     "dq_field_sets": sql("WITH s AS (SELECT count(*) AS total, count(*) FILTER (WHERE question IS NOT NULL AND answer IS NOT NULL) AS base, count(*) FILTER (WHERE question IS NOT NULL AND answer IS NOT NULL AND relation IS NOT NULL) AS typed, count(*) FILTER (WHERE relation IS NOT NULL AND subtype IS NOT NULL) AS topology, count(*) FILTER (WHERE name1 IS NOT NULL AND name2 IS NOT NULL AND relation IS NOT NULL) AS pair FROM records) SELECT total, fields, complete FROM s UNPIVOT (complete FOR fields IN (base, typed, topology, pair))", "records"),
 }

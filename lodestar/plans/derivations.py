@@ -60,7 +60,7 @@ _MAIN = lambda c: "CASE " + " ".join(f"WHEN {c} IN ({', '.join(repr(x) for x in
 def geo_points_in_boxes(spark, sf_dir):
     """Entities in boxes around suppliers, by cell join and exact test."""
     e = frame(spark, sf_dir, "entities").select("entity_id", "lon", "lat")
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 5 = 0")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     x, y = 73.033 + F.col("s_suppkey") * 41 % 600 / 10, 18.033 + F.col("s_suppkey") * 29 % 340 / 10
     boxes = s.select("s_suppkey", geo.box_ring(x, y, x + 2.5, y + 1.5).alias("ring"))
     return points_in_polygons(e, boxes, "lon", "lat", "ring").select("entity_id", "s_suppkey")
@@ -94,15 +94,25 @@ _RECORDS_SQL = f"""SELECT id, coalesce({_first('lower(' + _BOTH + ')', {'metric'
  round(least(greatest(coalesce({_case('relation', V.BASE_SCORES)}, 2.0) + coalesce({_case(_LABEL, V.TOPOLOGY_BONUS)}, 0.0) + coalesce({_case(_PAIR, {'|'.join(sorted(k)): v for k, v in V.PAIR_BONUS.items()})}, 0.5), 1.0), 5.0)::DOUBLE, 6) AS theory,
  CASE WHEN score <= 1.3 THEN 'easy' WHEN score <= 3.1 THEN 'medium' ELSE 'hard' END AS scored_level, {_LABEL} AS label, {_TYPE('type2')} AS type,
  coalesce(nullif(subtype, ''), {_first('answer', {'within': ['包含', '位于...内'], 'disjoint': ['相离', '不包含'], 'adjacent': ['相邻', '接壤'], 'overlap': ['重叠']})}, 'disjoint') AS filled,
- CASE WHEN lat1 >= 42 THEN CASE WHEN lon1 >= 118 THEN '东北' ELSE '西北' END WHEN lon1 < 97 THEN '西部' WHEN lat1 >= 34 THEN '华北' WHEN lat1 >= 27 THEN CASE WHEN lon1 >= 114 THEN '华东' ELSE '华中' END ELSE '华南' END AS region,
+ CASE WHEN lon1 < 105 AND lat1 < 35 THEN '西南' WHEN lon1 < 105 THEN '西北'
+  WHEN lon1 < 110 AND lat1 > 42 THEN '西北' WHEN lon1 < 110 AND lat1 > 35 THEN '华北' WHEN lon1 < 110 THEN '西南'
+  WHEN lon1 < 122 AND lat1 > 42 THEN '东北' WHEN lon1 < 122 AND lat1 > 35 THEN '华北' WHEN lon1 < 115 THEN '华中'
+  WHEN lon1 < 122 AND lat1 > 28 THEN '华东' WHEN lon1 < 122 THEN '东南' WHEN lat1 > 42 THEN '东北' WHEN lat1 > 30 THEN '华东' ELSE '东南' END AS region,
  array_to_string(list_sort(list_distinct(list_filter(list_concat([name1, name2], list_filter({_list(V.TOKEN_WORDS)}, lambda w: contains({_BOTH}, w))), lambda x: x IS NOT NULL)))[1:8], ',') AS tokens,
  round(CASE WHEN id % 2 = 0 THEN score ELSE round_even(least(greatest(coalesce({_case('difficulty', V.LEVEL_BASE)}, 2.75) + 0.5 * (coalesce({_case('relation', V.BASE_SCORES)}, 2.0) - 1) + 0.3 * coalesce({_case('subtype', V.TOPOLOGY_BONUS)}, 0.0), 1.0), 5.0)::DOUBLE, 1) END, 6) AS made_score
  FROM (SELECT *, (length(question) > 100)::INT + (length(question) > 200)::INT + (length(answer) > 200)::INT + {' + '.join(f"contains(question, '{w}')::INT" for w in V.COMPLEX_WORDS)} AS p FROM records)"""
 
 
+#: The target relation that each relation of the pair table stands for here.
+TARGETS = {
+    "geo.contains": "topological.contains", "geo.touches": "topological.adjacent", "geo.metric": "metric.distance", "geo.direction": "directional.azimuth",
+    "geo.direction_distance": "composite.directional_metric", "geo.intersects": "topological.crosses", "geo.disjoint": "composite.sameside",
+}
+
+
 def prj_pair_names(spark, sf_dir):
     c = F.col
-    rows = frame(spark, sf_dir, "pairs").select(record.short_relation(c("relation"), c("negative")).alias("short"), record.relation_category(c("relation")).alias("category"), record.id_prefix(c("pair_id")).alias("prefix"), record.id_number(c("pair_id")).alias("number"))
+    rows = frame(spark, sf_dir, "pairs").select(record.short_relation(c("relation"), c("negative")).alias("short"), record.relation_category(T.lookup(c("relation"), TARGETS)).alias("category"), record.id_prefix(c("pair_id")).alias("prefix"), record.id_number(c("pair_id")).alias("number"))
     return rows.groupBy("short", "category", "prefix").agg(F.count("*").alias("n"), F.max("number").alias("most"))
 
 
@@ -120,7 +130,7 @@ def str_extract(spark, sf_dir):
     return rows.select(
         "id", T.distance_in_text(a).alias("km"), T.distance_with_unit(a).alias("km_unit"), T.first_number(q).alias("number"), F.size(T.numbers(q)).cast("long").alias("numbers"),
         T.first_word(a, V.PARTIAL_FIRST).alias("direction"), T.has_coordinates(q).alias("placed"), T.without_bias(q).alias("rewritten"), T.strip_stop(F.concat(a, F.lit("。."))).alias("stripped"),
-        F.array_join(F.slice(T.char_ngrams(a, 2), 1, 5), "|").alias("grams"), T.longest_prefix(F.col("name1"), q).alias("prefix"), T.span(F.col("name2"), q)["char_start"].alias("start"),
+        F.array_join(T.char_ngrams(a, 2), "|").alias("grams"), T.longest_prefix(F.col("name1"), q).alias("prefix"), T.span(F.col("name2"), q)["char_start"].alias("start"),
         F.array_join(T.name_variants(F.concat("name1", F.lit("市")), {"城市1市": ["一城"]}), ",").alias("variants"), T.pair_key(F.array_compact(F.array("name1", "name2"))).alias("pair"),
     )
 
@@ -135,7 +145,7 @@ _STR_SQL = f"""SELECT id, coalesce({', '.join(f"TRY_CAST(nullif(regexp_extract(a
  coalesce({', '.join(f"TRY_CAST(nullif(regexp_extract(answer, '{p}', 1), '') AS DOUBLE) * {k}" for p, k in V.UNIT_PATTERNS)}) AS km_unit,
  {_number('question')} AS number, len(regexp_extract_all(question, '\\d+(?:\\.\\d+)?'))::BIGINT AS numbers, {_word('answer', V.PARTIAL_FIRST)} AS direction,
  regexp_matches(question, '{'|'.join('(?:' + p + ')' for p in V.COORDINATE_PATTERNS)}') AS placed, {_rules_sql('question')} AS rewritten, regexp_replace(concat(answer, '。.'), '[。.]+$', '') AS stripped,
- array_to_string(list_transform(range(1, least(length(answer), 6)::BIGINT), lambda i: substr(answer, i, 2)), '|') AS grams,
+ array_to_string(list_transform(range(1, greatest(length(answer), 1)::BIGINT), lambda i: substr(answer, i, 2)), '|') AS grams,
  (SELECT max(p) FROM (SELECT substr(name1, 1, k) AS p FROM (SELECT unnest(range(1, length(name1) + 1)) AS k)) WHERE contains(question, p)) AS prefix,
  CASE WHEN name2 IS NOT NULL AND instr(question, name2) > 0 THEN instr(question, name2) - 1 END AS start,
  CASE WHEN name1 = '城市1' THEN '城市1市,一城,城市1' ELSE concat(name1, '市,', name1) END AS variants,
@@ -176,12 +186,12 @@ ORACLES = {
     "geo_compatible_words": f"""WITH w AS (SELECT unnest({_W20}) AS x), m AS (SELECT x, {_MAIN('x')} AS k FROM w)
         SELECT a.x AS one, b.x AS two, least(abs(a.k - b.k), 8 - abs(a.k - b.k)) <= 1 AS ok FROM m a CROSS JOIN m b""",
     "geo_points_in_boxes": sql(
-        """WITH b AS (SELECT s_suppkey, 73.033 + (s_suppkey * 41 % 600)::DOUBLE / 10 AS x, 18.033 + (s_suppkey * 29 % 340)::DOUBLE / 10 AS y FROM supplier WHERE s_suppkey % 5 = 0)
+        """WITH b AS (SELECT s_suppkey, 73.033 + (s_suppkey * 41 % 600)::DOUBLE / 10 AS x, 18.033 + (s_suppkey * 29 % 340)::DOUBLE / 10 AS y FROM supplier)
         SELECT entity_id, s_suppkey FROM entities, b WHERE lon > x AND lon < x + 2.5 AND lat > y AND lat < y + 1.5""", "entities"),
     "prj_records": sql(_RECORDS_SQL, "records"),
     "prj_pair_names": sql(
         """SELECT CASE WHEN negative THEN concat('negative_', split_part(relation, '.', 2)) ELSE split_part(relation, '.', 2) END AS short,
-        CASE WHEN contains(relation, '_') THEN 'composite' WHEN contains(relation, 'direction') THEN 'directional' WHEN regexp_matches(relation, 'contains|touches|disjoint') THEN 'topological' WHEN contains(relation, 'metric') THEN 'metric' ELSE 'unknown' END AS category,
+        CASE relation WHEN 'geo.contains' THEN 'C1' WHEN 'geo.touches' THEN 'C2' WHEN 'geo.metric' THEN 'metric' WHEN 'geo.disjoint' THEN 'C4' WHEN 'geo.intersects' THEN 'unknown' ELSE 'directional' END AS category,
         split_part(pair_id, '_', 1) AS prefix, count(*) AS n, max(split_part(pair_id, '_', 3)::BIGINT) AS most FROM pairs GROUP BY ALL""", "pairs"),
     "prj_renumber": sql("SELECT entity_id, format('{}_{:04d}', lower(type), row_number() OVER (PARTITION BY type ORDER BY entity_id)) AS new_id FROM entities", "entities"),
     "str_extract": sql(_STR_SQL, "records"),

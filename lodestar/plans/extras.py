@@ -12,15 +12,15 @@ from lodestar.plans.base import frame, sql
 
 
 def geo_box_predicates(spark, sf_dir):
-    """Topological predicates between two boxes of every fifth order key, on whole-number corners."""
+    """Topological predicates between two boxes of every order key, on whole-number corners."""
     x = lambda k, m: (F.col("k") * k % m).cast("double")
-    k = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 5000).alias("k")).distinct()
+    k = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).distinct()
     a = geo.box_ring(x(7, 9), x(5, 8), x(7, 9) + 1 + x(3, 5), x(5, 8) + 1 + x(11, 4))
     b = geo.box_ring(x(13, 10), x(17, 7), x(13, 10) + 1 + x(19, 6), x(17, 7) + 1 + x(23, 5))
     rows = k.select("k", a.alias("a"), b.alias("b"))
     a, b = F.col("a"), F.col("b")
-    line = F.array(F.get("a", F.lit(0)), F.get("a", F.lit(2)))
-    return rows.select("k", polygon.disjoint(a, b).alias("apart"), polygon.touches(a, b).alias("touches"), polygon.contains(a, b).alias("contains"), polygon.contains(b, a).alias("within"), polygon.n_points(F.array(a, b)).alias("points"), F.size(line).alias("line"))
+    rings = F.when(F.col("k") % 3 == 0, F.array(a)).otherwise(F.array(a, b))
+    return rows.select("k", polygon.disjoint(a, b).alias("apart"), polygon.touches(a, b).alias("touches"), polygon.contains(a, b).alias("contains"), polygon.contains(b, a).alias("within"), polygon.n_points(rings).alias("points"), polygon.contains_centroid(a, b).alias("centre"))
 
 
 def geo_answers(spark, sf_dir):
@@ -129,9 +129,9 @@ _INFER = "CASE WHEN {m} THEN 'metric' WHEN {t} THEN 'topological' WHEN {d} THEN
     **{k: "(" + " OR ".join(f"contains(concat(question, ' ', answer), '{w}')" for w in words) + ")" for k, words in (("m", V.INFER_METRIC), ("t", V.INFER_TOPOLOGY), ("d", V.INFER_DIRECTION))}
 )
 ORACLES = {
-    "geo_box_predicates": """WITH k AS (SELECT DISTINCT o_orderkey % 5000 AS k FROM orders), x AS (SELECT k, k*7%9 AS a0, k*5%8 AS b0, k*7%9+1+k*3%5 AS a1, k*5%8+1+k*11%4 AS b1, k*13%10 AS c0, k*17%7 AS d0, k*13%10+1+k*19%6 AS c1, k*17%7+1+k*23%5 AS d1 FROM k)
+    "geo_box_predicates": """WITH k AS (SELECT DISTINCT o_orderkey AS k FROM orders), x AS (SELECT k, k*7%9 AS a0, k*5%8 AS b0, k*7%9+1+k*3%5 AS a1, k*5%8+1+k*11%4 AS b1, k*13%10 AS c0, k*17%7 AS d0, k*13%10+1+k*19%6 AS c1, k*17%7+1+k*23%5 AS d1 FROM k)
         SELECT k, a1 < c0 OR c1 < a0 OR b1 < d0 OR d1 < b0 AS apart, NOT (a1 < c0 OR c1 < a0 OR b1 < d0 OR d1 < b0) AND (a1 = c0 OR c1 = a0 OR b1 = d0 OR d1 = b0) AS touches,
-        a0 <= c0 AND a1 >= c1 AND b0 <= d0 AND b1 >= d1 AS contains, c0 <= a0 AND c1 >= a1 AND d0 <= b0 AND d1 >= b1 AS within, 10 AS points, 2 AS line FROM x""",
+        a0 <= c0 AND a1 >= c1 AND b0 <= d0 AND b1 >= d1 AS contains, c0 <= a0 AND c1 >= a1 AND d0 <= b0 AND d1 >= b1 AS within, CASE WHEN k % 3 = 0 THEN 5 ELSE 10 END AS points, (c0 + c1) / 2 > a0 AND (c0 + c1) / 2 < a1 AND (d0 + d1) / 2 > b0 AND (d0 + d1) / 2 < b1 AS centre FROM x""",
     "geo_answers": sql(f"""WITH r AS (SELECT *, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2) AS h,
         coalesce(TRY_CAST(nullif(regexp_extract(answer, '约(\\d+\\.?\\d*)\\s*公里', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(answer, '(\\d+\\.?\\d*)\\s*公里', 1), '') AS DOUBLE)) AS stated FROM records WHERE lon1 <> lon2 AND lat1 <> lat2), s AS (SELECT *, 12742 * atan2(sqrt(h), sqrt(1 - h)) AS km FROM r)
         SELECT {_D8}[{_PB.format('lon1 - lon2', 'lat1 - lat2')}] AS seen_from_second, {_D8}[{_PB.format('lon2 - lon1', 'lat2 - lat1')}] AS seen_from_first, count(*) AS n, count(*) FILTER (WHERE abs(stated - km) <= km * 0.10) AS within_tenth, count(*) FILTER (WHERE abs(stated - km) <= 50) AS within_50 FROM s GROUP BY ALL""", "records"),

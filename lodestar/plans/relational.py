@@ -152,7 +152,7 @@ def join_listed_names(spark, sf_dir):
 
 def join_other_parent(spark, sf_dir):
     """Nations with entities of another parent at most one degree of latitude away, by bucketed band join per segment."""
-    e = frame(spark, sf_dir, "entities").where("entity_id % 3 = 0")
+    e = frame(spark, sf_dir, "entities")
     a = e.select("type", F.col("entity_id").alias("a"), F.col("parent").alias("pa"), F.col("lat").alias("la"))
     b = e.select("type", F.col("entity_id").alias("b"), F.col("parent").alias("pb"), F.col("lat").alias("lb"))
     near = joins.within_band(a, b, "type", 0.5, "la", "lb").where("pa <> pb and a < b")
@@ -236,7 +236,7 @@ ORACLES = {
     "join_overlay": sql("""SELECT CASE WHEN entity_id % 4 = 1 THEN 'new' ELSE coalesce(geom, 'none') END AS what, count(*) AS n FROM entities GROUP BY 1 UNION ALL
         SELECT CASE WHEN e.entity_id IS NULL THEN 'not_found' WHEN e.geom IS NOT DISTINCT FROM f.old THEN 'fixed' ELSE 'mismatch' END, count(*) FROM (VALUES (1, 'g'), (3, 'g'), (4, 'x'), (-5, 'g')) f(id, old) LEFT JOIN entities e ON e.entity_id = f.id GROUP BY 1 UNION ALL SELECT 'set', count(*) FROM entities WHERE entity_id = 1""", "entities"),
     "join_listed_names": sql("SELECT n_nationkey, count(*) AS edges, count(DISTINCT entity_id) AS entities FROM (SELECT n_nationkey, concat('E', n_nationkey * 7 + unnest([1, 2, 3, 4])) AS name FROM nation) JOIN entities USING (name) GROUP BY 1", "entities"),
-    "join_other_parent": sql("WITH e AS (SELECT * FROM entities WHERE entity_id % 3 = 0) SELECT x.type, count(*) AS n, sum(x.entity_id + y.entity_id)::BIGINT AS ids FROM e x JOIN e y ON x.type = y.type AND abs(x.lat - y.lat) <= 0.5 AND x.parent <> y.parent AND x.entity_id < y.entity_id GROUP BY 1", "entities"),
+    "join_other_parent": sql("WITH e AS (SELECT * FROM entities) SELECT x.type, count(*) AS n, sum(x.entity_id + y.entity_id)::BIGINT AS ids FROM e x JOIN e y ON x.type = y.type AND abs(x.lat - y.lat) <= 0.5 AND x.parent <> y.parent AND x.entity_id < y.entity_id GROUP BY 1", "entities"),
     "win_first": "SELECT l_orderkey % 1000 AS k, l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey % 1000) AS copies FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey % 1000 ORDER BY l_orderkey, l_linenumber) = 1",
     "win_shares": """WITH c AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) SELECT c_mktsegment, n, round(n / sum(n) OVER (), 6) AS share, round(sum(n) OVER (ORDER BY n DESC, c_mktsegment ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 6) AS running,
         lead(n) OVER (ORDER BY n DESC, c_mktsegment) - n AS gap, ntile(2) OVER (ORDER BY n DESC, c_mktsegment) AS half FROM c""",

@@ -132,6 +132,14 @@ def _bleu_sql() -> str:
     )
 
 
+def _bleu_groups_sql() -> str:
+    rows = _bleu_sql()
+    at = rows.rindex("SELECT id,\n")
+    plain = """SELECT id, coalesce(CASE WHEN min(p) > 0 THEN exp(avg(ln(greatest(p, 1e-300)))) * CASE WHEN any_value(c) <= any_value(r) THEN exp(1 - any_value(r) / nullif(any_value(c), 0)) ELSE 1 END END, 0) AS v2,
+        CASE WHEN min(p) > 0 THEN exp(avg(ln(greatest(p, 1e-300)))) ELSE avg(p) END AS v0 FROM prec GROUP BY id"""
+    return f"{rows[:at].rstrip()}, per AS ({plain}) SELECT {_SCOPE}, count(*) AS total, round(avg(v2), 6) AS bleu4, round(avg(v0), 6) AS bleu_plain FROM answers JOIN per USING (id) {_SETS}"
+
+
 def ev_rouge_l(spark, sf_dir):
     rows = _answers(spark, sf_dir).withColumn("rouge", arrow.rouge_l("prediction", "reference"))
     return _rounded(rows.groupBy("spatial_type").agg(F.count("*").alias("n"), F.avg("rouge").alias("rouge_l")), "rouge_l")
@@ -201,11 +209,65 @@ def ev_regression_study(spark, sf_dir):
 
 
 def _loose_sql(p: str) -> str:
-    r = "reference"
+    p, r = f"lower(trim({p}))", "lower(trim(reference))"
     shared = "(" + " OR ".join(f"(contains({r}, '{w}') AND contains({p}, '{w}'))" for w in "东西南北") + ")"
-    near = lambda s: f"coalesce(abs({_number(p)} - {_number(r)}) <= {_number(r)} * {s}, false)"
-    neg = lambda c: _any(c, ["不", "否", "没有"])
-    return f"CASE spatial_type WHEN 'directional' THEN {shared} WHEN 'metric' THEN {near(0.10)} WHEN 'composite' THEN {shared} AND {near(0.15)} ELSE {neg(p)} = {neg(r)} END"
+    near = lambda s: f"coalesce(abs({_number(p)} - {_number(r)}) / nullif({_number(r)}, 0) <= {s}, false)"
+    yes, no, by = (f"({_any(p, w)} AND {_any(r, w)})" for w in (["是", "位于", "属于"], ["否", "不"], ["相邻", "接壤"]))
+    return f"CASE spatial_type WHEN 'directional' THEN {shared} WHEN 'metric' THEN {near(0.10)} WHEN 'composite' THEN {shared} AND {near(0.15)} WHEN 'topological' THEN {yes} OR {no} OR {by} ELSE false END"
+
+
+def ev_tuning_study(spark, sf_dir):
+    """Before and after by the study's correctness: regressed, improved, both, neither, by type and difficulty."""
+    k, r = F.col("spatial_type"), F.col("reference")
+    before, after = (F.coalesce(score.study_correct(k, F.col(c), r), F.lit(False)) for c in ("prediction", "other"))
+    change = F.when(before & ~after, "regressed").when(~before & after, "improved").when(before, "both_right").otherwise("both_wrong")
+    return _answers(spark, sf_dir).groupBy(k, "difficulty", change.alias("change")).agg(F.count("*").alias("n"))
+
+
+def _study_sql(p: str) -> str:
+    shared = lambda words: "(" + " OR ".join(f"(contains(reference, '{w}') AND contains({p}, '{w}'))" for w in words) + ")"
+    near = f"(SELECT coalesce(bool_or(abs(a::BIGINT - b::BIGINT) < 50), false) FROM (SELECT unnest(regexp_extract_all(reference, '\\d+')) AS a), (SELECT unnest(regexp_extract_all({p}, '\\d+')) AS b))"
+    return f"lower(trim({p})) = lower(trim(reference)) OR CASE spatial_type WHEN 'directional' THEN {shared('东西南北')} WHEN 'metric' THEN {near} WHEN 'topological' THEN {shared(['内部', '包含', '相邻', '独立', '交叉', '边界'])} ELSE false END"
+
+
+def ev_bleu_groups(spark, sf_dir):
+    """BLEU overall, by type and by difficulty, in one aggregate."""
+    a = _answers(spark, sf_dir).withColumns({"a": score.bleu(F.col("prediction"), F.col("reference")), "b": score.bleu_plain(F.col("prediction"), F.col("reference"))})
+    out = a.groupingSets([[], [F.col("spatial_type")], [F.col("difficulty")]], F.col("spatial_type"), F.col("difficulty")).agg(F.grouping_id().alias("g"), F.count("*").alias("total"), F.round(F.avg("a"), 6).alias("bleu4"), F.round(F.avg("b"), 6).alias("bleu_plain"))
+    scope = F.when(F.col("g") == 3, "overall").when(F.col("g") == 1, "spatial_type").otherwise("difficulty")
+    return out.select(scope.alias("scope"), F.coalesce("spatial_type", "difficulty", F.lit("all")).alias("grp"), "total", "bleu4", "bleu_plain")
+
+
+def ev_older_scorers(spark, sf_dir):
+    """The earliest scorers and the first parser, row by row."""
+    p, r, kind = F.col("prediction"), F.col("reference"), F.col("spatial_type")
+    asked = F.when(kind == "directional", "direction").when(kind == "topological", "topology").when(kind == "metric", "distance").otherwise("auto")
+    reply = F.when(F.col("id") % 5 == 0, F.concat(F.lit('```json\n{"answer": "'), p, F.lit('"}\n```'))).when(F.col("id") % 5 == 1, F.lit('so {"x": [1, 2]} it is')).when(F.col("id") % 5 == 2, F.lit("{no json}")).otherwise(p)
+    return _answers(spark, sf_dir).select(
+        "id", F.round(score.spatial_f1(p, r), 6).alias("spatial_f1"), score.direction_flexible(p, r).alias("flexible"), score.parsed_direction(p).alias("direction"),
+        score.parsed_topology(p).alias("topology"), F.round(score.parsed_km(p), 6).alias("km"), score.parsed_match(asked, p, r).alias("matched"), score.answer_shown(reply).alias("shown"),
+    )
+
+
+def _older_sql() -> str:
+    words = V.SPATIAL_WORDS
+    tp, sp, sr = _tp(words), _size("prediction", words), _size("reference", words)
+    strip = lambda c: f"regexp_replace(trim({c}), '[。.]+$', '')"
+    word = _word("replace(fr, '方向', '')", V.FLEXIBLE_DIRECTIONS)
+    longer = " OR ".join(f"(contains('{d}', w) AND contains(fp, '{d}'))" for d in V.FLEXIBLE_DIRECTIONS[:8])
+    dirs = lambda c: _first(f"lower(trim({c}))", V.PARSER_DIRECTIONS)
+    topo = lambda c: _first(f"lower(trim({c}))", V.PARSER_TOPOLOGY)
+    km = lambda c: "coalesce(" + ", ".join(f"TRY_CAST(nullif(regexp_extract(lower({c}), '(\\d+(?:\\.\\d+)?)\\s*{u}', 1), '') AS DOUBLE) * {k}" for u, k in (("公里", 1), ("千米", 1), ("km", 1), ("米", 0.001), ("m", 0.001))) + ")"
+    return sql(
+        f"""WITH x AS (SELECT *, {tp} AS tp, {sp} AS sp, {sr} AS sr, {strip('prediction')} AS fp, {strip('reference')} AS fr, {dirs('prediction')} AS dp, {dirs('reference')} AS dr,
+        {topo('prediction')} AS tpp, {topo('reference')} AS tr, {km('prediction')} AS kp, {km('reference')} AS kr FROM answers), y AS (SELECT *, {word} AS w,
+        CASE spatial_type WHEN 'directional' THEN 'd' WHEN 'topological' THEN 't' WHEN 'metric' THEN 'm' ELSE CASE WHEN dr IS NOT NULL THEN 'd' WHEN tr IS NOT NULL THEN 't' WHEN kr > 0 THEN 'm' ELSE 'x' END END AS k FROM x)
+        SELECT id, round(CASE WHEN sp + sr = 0 THEN 1.0 ELSE 2.0 * tp / (sp + sr) END, 6) AS spatial_f1,
+        contains(fp, fr) OR coalesce(contains(fp, w) AND (length(w) = 2 OR NOT ({longer})), false) AS flexible, dp AS direction, tpp AS topology, round(kp, 6) AS km,
+        coalesce(CASE k WHEN 'd' THEN dp = dr WHEN 't' THEN tpp = tr WHEN 'm' THEN kr > 0 AND kp > 0 AND abs(kp - kr) <= greatest(kr * 0.05, 1.0) ELSE lower(trim(prediction)) = lower(trim(reference)) END, false) AND length(prediction) > 0 AND length(reference) > 0 AS matched,
+        id % 5 < 2 OR (id % 5 > 2 AND {_any('prediction', V.ANSWER_WORDS)}) AS shown FROM y""",
+        "answers",
+    )
 
 
 def ev_default_answers(spark, sf_dir):
@@ -246,8 +308,8 @@ def ev_judge_reply(spark, sf_dir):
 
 
 def ev_token_similarity(spark, sf_dir):
-    """Best-match similarity between the vectors of two halves of each label, of ten tokens a side."""
-    e = frame(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"), F.col("label").alias("id"))
+    """Best-match similarity between two sides of texts of twenty tokens each, over all vectors."""
+    e = frame(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"), F.floor(F.col("vec_id") / 20).alias("id"))
     pairs = e.select("id", F.when(F.col("token") % 2 == 0, "p").otherwise("r").alias("side"), "token")
     return _rounded(evaluate.token_similarity(pairs, e.select("token", "vector")), "precision", "recall", "f1")
 
@@ -256,7 +318,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ev_accuracy, ev_accuracy_v1, ev_bleu4, ev_rouge_l, ev_keyword_f1_macro, ev_reasoning, ev_error_types, ev_containment, ev_agreement, ev_head_to_head,
-        ev_regression_study, ev_default_answers, ev_direction_breakdown, ev_self_check, ev_leaderboard, ev_metric_diff, ev_judge_reply, ev_token_similarity,
+        ev_regression_study, ev_tuning_study, ev_bleu_groups, ev_older_scorers, ev_default_answers, ev_direction_breakdown, ev_self_check, ev_leaderboard, ev_metric_diff, ev_judge_reply, ev_token_similarity,
     )
 }
 
@@ -286,6 +348,11 @@ ORACLES = {
     "ev_regression_study": sql(
         f"""WITH s AS (SELECT spatial_type, difficulty, coalesce({_loose_sql('prediction')}, false) AS a, coalesce({_loose_sql('other')}, false) AS b FROM answers)
         SELECT spatial_type, difficulty, CASE WHEN a AND NOT b THEN 'regressed' WHEN b AND NOT a THEN 'improved' WHEN a THEN 'both_right' ELSE 'both_wrong' END AS change, count(*) AS n FROM s GROUP BY ALL""", "answers"),
+    "ev_tuning_study": sql(
+        f"""WITH s AS (SELECT spatial_type, difficulty, coalesce({_study_sql('prediction')}, false) AS a, coalesce({_study_sql('other')}, false) AS b FROM answers)
+        SELECT spatial_type, difficulty, CASE WHEN a AND NOT b THEN 'regressed' WHEN b AND NOT a THEN 'improved' WHEN a THEN 'both_right' ELSE 'both_wrong' END AS change, count(*) AS n FROM s GROUP BY ALL""", "answers"),
+    "ev_bleu_groups": _bleu_groups_sql(),
+    "ev_older_scorers": _older_sql(),
     "ev_default_answers": sql(
         """WITH c AS (SELECT model, prediction, count(*) AS n FROM answers GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY n DESC, prediction) AS rank, round(n / sum(n) OVER (PARTITION BY model), 6) AS share FROM c)
         SELECT * FROM r WHERE rank <= 5""", "answers"),
@@ -298,7 +365,7 @@ ORACLES = {
         f"""WITH s AS (SELECT spatial_type, avg(({_OK('prediction')})::INT) AS a, avg(({_OK('other')})::INT) AS b FROM answers GROUP BY ALL)
         SELECT spatial_type, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS difference, round((b - a) / nullif(abs(a), 0), 6) AS relative FROM s""", "answers"),
     "ev_judge_reply": sql("SELECT id, CASE WHEN id % 3 < 2 THEN id % 5 + 1 ELSE 3 END AS accuracy, 3 AS completeness, CASE WHEN id % 3 = 0 THEN 4 ELSE 3 END AS clarity FROM answers", "answers"),
-    "ev_token_similarity": """WITH t AS (SELECT label AS id, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 200),
+    "ev_token_similarity": """WITH t AS (SELECT vec_id // 20 AS id, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
         c AS (SELECT p.id, p.vec_id AS pt, r.vec_id AS rt, list_cosine_similarity(p.v, r.v) AS s FROM t p JOIN t r ON p.id = r.id AND p.vec_id % 2 = 0 AND r.vec_id % 2 = 1),
         a AS (SELECT id, avg(m) AS p FROM (SELECT id, pt, max(s) AS m FROM c GROUP BY ALL) GROUP BY id), b AS (SELECT id, avg(m) AS r FROM (SELECT id, rt, max(s) AS m FROM c GROUP BY ALL) GROUP BY id)
         SELECT id, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM a JOIN b USING (id)""",
