@@ -77,3 +77,42 @@ def supplement(candidates: DataFrame, taken: DataFrame, id_col: str, pair_col: s
     """Rows that fill each group's deficit without an id or pair that is taken. deficits: key and a column quota."""
     free = candidates.join(taken.select(pair_col).distinct(), pair_col, "left_anti").join(taken.select(id_col), id_col, "left_anti").select(candidates.columns)
     return quota_sample(free, [key], deficits, id_col, seed)
+
+
+def fixed_split(df: DataFrame, keys: list[str], sizes: tuple[int, int, int], id_col: str = "id", seed: int | str = 42) -> DataFrame:
+    """Split of fixed sizes within each group: each part gets its share of the group, at least one row; if that is more than
+    the group has, the first two shrink in proportion and the third takes the rest. Rows beyond the parts get null."""
+    n, r, total = F.count("*").over(W.partitionBy(*keys)), _rank(keys, id_col, seed), sum(sizes)
+    a, b, c = (F.greatest(F.lit(1), F.floor(n * (s / total) + 1e-9)) for s in sizes)
+    over = (a + b + c) > n
+    less = lambda x: F.greatest(F.lit(1), F.floor(x * n / (a + b + c) + 1e-9))
+    train, dev = F.when(over, less(a)).otherwise(a), F.when(over, less(b)).otherwise(b)
+    test = F.when(over, n - train - dev).otherwise(c)
+    label = F.when(r <= train, "train").when(r <= train + dev, "dev").when(r <= train + dev + test, "test")
+    return df.withColumn("split", label)
+
+
+def level_quotas(total: int, shares: dict[str, float]) -> dict[str, int]:
+    """Whole quotas by level; the last level takes what remains."""
+    names = list(shares)
+    quotas = {k: int(total * shares[k]) for k in names[:-1]}
+    return quotas | {names[-1]: total - sum(quotas.values())}
+
+
+def by_level(df: DataFrame, level: str, total: int, shares: dict[str, float], id_col: str = "id", seed: int | str = 42) -> DataFrame:
+    """At most each level's quota of rows; all of a level that has fewer; other levels give none."""
+    quota = F.lit(0)
+    for name, n in level_quotas(total, shares).items():
+        quota = F.when(F.col(level) == name, n).otherwise(quota)
+    return df.withColumn("rank", _rank([level], id_col, seed)).where(F.col("rank") <= quota)
+
+
+def levels_by_rank(df: DataFrame, keys: list[str], bands: list[tuple[float, str, float, float]], id_col: str = "id", seed: int | str = 42) -> DataFrame:
+    """A level by place in the group's hash order, and a score drawn evenly from the level's range; bands: (share of the
+    group up to which the band reaches, level, least score, greatest score)."""
+    share = (_rank(keys, id_col, seed) - 0.5) / F.count("*").over(W.partitionBy(*keys))
+    u, level, score = unit(id_col, f"{seed} score"), F.lit(None).cast("string"), F.lit(None).cast("double")
+    for upto, name, low, high in reversed(bands):
+        level = F.when(F.col("share") < upto, name).otherwise(level)
+        score = F.when(F.col("share") < upto, F.round(low + u * (high - low), 2)).otherwise(score)
+    return df.withColumn("share", share).withColumns({"level": level, "score": score}).drop("share")
