@@ -106,9 +106,10 @@ def contains_centroid(one: Column, two: Column) -> Column:
 
 
 def line_crosses(line: Column, ring: Column) -> Column:
-    """A line (array of points) has points strictly inside and outside the ring."""
+    """A line (array of points) has points strictly inside and outside the ring: it crosses an edge properly, or its own
+    points lie on both sides."""
     out = lambda p: ~in_ring(p["x"], p["y"], ring) & ~on_boundary(p, ring)
-    return rings_cross(line, ring) & F.exists(line, out)
+    return rings_cross(line, ring) | (F.exists(line, out) & F.exists(line, lambda p: strictly_in(p, ring)))
 
 
 def n_points(rings: Column) -> Column:

@@ -52,15 +52,31 @@ def bernoulli(df: DataFrame, shares: dict[str, float], id_col: str, out: str, se
     return df.withColumn(out, label)
 
 
-def ratio_split(df: DataFrame, keys: list[str], ratios: tuple[float, float] = (0.8, 0.1), id_col: str = "id", seed: int | str = 42) -> DataFrame:
-    """Exact split within each group: floors of the first two ratios, the rest is test. With no keys the whole is one group.
+def ranked(df: DataFrame, keys: list[str], id_col: str, seed: int | str, rank: str, size: str) -> DataFrame:
+    """df with each row's rank in its group's hash order, from 1, and the group's size.
 
-    A group is ranked in one window; where a group may be a large part of the data use hash_split.
+    A group is cut into 256 parts by the first digits of the hash; rows are ranked within a part, and the parts' sizes, at
+    most 256 rows a group, are added up. So a group that is a large part of the data, or the whole of it if there are no keys,
+    is ranked by many tasks.
     """
-    n = F.count("*").over(W.partitionBy(*keys))
-    r = _rank(keys, id_col, seed)
+    order, names = det_order(id_col, seed), [f"{rank} {k}" for k in ("order", "part", "before")]
+    placed = df.withColumn(names[0], order).withColumn(names[1], F.substring(F.col(names[0]), 1, 2))
+    on = [*keys, names[1]]
+    sizes = placed.groupBy(*[F.col(f"`{c}`") for c in on]).agg(F.count("*").alias("n"))
+    group = W.partitionBy(*[F.col(f"`{c}`") for c in keys])
+    sums = sizes.select(*[F.col(f"`{c}`").alias(f"{rank} {i}") for i, c in enumerate(on)], (F.sum("n").over(group.orderBy(F.col(f"`{names[1]}`"))) - F.col("n")).alias(names[2]), F.sum("n").over(group).alias(size))
+    match = [F.col(f"`{c}`").eqNullSafe(F.col(f"`{rank} {i}`")) for i, c in enumerate(on)]
+    within = W.partitionBy(*[F.col(f"`{c}`") for c in on]).orderBy(F.col(f"`{names[0]}`"), F.col(f"`{id_col}`"))
+    joined = placed.join(sums, match)
+    return joined.withColumn(rank, F.col(f"`{names[2]}`") + F.row_number().over(within)).select(*[F.col(f"`{c}`") for c in df.columns], rank, size)
+
+
+def ratio_split(df: DataFrame, keys: list[str], ratios: tuple[float, float] = (0.8, 0.1), id_col: str = "id", seed: int | str = 42) -> DataFrame:
+    """Exact split within each group: floors of the first two ratios, the rest is test. With no keys the whole is one group."""
+    n, r = F.col("split size"), F.col("split rank")
     train, dev = F.floor(n * ratios[0] + 1e-9), F.floor(n * ratios[1] + 1e-9)
-    return df.withColumn("split", F.when(r <= train, "train").when(r <= train + dev, "dev").otherwise("test"))
+    rows = ranked(df, keys, id_col, seed, "split rank", "split size")
+    return rows.withColumn("split", F.when(r <= train, "train").when(r <= train + dev, "dev").otherwise("test")).drop("split rank", "split size")
 
 
 def hash_split(df: DataFrame, ratios: dict[str, float], id_col: str, seed: int | str = 42) -> DataFrame:

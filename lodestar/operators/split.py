@@ -23,19 +23,21 @@ def pair_split_by_rank(df: DataFrame, relation: str, pair: str, ratios: tuple[fl
 
 
 def pair_exclusive_split(
-    df: DataFrame, pair: str, layer: str, id_col: str = "id", targets: dict[str, float] | None = None, cells: int = 64, seed: int = 42
+    df: DataFrame, pair: str, layer: str, id_col: str = "id", targets: dict[str, float] | None = None, cell_pairs: int = 20_000, seed: int = 42
 ) -> DataFrame:
     """Leakage-free split by greedy filling: groups of one pair go whole to the split that is furthest below its target;
     near ties (0.05) go where the split's layer distribution comes closest to that of the cell.
 
-    Pairs are dealt to `cells` by hash, each cell is filled on its own in one grouped task and meets the targets
-    by itself, so the greedy state never spans more than one cell. Rows without a pair follow a hash of their id.
+    Pairs are dealt by hash to cells of about `cell_pairs`, however many there are; each cell is filled on its own in one
+    grouped task and meets the targets by itself, so the greedy state never spans more than one cell. Rows without a pair
+    follow a hash of their id.
     """
     import pandas as pd
 
     targets = targets or {"train": 0.8, "dev": 0.1, "test": 0.1}
     names = list(targets)
     summary = df.where(F.col(pair).isNotNull()).groupBy(pair, layer).agg(F.count("*").alias("n"))
+    cells = max(1, -(-summary.select(pair).distinct().count() // cell_pairs))
     cell = summary.withColumn("cell", F.pmod(F.xxhash64(pair), F.lit(cells)))
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:

@@ -69,7 +69,7 @@ def spl_drift(spark, sf_dir):
 def spl_pair_exclusive(spark, sf_dir):
     """Greedy leakage-free split; reduced to what must hold: sizes, and no pair in two splits."""
     p = frame(spark, sf_dir, "pairs").withColumn("key", F.concat_ws("|", F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string")))
-    s = split.pair_exclusive_split(p, "key", "relation", "pair_id", cells=8)
+    s = split.pair_exclusive_split(p, "key", "relation", "pair_id")
     return s.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("key").alias("pairs"))
 
 

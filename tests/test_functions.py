@@ -118,3 +118,57 @@ def test_records(spark):
     assert one(spark, record.topology_label(F.col("x")), x=" Inside ") == ("within",)
     chain = F.array(F.struct(F.lit(1).alias("step"), F.lit("a").alias("content")))
     assert [s.content for s in one(spark, record.five_steps(chain), x=1)[0]] == ["a", "", "", "", ""]
+
+
+def test_regions(spark):
+    cases = {(100.0, 30.0): "西南", (104.9, 35.0): "西北", (107.0, 43.0): "西北", (107.0, 36.0): "华北", (107.0, 35.0): "西南", (112.0, 43.0): "东北", (112.0, 30.0): "华中", (118.0, 30.0): "华东", (118.0, 28.0): "东南", (122.0, 31.0): "华东", (125.0, 30.0): "东南", (125.0, 45.0): "东北"}
+    rows = spark.createDataFrame(list(cases), "lon double, lat double").select("lon", "lat", record.region_of(F.col("lon"), F.col("lat")).alias("r")).collect()
+    assert {(r.lon, r.lat): r.r for r in rows} == cases
+
+
+def test_relation_given_or_inferred(spark):
+    rows = [("other", None, "x", "y", None), (None, "north_of", "两地同时", "", None), (None, "north_of", "q", "a", "both of them"), (None, "Overlaps", "q", "a", None), (None, "distance", "q", None, None), (None, None, "q", "a", None)]
+    df = spark.createDataFrame(rows, "given string, label string, q string, a string, why string")
+    got = [r[0] for r in df.select(record.relation_or_inferred(*[F.col(c) for c in df.columns])).collect()]
+    assert got == ["other", "composite", "composite", "topological", "metric", "composite"]
+
+
+def test_relation_categories(spark):
+    cases = {"topological.contains": "C1", "topological.touches": "unknown", "topological.adjacent": "C2", "x.directional": "directional", "metric": "metric", "composite.sameside": "C4"}
+    rows = spark.createDataFrame([(k,) for k in cases], "r string").select("r", record.relation_category(F.col("r")).alias("c")).collect()
+    assert {r.r: r.c for r in rows} == cases
+
+
+def test_loose_scorer_needs_a_shared_word_group(spark):
+    rows = [("topological", "分离", "包含", False), ("topological", "它们接壤", "相邻", True), ("topological", "不相邻", "否", True), ("metric", "110公里", "100公里", True), ("metric", "111公里", "100公里", False), ("other", "包含", "包含", False)]
+    df = spark.createDataFrame(rows, "k string, p string, r string, ok boolean")
+    assert all(r[0] == r.ok for r in df.select(score.loosely_correct(F.col("k"), F.col("p"), F.col("r")), "ok").collect())
+
+
+def test_containment_in_a_concave_ring(spark):
+    from lodestar.functions import polygon
+
+    ring = lambda *p: [(float(x), float(y)) for x, y in (*p, p[0])]
+    u = ring((0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6))
+    cases = [
+        (ring((2, 3), (4, 3), (4, 5), (2, 5)), False), (ring((2, 2), (4, 2), (4, 6), (2, 6)), False), (ring((0, 0), (6, 0), (6, 2), (0, 2)), True), (ring((0, 0), (2, 0), (2, 6), (0, 6)), True),
+        (ring((1, 1), (5, 1), (5, 1.5), (1, 1.5)), True), (ring((1, 1), (5, 1), (5, 3), (1, 3)), False), (ring((7, 7), (8, 7), (8, 8)), False), (u, True),
+    ]
+    df = spark.createDataFrame([(u, r, ok) for r, ok in cases], "a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>, ok boolean")
+    assert [(r[0], r[1]) for r in df.select(polygon.contains(F.col("a"), F.col("b")), "ok").collect()] == [(ok, ok) for _, ok in cases]
+    centre = df.select(polygon.contains_centroid(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in centre][:4] == [False, False, True, True]
+    crosses = spark.createDataFrame([([(1.0, 1.0), (9.0, 1.0)], u), ([(1.0, 1.0), (5.0, 1.0)], u), ([(1.0, 4.0), (5.0, 4.0)], u)], "l array<struct<x:double,y:double>>, r array<struct<x:double,y:double>>")
+    assert [r[0] for r in crosses.select(polygon.line_crosses(F.col("l"), F.col("r"))).collect()] == [True, False, True]
+
+
+def test_ranks_of_large_groups(spark):
+    from lodestar.operators import sampling
+
+    df = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("g"))
+    for keys in ([], ["g"]):
+        rows = sampling.ranked(df, keys, "id", 42, "r", "n").collect()
+        plain = df.withColumn("r", sampling._rank(keys, "id", 42)).collect()
+        assert {r.id: r.r for r in rows} == {r.id: r.r for r in plain}
+        sizes = df.groupBy(*keys).count().collect()
+        assert {r.n for r in rows} == {r["count"] for r in sizes}
