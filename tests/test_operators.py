@@ -11,7 +11,7 @@ from lodestar.streaming import adapters
 def test_pair_exclusive_split_has_no_leak_and_meets_targets(spark):
     df = spark.range(4000).select("id", (F.col("id") % 611).cast("string").alias("pair"), (F.col("id") % 3).cast("string").alias("layer"))
     df = df.withColumn("pair", F.when(F.col("id") % 50 > 0, F.col("pair")))
-    out = split.pair_exclusive_split(df, "pair", "layer", cells=2)
+    out = split.pair_exclusive_split(df, "pair", "layer", cell_pairs=200)
     assert split.leakage(out, "pair").count() == 0
     n = {r.split: r.n for r in out.groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert sum(n.values()) == 4000 and abs(n["train"] / 4000 - 0.8) < 0.05
