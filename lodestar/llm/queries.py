@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import embedding_dedup, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_model, quality_rules, toxicity, warc
+from lodestar.llm import alignment, cost_packing, embedding_dedup, fim, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_model, quality_rules, toxicity, warc
 from lodestar.llm.common import table
 
 
@@ -63,6 +63,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each new text and of the text rebuilt from it."""
+    out, output = fim.fill_in_middle(table(spark, sf_dir, "documents")), F.col("output")
+    digests = [F.sha2(output, 256).alias("output_sha256"), F.sha2(fim.restored(output, F.col("form")), 256).alias("restored_sha256")]
+    return out.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest takes the place of the groups before they are stored."""
+    return alignment.align(table(spark, sf_dir, "documents"), derive=lambda c: F.sha2(c, 256)).withColumnRenamed("groups", "groups_sha256")
+
+
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -134,6 +150,28 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM e
 """
 
+OP11_SQL = """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS hex,
+         regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units FROM documents),
+k AS (
+  SELECT *, len(units) AS n, ('0x' || substr(hex, 1, 8))::BIGINT % (len(units) + 1) AS one,
+         ('0x' || substr(hex, 9, 8))::BIGINT % (len(units) + 1) AS two,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR ('0x' || substr(hex, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+              WHEN ('0x' || substr(hex, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT *, coalesce(array_to_string(list_slice(units, 1, least(one, two)), ''), '') AS pre,
+         coalesce(array_to_string(list_slice(units, least(one, two) + 1, greatest(one, two)), ''), '') AS mid,
+         coalesce(array_to_string(list_slice(units, greatest(one, two) + 1, n), ''), '') AS suf FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_lm_scoring": op1_lm_scoring,
@@ -146,10 +184,14 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_cost_packing": op12_cost_packing,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES = {
     "op6_warc": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
