@@ -56,7 +56,7 @@ class Aligner:
             cache["known"] = {}
             cache["vocabularies"] = self.load(a_path, b_path)
         self.known, self.most = cache["known"], most
-        self.a, self.b, self.a_bytes, self.b_bytes, self.a_sizes, self.b_sizes, self.local = cache["vocabularies"]
+        self.a, self.b, self.a_bytes, self.b_bytes, self.a_sizes, self.b_sizes, self.local, self.written = cache["vocabularies"]
 
     @staticmethod
     def load(a_path: str, b_path: str):
@@ -88,64 +88,88 @@ class Aligner:
         local = plain and not any(joins.search(p) for i, p in enumerate(pieces) if not (b.is_byte(i) or b.is_control(i) or b.is_unknown(i)))
         local = local and b.encode("a\n  b") == b.encode("a") + b.encode("a\n  b")[1:]
         sizes = lambda data: np.array([len(x) for x in data], np.int64)
-        return a, b, a_bytes, b_bytes, sizes(a_bytes), sizes(b_bytes), local
+        written = [f"{mark}{i}" for table, marks in ((a_bytes, ";,"), (b_bytes, "|,")) for mark in marks for i in range(len(table))]
+        return a, b, a_bytes, b_bytes, sizes(a_bytes), sizes(b_bytes), local, written
 
     def units(self, text: str) -> list[str]:
         return UNIT.findall(" " + text) if self.local else [" " + text]
 
-    def encode_b(self, units: list[str]) -> list[list[int]]:
-        """B's ids; it adds a space in front itself. A unit that does not begin with one stands behind a letter, whose id is taken off."""
-        plain = [len(u) > 1 and u[0] == " " for u in units]
-        ids = self.b.encode([u[1:] if p else "a" + u for u, p in zip(units, plain, strict=True)], num_threads=1)
-        return [x if p else x[1:] for x, p in zip(ids, plain, strict=True)]
+    def encode_b(self, text: str) -> list[int]:
+        """B's ids; it adds a space in front itself. A text that does not begin with one is put behind a letter, whose id is taken off."""
+        return self.b.encode(text[1:]) if len(text) > 1 and text[0] == " " else self.b.encode("a" + text)[1:]
 
     def learn(self, units: list[str]) -> None:
-        """Aligns the units that are not known: (n_a, n_b, n_groups, groups, linked pairs), or None if the bytes differ."""
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
+        """Aligns the units that are not known: (n_a, n_b, n_groups, groups, linked pairs), or None if the bytes differ.
+
+        New units stand one after another in texts of some thousand characters, which both tokenizers cut between them; only
+        a unit that ends in white space stands alone.
+        """
+        new = [u for u in units if u not in self.known]
         if not new:
             return
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list(dict.fromkeys(units))
-        raw = [u.encode("utf-8", "surrogatepass") for u in new]
-        in_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        in_b = self.encode_b(new)
-        good = [
-            b"".join(map(self.a_bytes.__getitem__, x)) == r and b"".join(map(self.b_bytes.__getitem__, y)) == r for x, y, r in zip(in_a, in_b, raw, strict=True)
-        ]
-        self.known.update((u, None) for u, g in zip(new, good, strict=True) if not g)
-        at = [i for i, g in enumerate(good) if g]
-        if at:
-            found = self.align([in_a[i] for i in at], [in_b[i] for i in at])
-            self.known.update(zip([new[i] for i in at], found, strict=True))
-
-    def align(self, in_a: list[list[int]], in_b: list[list[int]]):
-        """The figures of each unit. All units stand one after another on one line of bytes.
+            new = units
+        together, size = [[]], 0
+        for u in new:
+            alone = not self.local or u[-1].isspace()
+            if alone or size > 8000:
+                together.append([])
+                size = 0
+            together[-1].append(u)
+            size = 8001 if alone else size + len(u)
+        together = [g for g in together if g]
+        texts = ["".join(g) for g in together]
+        in_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        in_b = [self.encode_b(t) for t in texts]
+        good = []
+        for g, t, x, y in zip(together, texts, in_a, in_b, strict=True):
+            raw = t.encode("utf-8", "surrogatepass")
+            if b"".join(map(self.a_bytes.__getitem__, x)) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw:
+                good.append((g, x, y))
+            elif len(g) == 1:
+                self.known[g[0]] = None
+            else:  # some unit of these: one by one
+                for u in g:
+                    ids = self.a.encode(u, add_special_tokens=False).ids, self.encode_b(u)
+                    raw = u.encode("utf-8", "surrogatepass")
+                    if all(b"".join(map(table.__getitem__, i)) == raw for table, i in zip((self.a_bytes, self.b_bytes), ids, strict=True)):
+                        good.append(([u], *ids))
+                    else:
+                        self.known[u] = None
+        if good:
+            done = list(chain.from_iterable(g for g, _, _ in good))
+            flat = (np.fromiter(chain.from_iterable(x[k] for x in good), np.int64) for k in (1, 2))
+            self.known.update(zip(done, self.align(done, *flat), strict=True))
+
+    def align(self, units: list[str], a: np.ndarray, b: np.ndarray):
+        """The figures of each unit, from the ids of all units in order. They stand one after another on one line of bytes.
 
         Every stretch between two neighbouring token ends, of either tokenizer, is the overlap of one token of A and one of B:
         these are the links, the edges of the overlap graph. Its components, by union-find, are the minimal groups.
         """
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (in_a, in_b))
         end_a, end_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        stops = np.cumsum(np.fromiter((len(u) if u.isascii() else len(u.encode("utf-8", "surrogatepass")) for u in units), np.int64, len(units)))
         ends = np.union1d(end_a, end_b)
         link_a, link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         root = union_find(len(a) + len(b), link_a, link_b + len(a))
-        of_a, of_b = root[: len(a)], root[len(a) :]
-        # a component's least node is its first token of A
-        last_a, last_b = np.flatnonzero(np.diff(of_a, append=-1)) + 1, np.flatnonzero(np.diff(of_b, append=-1)) + 1
-        stops_a, stops_b = (np.cumsum([len(x) for x in y]) for y in (in_a, in_b))
-        group_stops, link_stops = np.searchsorted(last_a, stops_a, side="right"), np.searchsorted(link_a, stops_a)
+        # a component's least node is its first token of A; components stand in order
+        first = np.flatnonzero(np.diff(root[: len(a)], prepend=-1))
+        of_a, of_b = (np.searchsorted(first, r) for r in (root[: len(a)], root[len(a) :]))
+        new_a, new_b = np.diff(of_a, prepend=-1) > 0, np.diff(of_b, prepend=-1) > 0
+        # written one after another: ";a" opens a group, "|b" its other side, ",a" and ",b" go on
+        n = len(self.a_bytes)
+        codes = np.concatenate([np.where(new_a, a, a + n), np.where(new_b, b, b + len(self.b_bytes)) + 2 * n])
+        order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), np.concatenate([of_a, of_b])))
+        words = list(map(self.written.__getitem__, codes[order].tolist()))
         pairs = (a[link_a] << 32) | b[link_b]
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        firsts_a, firsts_b = [0, *last_a.tolist()], [0, *last_b.tolist()]
-        groups = [
-            ",".join(text_a[p:q]) + "|" + ",".join(text_b[r:s]) for p, q, r, s in zip(firsts_a, firsts_a[1:], firsts_b, firsts_b[1:], strict=False)
-        ]
-        out, g0, k0 = [], 0, 0
-        for x, y, g, k in zip(in_a, in_b, group_stops.tolist(), link_stops.tolist(), strict=True):
-            out.append((len(x), len(y), g - g0, ";".join(groups[g0:g]), pairs[k0:k]))
-            g0, k0 = g, k
-        return out
+        cuts = [np.searchsorted(e, stops, side="right") for e in (end_a, end_b, ends)] + [np.searchsorted(end_a[np.append(first[1:], len(a)) - 1], stops, side="right")]
+        table = np.diff(np.stack(cuts, axis=1), axis=0, prepend=0)
+        at = (cuts[0] + cuts[1]).tolist()
+        text = ["".join(words[p:q])[1:] for p, q in zip([0, *at], at, strict=False)]
+        at = cuts[2].tolist()
+        own = [pairs[p:q] for p, q in zip([0, *at], at, strict=False)]
+        return zip(*table[:, [0, 1, 3]].T.tolist(), text, own, strict=True)
 
     def block(self, texts: list[str]) -> dict:
         """Figures of each text, and the block's distinct pairs with the number of its texts that hold them.
@@ -153,27 +177,34 @@ class Aligner:
         links: for each text in turn (up to ends), the places of its distinct pairs among the block's, and how often it has them.
         """
         split = [self.units(t) if t else [] for t in texts]
-        self.learn(list(chain.from_iterable(split)))
-        place = {u: i for i, u in enumerate(dict.fromkeys(chain.from_iterable(split)))}
-        facts = [self.known[u] for u in place]
-        bad = np.array([f is None for f in facts], bool)
-        if bad.any():
-            split = [[] if any(bad[place[u]] for u in us) else us for us in split]
-        n_units = np.array([len(us) for us in split], np.int64)
-        codes = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(n_units.sum()))
-        doc = np.repeat(np.arange(len(texts)), n_units)
+        n_units = np.fromiter(map(len, split), np.int64, len(split))
+        flat = list(chain.from_iterable(split))
+        place = dict.fromkeys(flat)
+        self.learn(list(place))
+        place = dict(zip(place, range(len(place)), strict=True))
+        codes = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
         empty = (0, 0, 0, "", np.zeros(0, np.int64))
+        facts = [self.known[u] for u in place]
+        bad = np.fromiter((f is None for f in facts), bool, len(facts))
         facts = [f or empty for f in facts]
-        table = np.array([(f[0], f[1], f[2], len(f[4])) for f in facts], np.int64).reshape(-1, 4)
-        sums = np.zeros((len(texts), 4), np.int64)
-        np.add.at(sums, doc, table[codes])
-        pairs, of_unit = np.unique(np.concatenate([f[4] for f in facts]) if facts else np.zeros(0, np.int64), return_inverse=True)
-        first, n_links = np.cumsum(table[:, 3]) - table[:, 3], table[codes, 3]
+        doc = np.repeat(np.arange(len(texts)), n_units)
+        if bad.any():
+            spoilt = np.zeros(len(texts), bool)
+            spoilt[doc[bad[codes]]] = True
+            codes, doc, n_units = codes[~spoilt[doc]], doc[~spoilt[doc]], np.where(spoilt, 0, n_units)
+        columns = list(zip(*facts, strict=True)) if facts else [()] * 5
+        sizes = np.fromiter(map(len, columns[4]), np.int64, len(facts))
+        table = np.stack([*(np.array(columns[k], np.int64) for k in range(3)), sizes], axis=1)
+        ends = np.cumsum(n_units)
+        run = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(table[codes], axis=0)])
+        sums = run[ends] - run[ends - n_units]
+        pairs, of_unit = np.unique(np.concatenate(columns[4]) if facts else np.zeros(0, np.int64), return_inverse=True)
+        first, n_links = np.cumsum(sizes) - sizes, sizes[codes]
         link = of_unit[np.repeat(first[codes] - (np.cumsum(n_links) - n_links), n_links) + np.arange(n_links.sum())]
-        owned, times = np.unique(np.repeat(doc, n_links) * len(pairs) + link, return_counts=True)
-        owner, link = (owned // len(pairs), owned % len(pairs)) if len(pairs) else (owned, owned)
-        texts_of = [f[3] for f in facts]
-        groups = [";".join([texts_of[place[u]] for u in us]) for us in split]
+        owned, times = np.unique(np.repeat(doc, n_links) * max(1, len(pairs)) + link, return_counts=True)
+        owner, link = owned // max(1, len(pairs)), owned % max(1, len(pairs))
+        listed, at = codes.tolist(), ends.tolist()
+        groups = [";".join(map(columns[3].__getitem__, listed[p:q])) for p, q in zip([0, *at], at, strict=False)]
         held = np.bincount(link, minlength=len(pairs))
         used = np.flatnonzero(held)  # pairs of texts that were set aside are not held
         link = np.searchsorted(used, link)
