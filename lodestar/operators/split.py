@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lodestar.operators.profile import shares
-from lodestar.operators.sampling import det_order, unit
+from lodestar.operators.sampling import quota_sample, ranked_by, unit
+
+
+def ranked_pairs(df: DataFrame, relation: str, pair: str, ratios: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
+    """(relation, pair, n, split): per relation the pairs by falling size; the first share of pairs is train, the next dev, the rest
+    test. n is the pair's number of rows; rows without a pair are left out."""
+    pairs = df.where(F.col(f"`{pair}`").isNotNull()).groupBy(relation, pair).agg(F.count("*").alias("n"))
+    ranked = ranked_by(pairs, [relation], [F.desc("n"), F.col(f"`{pair}`")], "rank of pair", "pairs in all")
+    total, r = F.col("`pairs in all`"), F.col("`rank of pair`")
+    train, dev = F.floor(total * ratios[0] + 1e-9), F.floor(total * ratios[1] + 1e-9)
+    return ranked.select(relation, pair, "n", F.when(r <= train, "train").when(r <= train + dev, "dev").otherwise("test").alias("split"))
 
 
 def pair_split_by_rank(df: DataFrame, relation: str, pair: str, ratios: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
-    """Per relation the pairs by falling size: the first share of pairs is train, the next dev, the rest test. Rows without a
-    pair are dropped. A pair may fall differently under two relations (see leakage)."""
-    pairs = df.where(F.col(pair).isNotNull()).groupBy(relation, pair).agg(F.count("*").alias("n"))
-    ranked = pairs.select(
-        relation, pair, F.row_number().over(W.partitionBy(relation).orderBy(F.desc("n"), pair)).alias("r"), F.count("*").over(W.partitionBy(relation)).alias("total")
-    )
-    train, dev = F.floor(F.col("total") * ratios[0] + 1e-9), F.floor(F.col("total") * ratios[1] + 1e-9)
-    named = ranked.select(relation, pair, F.when(F.col("r") <= train, "train").when(F.col("r") <= train + dev, "dev").otherwise("test").alias("split"))
-    return df.join(named, [relation, pair])
+    """Rows with the split of their pair (see ranked_pairs). A pair may fall differently under two relations (see leakage)."""
+    return df.join(ranked_pairs(df, relation, pair, ratios).drop("n"), [relation, pair])
 
 
 def pair_exclusive_split(
@@ -75,9 +77,8 @@ def leakage(df: DataFrame, pair: str) -> DataFrame:
 
 
 def trim(df: DataFrame, targets: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
-    """Each split cut to its target at random. targets: split and a column target."""
-    ranked = df.withColumn("__r", F.row_number().over(W.partitionBy("split").orderBy(det_order(id_col, seed), id_col)))
-    return ranked.join(F.broadcast(targets), "split").where(F.col("__r") <= F.col("target")).drop("__r", "target")
+    """Each split cut to its target at random; splits without a target are dropped. targets: split and a column target."""
+    return quota_sample(df, ["split"], targets.withColumnRenamed("target", "quota"), id_col, seed)
 
 
 def split_drift(df: DataFrame, key: str) -> DataFrame:
@@ -85,6 +86,6 @@ def split_drift(df: DataFrame, key: str) -> DataFrame:
     whole = shares(df, key).select(key, F.col("share").alias("q"))
     counts = df.groupBy("split", key).agg(F.count("*").alias("n"))
     sizes = counts.groupBy("split").agg(F.sum("n").alias("total"))
-    grid = sizes.crossJoin(F.broadcast(whole))
+    grid = sizes.crossJoin(whole)  # a row for each split and key
     both = grid.join(counts, ["split", key], "left").na.fill(0, ["n"])
     return both.groupBy("split").agg(F.max("total").alias("n"), (F.sum(F.abs(F.col("n") / F.col("total") - F.col("q"))) / 2).alias("tvd"))

@@ -9,6 +9,7 @@ from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
 from lodestar.operators import chat
 from lodestar.operators.joins import points_in_polygons
+from lodestar.operators.sampling import ranked_by
 from lodestar.plans.base import frame, sql
 from lodestar.plans.scoring import _any, _first, _number, _word
 
@@ -118,8 +119,8 @@ def prj_pair_names(spark, sf_dir):
 
 def prj_renumber(spark, sf_dir):
     """New ids per type in the order of the old ones."""
-    e = frame(spark, sf_dir, "entities")
-    return e.selectExpr("entity_id", "format_string('%s_%04d', lower(type), row_number() over (partition by type order by entity_id)) as new_id")
+    e = ranked_by(frame(spark, sf_dir, "entities").select("entity_id", "type"), ["type"], [F.col("entity_id")], "number")
+    return e.selectExpr("entity_id", "format_string('%s_%04d', lower(type), number) as new_id")
 
 
 def str_extract(spark, sf_dir):

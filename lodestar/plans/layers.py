@@ -154,7 +154,7 @@ def sam_by_level(spark, sf_dir):
 
 def sam_levels(spark, sf_dir):
     """Levels by rank within each type, with scores drawn from the level's range."""
-    bands = [(0.3, "easy", 1.0, 2.0), (0.8, "medium", 2.0, 3.5), (1.0, "hard", 3.5, 5.0)]
+    bands = [(0.3, "easy", 1.0, 2.0), (0.5, "medium", 2.0, 3.5), (0.2, "hard", 3.5, 5.0)]
     return sampling.levels_by_rank(frame(spark, sf_dir, "answers").select("id", "spatial_type"), ["spatial_type"], bands)
 
 
@@ -222,7 +222,8 @@ ORACLES = {
         w AS (SELECT *, CASE WHEN a + b + c > n THEN greatest(1, floor(a * n / (a + b + c) + 1e-9)) ELSE a END AS x, CASE WHEN a + b + c > n THEN greatest(1, floor(b * n / (a + b + c) + 1e-9)) ELSE b END AS y FROM q)
         SELECT id, spatial_type, difficulty, CASE WHEN r <= x THEN 'train' WHEN r <= x + y THEN 'dev' WHEN r <= x + y + CASE WHEN a + b + c > n THEN n - x - y ELSE c END THEN 'test' END AS split FROM w""", "answers"),
     "sam_by_level": sql(f"WITH r AS (SELECT id, difficulty, {_GROUP.format('difficulty')} AS rank FROM answers) SELECT * FROM r WHERE rank <= CASE difficulty WHEN 'easy' THEN 16 WHEN 'medium' THEN 27 WHEN 'hard' THEN 12 ELSE 0 END", "answers"),
-    "sam_levels": sql(f"""WITH r AS (SELECT id, spatial_type, ({_GROUP.format('spatial_type')} - 0.5) / count(*) OVER (PARTITION BY spatial_type) AS s, ('0x' || substr(md5(concat(id, '|42 score')), 1, 8))::BIGINT / 4294967296.0 AS u FROM answers)
-        SELECT id, spatial_type, CASE WHEN s < 0.3 THEN 'easy' WHEN s < 0.8 THEN 'medium' ELSE 'hard' END AS level, round(CASE WHEN s < 0.3 THEN 1 + u WHEN s < 0.8 THEN 2 + 1.5 * u ELSE 3.5 + 1.5 * u END, 2) AS score FROM r""", "answers"),
+    "sam_levels": sql(f"""WITH r AS (SELECT id, spatial_type, {_GROUP.format('spatial_type')} AS r, count(*) OVER (PARTITION BY spatial_type) AS n, ('0x' || substr(md5(concat(id, '|42 score')), 1, 8))::BIGINT / 4294967296.0 AS u FROM answers),
+        l AS (SELECT *, CASE WHEN r <= floor(n * 0.3 + 1e-9) THEN 'easy' WHEN r <= floor(n * 0.3 + 1e-9) + floor(n * 0.5 + 1e-9) THEN 'medium' ELSE 'hard' END AS level FROM r)
+        SELECT id, spatial_type, level, round(CASE level WHEN 'easy' THEN 1 + u WHEN 'medium' THEN 2 + 1.5 * u ELSE 3.5 + 1.5 * u END, 1) AS score FROM l""", "answers"),
     "prj_known_names": sql("SELECT n_nationkey, string_agg(name, ',' ORDER BY i) AS names FROM (SELECT n_nationkey, i, concat('E', n_nationkey * 17 + i) AS name FROM (SELECT n_nationkey, unnest(range(1, 41)) AS i FROM nation)) WHERE name IN (SELECT name FROM entities) GROUP BY n_nationkey", "entities"),
 }

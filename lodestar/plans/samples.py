@@ -24,7 +24,7 @@ def sam_downsample(spark, sf_dir):
 
 def sam_first_rows(spark, sf_dir):
     """The first 20 rows in order of each type; the cap is the feature."""
-    return _answers(spark, sf_dir).withColumn("r", F.expr("row_number() over (partition by spatial_type order by id)")).where("r <= 20").drop("r")
+    return sampling.ranked_by(_answers(spark, sf_dir), ["spatial_type"], [F.col("id")], "r").where("r <= 20").drop("r")
 
 
 def sam_bernoulli(spark, sf_dir):
@@ -45,8 +45,8 @@ def sam_supplement(spark, sf_dir):
 
 def sam_workers(spark, sf_dir):
     """Rows dealt to three workers by rank within type and level."""
-    r = F.expr("row_number() over (partition by spatial_type, difficulty order by id)")
-    return _answers(spark, sf_dir).withColumn("r", r).withColumn("worker", F.when(F.col("r") <= 22, 1).when(F.col("r") <= 56, 2).otherwise(3)).drop("r")
+    rows = sampling.ranked_by(_answers(spark, sf_dir), ["spatial_type", "difficulty"], [F.col("id")], "r")
+    return rows.withColumn("worker", F.when(F.col("r") <= 22, 1).when(F.col("r") <= 56, 2).otherwise(3)).drop("r")
 
 
 def spl_ratio(spark, sf_dir):
@@ -56,9 +56,10 @@ def spl_ratio(spark, sf_dir):
 def spl_pairs_by_rank(spark, sf_dir):
     """Pairs 60/20/20 by falling size per relation, with rows and pairs per split and the pairs that leak across relations."""
     p = frame(spark, sf_dir, "pairs").withColumn("key", F.concat_ws("|", F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string")))
-    s = split.pair_split_by_rank(p, "relation", "key")
-    out = s.groupBy("relation", "split").agg(F.count("*").alias("n"), F.count_distinct("key").alias("pairs"))
-    return out.unionByName(split.leakage(s, "key").groupBy(F.lit("leak").alias("relation"), F.col("splits").alias("split")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("pairs")))
+    s = split.ranked_pairs(p, "relation", "key")
+    out = s.groupBy("relation", "split").agg(F.sum("n").alias("n"), F.count("*").alias("pairs"))
+    leaks = split.leakage(s, "key").groupBy(F.lit("leak").alias("relation"), F.col("splits").alias("split"))
+    return out.unionByName(leaks.agg(F.count("*").alias("n"), F.count("*").alias("pairs")))
 
 
 def spl_drift(spark, sf_dir):

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import audits, derivations, extras, layers, relational, samples, scoring
+from lodestar.plans import audits, derivations, extras, layers, relational, samples, scoring, spatial
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scoring.QUERIES, **derivations.QUERIES, **relational.QUERIES, **audits.QUERIES, **samples.QUERIES, **extras.QUERIES, **layers.QUERIES}
-ORACLES: dict[str, str] = {**scoring.ORACLES, **derivations.ORACLES, **relational.ORACLES, **audits.ORACLES, **samples.ORACLES, **extras.ORACLES, **layers.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scoring.QUERIES, **derivations.QUERIES, **relational.QUERIES, **audits.QUERIES, **samples.QUERIES, **extras.QUERIES, **layers.QUERIES, **spatial.QUERIES}
+ORACLES: dict[str, str] = {**scoring.ORACLES, **derivations.ORACLES, **relational.ORACLES, **audits.ORACLES, **samples.ORACLES, **extras.ORACLES, **layers.ORACLES, **spatial.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
