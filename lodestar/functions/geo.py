@@ -64,16 +64,13 @@ def deviation_grade(km: Column) -> Column:
     return F.when(km.isNull(), "not_found").when(km <= 10, "correct").when(km <= 50, "minor").otherwise("incorrect")
 
 
-def canonical_direction(word: Column) -> Column:
-    """The main direction of a direction word."""
-    return reduce(lambda tail, kv: F.when(word.isin(kv[1]), F.lit(kv[0])).otherwise(tail), V.DIRECTION_GROUPS.items(), F.lit(None).cast("string"))
-
-
 def compatible_directions(one: Column, two: Column) -> Column:
-    """Whether two direction words name the same or neighbouring eighths of the compass."""
-    index = F.array(*map(F.lit, V.COMPASS_8))
-    gap = F.abs(F.array_position(index, canonical_direction(one)) - F.array_position(index, canonical_direction(two)))
-    return F.coalesce(F.least(gap, 8 - gap) <= 1, F.lit(False))
+    """Whether two direction words go together: equal, in one set of words, or a main direction and one of its words."""
+    sets = F.array(*[F.array(*map(F.lit, words)) for words in V.DIRECTION_ALIASES + V.PARTIAL_DIRECTIONS])
+    mains = F.create_map(*[x for k, words in V.MAIN_DIRECTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, words)))])
+    together = F.exists(sets, lambda s: F.array_contains(s, one) & F.array_contains(s, two))
+    of = lambda x, y: F.coalesce(F.array_contains(F.try_element_at(mains, x), y), F.lit(False))
+    return F.coalesce((one == two) | together | of(one, two) | of(two, one), F.lit(False))
 
 
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:

@@ -96,18 +96,33 @@ def judged(reply: Column, names: tuple[str, ...] = ("accuracy", "completeness",
     return F.struct(*fields)
 
 
-def token_similarity(pairs: DataFrame, vectors: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """Precision, recall and F1 of token embeddings: each token's best cosine in the other text, averaged (by weight).
+def idf_weights(pairs: DataFrame) -> DataFrame:
+    """(token, weight) of every token of the references: ln(N / (count + 1)), where N is the number of references and count how often the
+    token occurs in them (occurrences, not texts). pairs: id, side ("p" or "r"), token. Counts are summed before they are shuffled."""
+    refs = pairs.where("side = 'r'")
+    total = refs.agg(F.count_distinct("id").alias("texts"))
+    return refs.groupBy("token").agg(F.count("*").alias("n")).crossJoin(total).select("token", F.log(F.col("texts") / (F.col("n") + 1)).alias("weight"))
 
-    pairs: id, side ("p" or "r"), token; vectors: token, vector; weights: token, weight.
+
+def token_similarity(pairs: DataFrame, vectors: DataFrame, weights: DataFrame | None = None, unknown: float = 1.0) -> DataFrame:
+    """Precision, recall and F1 of token embeddings by id: each token's best cosine in the other text, averaged (by weight).
+
+    pairs: id, side ("p" or "r"), token, a row for each occurrence; vectors: token, vector; weights: token, weight, `unknown` for tokens without one.
+    A side whose weights sum to nothing or less has 0. Tokens that occur again in a text are compared once and count as often.
     """
-    tok = pairs.join(vectors, "token")
-    tok = tok.join(weights, "token", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))) if weights is not None else tok.withColumn("weight", F.lit(1.0))
+    tok = pairs.groupBy("id", "side", "token").agg(F.count("*").cast("double").alias("weight")).join(vectors, "token")
+    if weights is not None:
+        tok = tok.join(weights.select("token", F.col("weight").alias("own")), "token", "left").withColumn("weight", F.col("weight") * F.coalesce("own", F.lit(unknown)))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     unit = tok.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector"))))
     p = unit.where("side = 'p'").select("id", F.col("token").alias("pt"), F.col("vector").alias("pv"), F.col("norm").alias("pn"), F.col("weight").alias("pw"))
     r = unit.where("side = 'r'").select("id", F.col("token").alias("rt"), F.col("vector").alias("rv"), F.col("norm").alias("rn"), F.col("weight").alias("rw"))
-    both = p.join(r, "id").withColumn("cosine", dot(F.col("pv"), F.col("rv")) / (F.col("pn") * F.col("rn")))
-    one = both.groupBy("id", "pt", "pw").agg(F.max("cosine").alias("best")).groupBy("id").agg((F.sum(F.col("best") * F.col("pw")) / F.sum("pw")).alias("precision"))
-    two = both.groupBy("id", "rt", "rw").agg(F.max("cosine").alias("best")).groupBy("id").agg((F.sum(F.col("best") * F.col("rw")) / F.sum("rw")).alias("recall"))
-    return one.join(two, "id").withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
+    both = p.join(r, "id").withColumn("cosine", dot(F.col("pv"), F.col("rv")) / F.nullif(F.col("pn") * F.col("rn"), F.lit(0.0)))
+
+    def mean(token: str, weight: str, name: str) -> DataFrame:
+        best = both.groupBy("id", token, weight).agg(F.max("cosine").alias("best")).groupBy("id")
+        total = F.sum(weight)
+        return best.agg(F.when(total > 0, F.sum(F.col("best") * F.col(weight)) / F.nullif(total, F.lit(0.0))).otherwise(0.0).alias(name))
+
+    out, total = mean("pt", "pw", "precision").join(mean("rt", "rw", "recall"), "id"), F.col("precision") + F.col("recall")
+    return out.withColumn("f1", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / F.nullif(total, F.lit(0.0))).otherwise(0.0))

@@ -17,7 +17,7 @@ def against_target(df: DataFrame, key: str, target: dict[str, float], tolerance:
     """key, n, share, target, deviation, ok: every key of the data or the target."""
     spark = df.sparkSession
     goals = spark.createDataFrame(list(target.items()), f"{key} string, target double")
-    both = shares(df, key).join(F.broadcast(goals), key, "full_outer").na.fill({"n": 0, "share": 0.0, "target": 0.0})
+    both = shares(df, key).join(goals, key, "full_outer").na.fill({"n": 0, "share": 0.0, "target": 0.0})
     gap = F.abs(F.col("share") - F.col("target"))
     return both.select(key, "n", "share", "target", gap.alias("deviation"), (gap <= tolerance).alias("ok"))
 

@@ -42,9 +42,10 @@ def _largest(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*_cols(keys)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def ranked(df: DataFrame, keys: list[str], id_col: str, seed: int | str, rank: str, size: str | None = None, quota: Column | int | None = None, most: int = LARGE) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], id_col: str, seed: int | str, rank: str, size: str | None = None, quota: Column | int | None = None, most: int = LARGE, weight: str | None = None) -> DataFrame:
     """df with each row's rank in its group's hash order, from 1, and the group's size if it is named; with a `quota` (one
-    value for a group) only the rows of that rank or less. Without keys the whole is one group.
+    value for a group) only the rows of that rank or less. Without keys the whole is one group. With a column of whole
+    numbers as `weight` the rank is their sum up to and with the row, and the size their sum in the group.
 
     Where the largest group has more than ``most`` rows, all groups are cut by as many digits of the hash as bring a part below that. Rows are
     ranked within their part and the parts' sizes are added up, so a group that is a large part of the data is ranked by many tasks; parts
@@ -55,23 +56,25 @@ def ranked(df: DataFrame, keys: list[str], id_col: str, seed: int | str, rank: s
         digits += 1
     order = det_order(F.col(f"`{id_col}`"), seed)
     columns = [*_cols(df.columns), F.col(f"`{rank}`"), *([F.col(f"`{size}`")] if size else [])]
+    running = lambda w: F.row_number().over(w) if weight is None else F.sum(f"`{weight}`").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    whole = F.count("*") if weight is None else F.sum(f"`{weight}`")
     wanted = F.lit(True) if quota is None else F.col(f"`{rank}`") <= quota
     if not digits:
         group = W.partitionBy(*_cols(keys))
-        out = df.withColumn(rank, F.row_number().over(group.orderBy(order, F.col(f"`{id_col}`"))))
-        return (out.withColumn(size, F.count("*").over(group)) if size else out).select(columns).where(wanted)
+        out = df.withColumn(rank, running(group.orderBy(order, F.col(f"`{id_col}`"))))
+        return (out.withColumn(size, whole.over(group)) if size else out).select(columns).where(wanted)
     part, before, total, limit = (free_name(df, x) for x in ("hash part", "rows before", "rows in all", "quota of group"))
     placed = df.withColumn(part, F.substring(order, 1, digits))
     on = [*keys, part]
     quota = F.lit(quota) if isinstance(quota, int) else quota
-    sizes = placed.groupBy(*_cols(on)).agg(F.count("*").alias(total), F.max(F.lit(1 << 62) if quota is None else quota).alias(limit))
+    sizes = placed.groupBy(*_cols(on)).agg(whole.alias(total), F.max(F.lit(1 << 62) if quota is None else quota).alias(limit))
     group, n = W.partitionBy(*_cols(keys)), F.col(f"`{total}`")
     sums = sizes.select(*_cols(on), limit, (F.sum(n).over(group.orderBy(F.col(f"`{part}`"))) - n).alias(before), F.sum(n).over(group).alias(total))
     sums = sums.where(F.col(f"`{before}`") < F.col(f"`{limit}`"))
     sums = sums.select(*[F.col(f"`{c}`").alias(f"{part} {i}") for i, c in enumerate(on)], before, F.col(f"`{total}`").alias(size or total))
     match = [F.col(f"`{c}`").eqNullSafe(F.col(f"`{part} {i}`")) for i, c in enumerate(on)]
     within = W.partitionBy(*_cols(on)).orderBy(order, F.col(f"`{id_col}`"))
-    return placed.join(sums, match).withColumn(rank, F.col(f"`{before}`") + F.row_number().over(within)).select(columns).where(wanted)
+    return placed.join(sums, match).withColumn(rank, F.col(f"`{before}`") + running(within)).select(columns).where(wanted)
 
 
 def ranked_by(df: DataFrame, keys: list[str], order: list[Column], rank: str, size: str | None = None, most: int = LARGE) -> DataFrame:

@@ -11,24 +11,23 @@ from lodestar.functions.geometry import bounds
 from lodestar.functions.relate import relations
 from lodestar.sources.scratch import stored
 
-WORLD = (-180.0, -90.0, 180.0, 90.0)
 _BOX = ["x0", "y0", "x1", "y1"]
 
 
 def _cell(v: Column, axis: int, level: Column | int, world: tuple[float, float, float, float]) -> Column:
     """The number of the column (axis 0) or row (axis 1) at a level; what lies outside the world belongs to its edge."""
     n = F.shiftleft(F.lit(1), level) if isinstance(level, int) else F.expr("shiftleft(1, level)")
-    scaled = F.floor((v - world[axis]) / (world[axis + 2] - world[axis]) * n).cast("int")
+    scaled = F.floor((v - world[axis]) / ((world[axis + 2] - world[axis]) or 1.0) * n).cast("int")
     return F.greatest(F.lit(0), F.least(n - 1, scaled))
 
 
 def candidates(
     left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_geometry: str = "geometry", right_geometry: str = "geometry",
-    most: int = 4096, first: int = 3, step: int = 2, deepest: int = 25, world: tuple[float, float, float, float] = WORLD,
+    most: int = 4096, step: int = 2, deepest: int = 25, world: tuple[float, float, float, float] | None = None,
 ) -> DataFrame:
     """(left_id, right_id) of all pairs whose boxes meet, each once.
 
-    Both sides are listed in the cells of a quadtree that their boxes meet. A cell in which there are more than ``most`` pairs to be
+    Both sides are listed in the cells of a quadtree over their common extent (or `world`) that their boxes meet. A cell in which there are more than ``most`` pairs to be
     compared is split into 4^step and its rows are listed again, so only dense places go deep; a cell of one side alone is dropped. Where
     that would not halve the pairs, as boxes are as large as the cell or share a place, a cell is cut into blocks of ``most`` pairs instead.
     So no task's cell has more than ``most`` pairs. Of the cells that hold a pair only that with the lower left corner of the common box gives it. Ids must be unique; rows without an id or with
@@ -39,7 +38,12 @@ def candidates(
     none = lambda df: F.lit(None).cast(df.schema["key"].dataType)
     items = a.select(F.col("key").alias("l"), none(b).alias("r"), *_BOX).union(b.select(none(a).alias("l"), F.col("key").alias("r"), *_BOX))
 
-    level, leaves = first, []
+    items = stored(items, "boxes")
+    seen = items.agg(F.count("l").alias("l"), F.count("r").alias("r"), F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
+    world = world or tuple(seen[2:]) if seen.l + seen.r else (0.0, 0.0, 1.0, 1.0)
+    level, leaves = 0, []
+    while level < min(4, deepest) and seen.l * seen.r > most * 16**level:
+        level += 1
     items = items.select("*", *[_cell(F.col(f"{c}{e}"), k, level, world).alias(f"s{c}{e}") for k, c in enumerate("xy") for e in (0, 1)])
     while True:
         for c in "xy":

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.profile import shares
-from lodestar.operators.sampling import quota_sample, ranked_by, unit
+from lodestar.operators.sampling import quota_sample, ranked, ranked_by, unit
+from lodestar.sources.scratch import stored
 
 
 def ranked_pairs(df: DataFrame, relation: str, pair: str, ratios: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
@@ -31,8 +34,9 @@ def pair_exclusive_split(
     near ties (0.05) go where the split's layer distribution comes closest to that of the cell.
 
     Pairs are dealt by hash to cells of about `cell_pairs`, however many there are; each cell is filled on its own in one
-    grouped task and meets the targets by itself, so the greedy state never spans more than one cell. Rows without a pair
-    follow a hash of their id.
+    grouped task, so the greedy state never spans more than one cell. What the cells' splits miss of the targets is then
+    levelled over the whole table (see ``levelled``): each split's rows with a pair differ from its target by no more than the largest pair has.
+    Rows without a pair follow a hash of their id.
     """
     import pandas as pd
 
@@ -63,12 +67,42 @@ def pair_exclusive_split(
         return pd.DataFrame(out, columns=[pair, "split"])
 
     kind = df.schema[pair].dataType.simpleString()
-    assigned = cell.groupBy("cell").applyInPandas(fill, f"`{pair}` {kind}, split string")
+    proposed = cell.groupBy("cell").applyInPandas(fill, f"`{pair}` {kind}, split string")
+    sizes = summary.groupBy(pair).agg(F.sum("n").alias("n"))
+    assigned = levelled(stored(proposed.join(sizes, pair), "pairs"), pair, targets, seed).drop("n")
     u, upto, label = unit(id_col, seed), 0.0, F.lit(names[-1])
     for name in reversed(names[:-1]):
         upto = sum(targets[x] for x in names[: names.index(name) + 1])
         label = F.when(u < upto, name).otherwise(label)
-    return df.join(assigned, pair, "left").withColumn("split", F.coalesce("split", label))
+    return df.join(assigned, pair, "left").select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("split", label).alias("split"))
+
+
+def levelled(assigned: DataFrame, pair: str, targets: dict[str, float], seed: int = 42) -> DataFrame:
+    """(pair, split, n) with whole pairs moved from splits over their target to those below it.
+
+    The splits' sums, a row each, say how many rows go from which split to which. In each split with too many, pairs are added up in hash
+    order (by many tasks, see ``ranked``), and a pair whose middle falls in the run of rows for another split goes there. So each run ends within half a
+    pair of where it should, and no split is off by more than the largest pair.
+    """
+    held = {r["split"]: r["n"] for r in assigned.groupBy("split").agg(F.sum("n").alias("n")).collect()}
+    whole, names = sum(held.values()), list(targets)
+    goal = {s: targets[s] * whole for s in names}
+    short = {s: goal[s] - held.get(s, 0) for s in names if goal[s] > held.get(s, 0)}
+    parts = [assigned.where(~F.col("split").isin([s for s in names if held.get(s, 0) > goal[s]]))]
+    for s in names:
+        much, runs = held.get(s, 0) - goal[s], []
+        if much <= 0:
+            continue
+        for t in short:
+            share = min(much, short[t])
+            if share > 0:
+                runs.append((t, (runs[-1][1] if runs else 0.0) + share))
+                much, short[t] = much - share, short[t] - share
+        summed = ranked(assigned.where(F.col("split") == s), [], pair, seed, "rows up to", weight="n")
+        middle = F.col("`rows up to`") - F.col("n") / 2
+        label = reduce(lambda tail, run: F.when(middle < run[1], run[0]).otherwise(tail), reversed(runs), F.lit(s))
+        parts.append(summed.select(F.col(f"`{pair}`"), label.alias("split"), "n"))
+    return reduce(DataFrame.unionByName, [p.select(F.col(f"`{pair}`"), "split", "n") for p in parts])
 
 
 def leakage(df: DataFrame, pair: str) -> DataFrame:

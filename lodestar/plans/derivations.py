@@ -49,13 +49,14 @@ def geo_sign_direction(spark, sf_dir):
 
 
 def geo_compatible_words(spark, sf_dir):
-    """The whole relation of compatible direction words."""
-    w = spark.createDataFrame([(x,) for x in V.DIRECTIONS_20], "one string")
-    both = w.crossJoin(F.broadcast(w.withColumnRenamed("one", "two")))
-    return both.select("one", "two", geo.compatible_directions(F.col("one"), F.col("two")).alias("ok"))
+    """Pairs of the direction words of reference and prediction, how many answers have them, and whether they go together."""
+    one, two = (T.first_word(F.col(c), V.PARTIAL_FIRST) for c in ("reference", "prediction"))
+    words = frame(spark, sf_dir, "answers").groupBy(one.alias("one"), two.alias("two")).agg(F.count("*").alias("n")).where("one IS NOT NULL AND two IS NOT NULL")
+    return words.select("one", "two", "n", geo.compatible_directions(F.col("one"), F.col("two")).alias("ok"))
 
 
-_MAIN = lambda c: "CASE " + " ".join(f"WHEN {c} IN ({', '.join(repr(x) for x in g)}) THEN {V.COMPASS_8.index(k)}" for k, g in V.DIRECTION_GROUPS.items()) + " END"
+_GO = " OR ".join(["one = two", *[f"(one IN ({w}) AND two IN ({w}))" for w in (", ".join(map(repr, x)) for x in V.DIRECTION_ALIASES + V.PARTIAL_DIRECTIONS)], *[f"({a} = '{k}' AND {b} IN ({', '.join(map(repr, x))}))" for k, x in V.MAIN_DIRECTIONS.items() for a, b in (("one", "two"), ("two", "one"))]])
+_DIRECTION_WORD = lambda c: "CASE " + " ".join(f"WHEN contains({c}, '{w}') THEN '{w}'" for w in V.PARTIAL_FIRST) + " END"
 
 
 def geo_points_in_boxes(spark, sf_dir):
@@ -184,8 +185,8 @@ ORACLES = {
     "geo_sign_direction": sql(
         """WITH w AS (SELECT concat(CASE WHEN b_lon - a_lon > 1 THEN '东' WHEN b_lon - a_lon < -1 THEN '西' ELSE '' END, CASE WHEN b_lat - a_lat > 1 THEN '北' WHEN b_lat - a_lat < -1 THEN '南' ELSE '' END) AS w FROM pairs)
         SELECT CASE WHEN w = '' THEN '邻近' ELSE w END AS word, count(*) AS n FROM w GROUP BY 1""", "pairs"),
-    "geo_compatible_words": f"""WITH w AS (SELECT unnest({_W20}) AS x), m AS (SELECT x, {_MAIN('x')} AS k FROM w)
-        SELECT a.x AS one, b.x AS two, least(abs(a.k - b.k), 8 - abs(a.k - b.k)) <= 1 AS ok FROM m a CROSS JOIN m b""",
+    "geo_compatible_words": sql(f"""WITH w AS (SELECT {_DIRECTION_WORD('reference')} AS one, {_DIRECTION_WORD('prediction')} AS two, count(*) AS n FROM answers GROUP BY ALL)
+        SELECT one, two, n, {_GO} AS ok FROM w WHERE one IS NOT NULL AND two IS NOT NULL""", "answers"),
     "geo_points_in_boxes": sql(
         """WITH b AS (SELECT s_suppkey, 73.033 + (s_suppkey * 41 % 600)::DOUBLE / 10 AS x, 18.033 + (s_suppkey * 29 % 340)::DOUBLE / 10 AS y FROM supplier)
         SELECT entity_id, s_suppkey FROM entities, b WHERE lon > x AND lon < x + 2.5 AND lat > y AND lat < y + 1.5""", "entities"),

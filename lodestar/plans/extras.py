@@ -8,7 +8,8 @@ from lodestar.functions import geo, polygon, record, score
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
 from lodestar.operators import sampling
-from lodestar.plans.base import frame, sql
+from lodestar.plans.base import frame, pick, sql
+from lodestar.plans.derivations import _DIRECTION_WORD, _GO
 
 
 def geo_box_predicates(spark, sf_dir):
@@ -23,15 +24,22 @@ def geo_box_predicates(spark, sf_dir):
     return rows.select("k", polygon.disjoint(a, b).alias("apart"), polygon.touches(a, b).alias("touches"), polygon.contains(a, b).alias("contains"), polygon.contains(b, a).alias("within"), polygon.n_points(rings).alias("points"), polygon.contains_centroid(a, b).alias("centre"))
 
 
+#: The direction that a record states, of the first entity seen from the second.
+_SAID = pick("length", ["东", "东北方", "南", "西南", "北偏东", "西", "东南", "北", "正南", "西北"])
+
+
 def geo_answers(spark, sf_dir):
-    """Stated distance and direction against the positions, from the second entity to the first and the other way."""
+    """Stated distance and direction against the positions, by the true direction of the first entity from the second."""
     c = F.col
-    rows = frame(spark, sf_dir, "records").where("lon1 <> lon2 and lat1 <> lat2")
+    rows = frame(spark, sf_dir, "records").withColumn("answer", F.concat("answer", F.lit("，位于"), F.expr(_SAID)))
     km = geo.haversine_km(c("lon1"), c("lat1"), c("lon2"), c("lat2"))
-    stated = T.distance_in_text(c("answer"))
+    stated, word = T.distance_in_text(c("answer")), T.first_word(F.substring_index("answer", "，", -1), V.PARTIAL_FIRST)
     back = geo.compass8(F.round(geo.planar_bearing(c("lon2"), c("lat2"), c("lon1"), c("lat1")), 6))
     forth = geo.compass8(F.round(geo.planar_bearing(c("lon1"), c("lat1"), c("lon2"), c("lat2")), 6))
-    return rows.groupBy(back.alias("seen_from_second"), forth.alias("seen_from_first")).agg(F.count("*").alias("n"), F.count_if(F.abs(stated - km) <= km * 0.10).alias("within_tenth"), F.count_if(F.abs(stated - km) <= 50).alias("within_50"))
+    return rows.groupBy(back.alias("seen_from_second"), forth.alias("seen_from_first")).agg(
+        F.count("*").alias("n"), F.count_if(F.abs(stated - km) <= km * 0.10).alias("within_tenth"), F.count_if(F.abs(stated - km) <= 50).alias("within_50"),
+        F.count_if(word == back).alias("same_direction"), F.count_if(geo.compatible_directions(back, word)).alias("direction_fits"),
+    )
 
 
 def prj_versions(spark, sf_dir):
@@ -132,9 +140,11 @@ ORACLES = {
     "geo_box_predicates": """WITH k AS (SELECT DISTINCT o_orderkey AS k FROM orders), x AS (SELECT k, k*7%9 AS a0, k*5%8 AS b0, k*7%9+1+k*3%5 AS a1, k*5%8+1+k*11%4 AS b1, k*13%10 AS c0, k*17%7 AS d0, k*13%10+1+k*19%6 AS c1, k*17%7+1+k*23%5 AS d1 FROM k)
         SELECT k, a1 < c0 OR c1 < a0 OR b1 < d0 OR d1 < b0 AS apart, NOT (a1 < c0 OR c1 < a0 OR b1 < d0 OR d1 < b0) AND (a1 = c0 OR c1 = a0 OR b1 = d0 OR d1 = b0) AS touches,
         a0 <= c0 AND a1 >= c1 AND b0 <= d0 AND b1 >= d1 AS contains, c0 <= a0 AND c1 >= a1 AND d0 <= b0 AND d1 >= b1 AS within, CASE WHEN k % 3 = 0 THEN 5 ELSE 10 END AS points, (c0 + c1) / 2 > a0 AND (c0 + c1) / 2 < a1 AND (d0 + d1) / 2 > b0 AND (d0 + d1) / 2 < b1 AS centre FROM x""",
-    "geo_answers": sql(f"""WITH r AS (SELECT *, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2) AS h,
-        coalesce(TRY_CAST(nullif(regexp_extract(answer, '约(\\d+\\.?\\d*)\\s*公里', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(answer, '(\\d+\\.?\\d*)\\s*公里', 1), '') AS DOUBLE)) AS stated FROM records WHERE lon1 <> lon2 AND lat1 <> lat2), s AS (SELECT *, 12742 * atan2(sqrt(h), sqrt(1 - h)) AS km FROM r)
-        SELECT {_D8}[{_PB.format('lon1 - lon2', 'lat1 - lat2')}] AS seen_from_second, {_D8}[{_PB.format('lon2 - lon1', 'lat2 - lat1')}] AS seen_from_first, count(*) AS n, count(*) FILTER (WHERE abs(stated - km) <= km * 0.10) AS within_tenth, count(*) FILTER (WHERE abs(stated - km) <= 50) AS within_50 FROM s GROUP BY ALL""", "records"),
+    "geo_answers": sql(f"""WITH r AS (SELECT *, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2) AS h, {_DIRECTION_WORD(_SAID)} AS two,
+        {_D8}[{_PB.format('lon1 - lon2', 'lat1 - lat2')}] AS one, {_D8}[{_PB.format('lon2 - lon1', 'lat2 - lat1')}] AS forth,
+        coalesce(TRY_CAST(nullif(regexp_extract(answer, '约(\\d+\\.?\\d*)\\s*公里', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(answer, '(\\d+\\.?\\d*)\\s*公里', 1), '') AS DOUBLE)) AS stated FROM records), s AS (SELECT *, 12742 * atan2(sqrt(h), sqrt(1 - h)) AS km FROM r)
+        SELECT one AS seen_from_second, forth AS seen_from_first, count(*) AS n, count(*) FILTER (WHERE abs(stated - km) <= km * 0.10) AS within_tenth, count(*) FILTER (WHERE abs(stated - km) <= 50) AS within_50,
+        count(*) FILTER (WHERE one = two) AS same_direction, count(*) FILTER (WHERE {_GO}) AS direction_fits FROM s GROUP BY ALL""", "records"),
     "prj_versions": sql(f"SELECT id, {_without('question')} AS without, concat('已知', name1, printf('(%.2f,%.2f)，', lon1, lat1), question) AS with_prefix, replace(question, name1, concat(name1, printf('(%.4f,%.4f)', lon1, lat1))) AS inlined FROM records", "records"),
     "prj_repair": sql(f"""SELECT id, concat_ws(',', CASE WHEN relation IS NULL THEN 'relation_inferred' END, CASE WHEN subtype <> {_LABELS} THEN 'label_mapped' END, CASE WHEN subtype IS NOT NULL AND NOT (relation = 'topological') THEN 'subtype_dropped' END,
         CASE WHEN type2 <> {_TYPES} THEN 'type_mapped' END, CASE WHEN score > 5 THEN 'score_clamped' END) AS codes, coalesce(relation, {_INFER}) AS relation FROM records""", "records"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import chain, pair, record
 from lodestar.functions import vocabulary as V
-from lodestar.operators import quality, sampling
+from lodestar.operators import facts, names, quality, sampling
 from lodestar.operators.quality import Rule
 from lodestar.plans.base import frame, pick, sql
 
@@ -14,7 +14,7 @@ from lodestar.plans.base import frame, pick, sql
 _STEPS = {
     "id": "l_orderkey", "step": "l_linenumber", "h_name": "l_partkey % 11 > 0", "h_action": "l_suppkey % 13 > 0", "h_content": "(l_partkey + l_suppkey) % 17 > 0", "h_own": "l_partkey % 7 > 0",
     "place": "concat('P', l_partkey % 50)", "known_lon": "73.0 + l_partkey % 50", "known_lat": "18.0 + l_partkey % 50 % 30",
-    "lon": "73.0 + l_partkey % 50 + (l_suppkey % 30) * 0.0007", "lat": "18.0 + l_partkey % 50 % 30", "known": "l_partkey % 9 > 0", "mapped": "l_partkey % 50 % 6 > 0",
+    "lon": "73.0 + l_partkey % 50 + (l_suppkey % 30) * 0.0007", "lat": "18.0 + l_partkey % 50 % 30 + (l_partkey % 23) * 0.0007", "known": "l_partkey % 9 > 0", "mapped": "l_partkey % 50 % 6 > 0",
 }
 
 
@@ -81,11 +81,63 @@ def dq_difficulty(spark, sf_dir):
     )
 
 
+#: Names to be covered; those beyond the numbers of the records are named by none.
+_NAMES = [f"城市{k}" for k in range(0, 96, 3)] + ["无名城", "远方城"]
+
+
 def dq_coverage(spark, sf_dir):
-    """Which of 34 names occur in questions, and in how many."""
-    names = F.array(*[F.lit(f"城市{k}与") for k in range(34)])
-    found = frame(spark, sf_dir, "records").select(F.explode(F.filter(names, lambda w: F.contains(F.col("question"), w))).alias("name"))
-    return found.groupBy("name").agg(F.count("*").alias("n"))
+    """Every one of 34 listed names with the number of questions that name it (longest names first, so that 城市1 is not found in 城市12), and
+    whether at least 30 of the names occur."""
+    listed = spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    table = {n: n for n in [f"城市{k}" for k in range(100)] + _NAMES}
+    found = frame(spark, sf_dir, "records").select(F.explode(F.array_distinct(F.transform(names.spans(F.col("question"), table), lambda s: s["name"]))).alias("name"))
+    n = listed.join(found.groupBy("name").agg(F.count("*").alias("n")), "name", "left").na.fill(0, ["n"])
+    return n.crossJoin(n.agg((F.count_if(F.col("n") > 0) >= 30).alias("enough")))
+
+
+#: What curated entities state and what is known of them, as SQL of both engines; items are joined by commas.
+_CURATED = {
+    "entity": "concat('地', c_custkey, " + pick("c_custkey", ["市", "省", ""]) + ")", "kind": pick("c_custkey", ["position", "origin", "peak", "provinces", "neighbours"]),
+    "lon": "CASE WHEN c_custkey % 41 > 0 THEN 70 + CAST(c_custkey * 37 % 700 AS DOUBLE) / 10 END", "lat": "15 + CAST(c_custkey * 53 % 420 AS DOUBLE) / 10",
+    "text": pick("c_custkey * 3", ["青海 唐古拉山", "巴颜喀拉山", "", "秦岭", "唐古拉", "太白山", None]), "items": "concat_ws(',', " + ", ".join(f"CASE WHEN c_custkey % {m} > 0 THEN '{x}' END" for m, x in ((2, "甲"), (3, "乙"), (4, "丙"))) + ")",
+}
+_KNOWN = {
+    "entity": "concat('地', c_custkey)", "kind": _CURATED["kind"], "lon": f"{_CURATED['lon']} + CAST(c_custkey % 13 AS DOUBLE) / 4 - 1", "lat": f"{_CURATED['lat']} + CAST(c_custkey % 11 AS DOUBLE) / 8",
+    "text": pick("c_custkey * 5 + 1", ["唐古拉山 各拉丹冬", "青海 唐古拉山", "秦岭", "太白山", "巴颜喀拉山"]), "items": "concat_ws(',', '甲', " + ", ".join(f"CASE WHEN c_custkey % {m} > 0 THEN '{x}' END" for m, x in ((5, "乙"), (7, "丁"))) + ")",
+}
+
+
+def dq_known_facts(spark, sf_dir):
+    """Positions, origins, peaks and lists of curated entities held against known facts of three quarters of them."""
+    c = frame(spark, sf_dir, "customer")
+    listed = lambda df: df.withColumn("items", F.filter(F.split("items", ","), lambda x: x != ""))
+    stated, known = (listed(c.selectExpr("c_custkey AS k", *[f"{e} AS {n}" for n, e in x.items()])) for x in (_CURATED, _KNOWN))
+    return facts.fact_issues(stated.drop("k"), known.where("k % 4 > 0").drop("k"))
+
+
+def dq_one_sided(spark, sf_dir):
+    """Neighbours that are listed on one side only."""
+    e = frame(spark, sf_dir, "nation").selectExpr("n_nationkey AS entity", "transform(sequence(1, 6), i -> (n_nationkey * i + i * i) % 30) AS items")
+    return facts.one_sided(e.withColumn("items", F.expr("transform(items, i -> CAST(i AS INT))")).withColumn("entity", F.col("entity").cast("int")))
+
+
+def str_name_spans(spark, sf_dir):
+    """Every name in every question, as spans in code points, with how many of a record's own names were found."""
+    r = frame(spark, sf_dir, "records").select("id", "question", "name1", "name2")
+    table = names.table_of(r.select(F.explode(F.array("name1", "name2")).alias("name")))
+    found = r.select("id", names.spans(F.col("question"), table).alias("spans"), F.array_compact(F.array("name1", "name2")).alias("own"))
+    text = F.transform("spans", lambda s: F.format_string("%s@%d-%d", s["name"], s["char_start"], s["char_end"]))
+    have = F.size(F.array_intersect(F.transform("spans", lambda s: s["name"]), "own"))
+    return found.select("id", F.array_join(text, ",").alias("spans"), have.alias("own_found"), F.size(F.array_distinct("own")).alias("own"))
+
+
+def join_name_lookup(spark, sf_dir):
+    """Names as written, looked up by name, alias or suffix among the entities of the same group."""
+    known = frame(spark, sf_dir, "nation").selectExpr("n_regionkey AS g", "concat('地', n_nationkey, '市') AS name")
+    known = known.union(frame(spark, sf_dir, "nation").selectExpr("n_regionkey", "concat('地', n_nationkey)").where("n_nationkey % 6 = 0"))
+    asked = frame(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_nationkey % 5 AS g", "concat('地', c_custkey % 25, " + pick("c_custkey", ["市", "县", "", "特别行政区"]) + ") AS asked")
+    asked = asked.withColumn("asked", F.when(F.col("id") % 13 == 0, "首府").otherwise(F.col("asked")))
+    return names.lookup(asked, "asked", known, group="g", aliases={"地3市": ["首府"], "地4市": ["首府", "旧都"]}).select("id", "found", "how")
 
 
 _FACTS = ["direction_8", "direction_8_en", "azimuth_deg", "distance_km", "within", "contains", "touches", "crosses", "disjoint"]
@@ -169,7 +221,7 @@ def prj_known_names(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        dq_chains, dq_chain_rates, dq_answer_fit, dq_difficulty, dq_coverage, dq_pair_facts, dq_pair_layer, dq_pair_outliers, join_error_samples, join_pair_entities, agg_merge_counters,
+        dq_chains, dq_chain_rates, dq_answer_fit, dq_difficulty, dq_coverage, dq_known_facts, dq_one_sided, str_name_spans, join_name_lookup, dq_pair_facts, dq_pair_layer, dq_pair_outliers, join_error_samples, join_pair_entities, agg_merge_counters,
         spl_fixed, sam_by_level, sam_levels, prj_known_names,
     )
 }
@@ -177,15 +229,15 @@ QUERIES = {
 _GAP = "CASE WHEN NOT (h_name AND h_action AND h_content) THEN concat(step, ':', concat_ws(',', CASE WHEN NOT h_name THEN 'name' END, CASE WHEN NOT h_action THEN 'action' END, CASE WHEN NOT h_content THEN 'content' END)) WHEN step <= 5 AND NOT (h_own AND @ = step) THEN concat(step, ':', CASE step WHEN 1 THEN 'entities_involved' WHEN 2 THEN 'relation_type' WHEN 3 THEN 'coordinates' WHEN 4 THEN 'calculation_result' ELSE 'final_answer' END) END"
 _CHAINS = f"""steps AS (SELECT * FROM (SELECT {', '.join(f'{e} AS {n}' for n, e in _STEPS.items())} FROM lineitem) QUALIFY row_number() OVER (PARTITION BY id, step ORDER BY {', '.join(list(_STEPS)[2:])}) = 1),
  numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step) AS k FROM steps),
- said AS (SELECT id, place, min_by(lon, step) AS lon FROM steps GROUP BY ALL), known AS (SELECT id, place, min_by(known_lon, step) AS lon FROM steps WHERE known GROUP BY ALL),
- off AS (SELECT id, string_agg(place, ',' ORDER BY place) AS displaced FROM said JOIN known k USING (id, place) WHERE abs(said.lon - k.lon) >= 0.01 GROUP BY id),
+ said AS (SELECT id, place, min_by(lon, step) AS lon, min_by(lat, step) AS lat FROM steps GROUP BY ALL), known AS (SELECT id, place, min_by(known_lon, step) AS lon, min_by(known_lat, step) AS lat FROM steps WHERE known GROUP BY ALL),
+ off AS (SELECT id, string_agg(place, ',' ORDER BY place) AS displaced FROM said JOIN known k USING (id, place) WHERE abs(said.lon - k.lon) >= 0.01 OR abs(said.lat - k.lat) >= 0.01 GROUP BY id),
  bare AS (SELECT id, string_agg(place, ',' ORDER BY place) AS unmapped FROM (SELECT DISTINCT id, place FROM steps WHERE NOT mapped) GROUP BY id),
  chains AS (SELECT id, count(*) AS steps, count(*) = 5 AS five, min({_GAP.replace('step', 'k').replace('@', 'step')}) AS first_gap, bool_or(h_own AND step IN (2, 4)) AS leaks, count(*) = 5 AND bool_and(h_name AND h_action AND h_content) AS whole,
   coalesce(any_value(displaced), '') AS displaced, coalesce(any_value(unmapped), '') AS unmapped FROM numbered LEFT JOIN off USING (id) LEFT JOIN bare USING (id) GROUP BY id)"""
 _RATES = [("chain_length", "five", 0.95), ("chain_fields", "first_gap IS NULL", 0.95), ("no_leaks", "NOT leaks", 1.0), ("places_agree", "displaced = ''", 0.9), ("names_mapped", "unmapped = ''", 0.95)]
 _BARE = "regexp_replace({}, '[，。！？、\\s]', '', 'g')"
 _HAS = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
-_YES, _NO = _HAS("answer", ["是的", "在", "位于", "包含", "相邻", "有", "确实"]), _HAS("answer", ["不是", "不在", "不位于", "不包含", "不相邻", "没有"])
+_YES, _NO = _HAS("answer", V.AFFIRMING), _HAS("answer", V.DENYING)
 _TEXT = f"concat_ws(' ', question, answer, {_WORDED})"
 _LABEL = "CASE lower(trim(subtype)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.TOPOLOGY_LABELS.items()) + " ELSE lower(trim(subtype)) END"
 _LOOK = lambda c, t, other: f"coalesce(CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.items()) + f" END, {other})"
@@ -205,10 +257,33 @@ ORACLES = {
     "dq_answer_fit": sql(f"""WITH x AS (SELECT *, {_BARE.format('answer')} AS x, {_BARE.format(_FINAL)} AS y, {_LABEL} AS label, {_TEXT} AS worded FROM records)
         SELECT coalesce(relation, 'none') AS kind, count(*) AS n, count(*) FILTER (WHERE NOT (contains(x, y) OR contains(y, x))) AS unlike_final,
         count(*) FILTER (WHERE relation = 'topological' AND ((label = 'disjoint' AND {_YES} AND NOT contains(answer, '不') AND NOT {_NO}) OR (label IN ('within', 'contains', 'adjacent', 'overlap') AND {_NO} AND NOT {_YES}))) AS wrong_polarity,
-        count(*) FILTER (WHERE regexp_matches(worded, '北偏东|东偏北|南偏东|东偏南|南偏西|西偏南|北偏西|西偏北|正北|正东|正南|正西') AND NOT regexp_matches(worded, '[东南西北]')) AS odd_wording FROM x GROUP BY 1""", "records"),
+        count(*) FILTER (WHERE regexp_matches(worded, '北偏东|东偏北|南偏东|东偏南|南偏西|西偏南|北偏西|西偏北|正北|正东|正南|正西') AND NOT regexp_matches(regexp_replace(worded, '北偏东|东偏北|南偏东|东偏南|南偏西|西偏南|北偏西|西偏北|正北|正东|正南|正西', '', 'g'), '[东南西北]')) AS odd_wording FROM x GROUP BY 1""", "records"),
     "dq_difficulty": sql(f"""WITH x AS (SELECT *, abs(score - {_THEORY}) AS off FROM records) SELECT coalesce(relation, 'none') AS kind, count(*) AS n, count(*) FILTER (WHERE off > 0.5 + 1e-9) AS deviant, round(avg(off), 6) AS mean_off, round(max(off), 6) AS most_off,
         count(*) FILTER (WHERE CASE WHEN score <= 2.0 THEN 'easy' WHEN score <= 3.5 THEN 'medium' ELSE 'hard' END <> difficulty) AS misplaced FROM x GROUP BY 1""", "records"),
-    "dq_coverage": sql("SELECT name, count(*) AS n FROM (SELECT concat('城市', unnest(range(34)), '与') AS name) JOIN records ON contains(question, name) GROUP BY name", "records"),
+    "dq_coverage": sql(f"""WITH l AS (SELECT unnest({_NAMES}) AS name), f AS (SELECT DISTINCT id, unnest(regexp_extract_all(question, '城市[0-9]+')) AS name FROM records),
+        c AS (SELECT l.name, count(f.id) AS n FROM l LEFT JOIN f USING (name) GROUP BY l.name) SELECT *, (SELECT count(*) FILTER (WHERE n > 0) >= 30 FROM c) AS enough FROM c""", "records"),
+    "dq_known_facts": f"""WITH a AS (SELECT c_custkey AS k, {', '.join(f'{e} AS {n}' for n, e in _CURATED.items())} FROM customer), f AS (SELECT c_custkey AS k, {', '.join(f'{e} AS f_{n}' for n, e in _KNOWN.items())} FROM customer WHERE c_custkey % 4 > 0),
+        b AS (SELECT *, list_filter(string_split(items, ','), lambda x: x <> '') AS have, list_filter(string_split(f_items, ','), lambda x: x <> '') AS want, lon BETWEEN 73 AND 135 AND lat BETWEEN 18 AND 54 AS inside, string_split(f_text, ' ')[1:2] AS words,
+          pow(sin(radians(f_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(f_lat)) * pow(sin(radians(f_lon - lon) / 2), 2) AS h FROM a LEFT JOIN f USING (k)),
+        d AS (SELECT *, 12742 * atan2(sqrt(h), sqrt(1 - h)) AS km, CASE kind WHEN 'position' THEN lon IS NOT NULL WHEN 'provinces' THEN len(have) > 0 WHEN 'neighbours' THEN len(have) > 0 ELSE coalesce(text <> '', false) END AS full_, list_sort(list_filter(want, lambda x: NOT list_contains(have, x))) AS miss, list_sort(list_filter(have, lambda x: NOT list_contains(want, x))) AS more FROM b)
+        SELECT entity, kind, 'empty' AS issue, '' AS detail, 'warning' AS severity FROM d WHERE NOT full_
+        UNION ALL SELECT entity, kind, 'outside', printf('%.3f,%.3f', lon, lat), 'critical' FROM d WHERE kind = 'position' AND full_ AND NOT inside
+        UNION ALL SELECT entity, kind, 'displaced', printf('%.0f', floor(km)), CASE WHEN km > 200 THEN 'critical' WHEN km > 100 THEN 'error' ELSE 'warning' END FROM d WHERE kind = 'position' AND full_ AND inside AND (abs(lon - f_lon) > 0.5 OR abs(lat - f_lat) > 0.5)
+        UNION ALL SELECT entity, kind, 'different', concat(text, ' / ', f_text), 'error' FROM d WHERE full_ AND f_text IS NOT NULL AND ((kind = 'peak' AND text <> f_text) OR (kind = 'origin' AND NOT (contains(text, f_text) OR contains(f_text, text) OR len(list_filter(words, lambda w: contains(text, w))) > 0)))
+        UNION ALL SELECT entity, kind, 'missing', array_to_string(miss, ','), 'error' FROM d WHERE full_ AND kind IN ('provinces', 'neighbours') AND len(miss) > 0
+        UNION ALL SELECT entity, kind, 'extra', array_to_string(more, ','), 'error' FROM d WHERE full_ AND kind = 'provinces' AND f_items IS NOT NULL AND len(more) > 0""",
+    "dq_one_sided": """WITH e AS (SELECT n_nationkey::INT AS entity, unnest([1, 2, 3, 4, 5, 6]) AS i FROM nation), l AS (SELECT DISTINCT entity, ((entity * i + i * i) % 30)::INT AS item FROM e)
+        SELECT entity, item FROM l WHERE item IN (SELECT n_nationkey FROM nation) AND (item, entity) NOT IN (SELECT (entity, item) FROM l)""",
+    "str_name_spans": sql("""WITH e AS (SELECT id, name1, name2, question, regexp_extract_all(question, '城市[0-9]+') AS m FROM records), known AS (SELECT name1 AS n FROM records UNION SELECT name2 FROM records),
+        p AS (SELECT *, strpos(question, m[1]) - 1 AS s1, length(question) - length(regexp_replace(question, '^.*?城市[0-9]+与', '')) AS s2 FROM e)
+        SELECT id, concat_ws(',', CASE WHEN m[1] IN (SELECT n FROM known) THEN concat(m[1], '@', s1, '-', s1 + length(m[1])) END, CASE WHEN m[2] IN (SELECT n FROM known) THEN concat(m[2], '@', s2, '-', s2 + length(m[2])) END) AS spans,
+        ((name1 IN (m[1], m[2]))::INT + (name2 IS NOT NULL AND name2 <> name1 AND name2 IN (m[1], m[2]))::INT) AS own_found, CASE WHEN name2 IS NULL OR name2 = name1 THEN 1 ELSE 2 END AS own FROM p""", "records"),
+    "join_name_lookup": f"""WITH base AS (SELECT n_regionkey AS g, concat('地', n_nationkey, '市') AS name FROM nation UNION SELECT n_regionkey, concat('地', n_nationkey) FROM nation WHERE n_nationkey % 6 = 0),
+        k AS (SELECT g, name, 0 AS rank, name AS v FROM base UNION ALL SELECT g, name, 1, '首府' FROM base WHERE name IN ('地3市', '地4市') UNION ALL SELECT g, name, 2, '旧都' FROM base WHERE name = '地4市' UNION ALL SELECT g, name, 3, replace(name, '市', '') FROM base WHERE name LIKE '%市'),
+        a AS (SELECT c_custkey AS id, c_nationkey % 5 AS g, CASE WHEN c_custkey % 13 = 0 THEN '首府' ELSE concat('地', c_custkey % 25, {pick('c_custkey', ['市', '县', '', '特别行政区'])}) END AS asked FROM customer),
+        t AS (SELECT *, 0 AS cut, asked AS v FROM a UNION ALL SELECT *, 1, regexp_replace(asked, '(特别行政区|市|县)$', '') FROM a WHERE regexp_matches(asked, '(特别行政区|市|县)$')),
+        h AS (SELECT t.id, arg_min(k.name, (t.cut, k.rank, k.name)) AS found, arg_min(t.asked, (t.cut, k.rank, k.name)) AS asked FROM t JOIN k USING (g, v) GROUP BY t.id)
+        SELECT a.id, found, CASE WHEN found = a.asked THEN 'name' WHEN a.asked IN ('首府', '旧都') AND found IS NOT NULL THEN 'alias' WHEN found IS NOT NULL THEN 'suffix' END AS how FROM a LEFT JOIN h USING (id)""",
     "dq_pair_facts": sql("WITH p AS (SELECT *, " + _REL + " AS rel FROM pairs) " + " UNION ALL ".join(f"SELECT rel, '{f}' AS fact, count(*) AS n FROM p WHERE ({_NEEDED[f]}) AND NOT ({_STATED.format(k=k + 2)}) GROUP BY rel" for k, f in enumerate(_FACTS)), "pairs"),
     "dq_pair_layer": sql(f"""SELECT {_REL} AS rel, coalesce(CASE WHEN negative THEN {_FIELDS} END, '-') AS fields, count(*) AS n, count(*) FILTER (WHERE a % 8 < 2 AND NOT regexp_matches(relation, 'metric|touches|disjoint')) AS no_reference,
         sum(CASE WHEN negative THEN {_AFFIRMED} ELSE 0 END)::BIGINT AS affirmed FROM pairs GROUP BY ALL""", "pairs"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestar.functions import stats
 from lodestar.operators import joins, profile
 from lodestar.operators.quality import direction_free_key
 from lodestar.plans.base import frame, sql
@@ -68,7 +69,7 @@ def prof_targets(spark, sf_dir):
 def prof_drift(spark, sf_dir):
     """Distances between the relation distributions of two kinds of pairs, and to uniform."""
     p = frame(spark, sf_dir, "pairs")
-    one, two = p.where("km < 1500"), p.where("km >= 1500 and a % 5 > 0")
+    one, two = p.where("km < 1500"), p.where("km >= 1500")
     row = profile.total_variation(one, two, "relation").crossJoin(profile.kolmogorov_smirnov(one, two, "relation")).crossJoin(profile.uniform_distance(one, "relation", 9).withColumnRenamed("tvd", "uniform")).crossJoin(profile.variation(p, "a"))
     return _r(row, "tvd", "ks", "uniform", "cv")
 
@@ -87,19 +88,20 @@ def prof_distances(spark, sf_dir):
 
 
 def prof_bands(spark, sf_dir):
-    """Distance bands with their share against uniform, and the correlation of direction and distance."""
+    """Distance bands with their share against uniform, and the correlation of direction and distance with its p-value."""
     edges = [0.0, 100.0, 500.0, 1000.0, 2000.0]
     p = frame(spark, sf_dir, "pairs").select(profile.band(F.col("km").cast("double"), edges).alias("band"), _direction().alias("d"), "km")
-    r = p.agg(F.round(F.corr(F.col("d").cast("double"), F.col("km").cast("double")), 6).alias("r"))
+    corr = p.agg(F.corr(F.col("d").cast("double"), F.col("km").cast("double")).alias("r"), F.count("*").alias("pairs"))
+    r = corr.select(F.round("r", 6).alias("r"), F.round(stats.correlation_p(F.col("r"), F.col("pairs")), 6).alias("p"))
     s = profile.shares(p, "band")
-    return s.crossJoin(r).select("band", "n", F.round("share", 6).alias("share"), F.round(F.abs(F.col("share") - 0.2), 6).alias("deviation"), "r")
+    return s.crossJoin(r).select("band", "n", F.round("share", 6).alias("share"), F.round(F.abs(F.col("share") - 0.2), 6).alias("deviation"), "r", "p")
 
 
 def prof_directions(spark, sf_dir):
-    """Shares of all eight directions, zero-filled, of long pairs."""
+    """Shares of all eight directions, zero-filled."""
     d = spark.range(8).select(F.col("id").cast("int").alias("direction"))
-    c = frame(spark, sf_dir, "pairs").where("km > 5000").groupBy(_direction().alias("direction")).agg(F.count("*").alias("n"))
-    return F.broadcast(d).join(c, "direction", "left").na.fill(0, ["n"]).select("direction", "n")
+    c = frame(spark, sf_dir, "pairs").groupBy(_direction().alias("direction")).agg(F.count("*").alias("n"))
+    return d.join(c, "direction", "left").na.fill(0, ["n"]).select("direction", "n")
 
 
 def prof_concentration(spark, sf_dir):
@@ -214,7 +216,7 @@ ORACLES = {
     "agg_entity_bands": sql("WITH u AS (SELECT e, count(*) AS n FROM (SELECT a AS e FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY e) SELECT CASE WHEN n <= 100 THEN '1-100' WHEN n <= 200 THEN '101-200' WHEN n <= 400 THEN '201-400' ELSE '401+' END AS band, count(*) AS entities, round(count(*) / 1363, 6) AS coverage FROM u GROUP BY 1", "pairs"),
     "agg_rollup": sql("SELECT relation, a_type, count(*) AS n, sum(km)::BIGINT AS km, grouping(relation, a_type) AS level FROM pairs GROUP BY ROLLUP (relation, a_type)", "pairs"),
     "prof_targets": sql("WITH t AS (SELECT * FROM (VALUES ('directional', 0.30::DOUBLE), ('topological', 0.225), ('metric', 0.225), ('composite', 0.25)) v(spatial_type, target)), s AS (SELECT spatial_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM answers GROUP BY 1) SELECT spatial_type, n, round(share, 6) AS share, target::DOUBLE AS target, round(abs(share - target), 6) AS deviation, abs(share - target) <= 0.01 AS ok FROM s JOIN t USING (spatial_type)", "answers"),
-    "prof_drift": sql("""WITH a AS (SELECT relation, count(*) / sum(count(*)) OVER () AS p FROM pairs WHERE km < 1500 GROUP BY 1), b AS (SELECT relation, count(*) / sum(count(*)) OVER () AS q FROM pairs WHERE km >= 1500 AND a % 5 > 0 GROUP BY 1),
+    "prof_drift": sql("""WITH a AS (SELECT relation, count(*) / sum(count(*)) OVER () AS p FROM pairs WHERE km < 1500 GROUP BY 1), b AS (SELECT relation, count(*) / sum(count(*)) OVER () AS q FROM pairs WHERE km >= 1500 GROUP BY 1),
         f AS (SELECT relation, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM a FULL JOIN b USING (relation)), g AS (SELECT *, abs(sum(p) OVER (ORDER BY relation) - sum(q) OVER (ORDER BY relation)) AS gap FROM f),
         v AS (SELECT stddev_samp(n) / avg(n) AS cv FROM (SELECT count(*) AS n FROM pairs GROUP BY a))
         SELECT round(sum(abs(p - q)) / 2, 6) AS tvd, round(max(gap), 6) AS ks, round((sum(abs(p - 1.0 / 9)) + (9 - count(*)) / 9.0) / 2, 6) AS uniform, (SELECT round(cv, 6) FROM v) AS cv FROM g""", "pairs"),
@@ -222,9 +224,11 @@ ORACLES = {
         SELECT what, n, round(sqrt(c * c + s * s), 4) AS r, CASE WHEN sqrt(c * c + s * s) > 0.3 THEN round(fmod(degrees(atan2(s, c)) + 360, 360), 4) END AS mean_angle FROM m""", "pairs"),
     "prof_distances": sql(f"""WITH d AS (SELECT {_D8} AS direction, km::DOUBLE AS x FROM pairs), m AS (SELECT *, avg(x) OVER (PARTITION BY direction) AS mu FROM d)
         SELECT direction, count(*) AS n, min(x) AS least, max(x) AS most, round(avg(x), 4) AS mean, median(x) AS median, round(stddev_pop(x), 4) AS std, round(avg(pow(x - mu, 3)) / pow(stddev_pop(x), 3), 4) AS skew, round(avg(pow(x - mu, 4)) / pow(stddev_pop(x), 4) - 3, 4) AS kurt FROM m GROUP BY 1""", "pairs"),
-    "prof_bands": sql(f"""WITH d AS (SELECT CASE WHEN km < 100 THEN '0-100' WHEN km < 500 THEN '100-500' WHEN km < 1000 THEN '500-1000' WHEN km < 2000 THEN '1000-2000' ELSE '2000+' END AS band, {_D8} AS d, km FROM pairs)
-        SELECT band, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(abs(count(*) / sum(count(*)) OVER () - 0.2), 6) AS deviation, (SELECT round(corr(d, km), 6) FROM d) AS r FROM d GROUP BY 1""", "pairs"),
-    "prof_directions": sql(f"SELECT k::INT AS direction, count(azimuth) AS n FROM (SELECT unnest(range(8)) AS k) LEFT JOIN pairs ON {_D8} = k AND km > 5000 GROUP BY 1", "pairs"),
+    "prof_bands": sql(f"""WITH d AS (SELECT CASE WHEN km < 100 THEN '0-100' WHEN km < 500 THEN '100-500' WHEN km < 1000 THEN '500-1000' WHEN km < 2000 THEN '1000-2000' ELSE '2000+' END AS band, {_D8} AS d, km FROM pairs),
+        c AS (SELECT corr(d, km) AS r, count(*) AS n FROM d), g AS (SELECT i, (n - 2) / 2.0 AS a, (1 - abs(r)) / 40000 AS h, abs(r) + (1 - abs(r)) * i / 40000 AS s FROM c, range(40001) t(i)),
+        v AS (SELECT sum(CASE WHEN i IN (0, 40000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * 2 * pow(1 - s * s, a - 1)) * max(h) / 3 * exp(lgamma(max(a) + 0.5) - lgamma(max(a)) - lgamma(0.5)) AS p FROM g)
+        SELECT band, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(abs(count(*) / sum(count(*)) OVER () - 0.2), 6) AS deviation, (SELECT round(r, 6) FROM c) AS r, (SELECT round(p, 6) FROM v) AS p FROM d GROUP BY 1""", "pairs"),
+    "prof_directions": sql(f"SELECT k::INT AS direction, count(azimuth) AS n FROM (SELECT unnest(range(8)) AS k) LEFT JOIN pairs ON {_D8} = k GROUP BY 1", "pairs"),
     "prof_concentration": sql("""WITH c AS (SELECT prediction, count(*) AS n FROM answers GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, prediction) AS k, sum(n) OVER (ORDER BY n DESC, prediction) AS mass, sum(n) OVER () AS total FROM c)
         SELECT count(*) AS n_values, round(count(*) / max(total), 6) AS unique_ratio, round(sum(n) FILTER (WHERE k = 1) / max(total), 6) AS top1_share, round(sum(n) FILTER (WHERE k <= 5) / max(total), 6) AS top5_share,
         min(k) FILTER (WHERE mass >= 0.5 * total) AS cover_50, min(k) FILTER (WHERE mass >= 0.8 * total) AS cover_80, min(k) FILTER (WHERE mass >= 0.9 * total) AS cover_90 FROM r""", "answers"),

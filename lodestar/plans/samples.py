@@ -68,16 +68,23 @@ def spl_drift(spark, sf_dir):
 
 
 def spl_pair_exclusive(spark, sf_dir):
-    """Greedy leakage-free split; reduced to what must hold: sizes, and no pair in two splits."""
+    """Greedy leakage-free split in cells of a hundred pairs, reduced to what must hold: how far each split is from its target, in largest pairs and
+    rounded up, the pairs that are in it and in another, and the rows in all."""
     p = frame(spark, sf_dir, "pairs").withColumn("key", F.concat_ws("|", F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string")))
-    s = split.pair_exclusive_split(p, "key", "relation", "pair_id")
-    return s.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("key").alias("pairs"))
+    s = split.pair_exclusive_split(p, "key", "relation", "pair_id", cell_pairs=100)
+    largest = p.groupBy("key").count().agg(F.max("count").alias("largest"), F.sum("count").alias("total"))
+    per = s.groupBy("split", "key").agg(F.count("*").alias("n"))
+    several = per.groupBy("key").agg(F.count("*").alias("splits"))
+    goal = F.col("total") * F.when(F.col("split") == "train", 0.8).otherwise(0.1)
+    out = per.join(several, "key").groupBy("split").agg(F.sum("n").alias("n"), F.count_if(F.col("splits") > 1).alias("leaking")).crossJoin(largest)
+    return out.select("split", (F.abs(F.col("n") - goal) <= F.col("largest")).alias("on_target"), "leaking", "total")
 
 
 QUERIES = {f.__name__: f for f in (sam_stratified, sam_downsample, sam_first_rows, sam_bernoulli, sam_merge_new, sam_supplement, sam_workers, spl_ratio, spl_pairs_by_rank, spl_drift, spl_pair_exclusive)}
 _RANK = "row_number() OVER (PARTITION BY {} ORDER BY md5(concat(id, '|{}')), id)"
 _PAIR = "concat(least(a, b)::VARCHAR, '|', greatest(a, b)::VARCHAR)"
 ORACLES = {
+    "spl_pair_exclusive": "SELECT unnest(['train', 'dev', 'test']) AS split, true AS on_target, 0 AS leaking, (SELECT count(*) FROM lineitem) AS total",
     "sam_stratified": sql(f"""WITH q AS (SELECT * FROM (VALUES ('directional', 'easy', 9), ('directional', 'hard', 20), ('metric', 'medium', 30), ('topological', 'easy', 5)) v(spatial_type, difficulty, quota)),
         r AS (SELECT *, {_RANK.format('spatial_type, difficulty', 42)} AS r FROM answers), c AS (SELECT id, spatial_type, difficulty, CASE WHEN r <= coalesce(quota, 0) THEN 0 ELSE 1 END AS part FROM r LEFT JOIN q USING (spatial_type, difficulty))
         SELECT id, spatial_type, difficulty FROM c ORDER BY part, md5(concat(id, '|42')), id LIMIT 120""", "answers"),

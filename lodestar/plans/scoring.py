@@ -145,6 +145,15 @@ def ev_rouge_l(spark, sf_dir):
     return _rounded(rows.groupBy("spatial_type").agg(F.count("*").alias("n"), F.avg("rouge").alias("rouge_l")), "rouge_l")
 
 
+def ev_rouge_groups(spark, sf_dir):
+    """ROUGE-L overall, by type and by difficulty, with its first version (1 where both texts are empty), in one aggregate."""
+    texts = _answers(spark, sf_dir).withColumns({c: F.when(F.col("id") % 11 == 0, "").otherwise(F.coalesce(c, F.lit(""))) for c in ("prediction", "reference")})
+    a = texts.withColumn("a", arrow.rouge_l("prediction", "reference")).withColumn("b", F.when((F.col("prediction") == "") & (F.col("reference") == ""), 1.0).otherwise(F.col("a")))
+    out = a.groupingSets([[], [F.col("spatial_type")], [F.col("difficulty")]], F.col("spatial_type"), F.col("difficulty")).agg(F.grouping_id().alias("g"), F.count("*").alias("total"), F.round(F.avg("a"), 6).alias("rouge_l"), F.round(F.avg("b"), 6).alias("rouge_first"))
+    scope = F.when(F.col("g") == 3, "overall").when(F.col("g") == 1, "spatial_type").otherwise("difficulty")
+    return out.select(scope.alias("scope"), F.coalesce("spatial_type", "difficulty", F.lit("all")).alias("grp"), "total", "rouge_l", "rouge_first")
+
+
 def ev_keyword_f1_macro(spark, sf_dir):
     p, r = F.col("prediction"), F.col("reference")
     rows = _answers(spark, sf_dir).select("id", score.keyword_f1_macro(p, r, V.TOPOLOGY_DEFAULT).alias("topological"), score.keyword_f1_macro(p, r, V.DIRECTIONS_8).alias("directional"), score.keyword_f1_macro(p, r, V.METRIC_WORDS).alias("metric"))
@@ -314,15 +323,31 @@ def ev_token_similarity(spark, sf_dir):
     return _rounded(evaluate.token_similarity(pairs, e.select("token", "vector")), "precision", "recall", "f1")
 
 
+def ev_idf_similarity(spark, sf_dir):
+    """The same by idf of the reference side, over texts that share tokens: mean over all texts."""
+    e = frame(spark, sf_dir, "embeddings")
+    token = F.col("vec_id") - F.col("vec_id") % 3
+    pairs = e.select(F.floor(F.col("vec_id") / 20).alias("id"), F.when(F.col("vec_id") % 2 == 0, "p").otherwise("r").alias("side"), token.alias("token"))
+    vectors = e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
+    own = evaluate.token_similarity(pairs, vectors, evaluate.idf_weights(pairs), unknown=0.0)
+    return _rounded(own.agg(F.count("*").alias("n"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall")), "precision", "recall")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        ev_accuracy, ev_accuracy_v1, ev_bleu4, ev_rouge_l, ev_keyword_f1_macro, ev_reasoning, ev_error_types, ev_containment, ev_agreement, ev_head_to_head,
+        ev_rouge_groups, ev_idf_similarity, ev_accuracy, ev_accuracy_v1, ev_bleu4, ev_rouge_l, ev_keyword_f1_macro, ev_reasoning, ev_error_types, ev_containment, ev_agreement, ev_head_to_head,
         ev_regression_study, ev_tuning_study, ev_bleu_groups, ev_older_scorers, ev_default_answers, ev_direction_breakdown, ev_self_check, ev_leaderboard, ev_metric_diff, ev_judge_reply, ev_token_similarity,
     )
 }
 
 _OK = lambda p: _v2(p)
+#: The longest common subsequence of distinct pairs of texts, a row of the table for each character of the first, by a recursive query.
+_LCS = """texts AS (SELECT *, {p} AS p, {r} AS r FROM answers), distinct_pairs AS (SELECT DISTINCT p, r FROM texts),
+        walk AS (SELECT p, r, 0 AS i, list_transform(range(length(r) + 1), lambda j: 0) AS held FROM distinct_pairs
+          UNION ALL SELECT p, r, i + 1, list_transform(range(1, length(r) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE list_max(list_transform(range(2, j + 1), lambda k: CASE WHEN substr(r, k - 1, 1) = substr(p, i + 1, 1) THEN held[k - 1] + 1 ELSE held[k] END)) END) FROM walk WHERE i < length(p)),
+        lcs AS (SELECT p, r, list_max(held) AS n FROM walk WHERE i = length(p)),
+        rouge AS (SELECT t.*, CASE WHEN n > 0 THEN 2.0 * n / (length(t.p) + length(t.r)) ELSE 0 END AS f FROM texts t JOIN lcs USING (p, r))"""
 ORACLES = {
     "ev_accuracy": _accuracy_sql(),
     "ev_accuracy_v1": sql(f"SELECT spatial_type, count(*) AS total, count(*) FILTER (WHERE {_v1()}) AS correct FROM answers GROUP BY ALL", "answers"),
@@ -365,6 +390,17 @@ ORACLES = {
         f"""WITH s AS (SELECT spatial_type, avg(({_OK('prediction')})::INT) AS a, avg(({_OK('other')})::INT) AS b FROM answers GROUP BY ALL)
         SELECT spatial_type, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS difference, round((b - a) / nullif(abs(a), 0), 6) AS relative FROM s""", "answers"),
     "ev_judge_reply": sql("SELECT id, CASE WHEN id % 3 < 2 THEN id % 5 + 1 ELSE 3 END AS accuracy, 3 AS completeness, CASE WHEN id % 3 = 0 THEN 4 ELSE 3 END AS clarity FROM answers", "answers"),
+    "ev_rouge_l": sql("WITH " + _LCS.format(p="prediction", r="reference") + """ SELECT spatial_type, count(*) AS n, round(avg(f), 6) AS rouge_l FROM rouge GROUP BY 1""", "answers").replace("WITH ", "WITH RECURSIVE ", 1),
+    "ev_rouge_groups": sql("WITH " + _LCS.format(p="CASE WHEN id % 11 = 0 THEN '' ELSE coalesce(prediction, '') END", r="CASE WHEN id % 11 = 0 THEN '' ELSE coalesce(reference, '') END") + """
+        SELECT CASE WHEN grouping(spatial_type) = 0 THEN 'spatial_type' WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'overall' END AS scope, coalesce(spatial_type, difficulty, 'all') AS grp, count(*) AS total,
+        round(avg(f), 6) AS rouge_l, round(avg(CASE WHEN p = '' AND r = '' THEN 1 ELSE f END), 6) AS rouge_first FROM rouge GROUP BY GROUPING SETS ((), (spatial_type), (difficulty))""", "answers").replace("WITH ", "WITH RECURSIVE ", 1),
+    "ev_idf_similarity": """WITH t AS (SELECT vec_id // 20 AS id, vec_id % 2 = 0 AS p, vec_id - vec_id % 3 AS token FROM embeddings), v AS (SELECT vec_id AS token, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 = 0),
+        w AS (SELECT token, ln((SELECT count(DISTINCT id) FROM t WHERE NOT p) / (count(*) + 1)) AS w FROM t WHERE NOT p GROUP BY token),
+        k AS (SELECT id, p, token, v, coalesce(w, 0) AS w FROM t JOIN v USING (token) LEFT JOIN w USING (token)), d AS (SELECT DISTINCT id, p, token, v FROM k),
+        c AS (SELECT x.id, x.token AS pt, y.token AS rt, list_cosine_similarity(x.v, y.v) AS s FROM d x JOIN d y ON x.id = y.id AND x.p AND NOT y.p),
+        bp AS (SELECT id, pt AS token, max(s) AS s FROM c GROUP BY ALL), br AS (SELECT id, rt AS token, max(s) AS s FROM c GROUP BY ALL),
+        a AS (SELECT k.id, CASE WHEN sum(w) > 0 THEN sum(w * s) / sum(w) ELSE 0 END AS m FROM k JOIN bp USING (id, token) WHERE p GROUP BY k.id), b AS (SELECT k.id, CASE WHEN sum(w) > 0 THEN sum(w * s) / sum(w) ELSE 0 END AS m FROM k JOIN br USING (id, token) WHERE NOT p GROUP BY k.id)
+        SELECT count(*) AS n, round(avg(a.m), 6) AS precision, round(avg(b.m), 6) AS recall FROM a JOIN b USING (id)""",
     "ev_token_similarity": """WITH t AS (SELECT vec_id // 20 AS id, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
         c AS (SELECT p.id, p.vec_id AS pt, r.vec_id AS rt, list_cosine_similarity(p.v, r.v) AS s FROM t p JOIN t r ON p.id = r.id AND p.vec_id % 2 = 0 AND r.vec_id % 2 = 1),
         a AS (SELECT id, avg(m) AS p FROM (SELECT id, pt, max(s) AS m FROM c GROUP BY ALL) GROUP BY id), b AS (SELECT id, avg(m) AS r FROM (SELECT id, rt, max(s) AS m FROM c GROUP BY ALL) GROUP BY id)

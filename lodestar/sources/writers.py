@@ -12,12 +12,12 @@ def jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def by_split(df: DataFrame, path: str) -> None:
-    """One folder per value of `split`."""
-    df.write.partitionBy("split").json(path)
+    """One folder per value of `split`, which the records keep, too."""
+    df.withColumn("split of folder", F.col("split")).write.partitionBy("split of folder").json(path, ignoreNullFields=False)
 
 
 def append_new(df: DataFrame, path: str, id_col: str) -> None:
-    """Appends the rows whose id is not yet there, so that a repeated run adds nothing."""
+    """Appends the rows whose id is not yet there, so that a repeated run adds nothing. (StoredTable.append also names each change.)"""
     from pyspark.errors import AnalysisException
 
     try:
@@ -36,7 +36,9 @@ def texts(df: DataFrame, column: str, path: str) -> None:
 
 
 def markdown(df: DataFrame, most_rows: int = 1000) -> str:
-    """A table of an aggregate of at most so many rows."""
-    rows = df.limit(most_rows).collect()
+    """A table of an aggregate of at most so many rows; more are an error, never cut off."""
+    rows = df.limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows; aggregate them first")
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join(str(v) for v in r) + " |" for r in rows)])

@@ -49,7 +49,7 @@ def test_ranks_by_an_order(spark, most):
 
 @pytest.mark.parametrize("most", [1 << 17, 50])
 def test_quota_with_backfill_and_levels(spark, monkeypatch, most):
-    monkeypatch.setattr(sampling.ranked, "__defaults__", (None, None, most))
+    monkeypatch.setattr(sampling.ranked, "__defaults__", (None, None, most, None))
     df = rows(spark, 900)
     quotas = spark.createDataFrame([("hot", 100), ("g0", 3)], "g string, quota int")
     groups = {}
@@ -81,3 +81,18 @@ def test_columns_of_the_input_are_not_overwritten(spark):
         with pytest.raises(ValueError, match="column"):
             call()
     assert sampling.ratio_split(df, [], out="part").columns == [*df.columns, "part"]
+
+
+@pytest.mark.parametrize(("cells", "most"), [(10_000, 1 << 17), (20, 16)])
+def test_pair_exclusive_split_meets_the_targets_over_all_cells(spark, monkeypatch, cells, most):
+    monkeypatch.setattr(sampling.ranked, "__defaults__", (None, None, most, None))
+    df = spark.createDataFrame([(i, f"p{i % 400 if i % 3 else i % 7}", f"l{i % 4}") for i in range(4000)], "id long, pair string, layer string")
+    for targets in ({"train": 0.8, "dev": 0.1, "test": 0.1}, {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}):
+        out = split.pair_exclusive_split(df, "pair", "layer", "id", targets, cell_pairs=cells)
+        assert out.columns == [*df.columns, "split"] and out.count() == df.count() and split.leakage(out, "pair").count() == 0
+        largest = max(r["count"] for r in df.groupBy("pair").count().collect())
+        held = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+        assert all(abs(held.get(s, 0) - share * 4000) <= largest for s, share in targets.items()), held
+    many = spark.createDataFrame([(i, f"p{i // 3}", "l") for i in range(3000)], "id long, pair string, layer string")
+    held = {r["split"]: r["count"] for r in split.pair_exclusive_split(many, "pair", "layer", "id", cell_pairs=3).groupBy("split").count().collect()}
+    assert all(abs(held[s] - share * 3000) <= 3 for s, share in (("train", 0.8), ("dev", 0.1), ("test", 0.1))), held

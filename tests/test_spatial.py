@@ -153,6 +153,8 @@ def wkt_of(rings):
 def test_join_gives_each_pair_once(spark, most, deepest, spread):
     rng = random.Random(most)
     one, two = ([moved(s, rng.randint(-spread, spread), rng.randint(-spread, spread)) for s in areas(k, 120)] for k in (7, 8))
+    none = spark.createDataFrame([], "id int, w string").select("id", G.from_wkt(F.col("w")).alias("g"))
+    assert candidates(none, none, "id", "id", "g", "g").count() == 0
     frames = [spark.createDataFrame([(i, wkt_of(outline(s))) for i, s in enumerate(x)] + [(900, None), (None, "POINT (1 1)"), (901, "POLYGON EMPTY")], "id int, w string").select("id", G.from_wkt(F.col("w")).alias("g")) for x in (one, two)]
     pairs = [tuple(r) for r in candidates(*frames, "id", "id", "g", "g", most=most, deepest=deepest).collect()]
     span = lambda s: [f(c[k] + e for c in s) for k in (0, 1) for f, e in ((min, 0), (max, 1))]
