@@ -8,12 +8,15 @@ Text is read and written by built-in functions; the binary form by Arrow batches
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestar.functions.let import let
+
 #: The types, in the order of their codes in the binary form; names as in GeoJSON.
 KINDS = ["Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon"]
 PARTS = "array<array<array<struct<x:double,y:double>>>>"
@@ -27,56 +30,64 @@ def _points(a: Column) -> Column:
     return F.transform(a, lambda p: F.struct(F.get(p, 0).cast("double").alias("x"), F.get(p, 1).cast("double").alias("y")))
 
 
-def _nested(kind: Column, at) -> Column:
+def _nested(kind: Column, at: Callable[[int], Column]) -> Column:
     """The geometry of a kind from coordinates; at(depth) gives them as arrays nested so deep, coordinates included."""
-    two, three, four = at(2), at(3), at(4)
-    one = F.filter(F.array(at(1)), lambda p: F.size(p) > 0)
     rings = lambda a: F.transform(a, _points)
     lone = lambda a: F.filter(F.array(a), lambda x: F.size(x) > 0)
     parts = {
-        "Point": F.transform(_points(one), lambda p: F.array(F.array(p))),
-        "LineString": F.transform(lone(_points(two)), lambda r: F.array(r)),
-        "Polygon": lone(rings(three)),
-        "MultiPoint": F.transform(_points(two), lambda p: F.array(F.array(p))),
-        "MultiLineString": F.transform(rings(three), lambda r: F.array(r)),
-        "MultiPolygon": F.transform(four, rings),
+        "Point": F.transform(lone(at(1)), lambda p: F.array(_points(F.array(p)))),
+        "LineString": F.transform(lone(at(2)), lambda r: F.array(_points(r))),
+        "Polygon": F.transform(lone(at(3)), rings),
+        "MultiPoint": F.transform(at(2), lambda p: F.array(_points(F.array(p)))),
+        "MultiLineString": F.transform(at(3), lambda r: F.array(_points(r))),
+        "MultiPolygon": F.transform(at(4), rings),
     }
-    out = F.lit(None).cast(GEOMETRY)
+    whole = {"Point": at(1), "LineString": at(2), "Polygon": at(3)}  # a lone part that is null leaves an empty array
+    made = F.lit(None).cast(PARTS)
     for name in KINDS:
-        made = F.struct(F.lit(name.upper()).alias("kind"), parts[name].cast(PARTS).alias("parts"))
-        out = F.when((kind == name.upper()) & parts[name].isNotNull(), made).otherwise(out)
-    return out
+        found = parts[name].cast(PARTS)
+        made = F.when(kind == name.upper(), F.when(whole[name].isNotNull(), found) if name in whole else found).otherwise(made)
+    return let(made, lambda p: F.when(p.isNotNull(), F.struct(kind.alias("kind"), p.alias("parts"))))
 
 
 def from_geojson(text: Column) -> Column:
     """A geometry from GeoJSON, or from a bare [lon, lat]; null for other text and for collections."""
-    v = F.try_parse_json(text)
-    bare = F.try_variant_get(v, "$", "array<double>")
-    kind = F.when(bare.isNotNull(), "POINT").otherwise(F.upper(F.try_variant_get(v, "$.type", "string")))
 
-    def at(depth: int) -> Column:
-        found = F.try_variant_get(v, "$.coordinates", "array<" * depth + "double" + ">" * depth)
-        return F.coalesce(bare, found) if depth == 1 else found
+    def read(v: Column) -> Column:
+        bare = F.try_variant_get(v, "$", "array<double>")
+        kind = F.when(bare.isNotNull(), "POINT").otherwise(F.upper(F.try_variant_get(v, "$.type", "string")))
+
+        def at(depth: int) -> Column:
+            found = F.try_variant_get(v, "$.coordinates", "array<" * depth + "double" + ">" * depth)
+            return F.coalesce(bare, found) if depth == 1 else found
 
-    return _nested(kind, at)
+        return let(kind, lambda k: _nested(k, at))
+
+    return let(F.try_parse_json(text), read)
 
 
 def from_wkt(text: Column) -> Column:
     """A geometry from well-known text, with or without SRID, Z and M (which are dropped); null for other text and for collections."""
     upper = F.upper(F.trim(F.regexp_replace(text, r"^\s*(?i:SRID=\d+;)?", "")))
-    kind = F.regexp_extract(upper, r"^((?:MULTI)?(?:POINT|LINESTRING|POLYGON))\s*(?:ZM|Z|M)?\s*(?:EMPTY|\()", 1)
-    body = F.regexp_extract(upper, r"(?s)(\(.*\))\s*$", 1)
-    body = F.when(kind == "MULTIPOINT", F.concat(F.lit("("), F.translate(body, "()", ""), F.lit(")"))).otherwise(body)
-    listed = F.translate(F.regexp_replace(body, rf"{_NUMBER}\s+{_NUMBER}(?:\s+{_NUMBER})*", r'["$1","$2"]'), "()", "[]")
-    empty = upper.endswith("EMPTY")
 
-    def at(depth: int) -> Column:
-        # the parentheses of a point hold its one position
-        kept = F.from_json(listed, "array<" * max(depth, 2) + "string" + ">" * max(depth, 2))
-        kept = F.when(empty, F.array().cast("array<" * max(depth, 2) + "string" + ">" * max(depth, 2))).otherwise(kept)
-        return F.coalesce(F.get(kept, 0), F.when(empty, F.array().cast("array<string>"))) if depth == 1 else kept
+    def read(t: Column) -> Column:
+        kind = F.regexp_extract(t, r"^((?:MULTI)?(?:POINT|LINESTRING|POLYGON))\s*(?:ZM|Z|M)?\s*(?:EMPTY|\()", 1)
+        body = F.regexp_extract(t, r"(?s)(\(.*\))\s*$", 1)
+        body = F.when(t.startswith("MULTIPOINT"), F.concat(F.lit("("), F.translate(body, "()", ""), F.lit(")"))).otherwise(body)
+        listed = F.translate(F.regexp_replace(body, rf"{_NUMBER}\s+{_NUMBER}(?:\s+{_NUMBER})*", r'["$1","$2"]'), "()", "[]")
+        listed = F.when(t.endswith("EMPTY"), "[]").otherwise(listed)
+
+        def at(listed: Column) -> Callable[[int], Column]:
+            # the parentheses of a point hold its one position
+            def kept(depth: int) -> Column:
+                found = F.from_json(listed, "array<" * max(depth, 2) + "string" + ">" * max(depth, 2))
+                return F.when(F.size(found) == 0, F.array().cast("array<string>")).otherwise(F.get(found, 0)) if depth == 1 else found
+
+            return kept
 
-    return _nested(kind, at)
+        return let(F.struct(kind.alias("kind"), listed.alias("listed")), lambda s: _nested(s["kind"], at(s["listed"])))
+
+    return let(upper, read)
 
 
 def _number(x: Column) -> Column:
@@ -107,16 +118,17 @@ def _text(g: Column, between: str, opening: str, closing: str, bracket_points: b
 
 
 def to_wkt(g: Column) -> Column:
-    empty = F.size(g["parts"]) == 0
-    return F.when(empty, F.concat(g["kind"], F.lit(" EMPTY"))).otherwise(F.concat(g["kind"], F.lit(" "), _text(g, " ", "(", ")", False)))
+    return let(g, lambda g: F.when(F.size(g["parts"]) == 0, F.concat(g["kind"], F.lit(" EMPTY"))).otherwise(F.concat(g["kind"], F.lit(" "), _text(g, " ", "(", ")", False))))
 
 
 def to_geojson(g: Column) -> Column:
-    name = F.lit(None).cast("string")
-    for kind in KINDS:
-        name = F.when(g["kind"] == kind.upper(), kind).otherwise(name)
-    body = F.when(F.size(g["parts"]) == 0, "[]").otherwise(_text(g, ",", "[", "]", True))
-    return F.concat(F.lit('{"type":"'), name, F.lit('","coordinates":'), body, F.lit("}"))
+    names = F.create_map(*[F.lit(x) for kind in KINDS for x in (kind.upper(), kind)])
+
+    def write(g: Column) -> Column:
+        body = F.when(F.size(g["parts"]) == 0, "[]").otherwise(_text(g, ",", "[", "]", True))
+        return F.concat(F.lit('{"type":"'), names[g["kind"]], F.lit('","coordinates":'), body, F.lit("}"))
+
+    return let(g, write)
 
 
 class _Reader:
@@ -239,10 +251,14 @@ def n_points(g: Column) -> Column:
 
 def bounds(g: Column) -> Column:
     """struct<x0, y0, x1, y1>; null for a geometry without points."""
-    points = F.flatten(F.flatten(g["parts"]))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    box = F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
-    return F.when(F.size(points) > 0, box)
+
+    def box(axes: Column) -> Column:
+        x, y = axes["x"], axes["y"]
+        made = F.struct(F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
+        return F.when(F.size(x) > 0, made)
+
+    axes = lambda points: F.struct(F.transform(points, lambda p: p["x"]).alias("x"), F.transform(points, lambda p: p["y"]).alias("y"))
+    return let(let(F.flatten(F.flatten(g["parts"])), axes), box)
 
 
 def centroid(g: Column) -> Column:
@@ -257,11 +273,11 @@ def centroid(g: Column) -> Column:
             return F.struct((s["a"] + cross).alias("a"), (s["x"] + (p["x"] + q["x"]) * cross).alias("x"), (s["y"] + (p["y"] + q["y"]) * cross).alias("y"))
 
         total = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1))), zero, step)
-        return add(zero, total, F.when(total["a"] < 0, -sign).otherwise(sign))
+        return let(total, lambda t: add(zero, t, F.when(t["a"] < 0, -sign).otherwise(sign)))
 
     weighed = F.transform(g["parts"], lambda rs: F.transform(rs, lambda r, i: of_ring(r, F.when(i == 0, 1.0).otherwise(-1.0))))
     total = F.aggregate(F.flatten(weighed), zero, lambda s, t: add(s, t, F.lit(1.0)))
-    return F.when(total["a"] != 0, F.struct((total["x"] / (3 * total["a"])).alias("x"), (total["y"] / (3 * total["a"])).alias("y")))
+    return let(total, lambda t: F.when(t["a"] != 0, F.struct((t["x"] / (3 * t["a"])).alias("x"), (t["y"] / (3 * t["a"])).alias("y"))))
 
 
 def holds_point(g: Column, x: Column, y: Column) -> Column:

@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestar.functions.let import let
+
 # fixed values: coefficients of Stirling's series, B(2k) / (2k (2k - 1))
 _STIRLING = [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360]
 
 
-def _with(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """fn(value), where the value is computed once however often fn names it."""
-    return F.transform(F.array(value), fn)[0]
-
-
 def lgamma(x: Column) -> Column:
     """The logarithm of the gamma function of a positive number: Stirling's series eight steps up, and back by the recurrence."""
 
@@ -27,7 +23,7 @@ def lgamma(x: Column) -> Column:
         return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series / y
 
     steps = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda s, k: s + F.log(x + k))
-    return _with(x + 8.0, at) - steps
+    return let(x + 8.0, at) - steps
 
 
 def _fraction(a: Column, b: Column, x: Column) -> Column:
@@ -41,8 +37,8 @@ def _fraction(a: Column, b: Column, x: Column) -> Column:
         return F.when(j % 2 == 0, even).otherwise(-(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
 
     def step(s: Column, j: Column) -> Column:
-        ratios = _with(term(j), lambda t: F.struct((1 + t / s["c"]).alias("c"), (1 / (1 + t * s["d"])).alias("d")))
-        return _with(ratios, lambda r: state(r["c"], r["d"], s["h"] * r["c"] * r["d"]))
+        ratios = let(term(j), lambda t: F.struct((1 + t / s["c"]).alias("c"), (1 / (1 + t * s["d"])).alias("d")))
+        return let(ratios, lambda r: state(r["c"], r["d"], s["h"] * r["c"] * r["d"]))
 
     first = 1 / (1 - (a + b) * x / (a + 1))
     terms = F.sequence(F.lit(2), F.ceil(120 + 8 * F.sqrt(F.greatest(a, b))).cast("int"))
@@ -59,7 +55,7 @@ def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
         p, q, y = s["p"], s["q"], s["y"]
         return F.exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * F.log(y) + q * F.log(1 - y)) * _fraction(p, q, y) / p
 
-    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(low, _with(sides, part)).otherwise(1 - _with(sides, part))
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(low, let(sides, part)).otherwise(1 - let(sides, part))
 
 
 def correlation_p(r: Column, n: Column) -> Column:
