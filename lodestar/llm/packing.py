@@ -193,7 +193,7 @@ def in_file_order(df: DataFrame) -> tuple[DataFrame, list]:
 
 def pack(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer_path: str | None = None, end_id: int = 0,
-    cell_items: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 6, ordered: bool = False, open_below: float = 0.9,
+    cell_items: int = 4096, islands: int = 2, epochs: int = 2, population: int = 6, generations: int = 6, ordered: bool = False, open_below: float = 0.9,
 ) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` tokens, as few as it can.
 

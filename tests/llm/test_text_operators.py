@@ -443,3 +443,36 @@ def test_lm_scores_counts(odd, none):
     assert lm_scoring.lm_scores(none, steps=2, parts=4).count() == 0
 
 
+
+
+def fewest(lengths, capacity):
+    """The fewest bins, by trying all placements with the longest first."""
+    lengths, best = sorted(lengths, reverse=True), len(lengths)
+
+    def place(k, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if k == len(lengths):
+            best = len(fills)
+            return
+        for b in range(len(fills)):
+            if fills[b] + lengths[k] <= capacity and fills[b] not in fills[:b]:
+                place(k + 1, [*fills[:b], fills[b] + lengths[k], *fills[b + 1 :]])
+        place(k + 1, [*fills, lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_genetic_packing_of_small_cells_is_best():
+    rng, saved = np.random.default_rng(12), 0
+    for seed in range(150):
+        lengths = [int(n) for n in rng.integers(15, 60, rng.integers(1, 11))]
+        found, _ = packing.evolve(lengths, 100, seed, [], 6, 12)
+        plain = packing.Packing(lengths, 100).insert(list(range(len(lengths))))
+        want = fewest(lengths, 100)
+        saved += len(plain.bins) - want
+        assert len(found.bins) == want and max(found.fills, default=0) <= 100
+        assert sorted(i for b in found.bins for i in b) == list(range(len(lengths)))
+    assert saved > 0
