@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.plans.base import frame, sql
 from lodestar.sources import ingest
-from lodestar.sources.scratch import shared_dir
+from lodestar.sources.scratch import scratch
 
 FIELDS = {"id": ["string"], "question": ["string"], "score": ["number"], "tokens": ["array"]}
 #: A record as a line of text: keys that are missing, null or of another type, broken and blank lines. SQL of both engines.
@@ -17,9 +17,7 @@ _LINE = """CASE WHEN id % 17 = 0 THEN concat('{"id":"r', id, '","question"') WHE
 
 def _rows(spark, sf_dir):
     """The records, written as files of five hundred lines in the order of their ids, and read as numbered lines."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/lodestar/lines-{uuid.uuid4().hex}"
+    path = scratch(spark, "lines")
     lines = frame(spark, sf_dir, "records").selectExpr("id", f"{_FILE} AS f", f"{_LINE} AS value")
     lines.repartition("f").sortWithinPartitions("f", "id").select("f", "value").write.partitionBy("f").text(path)
     numbered = ingest.numbered_lines(spark, path).withColumn("file", F.regexp_extract("file", r"/f=(\d+)/", 1).cast("long"))
