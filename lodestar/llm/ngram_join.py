@@ -151,11 +151,11 @@ def intersections(sets: list[np.ndarray], left: int, columns: int = 4096) -> np.
 
 
 def verify(frame: pd.DataFrame, width: int, threshold: Fraction) -> pd.DataFrame:
-    """Links of one cell: for each member how many texts, and how many documents, reach the threshold by exact Jaccard
-    over the full shingle sets, with a spanning forest of them.
+    """Links of one cell: for each member how many texts, and how many documents, share a bucket with it and reach the threshold by
+    exact Jaccard over the full shingle sets, with a spanning forest of them.
 
-    If the frame has the members' band hashes, the cell belongs to a bucket of the band ``band``; a pair that shares
-    a bucket of an earlier band is left to that.
+    If the frame has a column ``band``, the cell belongs to a bucket of that band; a pair that shares a bucket of an earlier
+    band is left to that.
     """
     frame = frame.sort_values(["part", "id"])
     ids, part, copies = frame["id"].to_numpy(), frame["part"].to_numpy(), frame["copies"].to_numpy()
@@ -166,10 +166,15 @@ def verify(frame: pd.DataFrame, width: int, threshold: Fraction) -> pd.DataFrame
     both = intersections(sets, left)
     # both / (|A| + |B| - both) >= threshold, in whole numbers
     linked = both * (threshold.numerator + threshold.denominator) >= threshold.numerator * (size[:left, None] + size[None, :])
-    if "bands" in frame:
-        bands = np.stack(frame["bands"].to_numpy())
+    bands = np.stack(frame["bands"].to_numpy())
+    if "band" in frame:
         for earlier in range(int(frame["band"].iloc[0])):
             linked &= bands[:left, earlier, None] != bands[None, :, earlier]
+    else:
+        shared = np.zeros_like(linked)
+        for band in range(bands.shape[1]):
+            shared |= bands[:left, band, None] == bands[None, :, band]
+        linked &= shared
     if one == two:
         np.fill_diagonal(linked, False)
         texts, docs = linked.sum(axis=1), linked @ copies
@@ -199,7 +204,7 @@ def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def ngram_join(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.999,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999,
     most_hashes: int = 128, block: int = 1024, margin: float = 0.15,
 ) -> DataFrame:
     """Which documents have a near-duplicate by Jaccard similarity of their sets of `width`-word shingles.
@@ -212,9 +217,9 @@ def ngram_join(
     Plan: (1) one pass signs each text; (2) documents with equal sets become one class, by partial aggregation, so
     thousands of copies are one row from there on; (3) classes meet on band hashes, and buckets with one member
     leave; (4) in a bucket, members whose signatures agree within `margin` of the threshold are
-    tied by a spanning forest, never by all pairs; (5) candidate components; (6) in a component of up to `block`
-    members every two are compared on their full shingle sets, in one cell; in a larger one the members of each bucket are,
-    each pair in the first bucket that it shares. Large buckets are dealt to cells of `block` members a part (``blocked``). The
+    tied by a spanning forest, never by all pairs; (5) candidate components; (6) two members of a component that share a bucket
+    are compared on their full shingle sets: of a component of up to `block` members in one cell, of a larger one in the first bucket that
+    they share. The rule is the same at every size, so growth changes no answer. Large buckets are dealt to cells of `block` members a part (``blocked``). The
     sets are computed where needed; only counts and least members leave a cell, never pairs.
 
     Cases: null, empty and blank texts link with nothing and are classes of their own; texts shorter than `width`
@@ -240,11 +245,11 @@ def ngram_join(
 
     sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
     chosen = candidates.join(sizes, "component").withColumnRenamed("node", "class").join(classes.select(F.col("id").alias("class"), "first", "copies", "bands"), "class")
-    named = chosen.select("class", "component", "size", "copies", F.when(F.col("size") > block, F.col("bands")).alias("bands"), "first.one", "first.two")
+    named = chosen.select("class", "component", "size", "copies", "bands", "first.one", "first.two")
     held = texts.join(named, ["one", "two"]).groupBy("class", "component", "size", "copies", "bands").agg(F.any_value("text").alias("text"))
     held = written(held.withColumnRenamed("class", "id"), "candidate-texts")
     compared = "id binary, texts long, docs long, first binary"
-    small = blocked(held.where(F.col("size") <= block).drop("bands"), ["component"], "size", F.xxhash64("id"), block)
+    small = blocked(held.where(F.col("size") <= block), ["component"], "size", F.xxhash64("id"), block)
     found = map_groups(small, ["component", "one", "two"], lambda f: verify(f, width, exact), compared)
     large = held.where(F.col("size") > block).drop("size").select("*", F.posexplode("bands").alias("band", "h"))
     shared = large.groupBy("component", "band", "h").agg(F.count("*").alias("size")).where("size > 1")
