@@ -21,12 +21,18 @@ LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
+# fixed values: letters of other scripts that look like one of a to z
+CONFUSABLE = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b",
+    "α": "a", "ε": "e", "ο": "o", "ρ": "p", "υ": "u", "ι": "i", "κ": "k", "ν": "v", "τ": "t",
+}
 SEPARATORS = " .-_*'~,/\\+|"
 #: Symbols of the character model: word boundary, a to z, any other letter.
 EDGE, OTHER, SIZE = 0, 27, 28
 #: Channel costs in nats: a look-alike, a separator inside a word, a word end there, a repeated letter dropped, a symbol dropped.
 LOOK, INSIDE, BREAK, REPEAT, DROP = 0.5, 0.3, 2.0, 0.2, 3.0
-_SPACED = re.compile(r"(?<!\S)\S(?:\s{1,4}\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+_MIXED = re.compile("[a-z][{0}]|[{0}][a-z]".format("".join(CONFUSABLE)))
 _DOUBLE, _TRIPLE = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1\1")
 _ODD = re.compile(r"(.)\1\1|[^\W\d_][^\w\s]+[^\W\d_]|[^\W_][0-9@$!|+(€£¡]+[^\W_]|[0-9@$!|+(€£¡][^\W\d_]|[^\W\d_][0-9@$|€£]|_")
 _ENDS = ".,;:!?\"'()[]{}<>#%&*|~^-_=/\\…«»“”‘’"
@@ -79,6 +85,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         ways = []
         if c.isalpha():
             ways.append((c, 0.0))
+            if c in CONFUSABLE:
+                ways.append((CONFUSABLE[c], LOOK))
             if c == before:
                 ways.append(("", REPEAT))
         else:
@@ -130,13 +138,13 @@ def restored(token: str, costs: list) -> list[str]:
     with more doublings, or a letter three times, it is odd.
     """
     core = token.strip(_ENDS)
-    if core.isalpha() and not _TRIPLE.search(core):
+    if core.isalpha() and not _TRIPLE.search(core) and not _MIXED.search(core):
         lead = token[: token.find(core)]
         if not lead or lead[-1] not in LOOKS or len(set(lead)) < len(lead):
             doubles = len(_DOUBLE.findall(core))
             return [core] if not doubles else [core, _DOUBLE.sub(r"\1", core)] if doubles == 1 else [core, *decode(core, costs)]
     whole = token.rstrip(_ENDS).lstrip("".join(c for c in _ENDS if c not in LOOKS))
-    if any(c.isalpha() for c in whole) and _ODD.search(whole):
+    if any(c.isalpha() for c in whole) and (_ODD.search(whole) or _MIXED.search(whole)):
         return decode(whole, costs)
     return [core] if core else []
 

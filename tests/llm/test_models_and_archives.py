@@ -58,9 +58,17 @@ def test_doubled_and_spaced_letters(costs):
         assert "idiot" in toxicity.restored(token, costs), token
     for text in ("an i  d  i o   t indeed", "an\ni\nd\ni\no\nt\nindeed", "i d\ti o t"):
         assert "idiot" in toxicity.text_words(text, costs, {}), text
+    for gap in (" " * 5, "\t" * 40, " \n " * 7):
+        assert "idiot" in toxicity.text_words("an " + gap.join("idiot") + " indeed", costs, {})
     assert toxicity.restored("letter", costs)[0] == "letter"
 
 
+def test_letters_of_other_scripts(costs):
+    for token in ("mоron", "ѕtupid", "idіоt", "m0rоn"):
+        assert toxicity.restored(token, costs) in (["moron"], ["stupid"], ["idiot"]), token
+    assert toxicity.restored("город", costs) == ["город"] and toxicity.restored("είναι", costs) == ["είναι"]
+
+
 def test_decode_equals_an_exhaustive_search(costs):
     """The cheapest of all readings of the lattice, each costed from scratch."""
     import itertools
