@@ -2,47 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lodestar.sources.scratch import scratch, shared_dir
+from lodestar.sources.scratch import stored as written
+
+__all__ = ["scratch", "shared_dir", "written"]
+
 #: ASCII white space, as the contents of a regular-expression class and as plain characters.
 WS_CLASS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Only where the setting is absent (local runs and tests) a temporary folder is used.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jsc.isDefined():
-            return jsc.get()
-        path = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends here and a
-    lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
