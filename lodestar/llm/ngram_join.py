@@ -155,7 +155,7 @@ def verify(frame: pd.DataFrame, width: int, threshold: Fraction) -> pd.DataFrame
     exact Jaccard over the full shingle sets, with a spanning forest of them.
 
     If the frame has a column ``band``, the cell belongs to a bucket of that band; a pair that shares a bucket of an earlier
-    band is left to that.
+    band is left to that. Without the members' ``bands`` every two are compared.
     """
     frame = frame.sort_values(["part", "id"])
     ids, part, copies = frame["id"].to_numpy(), frame["part"].to_numpy(), frame["copies"].to_numpy()
@@ -166,7 +166,7 @@ def verify(frame: pd.DataFrame, width: int, threshold: Fraction) -> pd.DataFrame
     both = intersections(sets, left)
     # both / (|A| + |B| - both) >= threshold, in whole numbers
     linked = both * (threshold.numerator + threshold.denominator) >= threshold.numerator * (size[:left, None] + size[None, :])
-    bands = np.stack(frame["bands"].to_numpy())
+    bands = np.stack(frame["bands"].to_numpy()) if "bands" in frame else np.zeros((len(frame), 1), np.int64)
     if "band" in frame:
         for earlier in range(int(frame["band"].iloc[0])):
             linked &= bands[:left, earlier, None] != bands[None, :, earlier]
