@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
+import unicodedata
 
 
 def process_cache(name: str) -> dict:
@@ -28,13 +30,17 @@ class ByteWords:
     """Ids by UTF-8 word for a tokenizer whose pieces never cross white space and that ignores ASCII case (the word BPE).
 
     A text's ids are those of its words (``words_of``) in order, so a word is encoded once and then looked up in a cache
-    that the process keeps. New words are encoded together, as one text in which a mark stands between every two. Runs of
-    ASCII letters, with a full stop or comma behind them or not, skip the tokenizer's normalisation, which leaves them as
-    they are. The cache is emptied when it would grow beyond `most` words.
+    that the process keeps. New words are encoded together, as one text in which a mark stands between every two. A run of
+    letters, with signs before or behind it or not, is the tokenizer's own unit: where its normalisation leaves the word as it is,
+    the letters skip it and the signs are looked up. The cache is emptied when it would grow beyond `most` words.
     """
 
     #: One piece of one id, wherever it stands between spaces; words that hold it are encoded singly.
     MARK, PLAIN_MARK = "\x01", "!"
+    #: Signs, letters, signs. (Signs are neither letters, numbers nor white space.)
+    LETTERS = re.compile(r"((?:[^\w\s]|_)*)([^\W\d_]+)((?:[^\w\s]|_)*)\Z")
+    #: How the byte-level alphabet writes the bytes that are not printable characters.
+    SHOWN = {c: 256 + i for i, c in enumerate(c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255))}
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,12 +53,14 @@ class ByteWords:
             cache["plain"] = Tokenizer(cache["tokenizer"].model)
             cache["plain"].pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.check(cache["tokenizer"])
+            added = [t.content for t in cache["tokenizer"].get_added_tokens_decoder().values()]
+            cache["special"] = re.compile("|".join(map(re.escape, added))) if added else None
             suffix = getattr(cache["tokenizer"].model, "end_of_word_suffix", None)
             pieces = cache["tokenizer"].get_vocab()
             cache["closing"] = np.zeros(max(pieces.values()) + 1, bool)
             cache["closing"][[i for p, i in pieces.items() if suffix and p.endswith(suffix)]] = True
         self.tokenizer, self.plain, self.known, self.most = cache["tokenizer"], cache["plain"], cache["words"], most
-        self.closing = cache["closing"]
+        self.closing, self.special = cache["closing"], cache["special"]
         self.ends = {c: self.one(self.tokenizer, [c.decode()], self.MARK)[0] for c in (b".", b",")} | {b"": b""}
 
     @staticmethod
@@ -89,23 +97,35 @@ class ByteWords:
         return [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), [*(starts[1:] - 1).tolist(), len(ids)], strict=True)]
 
     def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of each word."""
-        cores, others = {}, []
+        """The ids of each word, and of the letters in it where they are looked up apart."""
+        alone, signed, others, letters, special = [], [], [], self.LETTERS.match, self.special and self.special.search
         for w in words:
-            end = w[-1:]
-            core, end = (w[:-1], end) if end in (b".", b",") else (w, b"")
-            if core.isalpha():  # of bytes: ASCII letters alone
-                cores[w] = core, end
+            if w.isalpha():  # of bytes: ASCII letters alone
+                alone.append(w)
+            elif w[-1:] in self.ends and w[:-1].isalpha():
+                signed.append((w, b"", w[:-1], w[-1:]))
             else:
-                others.append(w)
+                text = w.decode("utf-8", "replace")
+                found = letters(text)
+                # an apostrophe right before letters may begin a contraction; a word that normalisation changes is left to the tokenizer
+                if not found or (at := found.span(2))[0] == 1 and text[0] == "'" or (special and special(text)):
+                    others.append(w)
+                elif text.isascii():
+                    signed.append((w, w[: at[0]], w[at[0] : at[1]], w[at[1] :]))
+                elif found[2].isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text):
+                    signed.append((w, found[1].encode(), found[2].encode(), found[3].encode()))
+                else:
+                    others.append(w)
         out = dict(zip(others, self.one(self.tokenizer, [w.decode("utf-8", "replace") for w in others], self.MARK), strict=True)) if others else {}
-        if cores:
-            known, need = self.known, list({c for c, _ in cores.values()})
-            need = [c for c in need if c not in known]
-            new = dict(zip(need, self.closed(b" ".join(need).decode().split(" ")), strict=True)) if need else {}
-            ends = self.ends
-            for w, (core, end) in cores.items():
-                out[w] = (new[core] if core in new else known[core]) + ends[end]
+        known, ends = self.known, self.ends
+        need = [c for c in dict.fromkeys([*alone, *[c for _, _, c, _ in signed]]) if c not in known]
+        if need:
+            shown = [c.decode() if c.isascii() else c.decode("latin-1").translate(self.SHOWN) for c in need]
+            out.update(zip(need, self.closed(shown), strict=True))
+        if signed:
+            if signs := list({x for _, a, _, b in signed for x in (a, b) if x not in ends}):
+                ends = ends | dict(zip(signs, self.one(self.tokenizer, [x.decode() for x in signs], self.MARK), strict=True))
+            out.update([(w, ends[a] + (out[c] if c in out else known[c]) + ends[b]) for w, a, c, b in signed])
         return out
 
     def ids(self, words: list[bytes]) -> list[bytes]:
