@@ -56,6 +56,16 @@ def sign_direction(lon1: Column, lat1: Column, lon2: Column, lat2: Column, dead:
     return F.when(both == "", "邻近").otherwise(both)
 
 
+def sign_pair(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """The direction of the first point from the second by signs alone, north or south first (北东); no difference counts as south or west."""
+    return F.concat(F.when(lat1 > lat2, "北").otherwise("南"), F.when(lon1 > lon2, "东").otherwise("西"))
+
+
+def stored_distance_fits(lon1: Column, lat1: Column, lon2: Column, lat2: Column, stored: Column, tolerance: float = 1.0) -> Column:
+    """Whether a stored distance in kilometres is less than the tolerance off that on the sphere of the database."""
+    return F.coalesce(F.abs(haversine_km(lon1, lat1, lon2, lat2, SPHERE_KM) - stored) < tolerance, F.lit(False))
+
+
 def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float] = V.CHINA_BOX) -> Column:
     return lon.between(box[0], box[1]) & lat.between(box[2], box[3])
 

@@ -36,3 +36,9 @@ def stated_fields(direction: Column, distance: Column, within: Column) -> Column
     """Which of direction, distance and range a pair states, joined by "+"; null if fewer than two."""
     names = F.array_compact(F.array(F.when(direction.isNotNull(), "direction"), F.when(distance.isNotNull(), "distance"), F.when(within.isNotNull(), "within")))
     return F.when(F.size(names) >= 2, F.array_join(names, "+"))
+
+
+def negative_fits(negative: Column, file: Column) -> Column:
+    """In a file whose name says negative every pair is marked so; elsewhere none is."""
+    said = F.contains(F.lower(file), F.lit("negative"))
+    return F.when(said, negative.eqNullSafe(F.lit(True))).otherwise(~negative.eqNullSafe(F.lit(True)))

@@ -97,6 +97,16 @@ def neutral_relation(chain: Column) -> Column:
     return F.transform(chain, lambda s: F.when(s["step"] == 2, s.withField("relation_type", F.lit("spatial"))).otherwise(s))
 
 
+def neutral_actions(chain: Column) -> Column:
+    """Step 4 does not tell by its action which kind of relation is meant."""
+    return F.transform(chain, lambda s: F.when(s["step"] == 4, s.withField("action", F.coalesce(T.lookup(s["action"], V.NEUTRAL_ACTIONS), s["action"]))).otherwise(s))
+
+
+def relation_of_question(question: Column) -> Column:
+    """The relation that a question alone shows, composites first; composite if it shows none."""
+    return F.coalesce(T.first_match(question, V.QUESTION_RELATIONS), F.lit("composite"))
+
+
 def coordinates_of(coords: Column, coordinates: Column, point: Column) -> Column:
     """The first of three places that holds [lon, lat], else [0, 0]."""
     return F.coalesce(F.when(F.size(coords) >= 2, coords), F.when(F.size(coordinates) >= 2, F.slice(coordinates, 1, 2)), F.when(F.size(point) >= 2, point), F.array(F.lit(0.0), F.lit(0.0)))

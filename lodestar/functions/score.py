@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
+from lodestar.functions.let import let
 
 #: Direction words, longest first, with the main direction of each.
 _MAIN = {w: k for w in T.longest_first(V.DIRECTIONS_20) for k, group in V.DIRECTION_GROUPS.items() if w in group}
@@ -242,3 +243,20 @@ def answer_shown(text: Column) -> Column:
     loose = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
     parses = lambda c: F.try_parse_json(F.nullif(c, F.lit(""))).isNotNull()
     return parses(fenced) | parses(loose) | T.contains_any(text, V.ANSWER_WORDS)
+
+
+def valid_by_words(prediction: Column) -> Column:
+    """No error mark at the start, and a word of an answer (built-in scorer)."""
+    return ~prediction.startswith("[API_ERROR]") & T.contains_any(prediction, V.RUN_FORMAT_WORDS)
+
+
+def run_f1(prediction: Column, reference: Column) -> Column:
+    """F1 of the keywords that are whole runs of Han characters; 1 if neither text has any (built-in scorer)."""
+    words = lambda c: F.array_intersect(F.regexp_extract_all(c, F.lit("[\\u4e00-\\u9fff]+"), F.lit(0)), F.array(*map(F.lit, V.RUN_WORDS)))
+    both = F.struct(words(prediction).alias("p"), words(reference).alias("r"))
+
+    def score(b: Column) -> Column:
+        n, common = F.size(b["p"]) + F.size(b["r"]), F.size(F.array_intersect(b["p"], b["r"]))
+        return F.when(n == 0, 1.0).otherwise(2 * common / F.nullif(n, F.lit(0)))
+
+    return let(both, score)

@@ -162,6 +162,26 @@ def merge_new(base: DataFrame, extra: DataFrame, id_col: str) -> DataFrame:
     return base.unionByName(extra.join(base.select(id_col), id_col, "left_anti").select(base.columns))
 
 
+def overlap(base: DataFrame, extra: DataFrame, id_col: str) -> DataFrame:
+    """One row about a merge by ``merge_new``: rows of base, rows of extra, those whose id base has, those that are added, and the rows in all."""
+    known = extra.join(base.select(id_col).distinct().withColumn("known", F.lit(1)), id_col, "left")
+    counts = known.agg(F.count("*").alias("extra"), F.count("known").alias("shared")).crossJoin(base.agg(F.count("*").alias("base")))
+    added = F.col("extra") - F.col("shared")
+    return counts.select("base", "extra", "shared", added.alias("added"), (F.col("base") + added).alias("merged"))
+
+
+def topology_quota(
+    df: DataFrame, quotas: dict[tuple[str, str], int], subtypes: list[str], total: int, relation: str = "relation", level: str = "difficulty", subtype: str = "subtype", id_col: str = "id", seed: int | str = 42
+) -> DataFrame:
+    """A quota for each relation and level, of which each topological subtype has an equal part (rounded down); then rows that were left out, up to
+    `total`, and no more than that. Null keys belong to no quota."""
+    small = [(r, d, s, n // len(subtypes)) for (r, d), n in quotas.items() if r == "topological" for s in subtypes] + [(r, d, "-", n) for (r, d), n in quotas.items() if r != "topological"]
+    cell = free_name(df, "cell")
+    keyed = df.withColumn(cell, F.concat_ws("|", relation, level, F.when(F.col(relation) == "topological", F.col(subtype)).otherwise("-")))
+    table = df.sparkSession.createDataFrame([("|".join(x[:3]), x[3]) for x in small], f"`{cell}` string, quota int")
+    return quota_with_backfill(keyed, [cell], table, total, id_col, seed).drop(cell)
+
+
 def supplement(candidates: DataFrame, taken: DataFrame, id_col: str, pair_col: str, key: str, deficits: DataFrame, seed: int | str = 42) -> DataFrame:
     """Rows that fill each group's deficit without an id or pair that is taken. deficits: key and a column quota."""
     free = candidates.join(taken.select(pair_col).distinct(), pair_col, "left_anti").join(taken.select(id_col), id_col, "left_anti").select(candidates.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.profile import shares
@@ -123,3 +123,19 @@ def split_drift(df: DataFrame, key: str) -> DataFrame:
     grid = sizes.crossJoin(whole)  # a row for each split and key
     both = grid.join(counts, ["split", key], "left").na.fill(0, ["n"])
     return both.groupBy("split").agg(F.max("total").alias("n"), (F.sum(F.abs(F.col("n") / F.col("total") - F.col("q"))) / 2).alias("tvd"))
+
+
+def layer_of(relation: str = "relation", difficulty: str = "difficulty", subtype: str = "subtype") -> Column:
+    """The layer of a record: relation, difficulty and, of topological ones, the subtype."""
+    part = F.when(F.col(relation) == "topological", F.coalesce(F.lower(F.trim(subtype)), F.lit("none")))
+    return F.concat_ws("|", F.coalesce(relation, F.lit("none")), difficulty, part)
+
+
+def acceptance(df: DataFrame, layer: str, targets: dict[str, float], tolerance: float = 0.05) -> DataFrame:
+    """(split, n, ratio, ratio_ok, tvd, tvd_ok): each split's share of the rows against its target, and its layers against those of the whole."""
+    goals = df.sparkSession.createDataFrame(list(targets.items()), "split string, target double")
+    drift = split_drift(df, layer).join(goals, "split")
+    whole = df.agg(F.count("*").alias("rows"))
+    ratio = F.col("n") / F.col("rows")
+    out = drift.crossJoin(whole).select("split", "n", ratio.alias("ratio"), (F.abs(ratio - F.col("target")) < tolerance).alias("ratio_ok"), "tvd")
+    return out.withColumn("tvd_ok", F.col("tvd") < tolerance)
