@@ -38,6 +38,11 @@ def _cols(names: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in names]
 
 
+def _rank(keys: list[str], id_col: str, seed: int | str) -> Column:
+    """The rank in the group's hash order, of groups that one task may rank."""
+    return F.row_number().over(W.partitionBy(*_cols(keys)).orderBy(det_order(F.col(f"`{id_col}`"), seed), F.col(f"`{id_col}`")))
+
+
 def _largest(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*_cols(keys)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
@@ -61,7 +66,7 @@ def ranked(df: DataFrame, keys: list[str], id_col: str, seed: int | str, rank: s
     wanted = F.lit(True) if quota is None else F.col(f"`{rank}`") <= quota
     if not digits:
         group = W.partitionBy(*_cols(keys))
-        out = df.withColumn(rank, running(group.orderBy(order, F.col(f"`{id_col}`"))))
+        out = df.withColumn(rank, _rank(keys, id_col, seed) if weight is None else running(group.orderBy(order, F.col(f"`{id_col}`"))))
         return (out.withColumn(size, whole.over(group)) if size else out).select(columns).where(wanted)
     part, before, total, limit = (free_name(df, x) for x in ("hash part", "rows before", "rows in all", "quota of group"))
     placed = df.withColumn(part, F.substring(order, 1, digits))
