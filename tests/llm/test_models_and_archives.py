@@ -266,3 +266,33 @@ def test_pipeline_stages(spark, odd, tmp_path):
         if name == "near_duplicates":
             assert docs.where("doc_id in (1, 2, 3)").count() == 1
     assert {r.doc_id for r in docs.collect()} >= {7, 11, 12}
+
+
+def test_pipeline_stages_without_documents_or_labels(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    _, labels = labelled(spark, 4)
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = none.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.count() == 0
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_quality_score_is_the_sum_of_its_tables():
+    """Every row looked up by hand: the bin of each figure by counting the edges at or below it, the tables and pairs added, then the logistic function."""
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.normal(size=600), rng.integers(0, 4, 600).astype(float), np.zeros(600), rng.exponential(size=600)], axis=1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 1)).astype(float)
+    model = quality_model.Gam(x, y, rounds=20, pair_rounds=10)
+    probe = np.vstack([x[:200], [[np.inf, -1, 5, 0], [-np.inf, 9, -5, 1e9]]])
+    got = model.score(probe)
+    for row, score in zip(probe, got, strict=True):
+        bins = lambda edges: [sum(e <= v for e in es) for es, v in zip(edges, row, strict=True)]  # noqa: B023, E731
+        fine, rough = bins(model.edges), bins(model.coarse)
+        logit = model.base + sum(t[b] for t, b in zip(model.tables, fine, strict=True)) + sum(t[rough[i], rough[j]] for i, j, t in model.pairs)
+        assert abs(score - 1 / (1 + np.exp(-np.clip(logit, -40, 40)))) < 1e-12
+    assert model.pairs and ((got[:200] > 0.5) == (y[:200] > 0.5)).mean() > 0.9
