@@ -154,7 +154,7 @@ def marks(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in (4, 5, 6) if len(word) > k)]
 
 
-def text_words(text: str, costs: list, cache: dict, most: int = 300_000) -> set[str]:
+def text_words(text: str, costs: list, cache: dict, most: int = 100_000) -> set[str]:
     """The distinct restored words of a whole text, spaced-out words included."""
     text = text.lower()
     out: set[str] = set()
