@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.geometry import bounds
-from lodestar.functions.relate import relations
+from lodestar.functions.relate import NAMES, relations, turned
 from lodestar.sources.scratch import stored
 
 _BOX = ["x0", "y0", "x1", "y1"]
@@ -74,24 +74,89 @@ def candidates(
     blocks = lambda n: F.when(F.col("nl") * F.col("nr") <= most, 1).otherwise(F.ceil(F.col(n) / side)).cast("int")
     own = lambda key, n: F.pmod(F.xxhash64(key), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    # few bytes make many pairs, so the number of tasks goes by the pairs
+    tasks = task_count(left.sparkSession, cells.where("l IS NOT NULL").agg(F.sum(F.col("nr").cast("double"))).first()[0])
+    where = ["level", "cx", "cy", "i", "j"]
     one = cells.where("l IS NOT NULL").select("l", *_BOX, "level", "cx", "cy", own("l", "nl").alias("i"), every("nr").alias("j"))
     two = cells.where("r IS NOT NULL").select("r", *[F.col(c).alias(f"r_{c}") for c in _BOX], "level", "cx", "cy", own("r", "nr").alias("j"), every("nl").alias("i"))
-    pairs = one.join(two, ["level", "cx", "cy", "i", "j"])
+    pairs = one.repartition(tasks, *where).join(two.repartition(tasks, *where), where)
     meet = (F.col("x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("x1")) & (F.col("y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("y1"))
     corner = [_cell(F.greatest(f"{c}0", f"r_{c}0"), k, F.col("level"), world) == F.col(f"c{c}") for k, c in enumerate("xy")]
     return pairs.where(meet & corner[0] & corner[1]).select(F.col("l").alias("left_id"), F.col("r").alias("right_id"))
 
 
+def task_count(spark: SparkSession, rows: float | None, each: int = 4_000_000) -> int:
+    """Tasks for a step that makes so many rows: two a core, and no more than `each` rows in one while 20,000 tasks are enough."""
+    return int(min(20_000, max(2 * spark.sparkContext.defaultParallelism, (rows or 0) / each + 1)))
+
+
+class Classes:
+    """The rows of a table by equal value: ``distinct`` has each value once (rep: the least id that has it, n: how many), ``members`` the ids of
+    each, in lists of about `most`."""
+
+    def __init__(self, df: DataFrame, key: str, value: str, most: int = 256):
+        rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{value}`").alias("value")).where("id IS NOT NULL AND value IS NOT NULL")
+        rows = stored(rows, "rows")
+        made = rows.groupBy("value").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("lists", F.ceil(F.col("n") / most).cast("int"))
+        self.distinct = stored(made, "distinct")
+        placed = rows.join(self.distinct, "value").select("rep", F.pmod(F.xxhash64("id"), "lists").cast("int").alias("list"), "id")
+        self.members = stored(placed.groupBy("rep", "list").agg(F.collect_list("id").alias("ids")), "members")
+        n = self.distinct.agg(F.count("*"), F.sum("n")).first()
+        self.mean = (n[1] or 0) / max(1, n[0])
+
+
+def _with_facts(pairs: DataFrame, left: Classes, right: Classes) -> DataFrame:
+    """``expanded`` for pairs with facts, which pass the lists as plain columns."""
+    flat = pairs.select("*", *[F.col(f"facts.{n}").alias(n) for n in NAMES]).drop("facts")
+    out = _expanded_smaller_first(flat, left, right)
+    return out.select(*[c for c in out.columns if c not in NAMES], F.struct(*NAMES).alias("facts"))
+
+
+def expanded(pairs: DataFrame, left: Classes, right: Classes) -> DataFrame:
+    """(left_id, right_id, all other columns) from pairs (left_rep, right_rep, ...) of classes: every member of one with every member of the other.
+    The rows that a pair makes are shared out among tasks by the lists of members."""
+    pairs = pairs.join(left.distinct.selectExpr("rep AS left_rep", "n AS left_n"), "left_rep").join(right.distinct.selectExpr("rep AS right_rep", "n AS right_n", "lists"), "right_rep")
+    pairs = stored(pairs, "pairs")
+    tasks = task_count(pairs.sparkSession, pairs.agg(F.sum(F.col("left_n").cast("double") * F.col("right_n"))).first()[0])
+    kept = [c for c in pairs.columns if c not in ("left_rep", "right_rep", "left_n", "right_n", "lists")]
+    listed = pairs.withColumn("right_list", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)))
+    listed = listed.join(left.members.selectExpr("rep AS left_rep", "ids AS left_ids"), "left_rep").select("right_rep", "right_list", "left_ids", *kept)
+    both = listed.repartition(tasks, "right_rep", "right_list").join(right.members.selectExpr("rep AS right_rep", "list AS right_list", "ids AS right_ids"), ["right_rep", "right_list"])
+    return both.withColumn("left_id", F.explode("left_ids")).withColumn("right_id", F.explode("right_ids")).select("left_id", "right_id", *kept)
+
+
 def spatial_join(
-    left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_geometry: str = "geometry", right_geometry: str = "geometry", where: Column | None = None, **cells
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_geometry: str = "geometry", right_geometry: str = "geometry", where: Column | None = None,
+    once: bool = False, **cells
 ) -> DataFrame:
     """(left_id, right_id, facts) of the pairs that have a point in common, or for which `where` (over facts) holds.
 
-    facts is a struct: contains, within, touches, crosses, overlaps, disjoint, equals, the left geometry being the first. ``candidates`` finds
-    the pairs whose boxes meet; their geometries are joined by id and compared exactly in Arrow batches.
+    facts is a struct: contains, within, touches, crosses, overlaps, disjoint, equals, the left geometry being the first. Rows with equal
+    geometries are compared as one: ``candidates`` finds the pairs of distinct geometries whose boxes meet, these are compared exactly in Arrow
+    batches, and those that hold are expanded to the ids. With `once` both sides are the left table, each pair comes once, with left_id < right_id, and is compared once.
     """
-    pairs = candidates(left, right, left_id, right_id, left_geometry, right_geometry, **cells)
-    one = left.select(F.col(f"`{left_id}`").alias("left_id"), F.col(f"`{left_geometry}`").alias("one"))
-    two = right.select(F.col(f"`{right_id}`").alias("right_id"), F.col(f"`{right_geometry}`").alias("two"))
-    found = pairs.join(one, "left_id").join(two, "right_id").select("left_id", "right_id", relations(F.col("one"), F.col("two")).alias("facts"))
-    return found.where(~F.col("facts.disjoint") if where is None else where)
+    a = Classes(left, left_id, left_geometry)
+    b = a if once else Classes(right, right_id, right_geometry)
+    where = ~F.col("facts.disjoint") if where is None else where
+    pairs = candidates(a.distinct, b.distinct, "rep", "rep", "value", "value", **cells)
+    if once:
+        pairs = pairs.where("left_id <= right_id")
+    one, two = (c.distinct.select(F.col("rep").alias(f"{side}_id"), F.col("value").alias(side)) for c, side in ((a, "left"), (b, "right")))
+    found = pairs.join(one, "left_id").join(two, "right_id").select(F.col("left_id").alias("left_rep"), F.col("right_id").alias("right_rep"), relations(F.col("left"), F.col("right")).alias("facts"))
+    if not once:
+        return _with_facts(found.where(where), a, b)
+    # members of a pair of classes come in either order
+    either = found.withColumns({"holds": where, "as_found": F.col("facts")}).withColumn("facts", turned(F.col("facts"))).withColumn("holds", F.col("holds") | where)
+    either = either.where("holds").select("left_rep", "right_rep", F.col("as_found").alias("facts"), (F.col("left_rep") == F.col("right_rep")).alias("same"))
+    out = _with_facts(either, a, a).where("left_id < right_id OR (left_id > right_id AND NOT same)")
+    back = F.col("left_id") > F.col("right_id")
+    facts = F.when(back, turned(F.col("facts"))).otherwise(F.col("facts"))
+    return out.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), facts.alias("facts")).where(where)
+
+
+def _expanded_smaller_first(pairs: DataFrame, left: Classes, right: Classes) -> DataFrame:
+    """``expanded``, where the shorter lists of members are the ones that go with the pairs."""
+    if left.mean <= right.mean:
+        return expanded(pairs, left, right)
+    swap = lambda df, what: df.select(F.col(f"right_{what}").alias(f"left_{what}"), F.col(f"left_{what}").alias(f"right_{what}"), *[c for c in df.columns if not c.endswith(f"_{what}")])
+    return swap(expanded(swap(pairs, "rep"), right, left), "id")

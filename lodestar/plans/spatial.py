@@ -17,7 +17,9 @@ _LINE = {"x0": "73.03 + CAST(c_custkey * 61 % 500 AS DOUBLE) / 8", "y0": "18.07
 
 
 def _made(spark, sf_dir, table, key, columns):
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(f"{key} AS id", *[f"{v} AS {k}" for k, v in columns.items()])
+    # a key of few bytes becomes a geometry at some cost, so the rows are spread before
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(2 * spark.sparkContext.defaultParallelism, key)
+    return rows.selectExpr(f"{key} AS id", *[f"{v} AS {k}" for k, v in columns.items()])
 
 
 def _json_box(x0, y0, x1, y1):
@@ -70,7 +72,7 @@ def geo_join_areas(spark, sf_dir):
 def geo_join_neighbours(spark, sf_dir):
     """Pairs of cities whose borders meet while their areas do not, each once."""
     c = cities(spark, sf_dir)
-    found = spatial_join(c, c, "id", "id", where=F.col("facts.touches") & (F.col("left_id") < F.col("right_id")))
+    found = spatial_join(c, c, "id", "id", where=F.col("facts.touches")).where("left_id < right_id")
     return found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
 
 

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import geometry as G
-from lodestar.functions.relate import Shape, relate
-from lodestar.operators.spatial import candidates, spatial_join
+from lodestar.functions.relate import NAMES, Shape, relate, relate_many
+from lodestar.operators.spatial import Classes, candidates, expanded, spatial_join
 
 WKT = [
     "POINT (1 2)", "POINT EMPTY", "LINESTRING (0 0, 1.5 2, -3 4.25)", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))",
@@ -163,3 +163,35 @@ def test_join_gives_each_pair_once(spark, most, deepest, spread):
     got = {(r.left_id, r.right_id): r.facts.asDict() for r in spatial_join(*frames, "id", "id", "g", "g", most=most, deepest=deepest).collect()}
     want = {(i, j): expected(a, b) for (i, a), (j, b) in itertools.product(enumerate(one), enumerate(two))}
     assert got == {k: v for k, v in want.items() if not v["disjoint"]}
+
+
+def test_many_pairs_at_a_time_as_one_by_one():
+    rng = random.Random(3)
+    line = lambda: np.array([[rng.randint(-4, 6) + rng.choice((0, 0.5)), rng.randint(-4, 6)] for _ in range(rng.randint(2, 4))], float)
+    sides = [([], []), ([], [])]
+    for a, b in zip(areas(1, 800), areas(2, 800), strict=True):
+        b = rng.choice([moved(b, rng.randint(-4, 4), rng.randint(-4, 4)), b, set(list(a)[: 1 + len(a) // 2]), a])
+        for (kinds, parts), s in zip(sides, (a, b), strict=True):
+            made = rng.choices([("POLYGON", [outline(s)]), ("LINESTRING", [[line()]]), ("POINT", [[line()[:1]]]), ("POLYGON", []), (None, [])], (60, 25, 10, 3, 2))[0]
+            kinds.append(made[0])
+            parts.append(made[1])
+    got = relate_many(*(G.nested_arrays(*s) for s in sides)).to_pylist()
+    want = [None if j is None or k is None else relate(Shape(j, p), Shape(k, q)) for j, p, k, q in zip(*sides[0], *sides[1], strict=True)]
+    assert got == want
+    assert all(sum(bool(w and w[n]) for w in want) > 10 for n in NAMES)
+
+
+def test_areas_in_many_copies_are_compared_once_and_all_paired(spark):
+    wkt = ["POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "POLYGON ((2 2, 6 2, 6 6, 2 6, 2 2))", "POLYGON ((1 1, 2 1, 2 2, 1 2, 1 1))"]
+    made = lambda n, base: spark.range(n).select((F.col("id") + base).alias("id"), G.from_wkt(F.get(F.array(*map(F.lit, wkt)), (F.col("id") % 3).cast("int"))).alias("geometry"))
+    one, two = made(30, 0), made(1500, 100)
+    classes = Classes(two, "id", "geometry", most=16)
+    assert sorted((r.rep, r.n) for r in classes.distinct.collect()) == [(100, 500), (101, 500), (102, 500)]
+    assert sorted(r.id for r in classes.members.select(F.explode("ids").alias("id")).collect()) == list(range(100, 1600))
+    assert max(r.n for r in classes.members.select(F.size("ids").alias("n")).collect()) < 64
+    pairs = spark.createDataFrame([(1, 100)], "left_rep long, right_rep long")
+    assert expanded(pairs, Classes(one, "id", "geometry"), classes).distinct().count() == 10 * 500
+    for a, b in ((one, two), (two, one)):  # the side of longer lists goes last either way
+        got = spatial_join(a, b, "id", "id").groupBy((F.col("left_id") + (F.col("left_id") < 100).cast("int")).alias("l"), "right_id", "facts.contains", "facts.within", "facts.touches", "facts.overlaps").count()
+        assert got.count() == 30 * 1500 and got.agg(F.max("count")).first()[0] == 1
+        assert got.where("contains AND NOT within").count() == 10 * 500 and got.where("touches").count() == 2 * 10 * 500 and got.where("overlaps").count() == 2 * 10 * 500
