@@ -195,3 +195,12 @@ def test_areas_in_many_copies_are_compared_once_and_all_paired(spark):
         got = spatial_join(a, b, "id", "id").groupBy((F.col("left_id") + (F.col("left_id") < 100).cast("int")).alias("l"), "right_id", "facts.contains", "facts.within", "facts.touches", "facts.overlaps").count()
         assert got.count() == 30 * 1500 and got.agg(F.max("count")).first()[0] == 1
         assert got.where("contains AND NOT within").count() == 10 * 500 and got.where("touches").count() == 2 * 10 * 500 and got.where("overlaps").count() == 2 * 10 * 500
+
+
+def test_lines_in_many_copies_cross_as_each_alone(spark):
+    area = spark.range(40).select("id", G.from_wkt(F.lit("POLYGON ((0 0, 4 0, 4 2, 2 2, 2 4, 0 4, 0 0))")).alias("geometry"))
+    wkt = ["LINESTRING (3 1, 3 5)", "LINESTRING (1 1, 1 3)", "LINESTRING (3 3, 5 5)", "LINESTRING (4 0, 4 2)"]
+    lines = spark.range(400).select("id", G.from_wkt(F.get(F.array(*map(F.lit, wkt)), (F.col("id") % 4).cast("int"))).alias("geometry"))
+    assert Classes(lines, "id", "geometry").distinct.count() == 4
+    got = spatial_join(lines, area, "id", "id", where=F.col("facts.crosses") | F.col("facts.within")).groupBy(F.col("left_id") % 4, "facts.crosses", "facts.within").count()
+    assert sorted(map(tuple, got.collect())) == [(0, True, False, 4000), (1, False, True, 4000)]
