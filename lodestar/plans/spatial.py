@@ -72,7 +72,7 @@ def geo_join_areas(spark, sf_dir):
 def geo_join_neighbours(spark, sf_dir):
     """Pairs of cities whose borders meet while their areas do not, each once."""
     c = cities(spark, sf_dir)
-    found = spatial_join(c, c, "id", "id", where=F.col("facts.touches")).where("left_id < right_id")
+    found = spatial_join(c, c, "id", "id", where=F.col("facts.touches"), once=True)
     return found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
 
 

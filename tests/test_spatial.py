@@ -204,3 +204,16 @@ def test_lines_in_many_copies_cross_as_each_alone(spark):
     assert Classes(lines, "id", "geometry").distinct.count() == 4
     got = spatial_join(lines, area, "id", "id", where=F.col("facts.crosses") | F.col("facts.within")).groupBy(F.col("left_id") % 4, "facts.crosses", "facts.within").count()
     assert sorted(map(tuple, got.collect())) == [(0, True, False, 4000), (1, False, True, 4000)]
+
+
+def test_neighbours_of_one_table_once_in_either_order(spark):
+    boxes = [(0, 0, 2, 2), (2, 0, 4, 2), (0, 0, 1, 1), (2, 0, 4, 2), (0, 0, 2, 2), (2, 2, 3, 3)]
+    wkt = lambda a, b, c, d: wkt_of([[(a, b), (c, b), (c, d), (a, d), (a, b)]])
+    df = spark.createDataFrame([(i, wkt(*b)) for i, b in enumerate(boxes)], "id int, w string").select("id", G.from_wkt(F.col("w")).alias("geometry"))
+    both = {(r.left_id, r.right_id): r.facts for r in spatial_join(df, df, "id", "id").collect()}
+    once = {(r.left_id, r.right_id): r.facts for r in spatial_join(df, df, "id", "id", once=True).collect()}
+    assert once == {k: v for k, v in both.items() if k[0] < k[1]} and once[2, 4].within and once[0, 2].contains
+    touching = spatial_join(df, df, "id", "id", where=F.col("facts.touches"), once=True)
+    assert sorted(map(tuple, touching.select("left_id", "right_id").collect())) == sorted(k for k, v in once.items() if v.touches)
+    within = spatial_join(df, df, "id", "id", where=F.col("facts.within"), once=True)
+    assert sorted(map(tuple, within.select("left_id", "right_id").collect())) == sorted(k for k, v in once.items() if v.within)
