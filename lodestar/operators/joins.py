@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.geo import in_ring
@@ -49,6 +49,41 @@ def within_band(left: DataFrame, right: DataFrame, key: str, width: float, left_
     return three.join(right.withColumn("__b", bucket(right_value)), [key, "__b"]).where(F.abs(F.col(left_value) - F.col(right_value)) <= width).drop("__b")
 
 
+def within_band(left: DataFrame, right: DataFrame, key: str, width: float, left_value: str, right_value: str) -> DataFrame:
+    """Equi-join on a key and |left - right| <= width, by bucketing the value: each left row meets three buckets."""
+    bucket = lambda c: F.floor(F.col(c) / width)
+    three = left.withColumn("__b", F.explode(F.array(bucket(left_value) - 1, bucket(left_value), bucket(left_value) + 1)))
+    return three.join(right.withColumn("__b", bucket(right_value)), [key, "__b"]).where(F.abs(F.col(left_value) - F.col(right_value)) <= width).drop("__b")
+
+
+def band_totals(df: DataFrame, keys: list[str], value: str, width: float, measure: str) -> DataFrame:
+    """(keys, n, total): the pairs of rows with equal keys and values at most `width` apart, and the sum of the (whole-number) measure over both
+    rows of every pair. Each pair of different rows counts once; rows with a null, or a value that is not finite, have none.
+
+    No pair is made. Rows are summed by value; in buckets a little wider than the band, running sums up to a row's value and up to the end of its band,
+    which lies in the same bucket or the next, give what lies between. value + width is held with its rounding error, so its place is exact.
+    """
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    v = F.col(value).cast("double")
+    rows = df.where(F.abs(v) < float("inf")).dropna(subset=[*keys, measure]).groupBy(*keys, v.alias("v")).agg(F.count("*").alias("c"), F.sum(F.col(measure).cast("decimal(20,0)")).alias("s"))
+    b = F.floor(F.col("v") / (width * (1 + 2**-20)))
+    end = F.col("v") + width
+    back = end - F.col("v")
+    error = (F.col("v") - (end - back)) + (width - back)
+    place = lambda bucket, at, rest, item: F.struct(bucket.alias("b"), at.alias("at"), rest.alias("rest"), F.lit(item).alias("item"))
+    listed = F.array(place(b, F.col("v"), F.lit(0.0), 1), place(b, end, error, 0), place(b + 1, end, error, 0))
+    items = rows.select(*keys, "c", "s", F.explode(listed).alias("p")).select(*keys, "c", "s", "p.*")
+    # an item comes before the end of a band at its place
+    upto = Window.partitionBy(*keys, "b").orderBy("at", "rest", F.desc("item")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.col("item") == 1
+    items = items.select(*keys, "c", "s", "item", F.sum(F.when(own, F.col("c")).otherwise(0)).over(upto).alias("pc"), F.sum(F.when(own, whole("s")).otherwise(0)).over(upto).alias("ps"))
+    sign = F.when(own, -1).otherwise(1)
+    alike = F.when(own, whole("c") * (F.col("c") - 1) / 2).otherwise(0)  # pairs of rows of one value
+    n = F.sum((whole("c") * whole("pc") * sign + alike).cast("decimal(38,0)"))
+    total = F.sum(((whole("s") * whole("pc") + whole("c") * whole("ps")) * sign + F.when(own, whole("s") * (F.col("c") - 1)).otherwise(0)).cast("decimal(38,0)"))
+    return items.groupBy(*keys).agg(n.cast("bigint").alias("n"), total.alias("total"))
+
+
 def same_ids(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
     """One row: ids only in the first, only in the second, in both."""
     a, b = one.select(key).distinct().withColumn("a", F.lit(1)), two.select(key).distinct().withColumn("b", F.lit(1))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import stats
@@ -153,12 +156,15 @@ def join_listed_names(spark, sf_dir):
 
 
 def join_other_parent(spark, sf_dir):
-    """Nations with entities of another parent at most one degree of latitude away, by bucketed band join per segment."""
-    e = frame(spark, sf_dir, "entities")
-    a = e.select("type", F.col("entity_id").alias("a"), F.col("parent").alias("pa"), F.col("lat").alias("la"))
-    b = e.select("type", F.col("entity_id").alias("b"), F.col("parent").alias("pb"), F.col("lat").alias("lb"))
-    near = joins.within_band(a, b, "type", 0.5, "la", "lb").where("pa <> pb and a < b")
-    return near.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.col("a") + F.col("b")).alias("ids"))
+    """Pairs of entities of a type and of different parents, at most half a degree of latitude apart, and the sum of their ids: those of any parents
+    less those of one parent. Pairs of one id do not count."""
+    e = frame(spark, sf_dir, "entities").select("type", "parent", "lat", "entity_id").dropna()
+    near = lambda rows, *keys: joins.band_totals(rows, ["type", *keys], "lat", 0.5, "entity_id").groupBy("type").agg(F.sum("n").alias("n"), F.sum("total").alias("ids"))
+    again = e.join(e.groupBy("entity_id").agg(F.count("*").alias("times")).where("times > 1"), "entity_id", "left_semi")
+    parts = [(1, near(e)), (-1, near(e, "parent")), (-1, near(again, "entity_id")), (1, near(again, "entity_id", "parent"))]
+    all_parts = reduce(DataFrame.union, [part.select("type", (F.col("n") * sign).alias("n"), (F.col("ids") * sign).alias("ids")) for sign, part in parts])
+    out = all_parts.groupBy("type").agg(F.sum("n").alias("n"), F.sum("ids").cast("bigint").alias("ids"))
+    return out.where("n > 0")
 
 
 def win_first(spark, sf_dir):

@@ -71,3 +71,19 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
     assert {(r.k, r.n) for r in spark.table("s0").collect()} == {("a", 2), ("b", 1)}
     assert spark.table("s1").count() >= 8
+
+
+def test_band_totals_are_those_of_all_pairs(spark):
+    # many rows of one value, values exactly `width` apart and just beyond, below zero, none and not finite
+    values = [0.0, 0.5, 0.5, 1.0, 1.0 + 2**-52, -0.25, 0.25, 31.9, 32.4, 32.400000000000006, 18.07, 18.57, None, float("nan"), float("inf")] + [(i * 53 % 360) / 100 for i in range(150)] + [7.0] * 20
+    rows = [("ab"[i % 2] if i % 31 else None, v, i + 10**9) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k string, v double, id long").repartition(3)
+    for width in (0.5, 0.3):
+        want = {}
+        for i, (k, v, one) in enumerate(rows):
+            for l, u, two in rows[:i]:
+                if k and k == l and v is not None and u is not None and abs(v - u) <= width:
+                    n, total = want.get(k, (0, 0))
+                    want[k] = n + 1, total + one + two
+        got = {r.k: (r.n, int(r.total)) for r in joins.band_totals(df, ["k"], "v", width, "id").collect()}
+        assert got == want
