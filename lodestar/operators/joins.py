@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.geo import in_ring
+from lodestar.operators.spatial import Classes, candidates, expanded_smaller_first
 
 
 def overlay(base: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -26,20 +27,27 @@ def compare_and_set(base: DataFrame, fixes: DataFrame, key: str, column: str) ->
     return done, found.select(key, status.alias("status"))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str, lat: str, ring: str, grid: float = 1.0) -> DataFrame:
-    """Pairs of a point and a polygon whose ring (array<struct<x, y>>) holds it.
+def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str, lat: str, ring: str) -> DataFrame:
+    """Pairs of a point and a polygon whose ring (array<struct<x, y>>) holds it, with the columns of both.
 
-    Polygons are listed under every grid cell that their bounding box touches and points under their own cell; the
-    equi-join on the cell leaves only near pairs for the exact test, and both sides may be of any size.
+    Points at one place and polygons of one ring are tested once. ``candidates`` finds the near pairs in cells that are as deep as the places are
+    dense, the exact test follows, and what holds is expanded to the rows; all steps are shared out by the number of pairs, so neither a dense place
+    nor many copies end in one task.
     """
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    cell = lambda v: F.floor(v / grid).cast("int")
-    listed = (
-        polygons.withColumn("__cx", F.explode(F.sequence(cell(F.array_min(xs)), cell(F.array_max(xs)))))
-        .withColumn("__cy", F.explode(F.sequence(cell(F.array_min(ys)), cell(F.array_max(ys)))))
-    )
-    placed = points.withColumns({"__cx": cell(F.col(lon)), "__cy": cell(F.col(lat))})
-    return placed.join(listed, ["__cx", "__cy"]).where(in_ring(F.col(lon), F.col(lat), F.col(ring))).drop("__cx", "__cy")
+    other = lambda df, *used: F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in df.columns if c not in used])
+    x, y = F.col(f"`{lon}`"), F.col(f"`{lat}`")
+    a = Classes(points.where(x.isNotNull() & y.isNotNull()).select(other(points, lon, lat).alias("id"), F.struct(x.alias("x"), y.alias("y")).alias("value")), "id", "value")
+    b = Classes(polygons.select(other(polygons, ring).alias("id"), F.col(f"`{ring}`").alias("value")), "id", "value")
+    value = F.col("value")
+    as_point = F.struct(F.lit("POINT").alias("kind"), F.array(F.array(F.array(F.struct(value["x"].cast("double").alias("x"), value["y"].cast("double").alias("y"))))).alias("parts"))
+    as_polygon = F.struct(F.lit("POLYGON").alias("kind"), F.array(F.array(value)).alias("parts"))
+    pairs = candidates(a.distinct.withColumn("geometry", as_point), b.distinct.withColumn("geometry", as_polygon), "rep", "rep").toDF("left_rep", "right_rep")
+    one, two = a.distinct.select(F.col("rep").alias("left_rep"), value.alias("point")), b.distinct.select(F.col("rep").alias("right_rep"), value.alias("ring"))
+    held = pairs.join(one, "left_rep").join(two, "right_rep").where(in_ring(F.col("point.x"), F.col("point.y"), F.col("ring")))
+    flat = held.select("left_rep", "right_rep", F.col("point.x").alias("__x"), F.col("point.y").alias("__y"), F.col("ring").alias("__ring"))
+    out = expanded_smaller_first(flat, a, b)
+    side = lambda df, at, own: [own.get(c, F.col(f"{at}.`{c}`")).alias(c) for c in df.columns]
+    return out.select(*side(points, "left_id", {lon: F.col("__x"), lat: F.col("__y")}), *side(polygons, "right_id", {ring: F.col("__ring")}))
 
 
 def within_band(left: DataFrame, right: DataFrame, key: str, width: float, left_value: str, right_value: str) -> DataFrame:

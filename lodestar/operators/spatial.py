@@ -91,14 +91,14 @@ def task_count(spark: SparkSession, rows: float | None, each: int = 4_000_000) -
 
 
 class Classes:
-    """The rows of a table by equal value: ``distinct`` has each value once (rep: the least id that has it, n: how many), ``members`` the ids of
-    each, in lists of about `most`."""
+    """The rows of a table by equal value: ``distinct`` has each value once (rep: a number that stands for it, n: how many rows), ``members`` the
+    ids of each, in lists of about `most`. Ids may be of any type that can be hashed, and repeat."""
 
     def __init__(self, df: DataFrame, key: str, value: str, most: int = 256):
         rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{value}`").alias("value")).where("id IS NOT NULL AND value IS NOT NULL")
         rows = stored(rows, "rows")
-        made = rows.groupBy("value").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("lists", F.ceil(F.col("n") / most).cast("int"))
-        self.distinct = stored(made, "distinct")
+        made = rows.groupBy("value").agg(F.count("*").alias("n"))
+        self.distinct = stored(made.select(F.monotonically_increasing_id().alias("rep"), "value", "n", F.ceil(F.col("n") / most).cast("int").alias("lists")), "distinct")
         placed = rows.join(self.distinct, "value").select("rep", F.pmod(F.xxhash64("id"), "lists").cast("int").alias("list"), "id")
         self.members = stored(placed.groupBy("rep", "list").agg(F.collect_list("id").alias("ids")), "members")
         n = self.distinct.agg(F.count("*"), F.sum("n")).first()
@@ -108,7 +108,7 @@ class Classes:
 def _with_facts(pairs: DataFrame, left: Classes, right: Classes) -> DataFrame:
     """``expanded`` for pairs with facts, which pass the lists as plain columns."""
     flat = pairs.select("*", *[F.col(f"facts.{n}").alias(n) for n in NAMES]).drop("facts")
-    out = _expanded_smaller_first(flat, left, right)
+    out = expanded_smaller_first(flat, left, right)
     return out.select(*[c for c in out.columns if c not in NAMES], F.struct(*NAMES).alias("facts"))
 
 
@@ -154,7 +154,7 @@ def spatial_join(
     return out.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), facts.alias("facts")).where(where)
 
 
-def _expanded_smaller_first(pairs: DataFrame, left: Classes, right: Classes) -> DataFrame:
+def expanded_smaller_first(pairs: DataFrame, left: Classes, right: Classes) -> DataFrame:
     """``expanded``, where the shorter lists of members are the ones that go with the pairs."""
     if left.mean <= right.mean:
         return expanded(pairs, left, right)

@@ -1,8 +1,12 @@
 """Operators that SQL cannot state, readers, writers and streams."""
 
+from functools import reduce
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions import geo
 from lodestar.operators import chat, evaluate, joins, profile, split
 from lodestar.sources import readers, writers
 from lodestar.streaming import adapters
@@ -87,3 +91,18 @@ def test_band_totals_are_those_of_all_pairs(spark):
                     want[k] = n + 1, total + one + two
         got = {r.k: (r.n, int(r.total)) for r in joins.band_totals(df, ["k"], "v", width, "id").collect()}
         assert got == want
+
+
+def test_points_in_polygons_of_many_copies_and_at_dense_places(spark):
+    box = lambda a, b, c, d: geo.box_ring(*map(F.lit, (a, b, c, d)))
+    boxes = [(0.0, 0.0, 2.5, 1.5), (1.0, 1.0, 3.5, 2.5), (100.0, 50.0, 102.5, 51.5)]
+    polygons = reduce(DataFrame.union, [spark.range(300).select((F.col("id") + 1000 * i).alias("box"), box(*b).alias("ring")) for i, b in enumerate(boxes)])
+    at = [(1.2, 1.2), (0.1, 0.1), (101.0, 50.5), (50.0, 50.0)]
+    pick = lambda k: F.get(F.array(*[F.lit(p[k]) for p in at]), (F.col("id") % 4).cast("int"))
+    points = spark.range(1200).select(F.when(F.col("id") > 3, F.col("id")).alias("id"), pick(0).alias("lon"), pick(1).alias("lat")).union(spark.createDataFrame([(5000, None, 1.0)], "id long, lon double, lat double"))
+    found = joins.points_in_polygons(points, polygons, "lon", "lat", "ring")
+    assert found.columns == ["id", "lon", "lat", "box", "ring"]
+    got = {(r.lon, r.b): (r.n, r.known) for r in found.groupBy("lon", F.floor(F.col("box") / 1000).alias("b")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("known")).collect()}
+    assert got == {k: (300 * 300, 299) for k in ((1.2, 0), (1.2, 1), (0.1, 0), (101.0, 2))}
+    # more tasks than the few bytes of the input would give
+    assert found.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
