@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.geo import in_ring
 from lodestar.operators.spatial import Classes, candidates, expanded_smaller_first
+from lodestar.sources.scratch import stored
 
 
 def overlay(base: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -50,6 +53,14 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str, lat: st
     return out.select(*side(points, "left_id", {lon: F.col("__x"), lat: F.col("__y")}), *side(polygons, "right_id", {ring: F.col("__ring")}))
 
 
+def with_once(df: DataFrame, inputs: list[str], columns: dict[str, Column]) -> DataFrame:
+    """df with columns that depend on the inputs alone, each computed once for every distinct row of inputs; nulls are values."""
+    made = stored(df.select(*inputs).distinct().select(*inputs, *[c.alias(k) for k, c in columns.items()]), "once")
+    two = made.select(*[F.col(c).alias(f"__{c}") for c in inputs], *columns)
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in inputs])
+    return df.join(two, same, "left").drop(*[f"__{c}" for c in inputs])
+
+
 def within_band(left: DataFrame, right: DataFrame, key: str, width: float, left_value: str, right_value: str) -> DataFrame:
     """Equi-join on a key and |left - right| <= width, by bucketing the value: each left row meets three buckets."""
     bucket = lambda c: F.floor(F.col(c) / width)

@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 from lodestar.functions import geo, polygon, record, score
 from lodestar.functions import text as T
 from lodestar.functions import vocabulary as V
-from lodestar.operators import sampling
+from lodestar.operators import joins, sampling
 from lodestar.plans.base import frame, pick, sql
 from lodestar.plans.derivations import _DIRECTION_WORD, _GO
 
 
 def geo_box_predicates(spark, sf_dir):
-    """Topological predicates between two boxes of every order key, on whole-number corners."""
+    """Topological predicates between two boxes of every order key, on whole-number corners; boxes that come again are compared once."""
     x = lambda k, m: (F.col("k") * k % m).cast("double")
     k = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).distinct()
-    a = geo.box_ring(x(7, 9), x(5, 8), x(7, 9) + 1 + x(3, 5), x(5, 8) + 1 + x(11, 4))
-    b = geo.box_ring(x(13, 10), x(17, 7), x(13, 10) + 1 + x(19, 6), x(17, 7) + 1 + x(23, 5))
-    rows = k.select("k", a.alias("a"), b.alias("b"))
-    a, b = F.col("a"), F.col("b")
-    rings = F.when(F.col("k") % 3 == 0, F.array(a)).otherwise(F.array(a, b))
-    return rows.select("k", polygon.disjoint(a, b).alias("apart"), polygon.touches(a, b).alias("touches"), polygon.contains(a, b).alias("contains"), polygon.contains(b, a).alias("within"), polygon.n_points(rings).alias("points"), polygon.contains_centroid(a, b).alias("centre"))
+    corners = {"a0": x(7, 9), "b0": x(5, 8), "a1": x(7, 9) + 1 + x(3, 5), "b1": x(5, 8) + 1 + x(11, 4), "c0": x(13, 10), "d0": x(17, 7), "c1": x(13, 10) + 1 + x(19, 6), "d1": x(17, 7) + 1 + x(23, 5)}
+    a, b = (geo.box_ring(*map(F.col, names)) for names in (("a0", "b0", "a1", "b1"), ("c0", "d0", "c1", "d1")))
+    rings = F.when(F.col("one"), F.array(a)).otherwise(F.array(a, b))
+    facts = {"apart": polygon.disjoint(a, b), "touches": polygon.touches(a, b), "contains": polygon.contains(a, b), "within": polygon.contains(b, a), "points": polygon.n_points(rings), "centre": polygon.contains_centroid(a, b)}
+    rows = k.select("k", (F.col("k") % 3 == 0).alias("one"), *[c.alias(n) for n, c in corners.items()])
+    return joins.with_once(rows, ["one", *corners], facts).select("k", *facts)
 
 
 #: The direction that a record states, of the first entity seen from the second.

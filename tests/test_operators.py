@@ -106,3 +106,11 @@ def test_points_in_polygons_of_many_copies_and_at_dense_places(spark):
     assert got == {k: (300 * 300, 299) for k in ((1.2, 0), (1.2, 1), (0.1, 0), (101.0, 2))}
     # more tasks than the few bytes of the input would give
     assert found.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_columns_computed_once_for_each_distinct_input(spark):
+    df = spark.createDataFrame([(i, i % 3 if i % 7 else None, float(i % 2)) for i in range(100)], "id long, a long, b double")
+    out = joins.with_once(df, ["a", "b"], {"s": F.coalesce(F.col("a") + F.col("b"), F.lit(-1.0)), "drawn": F.uuid()})
+    rows = out.collect()
+    assert len(rows) == 100 and all(r.s == (-1.0 if r.a is None else r.a + r.b) for r in rows)
+    assert len({r.drawn for r in rows}) == len({(r.a, r.b) for r in rows}) == 8
