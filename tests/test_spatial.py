@@ -6,11 +6,12 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import geometry as G
-from lodestar.functions.relate import NAMES, Shape, relate, relate_many
+from lodestar.functions.relate import FACTS, NAMES, Shape, relate, relate_many
 from lodestar.operators.spatial import Classes, candidates, expanded, spatial_join
 
 WKT = [
@@ -218,3 +219,33 @@ def test_neighbours_of_one_table_once_in_either_order(spark):
     assert sorted(map(tuple, touching.select("left_id", "right_id").collect())) == sorted(k for k, v in once.items() if v.touches)
     within = spatial_join(df, df, "id", "id", where=F.col("facts.within"), once=True)
     assert sorted(map(tuple, within.select("left_id", "right_id").collect())) == sorted(k for k, v in once.items() if v.within)
+
+
+def test_stated_relations_compare_each_pair_of_geometries_once(spark, tmp_path, monkeypatch):
+    from lodestar.plans import spatial as plan
+
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    # keys of equal geometries (840 apart), keys without a row, and no key
+    tables = {
+        "customer": "SELECT range AS c_custkey FROM range(1, 60)",
+        "supplier": "SELECT 840 * (range // 4) + range % 4 AS s_suppkey FROM range(20)",
+        "lineitem": "SELECT range % 77 AS l_orderkey, range % 300 AS l_partkey, CASE WHEN range % 50 > 0 THEN 840 * (range % 6) + range % 5 END AS l_suppkey FROM range(4000)",
+    }
+    for name, body in tables.items():
+        con.execute(f"COPY ({body}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    compared = spark.sparkContext.accumulator(0)
+
+    def counted(one, two):
+        @F.arrow_udf(FACTS)
+        def facts(a: pa.Array, b: pa.Array) -> pa.Array:
+            compared.add(len(a))
+            return relate_many(a, b)
+
+        return facts(one, two)
+
+    monkeypatch.setattr(plan, "relations", counted)
+    got = sorted(map(tuple, plan.geo_topology_report(spark, str(tmp_path)).select("category", "total", "passed").collect()))
+    assert got == sorted(con.execute(f"SELECT category, total, passed FROM ({plan.ORACLES['geo_topology_report']})").fetchall())
+    assert sum(total for _, total, _ in got) > 500 and 0 < compared.value <= 4 * 59
