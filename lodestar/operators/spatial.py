@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,14 +93,20 @@ def task_count(spark: SparkSession, rows: float | None, each: int = 4_000_000) -
 
 class Classes:
     """The rows of a table by equal value: ``distinct`` has each value once (rep: a number that stands for it, n: how many rows), ``members`` the
-    ids of each, in lists of about `most`. Ids may be of any type that can be hashed, and repeat."""
+    ids of each, in lists of about `most`. Ids may be of any type that can be hashed, and repeat. With `read` the values are text; each distinct
+    one is read once, and ``distinct`` has what was read."""
 
-    def __init__(self, df: DataFrame, key: str, value: str, most: int = 256):
+    def __init__(self, df: DataFrame, key: str, value: str, most: int = 256, read: Callable[[Column], Column] | None = None):
         rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{value}`").alias("value")).where("id IS NOT NULL AND value IS NOT NULL")
         rows = stored(rows, "rows")
         made = rows.groupBy("value").agg(F.count("*").alias("n"))
-        self.distinct = stored(made.select(F.monotonically_increasing_id().alias("rep"), "value", "n", F.ceil(F.col("n") / most).cast("int").alias("lists")), "distinct")
-        placed = rows.join(self.distinct, "value").select("rep", F.pmod(F.xxhash64("id"), "lists").cast("int").alias("list"), "id")
+        number = [F.monotonically_increasing_id().alias("rep"), "value", "n", F.ceil(F.col("n") / most).cast("int").alias("lists")]
+        if read:  # few bytes of text are read at some cost, so they are spread before
+            made = made.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "value")
+            number.append(read(F.col("value")).alias("geometry"))
+        known = stored(made.select(*number), "distinct")
+        self.distinct = known.select("rep", F.col("geometry").alias("value"), "n", "lists") if read else known
+        placed = rows.join(known.select("rep", "value", "lists"), "value").select("rep", F.pmod(F.xxhash64("id"), "lists").cast("int").alias("list"), "id")
         self.members = stored(placed.groupBy("rep", "list").agg(F.collect_list("id").alias("ids")), "members")
         n = self.distinct.agg(F.count("*"), F.sum("n")).first()
         self.mean = (n[1] or 0) / max(1, n[0])
@@ -127,16 +134,17 @@ def expanded(pairs: DataFrame, left: Classes, right: Classes) -> DataFrame:
 
 def spatial_join(
     left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_geometry: str = "geometry", right_geometry: str = "geometry", where: Column | None = None,
-    once: bool = False, **cells
+    once: bool = False, left_read: Callable[[Column], Column] | None = None, right_read: Callable[[Column], Column] | None = None, **cells
 ) -> DataFrame:
     """(left_id, right_id, facts) of the pairs that have a point in common, or for which `where` (over facts) holds.
 
     facts is a struct: contains, within, touches, crosses, overlaps, disjoint, equals, the left geometry being the first. Rows with equal
     geometries are compared as one: ``candidates`` finds the pairs of distinct geometries whose boxes meet, these are compared exactly in Arrow
     batches, and those that hold are expanded to the ids. With `once` both sides are the left table, each pair comes once, with left_id < right_id, and is compared once.
+    With `left_read` (`right_read`) the column holds text that this function makes a geometry, such as ``from_wkt``; each distinct text is read once.
     """
-    a = Classes(left, left_id, left_geometry)
-    b = a if once else Classes(right, right_id, right_geometry)
+    a = Classes(left, left_id, left_geometry, read=left_read)
+    b = a if once else Classes(right, right_id, right_geometry, read=right_read)
     where = ~F.col("facts.disjoint") if where is None else where
     pairs = candidates(a.distinct, b.distinct, "rep", "rep", "value", "value", **cells)
     if once:

@@ -17,7 +17,7 @@ _LINE = {"x0": "73.03 + CAST(c_custkey * 61 % 500 AS DOUBLE) / 8", "y0": "18.07
 
 
 def _made(spark, sf_dir, table, key, columns):
-    # a key of few bytes becomes a geometry at some cost, so the rows are spread before
+    # a key of few bytes becomes text at some cost, so the rows are spread before
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(2 * spark.sparkContext.defaultParallelism, key)
     return rows.selectExpr(f"{key} AS id", *[f"{v} AS {k}" for k, v in columns.items()])
 
@@ -27,25 +27,25 @@ def _json_box(x0, y0, x1, y1):
 
 
 def cities(spark, sf_dir):
-    """A box for each customer, read from GeoJSON."""
+    """A box for each customer, as GeoJSON."""
     c = F.col
     box = _json_box(c("x0"), c("y0"), c("x0") + c("w"), c("y0") + c("h"))
-    return _made(spark, sf_dir, "customer", "c_custkey", _CITY).select("id", G.from_geojson(box).alias("geometry"))
+    return _made(spark, sf_dir, "customer", "c_custkey", _CITY).select("id", box.alias("geometry"))
 
 
 def provinces(spark, sf_dir):
-    """An L (a box without its upper right quarter) for each supplier, read from well-known text."""
+    """An L (a box without its upper right quarter) for each supplier, as well-known text."""
     c = F.col
     x0, y0, x1, y1, xm, ym = c("x0"), c("y0"), c("x0") + c("w"), c("y0") + c("h"), c("x0") + c("w") / 2, c("y0") + c("h") / 2
     ring = [(x0, y0), (x1, y0), (x1, ym), (xm, ym), (xm, y1), (x0, y1), (x0, y0)]
     text = F.concat(F.lit("POLYGON (("), F.array_join(F.array(*[F.format_string("%s %s", x, y) for x, y in ring]), ", "), F.lit("))"))
-    return _made(spark, sf_dir, "supplier", "s_suppkey", _PROVINCE).select("id", G.from_wkt(text).alias("geometry"))
+    return _made(spark, sf_dir, "supplier", "s_suppkey", _PROVINCE).select("id", text.alias("geometry"))
 
 
 def lines(spark, sf_dir):
-    """A slanting line for each customer."""
+    """A slanting line for each customer, as well-known text."""
     text = F.format_string("LINESTRING (%s %s, %s %s)", F.col("x0"), F.col("y0"), F.col("x0") + F.col("dx"), F.col("y0") + F.col("dy"))
-    return _made(spark, sf_dir, "customer", "c_custkey", _LINE).select("id", G.from_wkt(text).alias("geometry"))
+    return _made(spark, sf_dir, "customer", "c_custkey", _LINE).select("id", text.alias("geometry"))
 
 
 def geo_formats(spark, sf_dir):
@@ -65,20 +65,21 @@ def agg_points_by_kind(spark, sf_dir):
 
 def geo_join_areas(spark, sf_dir):
     """Every province and city with a point in common, and how they lie to each other."""
-    found = spatial_join(provinces(spark, sf_dir), cities(spark, sf_dir), "id", "id")
+    found = spatial_join(provinces(spark, sf_dir), cities(spark, sf_dir), "id", "id", left_read=G.from_wkt, right_read=G.from_geojson)
     return found.select(F.col("left_id").alias("province"), F.col("right_id").alias("city"), "facts.contains", "facts.touches", "facts.overlaps")
 
 
 def geo_join_neighbours(spark, sf_dir):
     """Pairs of cities whose borders meet while their areas do not, each once."""
     c = cities(spark, sf_dir)
-    found = spatial_join(c, c, "id", "id", where=F.col("facts.touches"), once=True)
+    found = spatial_join(c, c, "id", "id", where=F.col("facts.touches"), once=True, left_read=G.from_geojson)
     return found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
 
 
 def geo_join_lines(spark, sf_dir):
     """Lines that run inside and outside of a province, and those that stay in one."""
-    found = spatial_join(lines(spark, sf_dir), provinces(spark, sf_dir), "id", "id", where=F.col("facts.crosses") | F.col("facts.within"))
+    where = F.col("facts.crosses") | F.col("facts.within")
+    found = spatial_join(lines(spark, sf_dir), provinces(spark, sf_dir), "id", "id", where=where, left_read=G.from_wkt, right_read=G.from_wkt)
     return found.select(F.col("left_id").alias("line"), F.col("right_id").alias("province"), "facts.crosses", "facts.within")
 
 
@@ -93,7 +94,7 @@ def geo_topology_report(spark, sf_dir):
     pairs = rows.selectExpr("l_suppkey AS p", "l_partkey % 150 + 1 AS q", f"{_STATED} AS stated", "l_orderkey % 5 = 0 AS negative")
     # rows of equal geometries and the same statement are counted first, whatever their ids; a pair of geometries is compared once
     named = cities(spark, sf_dir).join(pairs.select(F.col("q").alias("id")).distinct(), "id", "left_semi")
-    p, q = (Classes(df, "id", "geometry") for df in (provinces(spark, sf_dir), named))
+    p, q = (Classes(df, "id", "geometry", read=read) for df, read in ((provinces(spark, sf_dir), G.from_wkt), (named, G.from_geojson)))
     ids = lambda c, key, rep: c.members.select(F.explode("ids").alias(key), F.col("rep").alias(rep))
     n = pairs.join(ids(p, "p", "rp"), "p").join(ids(q, "q", "rq"), "q").groupBy("rp", "rq", "stated", "negative").agg(F.count("*").alias("n"))
     both = n.groupBy("rp", "rq").agg(F.collect_list(F.struct("stated", "negative", "n")).alias("said"))

@@ -208,6 +208,25 @@ def test_lines_in_many_copies_cross_as_each_alone(spark):
     assert sorted(map(tuple, got.collect())) == [(0, True, False, 4000), (1, False, True, 4000)]
 
 
+def test_equal_texts_are_read_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        reads.add(1)
+        return text
+
+    area = spark.range(40).select("id", F.lit("POLYGON ((0 0, 4 0, 4 2, 2 2, 2 4, 0 4, 0 0))").alias("geometry"))
+    wkt = ["LINESTRING (3 1, 3 5)", "LINESTRING (1 1, 1 3)", "LINESTRING (3.0 1, 3 5)", "LINESTRING EMPTY", "not a line", None]
+    lines = spark.range(600).select("id", F.get(F.array(*map(F.lit, wkt)), (F.col("id") % 6).cast("int")).alias("geometry"))
+    read = lambda text: G.from_wkt(seen(text))
+    got = spatial_join(lines, area, "id", "id", left_read=read, right_read=G.from_wkt).groupBy(F.col("left_id") % 6, "facts.crosses", "facts.within").count()
+    assert sorted(map(tuple, got.collect())) == [(0, True, False, 4000), (1, False, True, 4000), (2, True, False, 4000)]
+    assert 5 <= reads.value <= 10  # a value may be read more than once for one row's expression, but not for each of 500 rows
+    both = spatial_join(lines, lines, "id", "id", once=True, left_read=read).groupBy((F.col("left_id") % 6).alias("a"), (F.col("right_id") % 6).alias("b")).count()
+    assert {tuple(sorted((r.a, r.b))) for r in both.collect()} == {(0, 0), (0, 2), (1, 1), (2, 2)}
+
+
 def test_neighbours_of_one_table_once_in_either_order(spark):
     boxes = [(0, 0, 2, 2), (2, 0, 4, 2), (0, 0, 1, 1), (2, 0, 4, 2), (0, 0, 2, 2), (2, 2, 3, 3)]
     wkt = lambda a, b, c, d: wkt_of([[(a, b), (c, b), (c, d), (a, d), (a, b)]])
