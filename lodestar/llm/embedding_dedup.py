@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import map_groups, written
 from lodestar.llm.components import components
-from lodestar.llm.ngram_join import blocked
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -51,9 +50,10 @@ class Index:
         return np.stack([((b**2).sum(axis=1) - 2 * parts[:, m] @ b.T).argmin(axis=1) for m, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
     def tables(self, x: np.ndarray, listed: int) -> np.ndarray:
-        """Squared distance of each query's residual in a list to each code of each subspace."""
+        """By subspace and code, the squared distance to each query's residual in a list; the queries of a code lie side by side,
+        so that a lookup copies a run of them."""
         parts = (x - self.centres[listed]).reshape(len(x), self.subspaces, -1)
-        return np.stack([((parts[:, m, None] - b[None]) ** 2).sum(axis=2) for m, b in enumerate(self.books)], axis=1)
+        return np.stack([(b**2).sum(axis=1)[:, None] + (parts[:, m] ** 2).sum(axis=1) - 2 * b @ parts[:, m].T for m, b in enumerate(self.books)])
 
 
 def probes_needed(batches, index: Index, asked: pd.DataFrame, cosine: float, rows: int = 512):
@@ -95,42 +95,61 @@ def assign(batches, index: Index, probes: int):
             yield part[["id", "label", "copies", "vector", "home", "code", "lists"]]
 
 
+def cells_of(visits: DataFrame, block: int) -> DataFrame:
+    """The visits in cells of a list, each of a part of its members and a part of its visitors (its members among them), of about `block` rows
+    at most. A visitor goes with every part of members and a member with every part of visitors, so each visitor meets each member in
+    one cell; visitors do not meet each other. A row is there once as a visitor and once more, ``held``, as a member.
+    """
+    member = F.col("home") == F.col("list")
+    sizes = visits.groupBy("label", "list").agg(F.ceil(F.count_if(member) / block).cast("int").alias("ones"), F.ceil(F.count("*") / block).cast("int").alias("twos"))
+    rows = visits.join(sizes, ["label", "list"])
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asks = rows.where("ones > 0").select("*", F.lit(False).alias("held"), F.explode(upto("ones")).alias("one"), own("twos").alias("two"))
+    holds = rows.where(member).select("*", F.lit(True).alias("held"), own("ones").alias("one"), F.explode(upto("twos")).alias("two"))
+    # visitors bring no code and no visits
+    kept = lambda c: F.when(F.col("held"), F.col(c)).alias(c)
+    return asks.union(holds).select("label", "list", "one", "two", "held", "id", "copies", "vector", "home", kept("code"), kept("lists"))
+
+
 def search(frame: pd.DataFrame, index: Index, cosine: float, slack: float) -> pd.DataFrame:
-    """Links found in one cell of a list: its members against each other and against the visitors that probe it.
+    """Links found in one cell of a list, between its visitors and its members; only rows with a link come out.
 
     Table-lookup distances keep candidates up to `slack` beyond the threshold's distance; exact cosines
     in double precision decide. A pair of different lists is found in either list by whoever visits; to be
     counted once, the visitor is credited where it visits, and the member too if it does not visit back.
     """
-    frame = frame.sort_values(["part", "id"], kind="stable")
-    ids, home, part, copies = (frame[c].to_numpy() for c in ("id", "home", "part", "copies"))
-    listed, one, two = int(frame["list"].iloc[0]), int(frame["one"].iloc[0]), int(frame["two"].iloc[0])
+    held = frame["held"].to_numpy(bool)
+    asks, base = np.flatnonzero(~held), np.flatnonzero(held)
+    ids, home, copies = (frame[c].to_numpy() for c in ("id", "home", "copies"))
+    listed = int(frame["list"].iloc[0])
     x = np.stack(frame["vector"].to_numpy())
-    codes = np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(ids), index.subspaces if listed >= 0 else 0)
-    member = home == listed
+    codes = np.frombuffer(b"".join(frame["code"].iloc[base]), np.uint8).reshape(len(base), index.subspaces if listed >= 0 else 0)
     limit = (2 - 2 * cosine) * (1 + slack) + slack
-    visits = [set(v) for v in frame["lists"]]
-    docs, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    base = np.flatnonzero(member)
-    for at in range(0, len(ids), 256):
-        asks = np.arange(at, min(at + 256, len(ids)))
-        far = np.zeros((len(asks), len(base)))
+    lists = frame["lists"].to_numpy()
+    names, node = np.unique(ids, return_inverse=True)
+    docs, label = np.zeros(len(names), np.int64), np.arange(len(names))
+    for at in range(0, len(asks), 256):
+        some = asks[at : at + 256]
+        far = np.zeros((len(base), len(some)))
         if listed >= 0:
-            table = index.tables(x[asks], listed)
-            for m in range(index.subspaces):
-                far += table[:, m, :][:, codes[base, m]]
-        q, c = np.nonzero(far <= limit)
-        q, c = asks[q], base[c]
-        new = (q != c) if one == two else part[q] != part[c]
-        q, c = q[new], c[new]
+            for table, code in zip(index.tables(x[some], listed), codes.T, strict=True):
+                far += table[code]
+        c, q = np.nonzero(far <= limit)
+        q, c = some[q], base[c]
         hit = np.einsum("ij,ij->i", x[q], x[c]) >= cosine
         q, c = q[hit], c[hit]
-        np.add.at(docs, q, copies[c])
-        back = ~member[q]
-        back[back] = [int(home[i]) not in visits[j] for i, j in zip(q[back], c[back], strict=True)]
-        np.add.at(docs, c[back], copies[q[back]])
-        label = _forest(np.stack([np.concatenate([q, np.arange(len(ids))]), np.concatenate([c, label])], axis=1), len(ids))
-    return pd.DataFrame({"id": ids, "docs": docs, "first": ids[label]})
+        same = ids[q] == ids[c]
+        same[same] = (x[q[same]] == x[c[same]]).all(axis=1)  # the row itself
+        q, c = q[~same], c[~same]
+        if len(q):
+            np.add.at(docs, node[q], copies[c])
+            back = home[q] != listed
+            back[back] = [int(home[i]) not in lists[j] for i, j in zip(q[back], c[back], strict=True)]
+            np.add.at(docs, node[c[back]], copies[q[back]])
+            label = _forest(np.stack([np.concatenate([node[q], np.arange(len(names))]), np.concatenate([node[c], label])], axis=1), len(names))
+    some = (docs > 0) | (label != np.arange(len(names)))
+    return pd.DataFrame({"id": names[some], "docs": docs[some], "first": names[label[some]]})
 
 
 def _forest(edges: np.ndarray, n: int) -> np.ndarray:
@@ -158,8 +177,8 @@ def embedding_dedup(
     Plan: equal vectors of a label become one class by partial aggregation. Centres and codebooks are fitted on
     `sample` unit vectors at most (the hash order decides which) and shipped with the tasks; every vector is indexed. Each class sends its
     vector to its nearest lists of its label: `probes` of them, or more if any link of `asked` vectors, found by exact
-    comparison with all others in one pass, needs more; a list's rows meet in cells of `block` members at most per
-    part (`blocked`), where table lookups choose candidates and exact cosines decide. Only counts and
+    comparison with all others in one pass, needs more; a list's visitors meet its members in cells of `block` rows at most of either
+    (`cells_of`), where table lookups choose candidates and exact cosines decide. Only counts and
     least partners leave a cell.
 
     Cases: vectors that are null, zero, or hold null or non-finite components, and rows with a
@@ -197,9 +216,7 @@ def embedding_dedup(
         lambda b: assign(b, index, probes), f"id {kind}, label string, copies long, vector array<double>, home int, code binary, lists array<int>"
     )
     visits = written(coded, "coded").withColumn("list", F.explode("lists"))
-    sizes = visits.groupBy("label", "list").agg(F.count("*").alias("size"))
-    cells = blocked(visits.join(sizes, ["label", "list"]), ["label", "list"], "size", F.xxhash64("id"), block)
-    links = written(map_groups(cells, ["label", "list", "one", "two"], lambda f: search(f, index, cosine, slack), f"id {kind}, docs long, first {kind}"), "links")
+    links = written(map_groups(cells_of(visits, block), ["label", "list", "one", "two"], lambda f: search(f, index, cosine, slack), f"id {kind}, docs long, first {kind}"), "links")
     joint = components(links.select(F.col("id").alias("u"), F.col("first").alias("v")))
     counts = links.groupBy("id").agg(F.sum("docs").alias("docs"))
     found = counts.join(joint.withColumnRenamed("node", "id"), "id", "left")
@@ -207,7 +224,7 @@ def embedding_dedup(
     return (
         rows.withColumn("key", F.when(F.col("vector").isNotNull(), key)).join(per_class, ["label", "key"], "left")
         .select(
-            F.col("id").alias(id_col), F.coalesce(F.col("docs") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
+            F.col("id").alias(id_col), F.coalesce(F.coalesce("docs", F.lit(0)) + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
             F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(False)).alias("kept"), F.coalesce("rep", "id").alias("class_id"),
         )
     )

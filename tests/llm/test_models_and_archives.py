@@ -153,6 +153,19 @@ def test_embeddings_against_brute_force(spark, block):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_visitors_of_a_list_meet_each_member_once(spark):
+    """A list of 20 members and 76 other visitors in blocks of 16: visitors are not dealt out to meet one another."""
+    rows = [(i, "a", 1, [1.0, float(i)], 1 if i < 20 else 2, b"", [1, 2], 1) for i in range(96)]
+    rows += [(i, "a", 1, [1.0, float(i)], 5, b"", [4, 5], 4) for i in range(9)]  # a list without members
+    visits = spark.createDataFrame(rows, "id long, label string, copies long, vector array<double>, home int, code binary, lists array<int>, list int")
+    cells = {}
+    for r in embedding_dedup.cells_of(visits, 16).collect():
+        cells.setdefault((r.list, r.one, r.two), ([], []))[r.held].append(r.id)
+    met = Counter((q, c) for asks, holds in cells.values() for q in asks for c in holds)
+    assert met == Counter((q, c) for q in range(96) for c in range(20))
+    assert sum(len(a) + len(b) for a, b in cells.values()) == 96 * 2 + 20 * 6  # in cells of all pairs of parts: 96 * 6, and 9 more
+
+
 def test_embeddings_of_random_neighbours_lose_no_link(spark):
     """Pairs of cosine 0.93 to 0.95 in 64 dimensions, without clusters that lists could follow, over 200 lists."""
     rng, n = np.random.default_rng(6), 4000
