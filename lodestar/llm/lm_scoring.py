@@ -239,7 +239,8 @@ def lm_scores(
     found = written(found, "lm-ids")
     model, table = train(found.where("NOT held_out"), parts, steps, first, rounds, rate)
     held = spark.sparkContext.broadcast(model)
-    scores = found.select("uid", "ids").mapInPandas(lambda b: score_rows(b, held.value, table), "uid long, score double")
+    # written, so that no join of the result or second reading of it scores the texts again
+    scores = written(found.select("uid", "ids").mapInPandas(lambda b: score_rows(b, held.value, table), "uid long, score double"), "lm-scores")
     rest = counts if cut is None else counts.where(bin_of < cut)
     rare = found.select("uid", F.explode("rare").alias("word"))
     looked = rare.join(rest, "word", "left").groupBy("uid").agg(F.count("n").alias("n_rare"), F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.1)).alias("rare_base"))

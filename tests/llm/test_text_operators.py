@@ -428,6 +428,13 @@ def test_sums_of_task_vectors(spark):
     assert got.tolist() == [v for k in range(3) for v in (sum(range(70)), 70.0 * k)]
 
 
+def test_reading_the_scores_again_scores_nothing(spark):
+    df = spark.createDataFrame([(i, f"one two three {i % 5} four") for i in range(40)], "doc_id long, text string")
+    got = lm_scoring.lm_scores(df, steps=2, first=16, rounds=1)
+    assert "MapInPandas" not in got._jdf.queryExecution().toString()
+    assert got.collect() == got.collect() and got.count() == 40 and all(r.score < 0 for r in got.collect())
+
+
 def test_lm_scores_counts(odd, none):
     rows = lm_scoring.lm_scores(odd, steps=5, parts=8, hot_words=4).collect()
     train, texts = Counter(), defaultdict(list)
