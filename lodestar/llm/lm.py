@@ -9,6 +9,8 @@ SCORED, CONTEXT = 32, 32
 LENGTH = SCORED + CONTEXT
 #: Windows per batch in scoring and in training: so few that most of a batch's arrays stay in a core's cache.
 BATCH, STEP = 64, 128
+#: Windows of a training step whose arrays are held at a time.
+PIECE = 32
 _NAMES = ("embed", "project", "lift", "bias", "near")
 #: No exponential of so large a number overflows, nor does its inverse vanish.
 SAFE = np.float32(40)
@@ -58,52 +60,75 @@ class AttentionModel:
         return np.where(gap >= 0, self.near[np.clip(gap, 0, LENGTH - 1)], np.float32(-1e9)).astype(np.float32)
 
     def step(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
-        """Of windows [n, T + 1] with so many targets each: gradients, the targets (flat), their posterior parts, and the
-        summed log-likelihood."""
-        x, y = windows[:, :-1], windows[:, 1:]
-        n, t = x.shape
-        weight = (np.arange(t)[None, :] < lengths[:, None]).astype(np.float32)
-        e = self.embed[x.ravel()]
-        q, k, v, own = self.split((e @ self.project).reshape(n, t, -1))
-        s = q @ k.transpose(0, 2, 1)
-        s += self.distances(t, t, 0)
-        if float(np.abs(q).max() * np.abs(k).max()) * self.heads + float(np.abs(self.near).max()) > SAFE:
-            s -= s.max(axis=2, keepdims=True)
-        a = np.exp(s, out=s)
-        a /= a.sum(axis=2, keepdims=True)
-        u = a @ v
-        z = (u.reshape(n * t, -1) @ self.lift).reshape(n, t, -1)
-        z += own
-        z += self.bias
-        if float(np.abs(z).max()) > SAFE:
-            z -= z.max(axis=2, keepdims=True)
-        g = np.exp(z, out=z)
-        whole = g.sum(axis=2)
-        post = self.tables[y.ravel()].reshape(g.shape)
-        post *= g
-        total = post.sum(axis=2)
-        likelihood = float((np.log(total / whole) * weight).sum())
-        post *= (weight / total)[:, :, None]
-        g *= (weight / whole)[:, :, None]
-        dz = np.subtract(g, post, out=g)
-        flat = dz.reshape(n * t, -1)
-        du = (flat @ self.lift.T).reshape(n, t, -1)
-        da = du @ v.transpose(0, 2, 1)
-        da -= np.einsum("ijk,ijk->ij", du, u)[:, :, None]  # the mean of da under a
-        ds = np.multiply(da, a, out=da)
-        down = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ du, dz], axis=2).reshape(n * t, -1)
+        """Of windows [n, T + 1] with so many targets each: gradients, the distinct targets, the expected counts of their
+        parts, and the summed log-likelihood.
+
+        The windows are taken PIECE at a time. The sums under the softmaxes are divided out where rows are narrow: the attention
+        is never normalised itself, only the attended values are, and the tables are multiplied in after the rows of a target are summed.
+        """
+        x, y = np.ascontiguousarray(windows[:, :-1]), np.ascontiguousarray(windows[:, 1:])
+        (n, t), kind, width, heads = x.shape, self.embed.dtype, self.embed.shape[1], self.heads
+        narrow = 2 * heads + self.values
+        weight = (np.arange(t)[None, :] < lengths[:, None]).astype(kind)
+        rows = np.pad(self.embed, ((0, 0), (0, self.values)))  # with room for the attended values
+        low = np.pad(self.project[:, :narrow], ((0, 0), (0, -narrow % 8 or 8)))  # with room for a column of ones
+        gate = np.concatenate([self.project[:, narrow:], self.lift])
+        back, low_back = np.ascontiguousarray(gate.T), np.ascontiguousarray(self.project[:, :narrow].T)
+        mask, all_parts, all_keys = self.distances(t, t, 0), np.ones(self.parts, kind), np.ones(t, kind)
+        d_gate, d_low, d_bias, d_mask = np.zeros_like(gate), np.zeros((width, narrow), kind), np.zeros(self.parts, kind), np.zeros(t * t, kind)
+        d_rows, share, likelihood, most_near = np.empty((n * t, width), kind), np.empty((n * t, self.parts), kind), 0.0, float(np.abs(self.near).max())
+        for a in range(0, n, PIECE):
+            m, here = min(PIECE, n - a), slice(a * t, (a + PIECE) * t)
+            inputs = rows.take(x[a : a + m].ravel(), axis=0)
+            attended = inputs.reshape(m, t, -1)[:, :, width:]
+            p = (inputs[:, :width] @ low).reshape(m, t, -1)
+            p[:, :, narrow] = 1
+            q, k, v, v_one = p[:, :, :heads], p[:, :, heads : 2 * heads], p[:, :, 2 * heads : narrow], p[:, :, 2 * heads : narrow + 1]
+            s = q @ k.transpose(0, 2, 1)
+            s += mask
+            if longest(q) * longest(k) + most_near > SAFE:
+                s -= s.max(axis=2, keepdims=True)
+            np.exp(s, out=s)
+            inverse = (1 / (s @ all_keys))[:, :, None]
+            np.multiply(s @ v, inverse, out=attended)
+            g = inputs @ gate
+            g += self.bias
+            if max(float(g.max()), -float(g.min())) > SAFE:
+                g -= g.max(axis=1, keepdims=True)
+            np.exp(g, out=g)
+            following = self.tables.take(y[a : a + m].ravel(), axis=0)
+            total, scored = np.einsum("ij,ij->i", g, following), weight[a : a + m].ravel()
+            chance = total / (g @ all_parts)
+            likelihood += float((np.log(chance) * scored).sum())
+            posterior = np.multiply(g, (scored / total)[:, None], out=share[here])  # over the table
+            dz = np.subtract(chance[:, None], following, out=following)
+            dz *= posterior
+            d_gate += inputs.T @ dz
+            d_bias += np.ones(m * t, kind) @ dz
+            dx = dz @ back
+            du = np.empty((m, t, self.values + 1), kind)
+            np.multiply(dx.reshape(m, t, -1)[:, :, width:], inverse, out=du[:, :, :-1])
+            np.einsum("ijk,ijk->ij", du[:, :, :-1], attended, out=du[:, :, -1])
+            du[:, :, -1] *= -1  # the mean that a softmax takes off its gradient
+            ds = du @ v_one.transpose(0, 2, 1)
+            ds *= s
+            d_mask += np.ones(m, kind) @ ds.reshape(m, -1)
+            down = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ du[:, :, :-1]], axis=2).reshape(m * t, -1)
+            d_low += inputs[:, :width].T @ down
+            np.add(down @ low_back, dx[:, :width], out=d_rows[here])
         gap = np.clip(np.arange(t)[:, None] - np.arange(t)[None, :], 0, LENGTH - 1)
         grads = {
-            "embed": scatter(x.ravel(), down @ self.project.T, self.vocabulary), "project": e.T @ down, "lift": u.reshape(n * t, -1).T @ flat,
-            "bias": flat.sum(axis=0), "near": np.bincount(gap.ravel(), np.tril(ds.sum(axis=0)).ravel(), LENGTH),
+            "embed": scatter(x.ravel(), d_rows, self.vocabulary), "project": np.concatenate([d_low, d_gate[:width]], axis=1), "lift": d_gate[width:],
+            "bias": d_bias, "near": np.bincount(gap.ravel(), np.tril(d_mask.reshape(t, t)).ravel(), LENGTH),
         }
-        seen = y.ravel(), post.reshape(n * t, -1)
-        return grads, *seen, likelihood
+        found, sums = summed(y.ravel(), share)
+        sums *= self.tables[found]
+        return grads, found, sums, likelihood
 
     def lookup(self) -> dict[str, np.ndarray]:
         """Per-id rows of all projections, so that scoring looks up instead of multiplying."""
         q, k, v, own = self.split(self.embed @ self.project)
-        rows = {"query": q, "key": k, "value": v, "own": own + self.bias, "next": self.tables}
+        rows = {"query": q, "attended": np.concatenate([k, v], axis=1), "own": own + self.bias, "next": self.tables}
         return {n: np.ascontiguousarray(r) for n, r in rows.items()}
 
     def log10_probabilities(self, ids: np.ndarray, sizes: np.ndarray, lookup: dict[str, np.ndarray], start: int, most: int = BATCH) -> np.ndarray:
@@ -123,46 +148,51 @@ class AttentionModel:
         out = np.empty(len(ids), np.float64)
         mask = self.distances(SCORED, LENGTH, CONTEXT)
         ones, all_parts = np.ones(LENGTH, np.float32), np.ones(self.parts, np.float32)
-        norm = lambda t: float(np.sqrt((t * t).sum(axis=1).max()))
-        most_score = norm(lookup["query"]) * norm(lookup["key"]) + float(np.abs(self.near).max())
-        most_logit = float((np.abs(lookup["value"]).max(axis=0) @ np.abs(self.lift)).max() + np.abs(lookup["own"]).max())
-        small = max(most_score, most_logit) < SAFE  # then no maximum need be taken off
+        most_near = float(np.abs(self.near).max())
         for a in range(0, len(at), most):
             here, low, high = at[a : a + most, None], begins[doc[a : a + most], None], ends[doc[a : a + most], None]
             seen = here - CONTEXT + np.arange(LENGTH)
             inside = (seen >= low) & (seen < high)
-            x = before[np.clip(seen, 0, len(ids) - 1)]
-            own = x[:, CONTEXT:]
-            s = np.matmul(lookup["query"][own], lookup["key"][x].transpose(0, 2, 1))
+            x = before.take(seen, mode="clip")
+            own = x[:, CONTEXT:].ravel()
+            attended = lookup["attended"].take(x.ravel(), axis=0).reshape(*x.shape, -1)
+            q, k, v = lookup["query"].take(own, axis=0).reshape(len(x), SCORED, -1), attended[:, :, : self.heads], attended[:, :, self.heads :]
+            s = q @ k.transpose(0, 2, 1)
             s += mask
-            early = ~inside[:, :CONTEXT]
-            if early.any():
-                s[:, :, :CONTEXT][np.broadcast_to(early[:, None, :], s[:, :, :CONTEXT].shape)] = -1e9
-            if not small:
+            first_in_text = np.flatnonzero(~inside[:, 0])
+            s[first_in_text, :, :CONTEXT] += np.where(inside[first_in_text, None, :CONTEXT], np.float32(0), np.float32(-1e9))
+            if longest(q) * longest(k) + most_near > SAFE:
                 s -= s.max(axis=2, keepdims=True)
             np.exp(s, out=s)
-            u = np.matmul(s, lookup["value"][x])
+            u = s @ v
             u /= (s @ ones)[:, :, None]
-            z = (u.reshape(-1, self.values) @ self.lift).reshape(*own.shape, -1)
-            z += lookup["own"][own]
-            if not small:
-                z -= z.max(axis=2, keepdims=True)
+            z = u.reshape(len(own), -1) @ self.lift
+            z += lookup["own"].take(own, axis=0)
+            if max(float(z.max()), -float(z.min())) > SAFE:
+                z -= z.max(axis=1, keepdims=True)
             np.exp(z, out=z)
             place = seen[:, CONTEXT:]
-            whole = z.reshape(-1, z.shape[2]) @ all_parts
-            z *= lookup["next"][ids[np.minimum(place, len(ids) - 1)]]
-            got = z.reshape(-1, z.shape[2]) @ all_parts / whole
+            following = lookup["next"].take(ids.take(place.ravel(), mode="clip"), axis=0)
+            got = np.einsum("ij,ij->i", z, following) / (z @ all_parts)
             score = inside[:, CONTEXT:]
             out[place[score]] = got.reshape(score.shape)[score]
         return np.log10(out)
 
 
+def longest(rows: np.ndarray) -> float:
+    """The greatest length of a row; the product of two bounds all products of their rows."""
+    return float(np.sqrt(np.einsum("ijk,ijk->ij", rows, rows).max(initial=0)))
+
+
 def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct row numbers and the sums of their value rows."""
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
+    """The distinct row numbers (below 65,536) and the sums of their value rows."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    ordered, values = rows[order], values.take(order, axis=0)
     cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[cuts], np.add.reduceat(values[order], cuts, axis=0)
+    if values.shape[1] % 2:
+        return ordered[cuts], np.add.reduceat(values, cuts, axis=0)
+    # two columns are added as one complex number, which takes half the time
+    return ordered[cuts], np.add.reduceat(values.view(np.result_type(values, np.complex64)), cuts, axis=0).view(values.dtype)
 
 
 def scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -198,9 +228,10 @@ def warm_up(model: AttentionModel, windows: np.ndarray, lengths: np.ndarray, uni
     for k in range(steps):
         adam.rate = rate * (1 - 0.7 * k / steps)
         pick = rng.integers(0, len(windows), BATCH)
-        grads, target, post, _ = model.step(windows[pick], lengths[pick])
+        grads, found, sums, _ = model.step(windows[pick], lengths[pick])
         adam.update(grads, float(lengths[pick].sum()))
-        got = scatter(target, post, model.vocabulary)
+        got = np.zeros_like(model.tables)
+        got[found] = sums
         counts = got if counts is None else counts * np.float32(0.97) + got
         model.set_tables(counts, unigram)
 
@@ -208,7 +239,6 @@ def warm_up(model: AttentionModel, windows: np.ndarray, lengths: np.ndarray, uni
 def train_part(model: AttentionModel, windows: np.ndarray, lengths: np.ndarray, adam: Adam, counts: np.ndarray) -> None:
     """Trains the gate on the windows, one step a batch, and adds their expected table counts to `counts`."""
     for a in range(0, len(windows), STEP):
-        grads, target, post, _ = model.step(windows[a : a + STEP], lengths[a : a + STEP])
+        grads, found, sums, _ = model.step(windows[a : a + STEP], lengths[a : a + STEP])
         adam.update(grads, float(lengths[a : a + STEP].sum()))
-        found, sums = summed(target, post)
         counts[found] += sums

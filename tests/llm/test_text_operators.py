@@ -392,6 +392,28 @@ def test_attention_gradients():
             assert grads[n][at] == pytest.approx(-(up - down) / (2 * eps), rel=1e-2, abs=1e-4)
 
 
+def test_attention_step_gives_expected_counts_by_target(monkeypatch):
+    rng = np.random.default_rng(2)
+    windows, lengths = rng.integers(0, 7, (5, 7)), np.array([6, 4, 2, 6, 1])
+    for loud in (1, 60):  # logits beyond what an exponential takes, too
+        model = lm.AttentionModel(7, parts=4, width=4, heads=3)
+        model.lift *= loud
+        want = np.zeros((7, 4))
+        for row, size in zip(windows, lengths, strict=True):
+            q, k, v, own = model.split(model.embed[row] @ model.project)
+            for i in range(size):
+                a = np.exp([q[i] @ k[j] + model.near[i - j] for j in range(i + 1)])
+                z = (a @ v[: i + 1] / a.sum()).astype(float) @ model.lift + own[i]
+                share = np.exp(z - z.max()) * model.tables[row[i + 1]]
+                want[row[i + 1]] += share / share.sum()
+        for piece in (1, 2, 32):
+            monkeypatch.setattr(lm, "PIECE", piece, raising=False)
+            _, found, sums, _ = model.step(windows, lengths)
+            got = np.zeros((7, 4))
+            got[found] = sums
+            assert len(set(found.tolist())) == len(found) and got == pytest.approx(want, abs=1e-3)
+
+
 def test_training_windows_hold_every_id_once():
     import pandas as pd
 
