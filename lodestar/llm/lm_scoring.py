@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,7 @@ def text_ids(texts: list[str], tokens: ByteWords) -> tuple[list[list[bytes]], np
     return words, np.frombuffer(b"".join(joined), "<u4"), np.fromiter(map(len, joined), np.int64, len(joined)) // 4
 
 
-def tokenised(batches, path: str, hot: dict[bytes, int]):
+def tokenised(batches, path: str, hot: dict[bytes, int], most_chars: int = 500_000):
     """Per text: its number, its ids and the end id (16 bits each), tokens, number and log counts of frequent words, and its
     other words."""
     from pyspark import TaskContext
@@ -51,10 +51,11 @@ def tokenised(batches, path: str, hot: dict[bytes, int]):
     tokens, end = ByteWords(path), np.array([END_ID], "<u4").tobytes()
     for frame in batches:
         texts, docs, folds = (frame[c].tolist() for c in ("text", "id", "held_out"))
-        for a, b in groups_of(texts):
-            out = []
-            for doc, held, text in zip(docs[a:b], folds[a:b], texts[a:b], strict=True):
-                words = words_of(text)
+        for a, b in groups_of(texts, most_chars):
+            out, split = [], [words_of(t) for t in texts[a:b]]
+            # the new words of many texts are encoded in one call; a cache emptied in between is filled again text by text
+            tokens.learn(list(chain.from_iterable(split)))
+            for doc, held, words in zip(docs[a:b], folds[a:b], split, strict=True):
                 ids = np.frombuffer(b"".join(tokens.ids(words)) + end, "<u4").astype("<u2").tobytes()
                 words.append(b"")
                 count = np.fromiter(map(hot.get, words, repeat(0)), np.int64, len(words))

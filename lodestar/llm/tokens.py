@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import sys
@@ -37,10 +38,11 @@ class ByteWords:
 
     #: One piece of one id, wherever it stands between spaces; words that hold it are encoded singly.
     MARK, PLAIN_MARK = "\x01", "!"
-    #: Signs, letters, signs. (Signs are neither letters, numbers nor white space.)
-    LETTERS = re.compile(r"((?:[^\w\s]|_)*)([^\W\d_]+)((?:[^\w\s]|_)*)\Z")
-    #: How the byte-level alphabet writes the bytes that are not printable characters.
-    SHOWN = {c: 256 + i for i, c in enumerate(c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255))}
+    #: Of each line signs, letters, signs, or the line as it is. (Signs are neither letters, numbers nor white space.)
+    LETTERS = re.compile(r"^(?:((?:[^\w\s]|_)*)([^\W\d_]+)((?:[^\w\s]|_)*)|(.+))$", re.M)
+    #: How the byte-level alphabet writes each byte: those that are not printable characters come from 256 on. A space stays one.
+    HIDDEN = [c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255)]
+    SHOWN = "".join(map(chr, range(256))).translate({c: 256 + i for i, c in enumerate(HIDDEN) if c != 32})
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,14 +74,15 @@ class ByteWords:
         if any(ids(gap.join(words)) != apart for gap in (" ", "\n", "\t  ")):
             raise ValueError("this tokenizer looks across white space or at the case of letters")
 
-    def closed(self, words: list[str]) -> list[bytes]:
+    def closed(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of plain letters. Each ends in a piece that closes a word, so they need no marks between them."""
         import numpy as np
 
-        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        shown = codecs.charmap_decode(b" ".join(words), "strict", self.SHOWN)[0]
+        ids = np.array(self.plain.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.closing[ids]) + 1
         if len(stops) != len(words):
-            return self.one(self.plain, words, self.PLAIN_MARK)
+            return self.one(self.plain, shown.split(" "), self.PLAIN_MARK)
         data, at = ids.tobytes(), (4 * stops).tolist()
         return [data[a:b] for a, b in zip([0, *at], at, strict=False)]
 
@@ -98,34 +101,40 @@ class ByteWords:
 
     def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of each word, and of the letters in it where they are looked up apart."""
-        alone, signed, others, letters, special = [], [], [], self.LETTERS.match, self.special and self.special.search
+        # (signed words and their parts are held in four lists: many small tuples would keep the garbage collector busy)
+        alone, others, mixed, signed, fronts, cores, backs = [], [], [], [], [], [], []
         for w in words:
             if w.isalpha():  # of bytes: ASCII letters alone
                 alone.append(w)
             elif w[-1:] in self.ends and w[:-1].isalpha():
-                signed.append((w, b"", w[:-1], w[-1:]))
+                signed.append(w)
+                fronts.append(b"")
+                cores.append(w[:-1])
+                backs.append(w[-1:])
             else:
-                text = w.decode("utf-8", "replace")
-                found = letters(text)
-                # an apostrophe right before letters may begin a contraction; a word that normalisation changes is left to the tokenizer
-                if not found or (at := found.span(2))[0] == 1 and text[0] == "'" or (special and special(text)):
-                    others.append(w)
-                elif text.isascii():
-                    signed.append((w, w[: at[0]], w[at[0] : at[1]], w[at[1] :]))
-                elif found[2].isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text):
-                    signed.append((w, found[1].encode(), found[2].encode(), found[3].encode()))
-                else:
-                    others.append(w)
+                mixed.append(w)
+        text = b"\n".join(mixed).decode("utf-8", "replace")
+        unchanged = lambda t: t.isascii() or (t.lower() == t and unicodedata.is_normalized("NFC", t))
+        all_unchanged, special = unchanged(text), self.special.search if self.special and self.special.search(text) else None
+        for w, (before, core, after, _) in zip(mixed, self.LETTERS.findall(text), strict=True):
+            # an apostrophe right before letters may begin a contraction; a word that normalisation changes is left to the tokenizer
+            if not core or before == "'" or not core.isalpha() or (special and special(before + core + after)) or not (all_unchanged or w.isascii() or unchanged(before + core + after)):
+                others.append(w)
+            else:
+                signed.append(w)
+                fronts.append(before.encode())
+                cores.append(core.encode())
+                backs.append(after.encode())
         out = dict(zip(others, self.one(self.tokenizer, [w.decode("utf-8", "replace") for w in others], self.MARK), strict=True)) if others else {}
         known, ends = self.known, self.ends
-        need = [c for c in dict.fromkeys([*alone, *[c for _, _, c, _ in signed]]) if c not in known]
+        need = [c for c in dict.fromkeys([*alone, *cores]) if c not in known]
         if need:
-            shown = [c.decode() if c.isascii() else c.decode("latin-1").translate(self.SHOWN) for c in need]
-            out.update(zip(need, self.closed(shown), strict=True))
+            out.update(zip(need, self.closed(need), strict=True))
         if signed:
-            if signs := list({x for _, a, _, b in signed for x in (a, b) if x not in ends}):
+            if signs := [x for x in {*fronts, *backs} if x not in ends]:
                 ends = ends | dict(zip(signs, self.one(self.tokenizer, [x.decode() for x in signs], self.MARK), strict=True))
-            out.update([(w, ends[a] + (out[c] if c in out else known[c]) + ends[b]) for w, a, c, b in signed])
+            ids = [ends[a] + (out[c] if c in out else known[c]) + ends[b] for a, c, b in zip(fronts, cores, backs, strict=True)]
+            out.update(zip(signed, ids, strict=True))
         return out
 
     def ids(self, words: list[bytes]) -> list[bytes]:

@@ -414,6 +414,20 @@ def test_attention_step_gives_expected_counts_by_target(monkeypatch):
             assert len(set(found.tolist())) == len(found) and got == pytest.approx(want, abs=1e-3)
 
 
+def test_new_words_of_many_texts_are_encoded_together(monkeypatch):
+    import pandas as pd
+
+    calls, encode = [], tokens.ByteWords.encode
+    monkeypatch.setattr(tokens.ByteWords, "encode", lambda self, words: calls.append(len(words)) or encode(self, words))
+    letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    texts = [f"qz{letters(k)} {letters(k)}éq, ((ж{letters(k)}$$ '{letters(k)} {letters(k)}7 ﬁ{letters(k)}" for k in range(200)]
+    frame = pd.DataFrame({"id": range(200), "held_out": False, "text": texts})
+    (got,) = lm_scoring.tokenised([frame], tokens.default_path(), {})
+    assert len(calls) == 1
+    plain = tokens.ByteWords(tokens.default_path()).tokenizer
+    assert [np.frombuffer(i, "<u2").tolist()[:-1] for i in got["ids"]] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_training_windows_hold_every_id_once():
     import pandas as pd
 
